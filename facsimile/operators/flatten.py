@@ -17,18 +17,26 @@ WIDTH_LIMIT = 10_000
 
 @dataclass
 class FlatField:
-    """A flat column: how to compute it and when its cell exists at all."""
+    """A flat column: how to compute it, and when its cell exists at all.
+
+    ``present`` is a condition over *flat* columns (flags and lengths); None
+    means the cell exists in every row.
+    """
 
     name: str
     value: Column
     dtype: T.DataType
-    present: Column | None  # None: in every row
+    present: Column | None
 
 
 def _both(a: Column | None, b: Column) -> Column:
     return b if a is None else a & b
 
 
+def _unflagged(name: str) -> Column:
+    return ~F.coalesce(column(name + NULL_FLAG), F.lit(True))
+
+
 def flat_fields(plan: Plan, index_style: str = "__i", lengths: bool = False, null_flags: bool = True) -> list[FlatField]:
     if index_style not in INDEX_STYLES:
         raise ValueError(f"index_style must be one of {sorted(INDEX_STYLES)}")
@@ -38,18 +46,18 @@ def flat_fields(plan: Plan, index_style: str = "__i", lengths: bool = False, nul
         if node.kind == "struct":
             if node.nullable_struct and null_flags:
                 yield FlatField(name + NULL_FLAG, value.isNull(), T.BooleanType(), present)
-            inner = _both(present, value.isNotNull()) if node.nullable_struct else present
+            inner = _both(present, _unflagged(name)) if node.nullable_struct and null_flags else present
             for key, child in node.children.items():
                 yield from walk(f"{name}.{key}", child, value.getField(key), inner)
         elif node.kind == "array":
             if node.nullable_array and null_flags:
                 yield FlatField(name + NULL_FLAG, value.isNull(), T.BooleanType(), present)
+            filled = _both(present, _unflagged(name)) if node.nullable_array and null_flags else present
             if lengths:
-                filled = _both(present, value.isNotNull()) if node.nullable_array else present
                 yield FlatField(name + LENGTH, F.array_size(value), T.IntegerType(), filled)
             for i in range(node.max_elements):
                 place = indexed.format(base=name, i=i)
-                here = _both(present, F.coalesce(F.array_size(value) > i, F.lit(False)))
+                here = _both(filled, F.coalesce(column(name + LENGTH) > i, F.lit(False))) if lengths else filled
                 if plan.deep:
                     yield from walk(place, node.element, F.get(value, F.lit(i)), here)
                 else:
