@@ -6,6 +6,9 @@ with double precision and stay inside whole-stage code generation.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,6 +70,13 @@ def cdf_sql(x: str) -> str:
     return f"(CASE WHEN {x} > 0e0 THEN 1e0 - ({lower}) ELSE ({lower}) END)"
 
 
+def cdf_array(x: np.ndarray) -> np.ndarray:
+    """The same for a numpy array (the centre formula; its tail is below 1e-12)."""
+    size = np.minimum(np.abs(x), 37.0)
+    lower = np.exp(-size * size / 2.0) * np.polyval(CDF_TOP, size) / np.polyval(CDF_BOTTOM, size)
+    return np.where(x > 0, 1.0 - lower, lower)
+
+
 def quantile_sql(u: str) -> str:
     """SQL text of the inverse distribution function at ``u``, 0 < u < 1."""
     q = f"({u} - 0.5e0)"
@@ -91,3 +101,8 @@ def normal_cdf(column: str) -> Column:
 
 def normal_quantile(column: str) -> Column:
     return F.expr(quantile_sql(f"`{column}`"))
+
+
+def normal_draw(first: Column, second: Column) -> Column:
+    """A standard normal number from two uniform ones (Box and Muller, 1958)."""
+    return F.sqrt(F.lit(-2.0) * F.ln(first)) * F.cos(F.lit(2.0 * math.pi) * second)

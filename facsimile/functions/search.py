@@ -13,26 +13,22 @@ LITERAL_LIMIT = 1000  # entries of a lookup array that may live inside a plan
 
 
 def double_array(values: Sequence[float]) -> Column:
-    if not values:
-        return F.expr("cast(array() as array<double>)")
-    parts = []
-    for v in values:
-        v = float(v)
-        if not math.isfinite(v):
-            raise ValueError("lookup arrays hold finite numbers only")
-        parts.append(f"{v!r}D")
-    return F.expr(f"array({', '.join(parts)})")
+    plain = [float(v) for v in values]
+    if not all(math.isfinite(v) for v in plain):
+        raise ValueError("lookup arrays hold finite numbers only")
+    return typed_array(plain, "double")
 
 
 def long_array(values: Sequence[int]) -> Column:
-    if not values:
-        return F.expr("cast(array() as array<bigint>)")
-    parts = [f"{int(v)}L" for v in values]
-    return F.expr(f"array({', '.join(parts)})")
+    return typed_array([int(v) for v in values], "bigint")
 
 
 def typed_array(values: Sequence[Any], element_ddl: str) -> Column:
-    """An array literal of strings, or of records given as dictionaries."""
+    """An array literal as one node of the plan, folded to a constant by the optimizer.
+
+    ``array(lit, lit, …)`` with a thousand entries would make every analysis and
+    optimizer pass walk a thousand nodes per column.
+    """
     return F.from_json(F.lit(json.dumps(list(values))), f"array<{element_ddl}>")
 
 
