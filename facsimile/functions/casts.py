@@ -103,7 +103,7 @@ def uint64_from_text(c: Column, on_error: str = "raise", path: str = "") -> Colu
     """Digits to decimal(20,0) within 0 … 2^64-1."""
     digits = F.trim(c.cast("string"))
     parsed = F.when(digits.rlike(r"^\+?\d+$"), digits).try_cast("decimal(20,0)")
-    inside = F.when(parsed <= F.lit(UINT64_MAX).cast("decimal(20,0)"), parsed)
+    inside = F.when(parsed <= F.lit(str(UINT64_MAX)).cast("decimal(20,0)"), parsed)
     return _settle_failures(inside, c, "null" if on_error == "null" else "raise", F.lit(None), "uint64", path)
 
 

@@ -16,7 +16,7 @@ STRIDE = 1_000_003  # distance of the draw streams of two positions in one text
 def text_shape(c: Column) -> Column:
     """Capitals become ``A``, other letters ``a``, digits ``9``; the rest stays."""
     shape = F.regexp_replace(c, r"\p{Lu}", "A")
-    shape = F.regexp_replace(shape, r"[\p{L}&&[^A]]", "a")
+    shape = F.regexp_replace(shape, r"[^\P{L}A]", "a")
     return F.regexp_replace(shape, r"\p{Nd}", "9")
 
 

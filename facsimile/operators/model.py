@@ -140,12 +140,12 @@ def quantile_grid(flat: DataFrame, views: dict[str, Column], knots: int = KNOTS,
     return reduce(DataFrame.unionByName, blocks)
 
 
-def value_ranks(flat: DataFrame, views: dict[str, Column]) -> DataFrame:
+def value_ranks(flat: DataFrame, views: dict[str, Column], slot_rows: int = SLOT_ROWS) -> DataFrame:
     """``(column, value, count, lo, hi)``: how many rows lie below and up to each value."""
     cells = [F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in views.items()]
     long = flat.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null")
     counted = settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")), "values")
-    return running_totals(counted, ["column"], ["value"], "count")
+    return running_totals(counted, ["column"], ["value"], "count", slot_rows=slot_rows)
 
 
 def _exact_grid(flat: DataFrame, views: dict[str, Column], knots: int) -> DataFrame:

@@ -88,7 +88,7 @@ def write_table(df: DataFrame, namespace: str, table: str, warehouse: str, prope
     row is written.
     """
     spark, name = df.sparkSession, table_identifier(namespace, table)
-    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS `{namespace}`")
+    spark.sql(f"CREATE NAMESPACE IF NOT EXISTS `{namespace}` LOCATION '{warehouse.rstrip('/')}/{namespace}.db'")
     exists = spark.catalog.tableExists(name)
     try:
         schema = union_schema(spark.table(name).schema, df.schema) if exists else df.schema
