@@ -46,23 +46,47 @@ def to_digits(value: Column, digits: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def _sketched_count(c: Column) -> Column:
-    # One binary buffer per column; approx_count_distinct keeps hundreds of buffer fields.
-    hashed = F.when(c.isNotNull(), F.xxhash64(c))
-    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(hashed, F.lit(SKETCH_BITS))), F.lit(0).cast("long"))
+def _filled(field: T.StructField) -> Column:
+    """The column with NaN as null."""
+    c = column(field.name)
+    return as_number(c, field.dataType) if isinstance(field.dataType, FRACTIONS) else c
 
 
-def _measures(position: int, field: T.StructField, present: Column | None, distinct: bool) -> dict[str, Column]:
+def _long_form(flat: DataFrame, measured: list[dict[str, Column]]) -> DataFrame:
+    """One aggregate over ``flat``, turned into a row per column."""
+    wide = flat.agg(*[value.alias(f"{n}_{key}") for n, m in enumerate(measured) for key, value in m.items()])
+    rows = [F.struct(*[F.col(f"{n}_{key}").alias(key) for key in m]) for n, m in enumerate(measured)]
+    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def sketched_distinct(flat: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """``(column, distinct)`` from HyperLogLog sketches, one binary buffer per column.
+
+    Kept apart from the plain measures: a sketch in the same aggregate would
+    take all of them out of generated code.
+    """
+
+    def count(f: T.StructField) -> Column:
+        c = _filled(f)
+        return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(SKETCH_BITS)))
+
+    return _long_form(flat, [{"column": F.lit(f.name), "distinct": count(f)} for f in fields])
+
+
+def _measures(position: int, field: T.StructField, present: Column | None) -> dict[str, Column]:
     c, dtype, group = column(field.name), field.dataType, type_class(field.dataType)
     value = as_number(c, dtype) if group in ("time", "int", "wide", "number") else None
-    filled = value if isinstance(dtype, FRACTIONS) else c  # NaN counts as null
+    filled = _filled(field)
     none = F.lit(None).cast("double")
     cells = F.count(F.lit(1)) if present is None else F.count_if(present)
     empty = F.count_if(filled.isNull()) if present is None else F.count_if(present & filled.isNull())
     digits = F.lit(None).cast("int")
     if isinstance(dtype, FRACTIONS):
-        exact = [F.bool_and(value.isNull() | (to_digits(value, s) == value)) for s in SCALES]
-        digits = F.coalesce(*[F.when(ok, F.lit(s)) for s, ok in zip(SCALES, exact)])
+        needed = F.when(value.isNull(), F.lit(SCALES[0]))
+        for s in SCALES:
+            needed = needed.when(to_digits(value, s) == value, F.lit(s))
+        most = F.max(needed.otherwise(F.lit(SCALES[-1] + 1)))
+        digits = F.when(most <= SCALES[-1], most)
     text = group == "string"
     return {
         "column": F.lit(field.name),
@@ -77,7 +101,6 @@ def _measures(position: int, field: T.StructField, present: Column | None, disti
         "max": F.max(value) if value is not None else none,
         "mean": F.avg(value) if value is not None else none,
         "std": F.stddev_samp(value) if value is not None else none,
-        "distinct": _sketched_count(filled) if distinct and group != "other" else F.lit(0).cast("long"),
         "max_length": F.max(F.length(c)) if text else F.lit(None).cast("int"),
         "spaced": F.coalesce(F.bool_or(F.contains(c, F.lit(" "))), F.lit(False)) if text else F.lit(False),
         "digits": digits,
@@ -96,30 +119,46 @@ def exact_distinct(flat: DataFrame) -> DataFrame:
     return values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
 
 
-def column_profile(flat: DataFrame, exact: bool = False, present: dict[str, Column] | None = None) -> DataFrame:
+def column_profile(
+    flat: DataFrame,
+    exact: bool = False,
+    present: dict[str, Column] | None = None,
+    counts: set[str] | None = None,
+) -> DataFrame:
     """One row per column: counts, nulls, range, mean, spread, distinct values, text length.
 
     Times are profiled as days or microseconds since 1970. ``present`` limits
     ``cells`` and ``empty`` to rows in which a cell exists (array elements).
+    ``counts`` limits the counting of distinct values to the columns it names.
     """
     present = present or {}
-    fields = list(enumerate(flat.schema.fields))
-    blocks = []
+    fields = flat.schema.fields
+    counted = [f for f in fields if type_class(f.dataType) != "other" and (counts is None or f.name in counts)]
+    blocks, sketches = [], []
     for start in range(0, len(fields), BLOCK):
-        block = fields[start : start + BLOCK]
-        measured = [_measures(i, f, present.get(f.name), not exact) for i, f in block]
-        wide = flat.agg(
-            *[value.alias(f"{n}_{key}") for n, m in enumerate(measured) for key, value in m.items()]
-        )
-        rows = [F.struct(*[F.col(f"{n}_{key}").alias(key) for key in m]) for n, m in enumerate(measured)]
-        blocks.append(wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
-    profile = reduce(DataFrame.unionByName, blocks)
+        block = list(enumerate(fields))[start : start + BLOCK]
+        blocks.append(_long_form(flat, [_measures(i, f, present.get(f.name)) for i, f in block]))
     if exact:
-        counts = exact_distinct(flat)
-        profile = (
-            profile.drop("distinct").join(counts, "column", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
-        )
-    return profile
+        sketches.append(exact_distinct(flat.select(*[column(f.name) for f in counted])))
+    else:
+        for start in range(0, len(counted), BLOCK):
+            sketches.append(sketched_distinct(flat, counted[start : start + BLOCK]))
+    profile = reduce(DataFrame.unionByName, blocks)
+    if not counted:
+        return profile.withColumn("distinct", F.lit(0).cast("long"))
+    distinct = reduce(DataFrame.unionByName, sketches)
+    joined = profile.join(F.broadcast(distinct), "column", "left")  # one row per column
+    return joined.withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("long")))
+
+
+def _decisive(fields: list[T.StructField]) -> set[str]:
+    """Columns whose kind depends on their number of distinct values."""
+    out = set()
+    for f in fields:
+        group = type_class(f.dataType)
+        if group in ("string", "wide") or group == "int" and f.name.lower().endswith(("id", "key")):
+            out.add(f.name)
+    return out
 
 
 def detect_kinds(
@@ -157,4 +196,5 @@ def detect_kinds(
     )
     for name, wanted in overrides.items():
         kind = F.when(col("column") == name, F.lit(wanted)).otherwise(kind)
-    return column_profile(flat, exact, present).withColumn("kind", kind)
+    counts = None if exact else _decisive(flat.schema.fields)
+    return column_profile(flat, exact, present, counts).withColumn("kind", kind)

@@ -405,7 +405,9 @@ def fit(
             cells[name] = text_shape(column(name))
     target = f"{path}/categories" if path else scratch_path(spark, "categories")
     if cells:
-        plain = all(s["kind"] in ("categorical", "boolean") for s in specs if s["column"] in cells)
+        plain = all(
+            s["kind"] == "boolean" or s["kind"] == "categorical" and s["distinct"] for s in specs if s["column"] in cells
+        )
         bound = sum(2 * s["distinct"] + 100 for s in specs if s["column"] in cells) if plain else None
         categories = category_intervals(flat, cells, bound, target)
         sizes = categories.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max("hi").alias("total")).collect()

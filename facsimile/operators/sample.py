@@ -110,7 +110,7 @@ def _number(spec: dict[str, Any], model: Model, u: Column) -> Column:
     elif grid[0] == grid[-1]:
         value = F.lit(grid[0])
     else:
-        value = _between_knots(u, grid, smooth=spec["distinct"] > len(grid) // 2)
+        value = _between_knots(u, grid, smooth=len(set(grid)) > len(grid) // 2)
     if spec["digits"] is not None:
         value = to_digits(value, spec["digits"])
     if spec["min"] is None or wants_words(spec):
