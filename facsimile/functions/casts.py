@@ -17,18 +17,16 @@ DAY = r"\d{4}-\d{2}-\d{2}"
 OFFSET = r"(Z|[+-]\d{2}:\d{2})"
 CLOCK = r"[T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?"
 ISO_TIME = f"^{DAY}({CLOCK}{OFFSET}?)?$"
-UUID_TEXT = "^[0-9a-fA-F]{8}(-?[0-9a-fA-F]{4}){3}-?[0-9a-fA-F]{12}$"
+UUID_TEXT = "^([0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32})$"
 ON_ERROR = ("clamp", "null", "raise")
 
 
-def _settle_failures(parsed: Column, source: Column, on_error: str, fallback: Column, what: str, path: str) -> Column:
-    """Apply ``on_error`` where a value that is not null did not parse."""
+def _settle_failures(parsed: Column, source: Column, on_error: str, what: str, path: str) -> Column:
+    """Null or an error where a value that is not null did not parse. ``parsed`` is evaluated once."""
     if on_error == "null":
         return parsed
-    if on_error == "raise":
-        message = F.concat(F.lit("Cannot convert '"), source.cast("string"), F.lit(f"' to {what} at '{path}'"))
-        fallback = F.raise_error(message)
-    return F.when(source.isNotNull() & parsed.isNull(), fallback).otherwise(parsed)
+    message = F.concat(F.lit("Cannot convert '"), source.cast("string"), F.lit(f"' to {what} at '{path}'"))
+    return F.coalesce(parsed, F.when(source.isNotNull(), F.raise_error(message)))
 
 
 def micros_from_text(c: Column, default_offset: str = DEFAULT_OFFSET) -> Column:
@@ -38,31 +36,35 @@ def micros_from_text(c: Column, default_offset: str = DEFAULT_OFFSET) -> Column:
     A bare date is midnight at the default offset. Hours or minutes that are left
     out count as zero and digits below the microsecond are cut.
     """
-    clock = F.when(c.rlike(f"^{DAY}$"), F.concat(c, F.lit("T00:00:00"))).otherwise(
-        F.regexp_replace(
-            F.regexp_replace(c, rf"^({DAY}[T ]\d{{2}})({OFFSET}?)$", "$1:00$2"),
-            rf"^({DAY}[T ]\d{{2}}:\d{{2}})({OFFSET}?)$",
-            "$1:00$2",
-        )
-    )
-    zoned = F.when(clock.rlike(f":\\d{{2}}(\\.\\d+)?{OFFSET}$"), clock).otherwise(
-        F.concat(clock, F.lit(default_offset))
+    size = F.length(c)
+    # The pattern fixes the layout, so lengths tell which parts are there.
+    signed = (size >= 19) & F.substring(c, -6, 1).isin("+", "-")
+    tail = F.when(c.endswith("Z"), F.lit(1)).when(signed, F.lit(6)).otherwise(F.lit(0))
+    local = size - tail
+    filler = (
+        F.when(local == 10, F.lit("T00:00:00")).when(local == 13, F.lit(":00:00")).when(local == 16, F.lit(":00")).otherwise(F.lit(""))
     )
+    offset = F.when(tail > 0, F.substring(c, local + 1, tail)).otherwise(F.lit(default_offset))
     usable = c.rlike(ISO_TIME) & ~c.startswith("0000")
-    return F.unix_micros(F.when(usable, zoned).try_cast("timestamp"))
+    return F.unix_micros(F.when(usable, F.concat(F.substring(c, F.lit(1), local), filler, offset)).try_cast("timestamp"))
 
 
-def clamp_micros(us: Column) -> Column:
-    bounded = F.greatest(F.least(us, F.lit(MICROS_MAX)), F.lit(MICROS_MIN))
-    return F.when(us.isNotNull(), bounded)
+def _clamped(us: Column) -> Column:
+    return F.greatest(F.least(us, F.lit(MICROS_MAX)), F.lit(MICROS_MIN))
 
 
 def timestamp_from_text(
     c: Column, default_offset: str = DEFAULT_OFFSET, on_error: str = "clamp", path: str = ""
 ) -> Column:
-    """ISO text to timestamp. With ``clamp`` text that does not parse gives the lower bound."""
-    us = clamp_micros(micros_from_text(c, default_offset))
-    return F.timestamp_micros(_settle_failures(us, c, on_error, F.lit(MICROS_MIN), "timestamp", path))
+    """ISO text to timestamp, kept within the bounds of 64-bit nanoseconds.
+
+    With ``clamp`` text that does not parse gives the lower bound.
+    """
+    us = micros_from_text(c, default_offset)
+    if on_error == "clamp":
+        return F.timestamp_micros(F.when(c.isNotNull(), _clamped(F.coalesce(us, F.lit(MICROS_MIN)))))
+    settled = _settle_failures(us, c, on_error, "timestamp", path)
+    return F.timestamp_micros(F.when(settled.isNotNull(), _clamped(settled)))
 
 
 def timestamp_from_nanos(ns: Column) -> Column:
@@ -96,15 +98,17 @@ def date_from_text(c: Column, on_error: str = "null", path: str = "") -> Column:
     """Text to date; a time part after ``T`` is cut off."""
     day = F.when(F.contains(c, F.lit("T")), F.substring(c, 1, 10)).otherwise(c)
     parsed = F.when(day.rlike(f"^{DAY}$"), day).try_cast("date")
-    return _settle_failures(parsed, c, "raise" if on_error == "raise" else "null", F.lit(None), "date", path)
+    return _settle_failures(parsed, c, "raise" if on_error == "raise" else "null", "date", path)
 
 
 def uint64_from_text(c: Column, on_error: str = "raise", path: str = "") -> Column:
     """Digits to decimal(20,0) within 0 … 2^64-1."""
     digits = F.trim(c.cast("string"))
-    parsed = F.when(digits.rlike(r"^\+?\d+$"), digits).try_cast("decimal(20,0)")
-    inside = F.when(parsed <= F.lit(str(UINT64_MAX)).cast("decimal(20,0)"), parsed)
-    return _settle_failures(inside, c, "null" if on_error == "null" else "raise", F.lit(None), "uint64", path)
+    largest = str(UINT64_MAX)
+    plain = F.ltrim(digits, F.lit("+0"))
+    inside = (F.length(plain) < len(largest)) | ((F.length(plain) == len(largest)) & (plain <= largest))
+    parsed = F.when(digits.rlike(r"^\+?\d+$") & inside, digits).try_cast("decimal(20,0)")
+    return _settle_failures(parsed, c, "null" if on_error == "null" else "raise", "uint64", path)
 
 
 def uuid_bytes(c: Column) -> Column:
@@ -114,5 +118,6 @@ def uuid_bytes(c: Column) -> Column:
 
 def uuid_text(c: Column) -> Column:
     """UUID text in canonical lower case; null if it is not a UUID."""
-    plain = F.lower(F.when(c.rlike(UUID_TEXT), F.replace(c, F.lit("-"), F.lit(""))))
-    return F.regexp_replace(plain, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")
+    cuts = ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))
+    dashed = F.concat_ws("-", *[F.substring(c, start, size) for start, size in cuts])
+    return F.when(c.rlike(UUID_TEXT), F.lower(F.when(F.length(c) == 36, c).otherwise(dashed)))

@@ -73,6 +73,6 @@ def numbered_shape(shape: Column, row: Column) -> Column:
 def invented_word(row: Column, position: Column, length: Column, stream: int, seed: int) -> Column:
     """A word of ``length`` letters made from a hash of its place."""
     key = F.concat_ws(":", row.cast("string"), position.cast("string"), F.lit(f"{stream}:{seed}"))
-    letters = F.translate(F.sha2(key, 512), HEX, HEX_AS_LETTERS)
-    copies = F.ceil(length / F.lit(128)).cast("int")
-    return F.substring(F.repeat(letters, copies), F.lit(1), length.cast("int"))
+    copies = F.ceil(length / F.lit(32)).cast("int")
+    letters = F.substring(F.repeat(F.md5(key), copies), F.lit(1), length.cast("int"))
+    return F.translate(letters, HEX, HEX_AS_LETTERS)

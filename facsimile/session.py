@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -43,3 +44,23 @@ def settle(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     target = path or scratch_path(spark, purpose)
     df.write.mode("overwrite").parquet(target)
     return spark.read.schema(df.schema).parquet(target)
+
+
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame, purpose: str = "input") -> DataFrame:
+    """Store a small file-based input once in as many files as there are task slots.
+
+    A few files with one row group each would leave most slots idle in every pass
+    over them. Inputs above ``SMALL_INPUT`` bytes have splits enough and stay as
+    they are, as do inputs that do not come from files.
+    """
+    spark, slots = df.sparkSession, df.sparkSession.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if not files or len(files) >= slots:
+        return df
+    sizes = spark.read.format("binaryFile").load(files).select("length")  # metadata only
+    if (sizes.agg(F.sum("length").alias("n")).first()["n"] or 0) > SMALL_INPUT:
+        return df
+    return settle(df.repartition(slots), purpose)
