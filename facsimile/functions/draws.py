@@ -19,11 +19,12 @@ class HashDraws:
     def __init__(self, seed: int = 0):
         self.seed = int(seed)
 
-    def uniform(self, row: Column, stream: Column | int) -> Column:
-        stream = F.lit(stream) if isinstance(stream, int) else stream
-        bits = F.xxhash64(row, stream.cast("long"), F.lit(self.seed).cast("long"))
-        low = bits.bitwiseAND(F.lit((1 << MANTISSA_BITS) - 1))
-        return (low.cast("double") + F.lit(0.5)) / F.lit(float(1 << MANTISSA_BITS))
+    def uniform_sql(self, row: str, stream: str | int) -> str:
+        bits = f"(xxhash64({row}, bigint({stream}), bigint({self.seed})) & {(1 << MANTISSA_BITS) - 1}L)"
+        return f"((double({bits}) + 0.5D) / {float(1 << MANTISSA_BITS)!r}D)"
+
+    def uniform(self, row: str, stream: str | int) -> Column:
+        return F.expr(self.uniform_sql(row, stream))
 
 
 class PowerDraws:
@@ -41,29 +42,17 @@ class PowerDraws:
         self.seed = int(seed)
 
     @classmethod
-    def _fifth_power(cls, x: Column) -> Column:
-        prime = F.lit(cls.PRIME)
-        square = (x * x) % prime
-        return ((square * square) % prime * x) % prime
-
-    def uniform(self, row: Column, stream: Column | int) -> Column:
-        stream = F.lit(stream) if isinstance(stream, int) else stream
-        prime = F.lit(self.PRIME)
-        first = self._fifth_power((row.cast("long") * F.lit(self.ROW_FACTOR) + F.lit(self.seed)) % prime)
-        second = self._fifth_power((first + stream.cast("long") * F.lit(self.STREAM_FACTOR)) % prime)
-        return (second.cast("double") + F.lit(0.5)) / F.lit(float(self.PRIME))
+    def _fifth_power(cls, x: str) -> str:
+        square = f"(({x}) * ({x}) % {cls.PRIME}L)"
+        return f"(({square} * {square}) % {cls.PRIME}L * ({x}) % {cls.PRIME}L)"
 
-    @classmethod
-    def sql(cls, row: str, stream: str | int, seed: int = 0) -> str:
-        """The same draw as SQL text (sub-selects keep every term written once)."""
-        p = cls.PRIME
-        return (
-            f"(SELECT (((y2 * y2) % {p}) * y % {p} + 0.5e0) / {float(p):.1f}e0 FROM "
-            f"(SELECT y, (y * y) % {p} AS y2 FROM "
-            f"(SELECT ((((x2 * x2) % {p}) * x) % {p} + CAST({stream} AS BIGINT) * {cls.STREAM_FACTOR}) % {p} AS y FROM "
-            f"(SELECT x, (x * x) % {p} AS x2 FROM "
-            f"(SELECT (CAST({row} AS BIGINT) * {cls.ROW_FACTOR} + {seed}) % {p} AS x)))))"
-        )
+    def uniform_sql(self, row: str, stream: str | int) -> str:
+        first = self._fifth_power(f"(bigint({row}) * {self.ROW_FACTOR}L + {self.seed}L) % {self.PRIME}L")
+        second = self._fifth_power(f"({first} + bigint({stream}) * {self.STREAM_FACTOR}L) % {self.PRIME}L")
+        return f"((double({second}) + 0.5D) / {float(self.PRIME)!r}D)"
+
+    def uniform(self, row: str, stream: str | int) -> Column:
+        return F.expr(self.uniform_sql(row, stream))
 
 
 def make_draws(kind: str, seed: int):

@@ -9,39 +9,37 @@ from pyspark.sql import types as T
 MICROS = 1_000_000
 
 
-def _ntz_micros(c: Column) -> Column:
-    day = F.unix_date(c.cast("date")).cast("long") * F.lit(86_400 * MICROS)
-    hour = F.hour(c).cast("long") * F.lit(3_600 * MICROS)
-    minute = F.minute(c).cast("long") * F.lit(60 * MICROS)
-    second = (F.extract(F.lit("SECOND"), c) * F.lit(MICROS)).cast("long")
-    return day + hour + minute + second
+def _ntz_micros_sql(c: str) -> str:
+    return (
+        f"(bigint(unix_date(date({c}))) * 86400000000L + bigint(hour({c})) * 3600000000L + "
+        f"bigint(minute({c})) * 60000000L + bigint(extract(SECOND FROM {c}) * 1000000))"
+    )
 
 
 def is_time(dtype: T.DataType) -> bool:
     return isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType))
 
 
-def as_number(c: Column, dtype: T.DataType) -> Column:
-    """The column as double: days for dates, microseconds for timestamps."""
+def as_number_sql(c: str, dtype: T.DataType) -> str:
+    """The column as double: days for dates, microseconds for timestamps, NaN as null."""
     if isinstance(dtype, T.DateType):
-        return F.unix_date(c).cast("double")
+        return f"double(unix_date({c}))"
     if isinstance(dtype, T.TimestampType):
-        return F.unix_micros(c).cast("double")
+        return f"double(unix_micros({c}))"
     if isinstance(dtype, T.TimestampNTZType):
-        return _ntz_micros(c).cast("double")
-    value = c.cast("double")
+        return f"double({_ntz_micros_sql(c)})"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return F.when(F.isnan(value), F.lit(None)).otherwise(value)
-    return value
+        return f"nullif(double({c}), double('NaN'))"
+    return f"double({c})"
 
 
-def epoch_micros(c: Column, dtype: T.DataType) -> Column:
-    """Exact microseconds since 1970 of a timestamp column, as bigint."""
-    return F.unix_micros(c) if isinstance(dtype, T.TimestampType) else _ntz_micros(c)
+def epoch_micros(c: str, dtype: T.DataType) -> Column:
+    """Exact microseconds since 1970 of a timestamp column (its name as SQL), as bigint."""
+    return F.expr(f"unix_micros({c})" if isinstance(dtype, T.TimestampType) else _ntz_micros_sql(c))
 
 
 def from_number(c: Column, dtype: T.DataType) -> Column:
-    """Inverse of :func:`as_number`, cast to ``dtype``."""
+    """Inverse of :func:`as_number_sql`, cast to ``dtype``."""
     if isinstance(dtype, T.DateType):
         return F.date_from_unix_date(F.round(c).cast("int"))
     if isinstance(dtype, T.TimestampType):

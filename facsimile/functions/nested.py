@@ -16,6 +16,17 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
+def nullable(dtype: T.DataType) -> T.DataType:
+    """The same type with nulls allowed at every level."""
+    if isinstance(dtype, T.StructType):
+        return T.StructType([T.StructField(f.name, nullable(f.dataType), True) for f in dtype.fields])
+    if isinstance(dtype, T.ArrayType):
+        return T.ArrayType(nullable(dtype.elementType), True)
+    if isinstance(dtype, T.MapType):
+        return T.MapType(dtype.keyType, nullable(dtype.valueType), True)
+    return dtype
+
+
 def reproject(value: Column, source: T.DataType, target: T.DataType) -> Column:
     """Bring ``value`` to ``target``: fields by name, missing ones null, extra ones dropped."""
     if source == target:

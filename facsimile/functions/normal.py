@@ -103,6 +103,6 @@ def normal_quantile(column: str) -> Column:
     return F.expr(quantile_sql(f"`{column}`"))
 
 
-def normal_draw(first: Column, second: Column) -> Column:
+def normal_draw_sql(first: str, second: str) -> str:
     """A standard normal number from two uniform ones (Box and Muller, 1958)."""
-    return F.sqrt(F.lit(-2.0) * F.ln(first)) * F.cos(F.lit(2.0 * math.pi) * second)
+    return f"(sqrt(-2D * ln({first})) * cos({2.0 * math.pi!r}D * {second}))"

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from facsimile.functions.search import sql_string
 
+CAPITAL, OTHER_LETTER, DIGIT = r"\p{Lu}", r"[^\P{L}A]", r"\p{Nd}"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 DIGITS = "0123456789"
@@ -13,66 +13,50 @@ HEX_AS_LETTERS = "etaoinshrdlucmfw"  # stands in for hex digits in invented word
 STRIDE = 1_000_003  # distance of the draw streams of two positions in one text
 
 
-def text_shape(c: Column) -> Column:
+def shape_sql(c: str) -> str:
     """Capitals become ``A``, other letters ``a``, digits ``9``; the rest stays."""
-    shape = F.regexp_replace(c, r"\p{Lu}", "A")
-    shape = F.regexp_replace(shape, r"[^\P{L}A]", "a")
-    return F.regexp_replace(shape, r"\p{Nd}", "9")
+    shape = f"regexp_replace({c}, {sql_string(CAPITAL)}, 'A')"
+    shape = f"regexp_replace({shape}, {sql_string(OTHER_LETTER)}, 'a')"
+    return f"regexp_replace({shape}, {sql_string(DIGIT)}, '9')"
 
 
-def _pick(alphabet: str, u: Column) -> Column:
-    return F.substring(F.lit(alphabet), F.lit(1) + F.floor(u * F.lit(len(alphabet))).cast("int"), F.lit(1))
-
-
-def fill_shape(shape: Column, row: Column, draws, stream: int) -> Column:
+def fill_shape_sql(shape: str, row: str, draws, stream: int) -> str:
     """A text of the given shape; every letter and digit is drawn anew."""
+    u = draws.uniform_sql(row, f"(bigint(i) * {STRIDE}L + {stream}L)")
 
-    def one(ch: Column, i: Column) -> Column:
-        u = draws.uniform(row, i.cast("long") * F.lit(STRIDE) + F.lit(stream))
-        return (
-            F.when(ch == "A", _pick(UPPER, u))
-            .when(ch == "a", _pick(LOWER, u))
-            .when(ch == "9", _pick(DIGITS, u))
-            .otherwise(ch)
-        )
+    def pick(alphabet: str) -> str:
+        return f"substring('{alphabet}', 1 + int(floor({u} * {len(alphabet)}D)), 1)"
 
-    return F.when(shape.isNotNull(), F.array_join(F.transform(F.split(shape, ""), one), ""))
+    one = f"CASE ch WHEN 'A' THEN {pick(UPPER)} WHEN 'a' THEN {pick(LOWER)} WHEN '9' THEN {pick(DIGITS)} ELSE ch END"
+    return f"array_join(transform(split({shape}, ''), (ch, i) -> {one}), '')"
 
 
-def numbered_shape(shape: Column, row: Column) -> Column:
+def numbered_shape_sql(shape: str, row: str) -> str:
     """A text of the given shape that differs for every row number.
 
     The number is written from the right into the letter and digit places, each
     place with its own radix; what does not fit is appended after a dash.
     """
-    start = F.struct(row.cast("long").alias("rest"), F.lit("").alias("text"))
-
-    def place(state: Column, ch: Column) -> Column:
-        rest, text = state["rest"], state["text"]
-
-        def digit(alphabet: str) -> Column:
-            at = (rest % F.lit(len(alphabet))).cast("int")
-            return F.struct(
-                F.call_function("div", rest, F.lit(len(alphabet))).alias("rest"),
-                F.concat(F.substring(F.lit(alphabet), at + F.lit(1), F.lit(1)), text).alias("text"),
-            )
 
+    def digit(alphabet: str) -> str:
+        size = len(alphabet)
         return (
-            F.when(ch == "A", digit(UPPER))
-            .when(ch == "a", digit(LOWER))
-            .when(ch == "9", digit(DIGITS))
-            .otherwise(F.struct(rest.alias("rest"), F.concat(ch, text).alias("text")))
+            f"named_struct('rest', state.rest div {size}L, "
+            f"'text', concat(substring('{alphabet}', int(state.rest % {size}L) + 1, 1), state.text))"
         )
 
-    done = F.aggregate(F.reverse(F.split(shape, "")), start, place)
-    return F.when(done["rest"] == 0, done["text"]).otherwise(
-        F.concat(done["text"], F.lit("-"), done["rest"].cast("string"))
+    place = (
+        f"CASE ch WHEN 'A' THEN {digit(UPPER)} WHEN 'a' THEN {digit(LOWER)} WHEN '9' THEN {digit(DIGITS)} "
+        "ELSE named_struct('rest', state.rest, 'text', concat(ch, state.text)) END"
+    )
+    return (
+        f"aggregate(reverse(split({shape}, '')), named_struct('rest', bigint({row}), 'text', ''), (state, ch) -> {place}, "
+        "state -> if(state.rest = 0, state.text, concat(state.text, '-', string(state.rest))))"
     )
 
 
-def invented_word(row: Column, position: Column, length: Column, stream: int, seed: int) -> Column:
+def invented_word_sql(row: str, position: str, length: str, stream: int, seed: int) -> str:
     """A word of ``length`` letters made from a hash of its place."""
-    key = F.concat_ws(":", row.cast("string"), position.cast("string"), F.lit(f"{stream}:{seed}"))
-    copies = F.ceil(length / F.lit(32)).cast("int")
-    letters = F.substring(F.repeat(F.md5(key), copies), F.lit(1), length.cast("int"))
-    return F.translate(letters, HEX, HEX_AS_LETTERS)
+    key = f"concat_ws(':', string({row}), string({position}), '{stream}:{seed}')"
+    letters = f"substring(repeat(md5({key}), int(ceil({length} / 32))), 1, int({length}))"
+    return f"translate({letters}, '{HEX}', '{HEX_AS_LETTERS}')"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.nested import column, iso_text
+from facsimile.functions.nested import iso_text, quoted
 from facsimile.plans.shape import INDEX_STYLES, LENGTH, NULL_FLAG, Node, Plan
 
 WIDTH_LIMIT = 10_000
@@ -17,24 +17,20 @@ WIDTH_LIMIT = 10_000
 
 @dataclass
 class FlatField:
-    """A flat column: how to compute it, and when its cell exists at all.
+    """A flat column: its SQL expression, and when its cell exists at all.
 
-    ``present`` is a condition over *flat* columns (flags and lengths); None
+    ``present`` is a SQL condition over *flat* columns (flags and lengths); None
     means the cell exists in every row.
     """
 
     name: str
-    value: Column
+    value: str
     dtype: T.DataType
-    present: Column | None
+    present: str | None
 
 
-def _both(a: Column | None, b: Column) -> Column:
-    return b if a is None else a & b
-
-
-def _unflagged(name: str) -> Column:
-    return ~F.coalesce(column(name + NULL_FLAG), F.lit(True))
+def _both(a: str | None, b: str) -> str:
+    return b if a is None else f"{a} AND {b}"
 
 
 def flat_fields(plan: Plan, index_style: str = "__i", lengths: bool = False, null_flags: bool = True) -> list[FlatField]:
@@ -42,30 +38,32 @@ def flat_fields(plan: Plan, index_style: str = "__i", lengths: bool = False, nul
         raise ValueError(f"index_style must be one of {sorted(INDEX_STYLES)}")
     indexed = INDEX_STYLES[index_style]
 
-    def walk(name: str, node: Node, value: Column, present: Column | None) -> Iterator[FlatField]:
+    def walk(name: str, node: Node, value: str, present: str | None) -> Iterator[FlatField]:
         if node.kind == "struct":
-            if node.nullable_struct and null_flags:
-                yield FlatField(name + NULL_FLAG, value.isNull(), T.BooleanType(), present)
-            inner = _both(present, _unflagged(name)) if node.nullable_struct and null_flags else present
+            flagged = node.nullable_struct and null_flags
+            if flagged:
+                yield FlatField(name + NULL_FLAG, f"{value} IS NULL", T.BooleanType(), present)
+            inner = _both(present, f"coalesce(NOT {quoted(name + NULL_FLAG)}, false)") if flagged else present
             for key, child in node.children.items():
-                yield from walk(f"{name}.{key}", child, value.getField(key), inner)
+                yield from walk(f"{name}.{key}", child, f"{value}.{quoted(key)}", inner)
         elif node.kind == "array":
-            if node.nullable_array and null_flags:
-                yield FlatField(name + NULL_FLAG, value.isNull(), T.BooleanType(), present)
-            filled = _both(present, _unflagged(name)) if node.nullable_array and null_flags else present
+            flagged = node.nullable_array and null_flags
+            if flagged:
+                yield FlatField(name + NULL_FLAG, f"{value} IS NULL", T.BooleanType(), present)
+            filled = _both(present, f"coalesce(NOT {quoted(name + NULL_FLAG)}, false)") if flagged else present
             if lengths:
-                yield FlatField(name + LENGTH, F.array_size(value), T.IntegerType(), filled)
+                yield FlatField(name + LENGTH, f"array_size({value})", T.IntegerType(), filled)
             for i in range(node.max_elements):
-                place = indexed.format(base=name, i=i)
-                here = _both(filled, F.coalesce(column(name + LENGTH) > i, F.lit(False))) if lengths else filled
+                place, item = indexed.format(base=name, i=i), f"get({value}, {i})"
+                here = _both(filled, f"coalesce({quoted(name + LENGTH)} > {i}, false)") if lengths else filled
                 if plan.deep:
-                    yield from walk(place, node.element, F.get(value, F.lit(i)), here)
+                    yield from walk(place, node.element, item, here)
                 else:
-                    yield FlatField(place, F.get(value, F.lit(i)), node.element.dtype, here)
+                    yield FlatField(place, item, node.element.dtype, here)
         else:
             yield FlatField(name, value, node.dtype, present)
 
-    fields = [f for name, node in plan.columns.items() for f in walk(name, node, column(name), None)]
+    fields = [f for name, node in plan.columns.items() for f in walk(name, node, quoted(name), None)]
     seen: set[str] = set()
     for f in fields:
         if f.name in seen:
@@ -105,8 +103,7 @@ def flatten(
     """
     if timestamps not in ("keep", "string"):
         raise ValueError("timestamps must be 'keep' or 'string'")
-    chosen = []
-    for f in flat_fields(plan, index_style, lengths, null_flags):
-        value = _times_as_text(f.value, f.dtype) if timestamps == "string" else f.value
-        chosen.append(value.alias(f.name))
-    return df.select(*chosen)
+    fields = flat_fields(plan, index_style, lengths, null_flags)
+    if timestamps == "keep":
+        return df.selectExpr(*[f"{f.value} AS {quoted(f.name)}" for f in fields])
+    return df.select(*[_times_as_text(F.expr(f.value), f.dtype).alias(f.name) for f in fields])

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.epoch import as_number, is_time
-from facsimile.functions.nested import column
+from facsimile.functions.epoch import as_number_sql, is_time
+from facsimile.functions.nested import column, quoted
+from facsimile.functions.search import sql_string
 
 KINDS = ("numeric", "datetime", "boolean", "categorical", "id", "text", "carried")
 BLOCK = 64  # columns per aggregate; each block reads only its own columns
@@ -40,23 +41,61 @@ def type_class(dtype: T.DataType) -> str:
     return "other"
 
 
-def to_digits(value: Column, digits: int) -> Column:
+def to_digits_sql(value: str, digits: int) -> str:
     """Round a double to decimal digits in plain arithmetic (``round`` goes through BigDecimal)."""
-    scale = F.lit(float(10**digits))
-    return F.rint(value * scale) / scale
+    scale = f"{float(10**digits)!r}D"
+    return f"rint({value} * {scale}) / {scale}"
 
 
-def _filled(field: T.StructField) -> Column:
-    """The column with NaN as null."""
-    c = column(field.name)
-    return as_number(c, field.dataType) if isinstance(field.dataType, FRACTIONS) else c
+def _base_sql(field: T.StructField) -> str:
+    """What is measured of a column: a number, or the column itself. NaN becomes null."""
+    name = quoted(field.name)
+    numbers = type_class(field.dataType) in ("time", "int", "wide", "number")
+    return as_number_sql(name, field.dataType) if numbers else name
 
 
-def _long_form(flat: DataFrame, measured: list[dict[str, Column]]) -> DataFrame:
-    """One aggregate over ``flat``, turned into a row per column."""
-    wide = flat.agg(*[value.alias(f"{n}_{key}") for n, m in enumerate(measured) for key, value in m.items()])
-    rows = [F.struct(*[F.col(f"{n}_{key}").alias(key) for key in m]) for n, m in enumerate(measured)]
-    return wide.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+def _measures(n: int, position: int, field: T.StructField, present: bool) -> dict[str, str]:
+    """SQL aggregates over the prepared columns ``c<n>`` and ``p<n>``."""
+    c, group = f"c{n}", type_class(field.dataType)
+    number, text = group in ("time", "int", "wide", "number"), group == "string"
+    digits = "int(NULL)"
+    if isinstance(field.dataType, FRACTIONS):
+        cases = " ".join(f"WHEN {to_digits_sql(c, s)} = {c} THEN {s}" for s in SCALES)
+        digits = f"max(CASE WHEN {c} IS NULL THEN {SCALES[0]} {cases} ELSE {SCALES[-1] + 1} END)"
+    return {
+        "column": sql_string(field.name),
+        "position": str(position),
+        "type": sql_string(field.dataType.simpleString()),
+        "class": f"'{group}'",
+        "rows": "count(1)",
+        "nulls": f"count_if({c} IS NULL)",
+        "cells": f"count_if(p{n})" if present else "count(1)",
+        "empty": f"count_if(p{n} AND {c} IS NULL)" if present else f"count_if({c} IS NULL)",
+        "min": f"min({c})" if number else "double(NULL)",
+        "max": f"max({c})" if number else "double(NULL)",
+        "mean": f"avg({c})" if number else "double(NULL)",
+        "std": f"stddev_samp({c})" if number else "double(NULL)",
+        "max_length": f"max(length({c}))" if text else "int(NULL)",
+        "spaced": f"coalesce(bool_or(contains({c}, ' ')), false)" if text else "false",
+        "digits": digits,
+    }
+
+
+def _long_form(base: DataFrame, measured: list[dict[str, str]]) -> DataFrame:
+    """One aggregate over ``base``, turned into a row per column."""
+    wide = base.selectExpr(*[f"{sql} AS `{n}_{key}`" for n, m in enumerate(measured) for key, sql in m.items()])
+    rows = [
+        "named_struct(" + ", ".join(f"'{key}', `{n}_{key}`" for key in m) + ")" for n, m in enumerate(measured)
+    ]
+    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
+
+
+def _plain_measures(flat: DataFrame, block: list[tuple[int, T.StructField]], present: dict[str, str]) -> DataFrame:
+    columns = [f"{_base_sql(f)} AS c{n}" for n, (_, f) in enumerate(block)]
+    columns += [f"({present[f.name]}) AS p{n}" for n, (_, f) in enumerate(block) if f.name in present]
+    measured = [_measures(n, position, f, f.name in present) for n, (position, f) in enumerate(block)]
+    long = _long_form(flat.selectExpr(*columns), measured)
+    return long.withColumn("digits", F.expr(f"if(digits <= {SCALES[-1]}, digits, NULL)"))
 
 
 def sketched_distinct(flat: DataFrame, fields: list[T.StructField]) -> DataFrame:
@@ -65,70 +104,40 @@ def sketched_distinct(flat: DataFrame, fields: list[T.StructField]) -> DataFrame
     Kept apart from the plain measures: a sketch in the same aggregate would
     take all of them out of generated code.
     """
-
-    def count(f: T.StructField) -> Column:
-        c = _filled(f)
-        return F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), F.lit(SKETCH_BITS)))
-
-    return _long_form(flat, [{"column": F.lit(f.name), "distinct": count(f)} for f in fields])
-
-
-def _measures(position: int, field: T.StructField, present: Column | None) -> dict[str, Column]:
-    c, dtype, group = column(field.name), field.dataType, type_class(field.dataType)
-    value = as_number(c, dtype) if group in ("time", "int", "wide", "number") else None
-    filled = _filled(field)
-    none = F.lit(None).cast("double")
-    cells = F.count(F.lit(1)) if present is None else F.count_if(present)
-    empty = F.count_if(filled.isNull()) if present is None else F.count_if(present & filled.isNull())
-    digits = F.lit(None).cast("int")
-    if isinstance(dtype, FRACTIONS):
-        needed = F.when(value.isNull(), F.lit(SCALES[0]))
-        for s in SCALES:
-            needed = needed.when(to_digits(value, s) == value, F.lit(s))
-        most = F.max(needed.otherwise(F.lit(SCALES[-1] + 1)))
-        digits = F.when(most <= SCALES[-1], most)
-    text = group == "string"
-    return {
-        "column": F.lit(field.name),
-        "position": F.lit(position),
-        "type": F.lit(dtype.simpleString()),
-        "class": F.lit(group),
-        "rows": F.count(F.lit(1)),
-        "nulls": F.count_if(filled.isNull()),
-        "cells": cells,
-        "empty": empty,
-        "min": F.min(value) if value is not None else none,
-        "max": F.max(value) if value is not None else none,
-        "mean": F.avg(value) if value is not None else none,
-        "std": F.stddev_samp(value) if value is not None else none,
-        "max_length": F.max(F.length(c)) if text else F.lit(None).cast("int"),
-        "spaced": F.coalesce(F.bool_or(F.contains(c, F.lit(" "))), F.lit(False)) if text else F.lit(False),
-        "digits": digits,
-    }
+    base = flat.selectExpr(*[f"{_base_sql(f)} AS c{n}" for n, f in enumerate(fields)])
+    measured = [
+        {
+            "column": sql_string(f.name),
+            "distinct": f"hll_sketch_estimate(hll_sketch_agg(if(c{n} IS NULL, NULL, xxhash64(c{n})), {SKETCH_BITS}))",
+        }
+        for n, f in enumerate(fields)
+    ]
+    return _long_form(base, measured)
 
 
 def exact_distinct(flat: DataFrame) -> DataFrame:
     """``(column, distinct)`` exactly: values are pre-aggregated before the shuffle."""
     cells = [
-        F.struct(F.lit(f.name).alias("column"), column(f.name).cast("string").alias("value"))
+        f"named_struct('column', {sql_string(f.name)}, 'value', string({quoted(f.name)}))"
         for f in flat.schema.fields
         if type_class(f.dataType) != "other"
     ]
-    long = flat.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
-    values = long.where(F.col("value").isNotNull() & (F.col("value") != "NaN")).groupBy("column", "value").agg(F.count(F.lit(1)))
+    long = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL AND value <> 'NaN'")
+    values = long.groupBy("column", "value").agg(F.count(F.lit(1)))
     return values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
 
 
 def column_profile(
     flat: DataFrame,
     exact: bool = False,
-    present: dict[str, Column] | None = None,
+    present: dict[str, str] | None = None,
     counts: set[str] | None = None,
 ) -> DataFrame:
     """One row per column: counts, nulls, range, mean, spread, distinct values, text length.
 
     Times are profiled as days or microseconds since 1970. ``present`` limits
-    ``cells`` and ``empty`` to rows in which a cell exists (array elements).
+    ``cells`` and ``empty`` to rows in which a cell exists (array elements);
+    its values are SQL conditions.
     ``counts`` limits the counting of distinct values to the columns it names.
     """
     present = present or {}
@@ -137,7 +146,7 @@ def column_profile(
     blocks, sketches = [], []
     for start in range(0, len(fields), BLOCK):
         block = list(enumerate(fields))[start : start + BLOCK]
-        blocks.append(_long_form(flat, [_measures(i, f, present.get(f.name)) for i, f in block]))
+        blocks.append(_plain_measures(flat, block, present))
     if exact:
         sketches.append(exact_distinct(flat.select(*[column(f.name) for f in counted])))
     else:
@@ -165,36 +174,28 @@ def detect_kinds(
     flat: DataFrame,
     overrides: dict[str, str] | None = None,
     exact: bool = False,
-    present: dict[str, Column] | None = None,
+    present: dict[str, str] | None = None,
 ) -> DataFrame:
     """The profile with a ``kind`` per column; ``overrides`` wins over the rules."""
     overrides = overrides or {}
     unknown = set(overrides) - set(flat.columns)
     if unknown or not set(overrides.values()) <= set(KINDS):
         raise ValueError(f"overrides name existing columns and one of {KINDS}")
-    col = F.col
-    filled = col("rows") - col("nulls")
     slack = 1.0 if exact else 1.0 - 3 * DISTINCT_ERROR
-    unique = (filled > 0) & (col("distinct") >= filled * F.lit(slack))
-    named_key = F.lower("column").rlike("(id|key)$")
-    kind = (
-        F.when(filled == 0, "carried")
-        .when(col("class") == "bool", "boolean")
-        .when(col("class") == "time", "datetime")
-        .when((col("class") == "int") & (col("nulls") == 0) & unique & named_key, "id")
-        .when((col("class") == "wide") & unique, "id")
-        .when(col("class").isin("int", "wide", "number"), "numeric")
-        .when((col("class") == "string") & unique & (col("max_length") <= ID_LENGTH) & ~col("spaced"), "id")
-        .when((col("class") == "string") & (unique | (col("max_length") > CATEGORY_LENGTH)), "text")
-        .when(
-            (col("class") == "string")
-            & ((col("distinct") <= CATEGORY_COUNT) | (col("distinct") <= col("rows") / 2)),
-            "categorical",
-        )
-        .when(col("class") == "string", "text")
-        .otherwise("carried")
-    )
-    for name, wanted in overrides.items():
-        kind = F.when(col("column") == name, F.lit(wanted)).otherwise(kind)
+    filled = "(rows - nulls)"
+    unique = f"(distinct >= {filled} * {slack}D)"
+    forced = " ".join(f"WHEN column = {sql_string(n)} THEN '{k}'" for n, k in overrides.items())
+    kind = f"""CASE {forced}
+        WHEN {filled} = 0 THEN 'carried'
+        WHEN class = 'bool' THEN 'boolean'
+        WHEN class = 'time' THEN 'datetime'
+        WHEN class = 'int' AND nulls = 0 AND {unique} AND lower(column) RLIKE '(id|key)$' THEN 'id'
+        WHEN class = 'wide' AND {unique} THEN 'id'
+        WHEN class IN ('int', 'wide', 'number') THEN 'numeric'
+        WHEN class = 'other' THEN 'carried'
+        WHEN {unique} AND max_length <= {ID_LENGTH} AND NOT spaced THEN 'id'
+        WHEN {unique} OR max_length > {CATEGORY_LENGTH} THEN 'text'
+        WHEN distinct <= {CATEGORY_COUNT} OR distinct <= rows / 2 THEN 'categorical'
+        ELSE 'text' END"""
     counts = None if exact else _decisive(flat.schema.fields)
-    return column_profile(flat, exact, present, counts).withColumn("kind", kind)
+    return column_profile(flat, exact, present, counts).withColumn("kind", F.expr(kind))

@@ -12,15 +12,15 @@ from typing import Any, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.epoch import as_number
-from facsimile.functions.nested import column
+from facsimile.functions.epoch import as_number_sql
+from facsimile.functions.nested import quoted
 from facsimile.functions.normal import normal_quantile
-from facsimile.functions.search import LITERAL_LIMIT, count_at_most, double_array, typed_array
-from facsimile.functions.text import text_shape
+from facsimile.functions.search import LITERAL_LIMIT, array_sql, count_at_most_sql, doubles_sql, sql_string
+from facsimile.functions.text import shape_sql
 from facsimile.operators.kinds import BLOCK, ID_LENGTH, detect_kinds
 from facsimile.operators.lookup import lookup_join
 from facsimile.operators.ranks import SLOT_ROWS, running_totals
@@ -28,6 +28,7 @@ from facsimile.session import scratch_path, settle
 
 KNOTS = 1001
 ACCURACY = 10_000  # rank error of the approximate grid: rows / ACCURACY
+BLANKS = r"\s+"
 MARGINALS = ("ecdf", "norm")
 PAIRS_IN_PLAN = 10  # correlation pairs per aggregate; beyond, matrix products are faster
 RIDGE_STEPS = (0.0, 1e-8, 1e-6, 1e-4, 1e-2, 1e-1)
@@ -101,100 +102,95 @@ def wants_words(spec: dict[str, Any]) -> bool:
     return spec["kind"] == "text" and (spec["max_length"] or 0) > ID_LENGTH
 
 
-def words(c: Column) -> Column:
-    return F.split(F.trim(c), r"\s+")
+def words_sql(c: str) -> str:
+    return f"split(trim({c}), {sql_string(BLANKS)})"
 
 
 # --- marginals of numbers and times -------------------------------------------------
 
 
-def _numeric_views(flat: DataFrame, specs: list[dict[str, Any]]) -> dict[str, Column]:
+def _numeric_views(flat: DataFrame, specs: list[dict[str, Any]]) -> dict[str, str]:
     types = {f.name: f.dataType for f in flat.schema.fields}
     views = {}
     for s in specs:
+        name = quoted(s["column"])
         if s["kind"] in ("numeric", "datetime"):
-            views[s["column"]] = as_number(column(s["column"]), types[s["column"]])
+            views[s["column"]] = as_number_sql(name, types[s["column"]])
         elif wants_words(s):
-            views[s["column"]] = F.size(words(column(s["column"]))).cast("double")
+            views[s["column"]] = f"double(size({words_sql(name)}))"
     return views
 
 
-def quantile_grid(flat: DataFrame, views: dict[str, Column], knots: int = KNOTS, exact: bool = False) -> DataFrame:
+def quantile_grid(flat: DataFrame, views: dict[str, str], knots: int = KNOTS, exact: bool = False) -> DataFrame:
     """``(column, knots)``: values at ``knots`` evenly spaced ranks, first and last included.
 
-    The default takes one pass with mergeable sketches. ``exact`` counts distinct
-    values first, ranks them in slices and picks the values at the grid ranks.
+    ``views`` maps a name to a SQL expression. The default takes one pass with
+    mergeable sketches. ``exact`` counts distinct values first, ranks them in
+    slices and picks the values at the grid ranks.
     """
     if exact:
         return _exact_grid(flat, views, knots)
-    grid = double_array([i / (knots - 1) for i in range(knots)])
+    grid = doubles_sql([i / (knots - 1) for i in range(knots)])
     names = list(views)
     blocks = []
     for start in range(0, len(names), BLOCK):
         part = names[start : start + BLOCK]
-        sketched = flat.agg(
-            *[F.percentile_approx(views[n], grid, ACCURACY).alias(f"q{i}") for i, n in enumerate(part)]
-        )
-        rows = [F.struct(F.lit(n).alias("column"), F.col(f"q{i}").alias("knots")) for i, n in enumerate(part)]
-        blocks.append(sketched.select(F.explode(F.array(*rows)).alias("r")).select("r.*"))
+        base = flat.selectExpr(*[f"{views[n]} AS v{i}" for i, n in enumerate(part)])
+        sketched = base.selectExpr(*[f"percentile_approx(v{i}, {grid}, {ACCURACY}) AS q{i}" for i in range(len(part))])
+        rows = [f"named_struct('column', {sql_string(n)}, 'knots', q{i})" for i, n in enumerate(part)]
+        blocks.append(sketched.selectExpr(f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.unionByName, blocks)
 
 
-def value_ranks(flat: DataFrame, views: dict[str, Column], slot_rows: int = SLOT_ROWS) -> DataFrame:
+def value_ranks(flat: DataFrame, views: dict[str, str], slot_rows: int = SLOT_ROWS) -> DataFrame:
     """``(column, value, count, lo, hi)``: how many rows lie below and up to each value."""
-    cells = [F.struct(F.lit(n).alias("column"), v.alias("value")) for n, v in views.items()]
-    long = flat.select(F.explode(F.array(*cells)).alias("c")).select("c.*").where("value is not null")
+    cells = [f"named_struct('column', {sql_string(n)}, 'value', double({v}))" for n, v in views.items()]
+    long = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
     counted = settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")), "values")
     return running_totals(counted, ["column"], ["value"], "count", slot_rows=slot_rows)
 
 
-def _exact_grid(flat: DataFrame, views: dict[str, Column], knots: int) -> DataFrame:
+def _exact_grid(flat: DataFrame, views: dict[str, str], knots: int) -> DataFrame:
     ranked = value_ranks(flat, views)
     totals = ranked.groupBy("column").agg(F.max("hi").alias("n"))
-    last = F.lit(knots - 1)
-    first_point = F.when(F.col("lo") == 0, F.lit(0)).otherwise(
-        F.call_function("div", F.col("lo") * last, F.col("n")) + F.lit(1)
-    )
-    last_point = F.call_function("div", F.col("hi") * last, F.col("n"))
     points = (
         ranked.join(F.broadcast(totals), "column")  # one row per column
-        .select("column", "value", first_point.alias("a"), last_point.alias("b"))
+        .selectExpr(
+            "column", "value", f"if(lo = 0, 0, lo * {knots - 1} div n + 1) AS a", f"hi * {knots - 1} div n AS b"
+        )
         .where("a <= b")
-        .select("column", "value", F.explode(F.sequence("a", "b")).alias("i"))
+        .selectExpr("column", "value", "explode(sequence(a, b)) AS i")
     )
     # One array per column holds exactly ``knots`` entries.
-    ordered = F.sort_array(F.collect_list(F.struct("i", "value")))
-    return points.groupBy("column").agg(F.transform(ordered, lambda p: p["value"]).alias("knots"))
+    ordered = points.groupBy("column").agg(F.sort_array(F.collect_list(F.struct("i", "value"))).alias("points"))
+    return ordered.selectExpr("column", "transform(points, p -> p.value) AS knots")
 
 
 # --- category frequencies -----------------------------------------------------------
 
 
-def category_intervals(flat: DataFrame, cells: dict[str, Column], bound: int | None = None, path: str | None = None) -> DataFrame:
+def category_intervals(flat: DataFrame, cells: dict[str, str], bound: int | None = None, path: str | None = None) -> DataFrame:
     """``(column, value, count, lo, hi)``, the most frequent value first in each column.
 
-    ``cells`` maps a column to the text to count, or to an array of texts.
-    ``bound``, if known, is an upper limit of the number of result rows.
+    ``cells`` maps a name to the SQL expression of the text to count, or of an
+    array of texts. ``bound``, if known, is an upper limit of the result rows.
     """
-    tagged = [_tagged(n, c if _is_array(flat, c) else F.array(c)) for n, c in cells.items()]
-    long = flat.select(F.explode(F.flatten(F.array(*tagged))).alias("c")).select("c.*")
-    counted = long.where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
+    base = flat.selectExpr(*[f"{sql} AS v{i}" for i, sql in enumerate(cells.values())])
+    tagged = []
+    for i, (name, f) in enumerate(zip(cells, base.schema.fields)):
+        entry = f"named_struct('column', {sql_string(name)}, 'value', string({{}}))"
+        if isinstance(f.dataType, T.ArrayType):
+            tagged.append(f"coalesce(transform(v{i}, x -> {entry.format('x')}), array())")
+        else:
+            tagged.append(f"array({entry.format(f'v{i}')})")
+    long = base.selectExpr(f"inline(concat({', '.join(tagged)}))")
+    counted = long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
     if bound is None or bound >= SLOT_ROWS:
         counted, bound = settle(counted, "frequencies"), None
     ranked = running_totals(counted.withColumn("rarity", -F.col("count")), ["column"], ["rarity", "value"], "count", bound)
     return settle(ranked.select("column", "value", "count", "lo", "hi"), "categories", path)
 
 
-def _is_array(flat: DataFrame, c: Column) -> bool:
-    return isinstance(flat.select(c).schema.fields[0].dataType, T.ArrayType)
-
-
-def _tagged(name: str, values: Column) -> Column:
-    tagged = F.transform(values, lambda x: F.struct(F.lit(name).alias("column"), x.cast("string").alias("value")))
-    empty = F.array().cast("array<struct<column:string,value:string>>")
-    return F.coalesce(tagged, empty)
-
-
 def _literals(categories: DataFrame, specs: list[dict[str, Any]]) -> dict[str, list[tuple[str, int]]]:
     """Categories of the columns that have at most ``LITERAL_LIMIT`` of them."""
     small = [s["column"] for s in specs if s["entries"] and s["entries"] <= LITERAL_LIMIT]
@@ -233,39 +229,37 @@ def normal_scores(flat: DataFrame, model: Model, names: list[str]) -> DataFrame:
     splits, inputs, outputs = [], [], []
     for i, name in enumerate(names):
         spec = specs[name]
-        if name in model.quantiles or spec["marginal"] == "norm":
-            prepared.append(as_number(column(name), types[name]).alias(f"x{i}"))
-        else:
-            prepared.append(column(name).cast("string").alias(f"x{i}"))
-        x = F.col(f"x{i}")
+        numeric = name in model.quantiles or spec["marginal"] == "norm"
+        prepared.append(f"{as_number_sql(quoted(name), types[name]) if numeric else f'string({quoted(name)})'} AS x{i}")
         if spec["marginal"] == "norm":
-            chosen.append(((x - F.lit(spec["mean"])) / F.lit(spec["std"])).alias(f"z{i}"))
-        elif name in model.quantiles:
+            chosen.append(f"(x{i} - {spec['mean']!r}D) / {spec['std']!r}D AS z{i}")
+        elif numeric:
             knots, at, between = knot_scores(model.quantiles[name])
             splits.append([-math.inf, *knots, math.inf])
             inputs.append(f"x{i}")
             outputs.append(f"b{i}")
-            j = F.col(f"b{i}").cast("int")
-            exact = F.get(double_array(knots), j - 1) == x
-            z = F.when(exact, F.get(double_array(at), j - 1)).otherwise(F.get(double_array(between), j))
-            chosen.append(F.when(x.isNotNull(), z).alias(f"z{i}"))
+            below = f"int(b{i})"  # distinct knots up to the value
+            chosen.append(
+                f"CASE WHEN x{i} IS NULL THEN NULL WHEN get({doubles_sql(knots)}, {below} - 1) = x{i} "
+                f"THEN get({doubles_sql(at)}, {below} - 1) ELSE get({doubles_sql(between)}, {below}) END AS z{i}"
+            )
         elif name in model.literals:
             scores = _category_scores(model.literals[name])
             ordered = sorted(scores)
-            place = count_at_most(typed_array([v for v in ordered], "string"), len(ordered), x)
-            chosen.append(F.get(double_array([scores[v] for v in ordered]), place - 1).alias(f"z{i}"))
+            place = count_at_most_sql(array_sql(ordered, "string"), len(ordered), f"x{i}")
+            chosen.append(f"get({doubles_sql([scores[v] for v in ordered])}, {place} - 1) AS z{i}")
         else:
             large.append((i, name))
-            chosen.append(F.col(f"z{i}"))
-    base = flat.select(*prepared)
+            chosen.append(f"z{i}")
+    base = flat.selectExpr(*prepared)
     if splits:
         bucketizer = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs, handleInvalid="keep")
         base = bucketizer.transform(base)
     if large:
-        spread = [f"x{i}" for i in range(len(names))]
+        spread_by = [f"x{i}" for i in range(len(names))]
         for i, name in large:
-            base = lookup_join(base, _large_scores(model, specs[name], f"x{i}", f"z{i}"), f"x{i}", spread)
-    return base.select(*chosen)
+            base = lookup_join(base, _large_scores(model, specs[name], f"x{i}", f"z{i}"), f"x{i}", spread_by)
+    return base.selectExpr(*chosen)
 
 
 def _category_scores(entries: list[tuple[str, int]]) -> dict[str, float]:
@@ -364,7 +358,7 @@ def fit(
     knots: int = KNOTS,
     exact: bool = False,
     overrides: dict[str, str] | None = None,
-    present: dict[str, Column] | None = None,
+    present: dict[str, str] | None = None,
     path: str | None = None,
 ) -> Model:
     """Learn the columns of ``flat``. Every statistic is an aggregate over all rows.
@@ -394,15 +388,15 @@ def fit(
     grids = quantile_grid(flat, views, knots, exact).collect() if views else []
     quantiles = {r["column"]: [float(x) for x in r["knots"]] for r in grids if r["knots"]}
 
-    cells: dict[str, Column] = {}
+    cells: dict[str, str] = {}
     for s in specs:
-        name = s["column"]
+        name, sql = s["column"], quoted(s["column"])
         if s["kind"] in ("categorical", "boolean"):
-            cells[name] = column(name).cast("string")
+            cells[name] = f"string({sql})"
         elif wants_words(s):
-            cells[name] = F.transform(words(column(name)), F.length)
+            cells[name] = f"transform({words_sql(sql)}, w -> length(w))"
         elif s["kind"] == "text" or (s["kind"] == "id" and isinstance(types[name], T.StringType)):
-            cells[name] = text_shape(column(name))
+            cells[name] = shape_sql(sql)
     target = f"{path}/categories" if path else scratch_path(spark, "categories")
     if cells:
         plain = all(

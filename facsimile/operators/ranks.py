@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from facsimile.functions.search import count_at_most, typed_array
+from facsimile.functions.search import array_sql, count_at_most_sql
 
 SLOT_ROWS = 250_000
 MAX_SLOTS = 4096
@@ -23,12 +23,13 @@ def slot_column(df: DataFrame, order_by: list[str], rows: int, slot_rows: int =
     if wanted == 0:
         return F.lit(0)
     names = [f"k{i}" for i in range(len(order_by))]
-    key = F.struct(*[F.col(c).alias(n) for c, n in zip(order_by, names)])
+    text = "named_struct(" + ", ".join(f"'{n}', `{c}`" for c, n in zip(order_by, names)) + ")"
+    key = F.expr(text)
     sample = df.select(key.alias("key"), F.xxhash64(*order_by).alias("h")).orderBy("h", "key").limit(wanted)
     points = sample.orderBy("key").select("key.*").collect()  # at most MAX_SLOTS keys
     ddl = ",".join(f"{n}:{f.dataType.simpleString()}" for n, f in zip(names, df.select(*order_by).schema))
-    literal = typed_array([r.asDict() for r in points], f"struct<{ddl}>")
-    return count_at_most(literal, len(points), key)
+    literal = array_sql([r.asDict() for r in points], f"struct<{ddl}>")
+    return F.expr(count_at_most_sql(literal, len(points), text))
 
 
 def running_totals(

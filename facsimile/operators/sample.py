@@ -16,10 +16,10 @@ from pyspark.sql import types as T
 
 from facsimile.functions.draws import make_draws
 from facsimile.functions.epoch import from_number
-from facsimile.functions.normal import cdf_array, normal_draw
-from facsimile.functions.search import count_at_most, double_array, long_array, typed_array
-from facsimile.functions.text import fill_shape, invented_word, numbered_shape
-from facsimile.operators.kinds import to_digits
+from facsimile.functions.normal import cdf_array, normal_draw_sql
+from facsimile.functions.search import array_sql, count_at_most_sql, doubles_sql, longs_sql, sql_string
+from facsimile.functions.text import fill_shape_sql, invented_word_sql, numbered_shape_sql
+from facsimile.operators.kinds import to_digits_sql
 from facsimile.operators.model import Model, cholesky, copula_columns, type_of, wants_words
 
 ROWS_PER_TASK = 1_000_000
@@ -38,7 +38,6 @@ def _uniforms(model: Model, base: DataFrame, draws, joint: list[str]) -> DataFra
     Columns that depend on others start from independent normals, which the
     Cholesky factor mixes. All other columns are drawn directly.
     """
-    row = F.col("row")
     spec = {s["column"]: s for s in model.columns}
     factor = cholesky(joint, model.correlation) if joint else np.eye(0)
     off = factor - np.diag(np.diag(factor))
@@ -48,14 +47,14 @@ def _uniforms(model: Model, base: DataFrame, draws, joint: list[str]) -> DataFra
     done = {s["position"] for s in mixed_specs}
     drawn = []
     for s in model.columns:
-        p, u = s["position"], draws.uniform(row, _stream(s, VALUE))
+        p, u = s["position"], draws.uniform_sql("row", _stream(s, VALUE))
         if p in done:
-            drawn.append(F.col(_score_name(s)))
+            drawn.append(_score_name(s))
         elif s["marginal"] == "norm":
-            drawn.append(normal_draw(u, draws.uniform(row, _stream(s, SECOND))).alias(f"n{p}"))
+            drawn.append(f"{normal_draw_sql(u, draws.uniform_sql('row', _stream(s, SECOND)))} AS n{p}")
         else:
-            drawn.append(u.alias(f"u{p}"))
-    return rows.select("row", *drawn)
+            drawn.append(f"{u} AS u{p}")
+    return rows.selectExpr("row", *drawn)
 
 
 def _score_name(spec: dict[str, Any]) -> str:
@@ -70,11 +69,10 @@ def _mixed(base: DataFrame, specs: list[dict[str, Any]], factor: np.ndarray, dra
     """
     names, size = [_score_name(s) for s in specs], len(specs)
     normal = np.array([s["marginal"] == "norm" for s in specs])
-    row = F.col("row")
-    pairs = base.select(
+    pairs = base.selectExpr(
         "row",
-        *[draws.uniform(row, _stream(s, VALUE)).alias(f"a{i}") for i, s in enumerate(specs)],
-        *[draws.uniform(row, _stream(s, SECOND)).alias(f"b{i}") for i, s in enumerate(specs)],
+        *[f"{draws.uniform_sql('row', _stream(s, VALUE))} AS a{i}" for i, s in enumerate(specs)],
+        *[f"{draws.uniform_sql('row', _stream(s, SECOND))} AS b{i}" for i, s in enumerate(specs)],
     )
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,41 +87,40 @@ def _mixed(base: DataFrame, specs: list[dict[str, Any]], factor: np.ndarray, dra
     return pairs.mapInArrow(mix, ", ".join(["row bigint", *(f"{n} double" for n in names)]))
 
 
-def _between_knots(u: Column, knots: list[float], smooth: bool) -> Column:
+def _between_knots_sql(u: str, knots: list[float], smooth: bool) -> str:
     """Inverse of the quantile grid at ``u``: the knot below, or a point between two knots."""
-    grid, last = double_array(knots), len(knots) - 1
-    at = u * F.lit(float(last))
-    i = F.least(F.floor(at), F.lit(last - 1)).cast("int") if smooth else F.floor(u * F.lit(float(len(knots)))).cast("int")
+    grid, last = doubles_sql(knots), len(knots) - 1
     if not smooth:
-        return F.get(grid, F.least(i, F.lit(last)))
-    low, high = F.get(grid, i), F.get(grid, i + 1)
-    return low + (at - i) * (high - low)
+        return f"get({grid}, int(least(floor({u} * {len(knots)}D), {last})))"
+    at = f"({u} * {last}D)"
+    i = f"int(least(floor({at}), {last - 1}))"
+    low, high = f"get({grid}, {i})", f"get({grid}, {i} + 1)"
+    return f"({low} + ({at} - {i}) * ({high} - {low}))"
 
 
-def _number(spec: dict[str, Any], model: Model, u: Column) -> Column:
-    name = spec["column"]
-    grid = model.quantiles.get(name)
+def _number_sql(spec: dict[str, Any], model: Model) -> str:
+    u, grid = f"u{spec['position']}", model.quantiles.get(spec["column"])
     if spec["marginal"] == "norm":
-        value = F.lit(spec["mean"]) + F.lit(spec["std"]) * F.col(f"n{spec['position']}")
+        value = f"({spec['mean']!r}D + {spec['std']!r}D * n{spec['position']})"
     elif not grid:
-        return F.lit(None).cast("double")
+        return "double(NULL)"
     elif grid[0] == grid[-1]:
-        value = F.lit(grid[0])
+        value = f"{grid[0]!r}D"
     else:
-        value = _between_knots(u, grid, smooth=len(set(grid)) > len(grid) // 2)
+        value = _between_knots_sql(u, grid, smooth=len(set(grid)) > len(grid) // 2)
     if spec["digits"] is not None:
-        value = to_digits(value, spec["digits"])
+        value = to_digits_sql(value, spec["digits"])
     if spec["min"] is None or wants_words(spec):
         return value
-    return F.greatest(F.least(value, F.lit(spec["max"])), F.lit(spec["min"]))
+    return f"greatest(least({value}, {spec['max']!r}D), {spec['min']!r}D)"
 
 
-def _entry(u: Column, entries: list[tuple[str, int]]) -> Column:
+def _entry_sql(u: str, entries: list[tuple[str, int]]) -> str:
     """The category whose interval holds ``floor(u * total)``."""
     total = entries[-1][1]
-    point = F.least(F.floor(u * F.lit(float(total))), F.lit(total - 1))
-    place = count_at_most(long_array([hi for _, hi in entries]), len(entries), point)
-    return F.get(typed_array([v for v, _ in entries], "string"), place)
+    point = f"least(floor({u} * {float(total)!r}D), {total - 1}L)"
+    place = count_at_most_sql(longs_sql([hi for _, hi in entries]), len(entries), point)
+    return f"get({array_sql([v for v, _ in entries], 'string')}, {place})"
 
 
 def _join_entries(sample: DataFrame, model: Model, spec: dict[str, Any], out: str) -> DataFrame:
@@ -145,19 +142,17 @@ def _join_entries(sample: DataFrame, model: Model, spec: dict[str, Any], out: st
     return joined.select(*[F.col(f"s.{c}") for c in sample.columns], out)
 
 
-def _invented_text(spec: dict[str, Any], model: Model, u: Column, lengths: list[tuple[str, int]], draws) -> Column:
-    row = F.col("row")
-    count = F.greatest(F.round(_number(spec, model, u)).cast("int"), F.lit(1))
-    total = lengths[-1][1]
-    ends = long_array([hi for _, hi in lengths])
-    sizes = long_array([int(v) for v, _ in lengths])
-
-    def word(i: Column) -> Column:
-        draw = draws.uniform(row, i.cast("long") * F.lit(STREAMS * 1009) + F.lit(_stream(spec, TEXT)))
-        place = count_at_most(ends, len(lengths), F.least(F.floor(draw * F.lit(float(total))), F.lit(total - 1)))
-        return invented_word(row, i, F.get(sizes, place), _stream(spec, TEXT), draws.seed)
-
-    return F.array_join(F.transform(F.sequence(F.lit(1), count), word), " ")
+def _invented_text_sql(spec: dict[str, Any], model: Model, lengths: list[tuple[str, int]], draws) -> str:
+    stream, total = _stream(spec, TEXT), lengths[-1][1]
+    count = f"greatest(int(round({_number_sql(spec, model)})), 1)"
+    draw = draws.uniform_sql("row", f"(bigint(i) * {STREAMS * 1009}L + {stream}L)")
+    point = f"least(floor({draw} * {float(total)!r}D), {total - 1}L)"
+    place = count_at_most_sql(longs_sql([hi for _, hi in lengths]), len(lengths), "point")
+    size = f"get({longs_sql([int(v) for v, _ in lengths])}, {place})"
+    # Two steps, so that each word's draw is made once and not once per search step.
+    points = f"transform(sequence(1, {count}), i -> {point})"
+    word = invented_word_sql("row", "i", size, stream, draws.seed)
+    return f"array_join(transform({points}, (point, i) -> {word}), ' ')"
 
 
 def _word_lengths(model: Model, spec: dict[str, Any]) -> list[tuple[str, int]]:
@@ -191,36 +186,36 @@ def sample_rows(model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash",
     ]
     for s in large:
         uniforms = _join_entries(uniforms, model, s, f"v{s['position']}")
-    row, joined = F.col("row"), {s["column"] for s in large}
+    joined = {s["column"] for s in large}
     first_shape = _first_shapes(model)
 
-    def value(spec: dict[str, Any]) -> Column:
-        name, kind, u = spec["column"], spec["kind"], F.col(f"u{spec['position']}")
-        dtype = type_of(spec)
+    def text(spec: dict[str, Any]) -> str:
+        name, p = spec["column"], spec["position"]
+        return f"v{p}" if name in joined else _entry_sql(f"u{p}", model.literals[name])
+
+    def value(spec: dict[str, Any], dtype: T.DataType) -> Column:
+        name, kind = spec["column"], spec["kind"]
         if kind in ("numeric", "datetime"):
-            return from_number(_number(spec, model, u), dtype)
-        if kind in ("categorical", "boolean"):
-            if not spec["entries"]:
-                return F.lit(None).cast(dtype)
-            text = F.col(f"v{spec['position']}") if name in joined else _entry(u, model.literals[name])
-            return text.cast(dtype)
+            return from_number(F.expr(_number_sql(spec, model)), dtype)
+        if kind in ("categorical", "boolean") and spec["entries"]:
+            return F.expr(text(spec))
+        if kind == "id" and isinstance(dtype, T.StringType):
+            return F.expr(numbered_shape_sql(sql_string(first_shape.get(name, "")), "row"))
         if kind == "id":
-            if isinstance(dtype, T.StringType):
-                return numbered_shape(F.lit(first_shape.get(name, "")), row)
-            return (F.lit(int(spec["min"] or 0)).cast("decimal(20,0)") + row.cast("decimal(19,0)")).try_cast(dtype)
+            return F.expr(f"cast({int(spec['min'] or 0)} as decimal(20,0)) + cast(row as decimal(19,0))").try_cast(dtype)
+        if kind == "text" and wants_words(spec) and spec["entries"]:
+            return F.expr(_invented_text_sql(spec, model, _word_lengths(model, spec), draws))
         if kind == "text" and spec["entries"]:
-            if wants_words(spec):
-                return _invented_text(spec, model, u, _word_lengths(model, spec), draws)
-            shape = F.col(f"v{spec['position']}") if name in joined else _entry(u, model.literals[name])
-            return fill_shape(shape, row, draws, _stream(spec, TEXT))
-        return F.lit(None).cast(dtype)
+            return F.expr(fill_shape_sql(text(spec), "row", draws, _stream(spec, TEXT)))
+        return F.lit(None)
 
     def cell(spec: dict[str, Any]) -> Column:
-        made = value(spec)
+        dtype = type_of(spec)
+        made = value(spec, dtype)
         rate = spec["empty"] / spec["cells"] if spec["cells"] else 1.0
         if rate > 0 and spec["kind"] != "carried":
-            made = F.when(draws.uniform(row, _stream(spec, MISSING)) >= F.lit(rate), made)
-        return made.cast(type_of(spec)).alias(spec["column"])
+            made = F.when(F.expr(f"{draws.uniform_sql('row', _stream(spec, MISSING))} >= {rate!r}D"), made)
+        return made.cast(dtype).alias(spec["column"])
 
     chosen = [cell(s) for s in model.columns]
     return uniforms.select("row", *chosen) if keep_row else uniforms.select(*chosen)

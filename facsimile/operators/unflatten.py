@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.nested import column, reproject
+from facsimile.functions.nested import column, nullable, quoted, reproject
+from facsimile.functions.search import sql_string
 from facsimile.plans.shape import INDEX_STYLES, LENGTH, NULL_FLAG, Node, Plan
 
 ARRAY_MODES = ("compact", "pad", "length")
@@ -48,51 +46,49 @@ def unflatten(
             return any(known(indexed.format(base=name, i=i), node.element) for i in range(node.max_elements))
         return False
 
-    def flagged(name: str, value: Column) -> Column:
-        if name + NULL_FLAG not in types:
-            return value
-        return F.when(column(name + NULL_FLAG), F.lit(None)).otherwise(value)
+    def flagged(name: str, value: str) -> str:
+        return f"if({quoted(name + NULL_FLAG)}, NULL, {value})" if name + NULL_FLAG in types else value
 
-    def build(name: str, node: Node) -> Column:
+    def build(name: str, node: Node) -> str:
         if node.kind == "struct":
-            value = F.struct(*[build(f"{name}.{k}", c).alias(k) for k, c in node.children.items()])
+            parts = ", ".join(f"{sql_string(k)}, {build(f'{name}.{k}', c)}" for k, c in node.children.items())
+            value = f"named_struct({parts})"
             return value if null_structs == "expand" else flagged(name, value)
         if node.kind == "array":
             return build_array(name, node)
-        if name in types:
-            return reproject(column(name), types[name], node.dtype)
-        return F.lit(None).cast(node.dtype)
+        return leaf(name, node.dtype)
 
-    def build_array(name: str, node: Node) -> Column:
+    def build_array(name: str, node: Node) -> str:
         places = [indexed.format(base=name, i=i) for i in range(node.max_elements)]
         if arrays == "compact":
             places = [p for p in places if known(p, node.element)]
         items = [build_item(p, node.element) if plan.deep else leaf(p, node.element.dtype) for p in places]
-        value = F.array(*items) if items else F.array()
-        value = value.cast(T.ArrayType(node.element.dtype))
+        value = f"array({', '.join(items)})"
         if arrays == "pad":
             return value
         if arrays == "length":
             if name + LENGTH in types:
-                kept = F.greatest(F.least(column(name + LENGTH).cast("int"), F.lit(len(places))), F.lit(0))
-                value = F.slice(value, F.lit(1), kept)
-            return flagged(name, value)
-        if not node.nullable_elements:
-            value = F.filter(value, lambda x: x.isNotNull())
+                value = f"slice({value}, 1, greatest(least(int({quoted(name + LENGTH)}), {len(places)}), 0))"
+        elif not node.nullable_elements:
+            value = f"filter({value}, x -> x IS NOT NULL)"
         return flagged(name, value)
 
-    def build_item(name: str, node: Node) -> Column:
+    def build_item(name: str, node: Node) -> str:
         value = build(name, node)
         if arrays != "compact" or node.kind != "struct" or name + NULL_FLAG in types:
             return value
         # No flag and no length: an element of which nothing is set is a missing one.
-        parts = [column(n) for n in types if n.startswith(f"{name}.") and not n.endswith(NULL_FLAG)]
-        some = reduce(or_, [p.isNotNull() for p in parts], F.lit(False))
-        return F.when(some, value)
+        parts = [f"{quoted(n)} IS NOT NULL" for n in types if n.startswith(f"{name}.") and not n.endswith(NULL_FLAG)]
+        return f"if({' OR '.join(parts) or 'false'}, {value}, NULL)"
 
-    def leaf(name: str, dtype: T.DataType) -> Column:
-        if name in types:
-            return reproject(column(name), types[name], dtype)
-        return F.lit(None).cast(dtype)
+    def leaf(name: str, dtype: T.DataType) -> str:
+        if name not in types:
+            return "NULL"
+        if nullable(types[name]) != nullable(dtype):
+            reshaped[name] = reproject(column(name), types[name], dtype)
+        return quoted(name)
 
-    return flat.select(*[build(n, node).alias(n) for n, node in plan.columns.items()])
+    reshaped: dict[str, Column] = {}
+    texts = {n: build(n, node) for n, node in plan.columns.items()}
+    ready = flat.withColumns(reshaped) if reshaped else flat
+    return ready.select(*[F.expr(texts[n]).cast(nullable(node.dtype)).alias(n) for n, node in plan.columns.items()])

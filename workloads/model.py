@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from facsimile.functions.normal import quantile_sql
 from facsimile.operators.kinds import column_profile, detect_kinds
-from facsimile.operators.model import category_intervals, correlation, fit, normal_scores, quantile_grid, value_ranks
+from facsimile.operators.model import (
+    category_intervals, correlation, fit, normal_scores, quantile_grid, value_ranks, words_sql,
+)
 from workloads.common import millionths, millionths_sql, order_nested, read
 from facsimile.operators.flatten import flatten
 from facsimile.plans.shape import infer_plan
@@ -58,14 +60,13 @@ def _profile(df):
 
 def category_frequencies(spark, sf_dir):
     orders = read(spark, sf_dir, "orders")
-    cells = {"status": F.col("o_orderstatus"), "priority": F.col("o_orderpriority"), "customer": F.col("o_custkey")}
+    cells = {"status": "o_orderstatus", "priority": "o_orderpriority", "customer": "o_custkey"}
     return category_intervals(orders, cells)
 
 
 def word_lengths(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    lengths = F.transform(F.split("text", r"\s+"), F.length)
-    return category_intervals(docs, {"text": lengths})
+    return category_intervals(docs, {"text": f"transform({words_sql('text')}, w -> length(w))"})
 
 
 PRICES = ("l_extendedprice", "l_quantity", "l_discount")
@@ -74,14 +75,14 @@ KNOTS = 101
 
 def quantile_knots(spark, sf_dir):
     df = read(spark, sf_dir, "lineitem")
-    grid = quantile_grid(df, {c: F.col(c) for c in PRICES}, KNOTS, exact=True)
+    grid = quantile_grid(df, {c: c for c in PRICES}, KNOTS, exact=True)
     return grid.select("column", F.posexplode("knots").alias("i", "value"))
 
 
 def price_ranks(spark, sf_dir):
     """Exact ranks over all distinct prices, cut into slices."""
     df = read(spark, sf_dir, "lineitem")
-    return value_ranks(df, {"l_extendedprice": F.col("l_extendedprice"), "l_tax": F.col("l_tax")}, slot_rows=10_000)
+    return value_ranks(df, {"l_extendedprice": "l_extendedprice", "l_tax": "l_tax"}, slot_rows=10_000)
 
 
 SCORED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
@@ -241,7 +242,7 @@ ORACLES = {
     "category_frequencies": _interval_sql("orders", {
         "status": "o_orderstatus", "priority": "o_orderpriority", "customer": "o_custkey::VARCHAR"}),
     "word_lengths": _interval_sql(
-        r"(SELECT unnest(regexp_split_to_array(text, '\s+')) AS w FROM documents)", {"text": "length(w)::VARCHAR"}),
+        r"(SELECT unnest(regexp_split_to_array(trim(text), '\s+')) AS w FROM documents)", {"text": "length(w)::VARCHAR"}),
     "quantile_knots": " UNION ALL ".join(f"SELECT '{c}' AS \"column\", i, value FROM ({knots_sql(c, 'lineitem', KNOTS)})" for c in PRICES),
     "price_ranks": " UNION ALL ".join(
         f"SELECT '{c}' AS \"column\", {c} AS value, c AS count, (hi - c)::BIGINT AS lo, hi::BIGINT AS hi FROM "

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.functions.draws import PowerDraws
-from facsimile.functions.text import STRIDE, fill_shape, text_shape
+from facsimile.functions.text import STRIDE, fill_shape_sql, shape_sql
 from facsimile.functions.epoch import epoch_micros
 from facsimile.operators.model import fit
 from facsimile.operators.sample import MISSING, SECOND, STREAMS, VALUE, sample, sample_rows
@@ -47,7 +47,7 @@ def sample_steps(spark, sf_dir):
 def sample_datetime(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select("o_orderdate")
     out = _sample(spark, orders)
-    return out.select("row", epoch_micros(F.col("o_orderdate"), out.schema["o_orderdate"].dataType).alias("us"))
+    return out.select("row", epoch_micros("o_orderdate", out.schema["o_orderdate"].dataType).alias("us"))
 
 
 def sample_bounds(spark, sf_dir):
@@ -93,14 +93,14 @@ def synthesize_pages(spark, sf_dir):
 
 def document_shapes(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(
-        "doc_id", F.md5(text_shape(F.col("text"))).alias("shape"), F.length("text").cast("long").alias("length")
+        "doc_id", F.md5(F.expr(shape_sql("text"))).alias("shape"), F.length("text").cast("long").alias("length")
     )
 
 
 def text_mask(spark, sf_dir):
     """Addresses with every letter and digit replaced; punctuation stays."""
     pages = read(spark, sf_dir, "pages")
-    return pages.select("page_id", fill_shape(text_shape(F.col("url")), F.col("page_id"), PowerDraws(), 5).alias("url"))
+    return pages.select("page_id", F.expr(fill_shape_sql(shape_sql("url"), "page_id", PowerDraws(), 5)).alias("url"))
 
 
 def conform_types(spark, sf_dir):

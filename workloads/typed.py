@@ -55,7 +55,7 @@ TS_SQL = """
 
 def ts_from_ns(spark, sf_dir):
     events = read(spark, sf_dir, "events")
-    us = epoch_micros(F.col("ts"), events.schema["ts"].dataType)
+    us = epoch_micros("ts", events.schema["ts"].dataType)
     ns = us * F.lit(1000) + F.col("event_id") % 1000
     negative = F.when(F.col("event_id") % 2 == 0, ns).otherwise(-ns)
     wide = F.when(F.col("event_id") % 10 == 3, negative.cast("decimal(38,0)") * F.lit(100)).otherwise(negative.cast("decimal(38,0)"))
