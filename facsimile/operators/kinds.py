@@ -116,9 +116,17 @@ def sketched_distinct(flat: DataFrame, fields: list[T.StructField]) -> DataFrame
 
 
 def exact_distinct(flat: DataFrame) -> DataFrame:
-    """``(column, distinct)`` exactly: values are pre-aggregated before the shuffle."""
+    """``(column, distinct)`` exactly: values are pre-aggregated before the shuffle.
+
+    Long texts are counted by their SHA-256, so that the shuffle carries no texts.
+    """
+
+    def value(f: T.StructField) -> str:
+        text = f"string({quoted(f.name)})"
+        return f"if(length({text}) > 64, sha2({text}, 256), {text})" if type_class(f.dataType) == "string" else text
+
     cells = [
-        f"named_struct('column', {sql_string(f.name)}, 'value', string({quoted(f.name)}))"
+        f"named_struct('column', {sql_string(f.name)}, 'value', {value(f)})"
         for f in flat.schema.fields
         if type_class(f.dataType) != "other"
     ]

@@ -20,6 +20,7 @@ from facsimile.functions.normal import cdf_array, normal_draw_sql
 from facsimile.functions.search import array_sql, count_at_most_sql, doubles_sql, longs_sql, sql_string
 from facsimile.functions.text import fill_shape_sql, invented_word_sql, numbered_shape_sql
 from facsimile.operators.kinds import to_digits_sql
+from facsimile.operators.lookup import fits_broadcast
 from facsimile.operators.model import Model, cholesky, copula_columns, type_of, wants_words
 
 ROWS_PER_TASK = 1_000_000
@@ -134,9 +135,11 @@ def _join_entries(sample: DataFrame, model: Model, spec: dict[str, Any], out: st
     div = lambda a: F.call_function("div", a, F.lit(width))
     point = F.least(F.floor(F.col(f"u{spec['position']}") * F.lit(float(total))), F.lit(total - 1)).cast("long")
     placed = sample.withColumn("point", point).withColumn("bucket", div(F.col("point")))
-    intervals = model.categories.where(F.col("column") == spec["column"]).select(
-        F.col("value").alias(out), "lo", "hi", F.explode(F.sequence(div(F.col("lo")), div(F.col("hi") - 1))).alias("bucket")
-    )
+    mine = model.categories.where(F.col("column") == spec["column"]).select(F.col("value").alias(out), "lo", "hi")
+    buckets = F.sequence(div(F.col("lo")), div(F.col("hi") - 1))
+    intervals = mine.withColumn("bucket", F.explode(buckets))
+    if fits_broadcast(mine):  # at most one extra row per BUCKET_ROWS categories
+        intervals = F.broadcast(intervals)
     hit = (F.col("lo") <= F.col("point")) & (F.col("point") < F.col("hi"))
     joined = placed.alias("s").join(intervals.alias("i"), (F.col("s.bucket") == F.col("i.bucket")) & hit)
     return joined.select(*[F.col(f"s.{c}") for c in sample.columns], out)
