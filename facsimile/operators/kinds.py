@@ -13,7 +13,7 @@ from facsimile.functions.nested import column, quoted
 from facsimile.functions.search import sql_string
 
 KINDS = ("numeric", "datetime", "boolean", "categorical", "id", "text", "carried")
-BLOCK = 64  # columns per aggregate; each block reads only its own columns
+BLOCK = 24  # columns per aggregate, so that it stays in generated code; each block reads its own columns
 SKETCH_BITS = 12  # HyperLogLog registers: 2^12, standard error 1.6 %
 DISTINCT_ERROR = 0.02
 CATEGORY_COUNT = 1000

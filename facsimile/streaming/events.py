@@ -66,21 +66,27 @@ def event_kind(event: Column) -> Column:
     )
 
 
-def _column_list(value: Column) -> Column:
-    """The described columns, or null where the text is not a list of columns."""
-    parsed = F.when(value.rlike(r"^\s*\["), F.from_json(value, VALUE_DDL))
-    whole = F.forall(parsed, lambda c: c["name"].isNotNull() & c["fullyQualifiedName"].isNotNull())
-    return F.when(whole, parsed)
+def _opened(fields: Column, *attributes: str) -> Column:
+    """The fields with their values parsed, once, as lists of columns (null if they are no list)."""
 
+    def one(f: Column) -> Column:
+        described = f["name"].rlike(COLUMNS)
+        lists = [F.when(described & f[a].rlike(r"^\s*\["), F.from_json(f[a], VALUE_DDL)).alias(a) for a in attributes]
+        return F.struct(f["name"].alias("name"), *lists)
 
-def _finding(name: Column, first: Column, listed: Column) -> Column:
+    return F.transform(_list(fields), one)
+
+
+def _listed(columns: Column) -> Column:
+    whole = F.forall(columns, lambda c: c["name"].isNotNull() & c["fullyQualifiedName"].isNotNull())
+    return F.coalesce(whole, F.lit(False))
+
+
+def _finding(name: Column, columns: Column, listed: Column) -> Column:
     """``(column, failed)`` of one changed field; an empty list of columns is a failure."""
-    whole_columns = name.rlike(COLUMNS) & listed
     attribute = name.rlike(COLUMN_ATTRIBUTE) & ~name.rlike(COLUMN_TAGS)
-    target = F.when(whole_columns, F.get(first, F.lit(0))["name"]).when(
-        attribute, F.regexp_extract(name, COLUMN_ATTRIBUTE, 1)
-    )
-    failed = F.coalesce(whole_columns & (F.size(first) == 0), F.lit(False))
+    target = F.when(listed, F.get(columns, F.lit(0))["name"]).when(attribute, F.regexp_extract(name, COLUMN_ATTRIBUTE, 1))
+    failed = F.coalesce(listed & (F.size(columns) == 0), F.lit(False))
     return F.struct(target.alias("column"), failed.alias("failed"))
 
 
@@ -89,22 +95,21 @@ def change_findings(change: Column, count_deletes: bool = False) -> Column:
 
     Deleted fields name no column unless ``count_deletes`` is set.
     """
-
-    def added(f: Column) -> Column:
-        new = _column_list(f["newValue"])
-        return _finding(f["name"], new, new.isNotNull())
-
-    def updated(f: Column) -> Column:
-        new = _column_list(f["newValue"])
-        return _finding(f["name"], new, new.isNotNull() & _column_list(f["oldValue"]).isNotNull())
-
-    def deleted(f: Column) -> Column:
-        old = _column_list(f["oldValue"])
-        return _finding(f["name"], old, old.isNotNull())
-
-    parts = [F.transform(_list(change["fieldsAdded"]), added), F.transform(_list(change["fieldsUpdated"]), updated)]
+    parts = [
+        F.transform(
+            _opened(change["fieldsAdded"], "newValue"), lambda f: _finding(f["name"], f["newValue"], _listed(f["newValue"]))
+        ),
+        F.transform(
+            _opened(change["fieldsUpdated"], "newValue", "oldValue"),
+            lambda f: _finding(f["name"], f["newValue"], _listed(f["newValue"]) & _listed(f["oldValue"])),
+        ),
+    ]
     if count_deletes:
-        parts.append(F.transform(_list(change["fieldsDeleted"]), deleted))
+        parts.append(
+            F.transform(
+                _opened(change["fieldsDeleted"], "oldValue"), lambda f: _finding(f["name"], f["oldValue"], _listed(f["oldValue"]))
+            )
+        )
     return F.concat(*parts)
 
 
