@@ -142,17 +142,21 @@ def quantile_grid(flat: DataFrame, views: dict[str, str], knots: int = KNOTS, ex
     return reduce(DataFrame.unionByName, blocks)
 
 
-def value_ranks(flat: DataFrame, views: dict[str, str], slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """``(column, value, count, lo, hi)``: how many rows lie below and up to each value."""
+def _counted_values(flat: DataFrame, views: dict[str, str]) -> DataFrame:
     cells = [f"named_struct('column', {sql_string(n)}, 'value', double({v}))" for n, v in views.items()]
     long = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
-    counted = settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")), "values")
-    return running_totals(counted, ["column"], ["value"], "count", slot_rows=slot_rows)
+    return settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")), "values")
+
+
+def value_ranks(flat: DataFrame, views: dict[str, str], slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """``(column, value, count, lo, hi)``: how many rows lie below and up to each value."""
+    return running_totals(_counted_values(flat, views), ["column"], ["value"], "count", slot_rows=slot_rows)
 
 
 def _exact_grid(flat: DataFrame, views: dict[str, str], knots: int) -> DataFrame:
-    ranked = value_ranks(flat, views)
-    totals = ranked.groupBy("column").agg(F.max("hi").alias("n"))
+    counted = _counted_values(flat, views)
+    ranked = running_totals(counted, ["column"], ["value"], "count")
+    totals = counted.groupBy("column").agg(F.sum("count").alias("n"))
     points = (
         ranked.join(F.broadcast(totals), "column")  # one row per column
         .selectExpr(

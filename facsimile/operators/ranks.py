@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from facsimile.functions.search import array_sql, count_at_most_sql
 
-SLOT_ROWS = 250_000
+SLOT_ROWS = 100_000
 MAX_SLOTS = 4096
+OVERSAMPLE = 16  # sampled keys per split point; evens out the slices
 
 
 def slot_column(df: DataFrame, order_by: list[str], rows: int, slot_rows: int = SLOT_ROWS) -> Column:
@@ -25,11 +26,12 @@ def slot_column(df: DataFrame, order_by: list[str], rows: int, slot_rows: int =
     names = [f"k{i}" for i in range(len(order_by))]
     text = "named_struct(" + ", ".join(f"'{n}', `{c}`" for c, n in zip(order_by, names)) + ")"
     key = F.expr(text)
-    sample = df.select(key.alias("key"), F.xxhash64(*order_by).alias("h")).orderBy("h", "key").limit(wanted)
-    points = sample.orderBy("key").select("key.*").collect()  # at most MAX_SLOTS keys
+    sample = df.select(key.alias("key"), F.xxhash64(*order_by).alias("h")).orderBy("h", "key").limit(wanted * OVERSAMPLE)
+    keys = sample.orderBy("key").select("key.*").collect()  # at most MAX_SLOTS * OVERSAMPLE keys
+    points = [keys[(i + 1) * len(keys) // (wanted + 1)] for i in range(wanted)]
     ddl = ",".join(f"{n}:{f.dataType.simpleString()}" for n, f in zip(names, df.select(*order_by).schema))
     literal = array_sql([r.asDict() for r in points], f"struct<{ddl}>")
-    return F.expr(count_at_most_sql(literal, len(points), text))
+    return F.expr(f"coalesce({count_at_most_sql(literal, len(points), text)}, 0)")  # never null: joins need no filter
 
 
 def running_totals(

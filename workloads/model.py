@@ -195,12 +195,12 @@ def knots_sql(column: str, table: str, knots: int) -> str:
 CHARGED = "(SELECT *, l_quantity * (1 + l_tax * 10) AS charge FROM lineitem)"
 
 
-def score_sql(column: str) -> str:
+def score_sql(column: str, knots: int = KNOTS) -> str:
     """Rows (v, z) over the distinct values of a column."""
     return (
-        f"SELECT v, {quantile_sql('u')} AS z FROM (SELECT v, greatest(least((a + b) / 2e0, {KNOTS} - 0.5), 0.5) / {KNOTS}::DOUBLE AS u FROM "
+        f"SELECT v, {quantile_sql('u')} AS z FROM (SELECT v, greatest(least((a + b) / 2e0, {knots} - 0.5), 0.5) / {knots}::DOUBLE AS u FROM "
         f"(SELECT d.v, count_if(k.value < d.v) AS a, count_if(k.value <= d.v) AS b FROM "
-        f"(SELECT DISTINCT {column}::DOUBLE AS v FROM {CHARGED}) d, ({knots_sql(column, CHARGED, KNOTS)}) k GROUP BY d.v))"
+        f"(SELECT DISTINCT {column}::DOUBLE AS v FROM {CHARGED}) d, ({knots_sql(column, CHARGED, knots)}) k GROUP BY d.v))"
     )
 
 

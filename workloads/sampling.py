@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.functions.draws import PowerDraws
+from facsimile.functions.normal import cdf_sql
 from facsimile.functions.text import STRIDE, fill_shape_sql, shape_sql
 from facsimile.functions.epoch import epoch_micros
 from facsimile.operators.model import fit
 from facsimile.operators.sample import MISSING, SECOND, STREAMS, VALUE, sample, sample_rows
 from facsimile.operators.synthesize import Synthesizer, conform_sample, synthesize
 from workloads.common import draws_sql, millionths, millionths_sql, order_nested, read
-from workloads.model import knots_sql
+from workloads.model import CHARGED, knots_sql, score_sql
 
 KNOTS = 1001
 
@@ -66,6 +67,16 @@ def sample_ids(spark, sf_dir):
     return _sample(spark, read(spark, sf_dir, "customer").select("c_custkey", "c_name"))
 
 
+def sample_pair(spark, sf_dir):
+    """Two dependent columns through the copula, draw by draw."""
+    lines = read(spark, sf_dir, "lineitem").select(
+        "l_quantity", (F.col("l_quantity") * (1 + F.col("l_tax") * 10)).alias("charge")
+    )
+    model = fit(lines, exact=True)
+    out = sample_rows(model, spark.range(lines.count()).select(F.col("id").alias("row")), rng="power", keep_row=True)
+    return out.select("row", F.col("l_quantity").cast("long").alias("quantity"), millionths(F.col("charge")).alias("charge_e6"))
+
+
 def sample_joint(spark, sf_dir):
     """Correlated columns; the dependence is tested against tolerances in the tests."""
     lines = read(spark, sf_dir, "lineitem")
@@ -129,7 +140,7 @@ def conform_types(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sample_category, sample_many_categories, sample_numeric, sample_steps, sample_datetime, sample_bounds, sample_nulls,
-    sample_ids, sample_joint, sample_documents, synthesize_nested, synthesize_pages, document_shapes, text_mask, conform_types,
+    sample_ids, sample_pair, sample_joint, sample_documents, synthesize_nested, synthesize_pages, document_shapes, text_mask, conform_types,
 )}
 
 
@@ -166,6 +177,9 @@ def _smooth_sql(column: str, table: str, digits: int | None = None) -> str:
 
 
 STEP_DRAWS = draws_sql(_rows("lineitem"), "row", {"u0": VALUE, "u1": STREAMS + VALUE}, "row")
+PAIR_DRAWS = draws_sql(
+    _rows("lineitem"), "row", {"a0": VALUE, "b0": SECOND, "a1": STREAMS + VALUE, "b1": STREAMS + SECOND}, "row"
+)
 NORMAL_DRAWS = draws_sql(_rows("lineitem"), "row", {"a": VALUE, "b": SECOND}, "row")
 MASK_DRAWS = draws_sql("chars", "page_id", {"u": f"(i * {STRIDE} + 5)"}, "page_id, i, ch")
 
@@ -189,6 +203,15 @@ ORACLES = {
         SELECT row, greatest(least(round_even(mean + std * sqrt(-2.0 * ln(a)) * cos(6.283185307179586 * b), 0), hi), lo)::BIGINT AS quantity
         FROM {NORMAL_DRAWS},
         (SELECT avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std, min(l_quantity) AS lo, max(l_quantity) AS hi FROM lineitem)""",
+    "sample_pair": f"""
+        WITH r AS (SELECT corr(a.z, b.z) AS r FROM {CHARGED} l JOIN ({score_sql('l_quantity', KNOTS)}) a ON a.v = l.l_quantity
+                   JOIN ({score_sql('charge', KNOTS)}) b ON b.v = l.charge),
+        z AS (SELECT row, sqrt(-2.0 * ln(a0)) * cos(6.283185307179586 * b0) AS z0,
+                     sqrt(-2.0 * ln(a1)) * cos(6.283185307179586 * b1) AS z1 FROM {PAIR_DRAWS}),
+        c AS (SELECT row, z0 AS c0, r * z0 + sqrt(1 - r * r) * z1 AS c1 FROM z, r),
+        u AS (SELECT row, {cdf_sql('c0')} AS u0, {cdf_sql('c1')} AS u1 FROM c)
+        SELECT row, {_step('u0', 'a.g')}::BIGINT AS quantity, {millionths_sql(_step('u1', 'b.g'))} AS charge_e6
+        FROM u, {_grid_sql('l_quantity', 'lineitem')} a, {_grid_sql('charge', CHARGED)} b""",
     "sample_nulls": _category_sql(
         "orders", "o_orderpriority", "priority", "o_orderkey % 5 <> 0",
         "(SELECT count_if(o_orderkey % 5 = 0)::DOUBLE / count(*) FROM orders)"),
