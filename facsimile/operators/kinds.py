@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from facsimile.functions.epoch import as_number_sql, is_time
 from facsimile.functions.nested import column, quoted
 from facsimile.functions.search import sql_string
+from facsimile.operators.sketches import merged
 
 KINDS = ("numeric", "datetime", "boolean", "categorical", "id", "text", "carried")
 BLOCK = 24  # columns per aggregate, so that it stays in generated code; each block reads its own columns
@@ -104,15 +105,14 @@ def sketched_distinct(flat: DataFrame, fields: list[T.StructField]) -> DataFrame
     Kept apart from the plain measures: a sketch in the same aggregate would
     take all of them out of generated code.
     """
-    base = flat.selectExpr(*[f"{_base_sql(f)} AS c{n}" for n, f in enumerate(fields)])
-    measured = [
-        {
-            "column": sql_string(f.name),
-            "distinct": f"hll_sketch_estimate(hll_sketch_agg(if(c{n} IS NULL, NULL, xxhash64(c{n})), {SKETCH_BITS}))",
-        }
-        for n, f in enumerate(fields)
+    columns = [f"c{n}" for n in range(len(fields))]
+    base = flat.selectExpr(*[f"{_base_sql(f)} AS {c}" for c, f in zip(columns, fields)])
+    build = f"hll_sketch_agg(if({{0}} IS NULL, NULL, xxhash64({{0}})), {SKETCH_BITS})"
+    sketches = merged(base, build, "hll_union_agg({})", columns)
+    rows = [
+        f"named_struct('column', {sql_string(f.name)}, 'distinct', hll_sketch_estimate({c}))" for c, f in zip(columns, fields)
     ]
-    return _long_form(base, measured)
+    return sketches.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def exact_distinct(flat: DataFrame) -> DataFrame:

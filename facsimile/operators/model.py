@@ -24,10 +24,11 @@ from facsimile.functions.text import shape_sql
 from facsimile.operators.kinds import BLOCK, ID_LENGTH, detect_kinds
 from facsimile.operators.lookup import lookup_join
 from facsimile.operators.ranks import SLOT_ROWS, running_totals
+from facsimile.operators.sketches import merged
 from facsimile.session import scratch_path, settle
 
 KNOTS = 1001
-ACCURACY = 10_000  # rank error of the approximate grid: rows / ACCURACY
+SKETCH_SIZE = 4096  # KLL quantile sketch: rank error below 0.1 %
 BLANKS = r"\s+"
 MARGINALS = ("ecdf", "norm")
 PAIRS_IN_PLAN = 10  # correlation pairs per aggregate; beyond, matrix products are faster
@@ -125,8 +126,9 @@ def quantile_grid(flat: DataFrame, views: dict[str, str], knots: int = KNOTS, ex
     """``(column, knots)``: values at ``knots`` evenly spaced ranks, first and last included.
 
     ``views`` maps a name to a SQL expression. The default takes one pass with
-    mergeable sketches. ``exact`` counts distinct values first, ranks them in
-    slices and picks the values at the grid ranks.
+    mergeable KLL sketches, which vary a little from run to run; the first and
+    the last value are exact. ``exact`` counts distinct values first, ranks them
+    in slices and picks the values at the grid ranks.
     """
     if exact:
         return _exact_grid(flat, views, knots)
@@ -135,10 +137,15 @@ def quantile_grid(flat: DataFrame, views: dict[str, str], knots: int = KNOTS, ex
     blocks = []
     for start in range(0, len(names), BLOCK):
         part = names[start : start + BLOCK]
-        base = flat.selectExpr(*[f"{views[n]} AS v{i}" for i, n in enumerate(part)])
-        sketched = base.selectExpr(*[f"percentile_approx(v{i}, {grid}, {ACCURACY}) AS q{i}" for i in range(len(part))])
-        rows = [f"named_struct('column', {sql_string(n)}, 'knots', q{i})" for i, n in enumerate(part)]
-        blocks.append(sketched.selectExpr(f"inline(array({', '.join(rows)}))"))
+        columns = [f"v{i}" for i in range(len(part))]
+        base = flat.selectExpr(*[f"{views[n]} AS {c}" for n, c in zip(part, columns)])
+        sketches = merged(base, f"kll_sketch_agg_double({{}}, {SKETCH_SIZE})", "kll_merge_agg_double({})", columns)
+        rows = [
+            f"named_struct('column', {sql_string(n)}, 'knots', "
+            f"if(kll_sketch_get_n_double({c}) > 0, kll_sketch_get_quantile_double({c}, {grid}), NULL))"
+            for n, c in zip(part, columns)
+        ]
+        blocks.append(sketches.selectExpr(f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.unionByName, blocks)
 
 

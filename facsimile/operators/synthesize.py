@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,13 @@ class Synthesizer:
             plan.save(df.sparkSession, f"{path}/plan")
         return self
 
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> "Synthesizer":
+        """The plan and model that ``fit(…, path=path)`` stored."""
+        maker = cls()
+        maker._plan, maker._model = Plan.load(spark, f"{path}/plan"), Model.load(spark, path)
+        return maker
+
     def sample(self, n: int, seed: int = 0, rng: str = "hash") -> DataFrame:
         return unflatten(sample(self.model, n, seed, rng), self.plan, arrays="length")
 

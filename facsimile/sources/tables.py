@@ -14,7 +14,7 @@ from facsimile.session import settle
 INTERNAL_COLUMNS = ("_dq", "_dq_failed_checks", "_stage_dt", "_cleansed_dt")
 FILE_KINDS = ("parquet", "s3", "json", "avro")
 TABLE_KINDS = ("table", "jdbc", "iceberg")
-TOP_ROWS = 1_000_000  # limits up to here are a top-k; larger ones are ranked in slices
+TOP_ROWS = 100_000  # limits up to here are a top-k; larger ones are ranked in slices
 
 
 def s3_options(overrides: dict[str, str] | None = None, defaults: dict[str, str] | None = None) -> dict[str, str]:

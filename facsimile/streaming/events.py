@@ -186,7 +186,9 @@ def regenerate_on_change(
     """Per micro-batch: classify, then one new sample for each table that changed.
 
     Several events of one table in a batch cause one sample. ``record`` gets the
-    classified events of a batch, for example to store rejected ones.
+    classified events of a batch, for example to store rejected ones. A batch may
+    run again after a failure, so ``publish`` and ``record`` should replace what
+    they wrote for the same table or batch.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:

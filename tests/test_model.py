@@ -183,6 +183,13 @@ def test_save_and_load(spark, lines, tmp_path):
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
 
 
+def test_stored_synthesizer(spark, sf_dir, tmp_path):
+    df = order_nested(spark, sf_dir).select("o_orderkey", "items")
+    maker = Synthesizer(independent=True).fit(df, path=str(tmp_path / "m"))
+    again = Synthesizer.load(spark, str(tmp_path / "m"))
+    assert sorted(map(str, maker.sample(100, seed=4).collect())) == sorted(map(str, again.sample(100, seed=4).collect()))
+
+
 def test_nested_end_to_end(spark, sf_dir):
     df = order_nested(spark, sf_dir)
     out = synthesize(df, 2000, seed=3)

@@ -118,6 +118,14 @@ def test_spread(spark, sf_dir):
     assert spread(spark.range(5)).count() == 5
 
 
+def test_folder_without_the_setting(spark, monkeypatch):
+    from facsimile import session
+
+    monkeypatch.setattr(session, "CHECKPOINT_SETTING", "spark.absent.setting")
+    first = session.shared_dir(spark)
+    assert session.shared_dir(spark) == first and "facsimile-" in first
+
+
 def test_settle_goes_to_the_shared_folder(spark):
     stored = settle(spark.range(10).toDF("x"), "check")
     folder = spark.conf.get("spark.checkpoint.dir")
