@@ -7,10 +7,10 @@ from pyspark.sql import types as T
 
 from facsimile.functions.draws import PowerDraws
 from facsimile.functions.normal import cdf_sql
-from facsimile.functions.text import STRIDE, fill_shape_sql, shape_sql
+from facsimile.functions.text import HEX, HEX_AS_LETTERS, STRIDE, fill_shape_sql, shape_sql
 from facsimile.functions.epoch import epoch_micros
 from facsimile.operators.model import fit
-from facsimile.operators.sample import MISSING, SECOND, STREAMS, VALUE, sample, sample_rows
+from facsimile.operators.sample import MISSING, SECOND, STREAMS, TEXT, VALUE, sample, sample_rows
 from facsimile.operators.synthesize import Synthesizer, conform_sample, synthesize
 from workloads.common import draws_sql, millionths, millionths_sql, order_nested, read
 from workloads.model import CHARGED, knots_sql, score_sql
@@ -91,6 +91,12 @@ def sample_documents(spark, sf_dir):
     return out.select("doc_id", "lang", "source", F.length("text").alias("length"), F.md5("text").alias("text_md5"))
 
 
+def sample_texts(spark, sf_dir):
+    """Invented words: their number and lengths follow the texts, draw by draw."""
+    out = _sample(spark, read(spark, sf_dir, "documents").select("text"), overrides={"text": "text"})
+    return out.select("row", F.md5("text").alias("text_md5"), F.length("text").cast("long").alias("length"))
+
+
 def synthesize_nested(spark, sf_dir):
     """Flatten, fit, sample, unflatten: nested orders in, nested orders out."""
     df = order_nested(spark, sf_dir)
@@ -140,7 +146,7 @@ def conform_types(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sample_category, sample_many_categories, sample_numeric, sample_steps, sample_datetime, sample_bounds, sample_nulls,
-    sample_ids, sample_pair, sample_joint, sample_documents, synthesize_nested, synthesize_pages, document_shapes, text_mask, conform_types,
+    sample_ids, sample_pair, sample_joint, sample_documents, sample_texts, synthesize_nested, synthesize_pages, document_shapes, text_mask, conform_types,
 )}
 
 
@@ -188,6 +194,10 @@ def _step(u: str, grid: str) -> str:
     return f"{grid}[least(floor({u} * {KNOTS}.0::DOUBLE), {KNOTS - 1})::BIGINT + 1]"
 
 
+WORDS = r"(SELECT len(regexp_split_to_array(trim(text), '\s+')) AS w FROM documents)"
+COUNT_DRAWS = draws_sql(_rows("documents"), "row", {"u": VALUE}, "row")
+WORD_DRAWS = draws_sql("places", "row", {"u": f"(i * {STREAMS * 1009} + {TEXT})"}, "row, i")
+
 UPPER, LOWER, DIGITS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ'", "'abcdefghijklmnopqrstuvwxyz'", "'0123456789'"
 
 ORACLES = {
@@ -217,6 +227,24 @@ ORACLES = {
         "(SELECT count_if(o_orderkey % 5 = 0)::DOUBLE / count(*) FROM orders)"),
     "sample_ids": f"SELECT row, row + (SELECT min(c_custkey) FROM customer) AS c_custkey, "
     f"'Aaaaaaaa#' || lpad(row::VARCHAR, 9, '0') AS c_name FROM {_rows('customer')}",
+    "sample_texts": f"""
+        WITH grid AS (SELECT array_agg(value ORDER BY i) AS g, count(DISTINCT value) > {KNOTS // 2} AS smooth
+                      FROM ({knots_sql('w', WORDS, KNOTS)})),
+        spots AS (SELECT row, u, u * {KNOTS - 1}.0::DOUBLE AS spot FROM {COUNT_DRAWS}),
+        counts AS (SELECT row, greatest(round(CASE WHEN smooth THEN g[i + 1] + (spot - i) * (g[i + 2] - g[i + 1])
+                                              ELSE {_step('u', 'g')} END)::INTEGER, 1) AS n
+                   FROM (SELECT *, least(floor(spot), {KNOTS - 2})::BIGINT AS i FROM spots), grid),
+        places AS (SELECT row, unnest(range(1, n + 1)) AS i FROM counts),
+        lengths AS (SELECT length(w) AS size, count(*) AS c
+                    FROM (SELECT unnest(regexp_split_to_array(trim(text), '\\s+')) AS w FROM documents) GROUP BY 1),
+        ends AS (SELECT size, c, sum(c) OVER (ORDER BY c DESC, size::VARCHAR) AS hi, sum(c) OVER () AS total FROM lengths),
+        drawn AS (SELECT row, i, least(floor(u * total), total - 1)::BIGINT AS p
+                  FROM {WORD_DRAWS}, (SELECT any_value(total) AS total FROM ends)),
+        made AS (SELECT row, i, translate(substr(repeat(md5(row || ':' || (i - 1) || ':{TEXT}:0'), ceil(size / 32.0)::INTEGER), 1, size),
+                                          '{HEX}', '{HEX_AS_LETTERS}') AS word
+                 FROM drawn JOIN ends ON hi - c <= p AND p < hi),
+        texts AS (SELECT row, string_agg(word, ' ' ORDER BY i) AS t FROM made GROUP BY row)
+        SELECT row, md5(t) AS text_md5, length(t) AS length FROM texts""",
     "document_shapes": r"""
         SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(text, '\p{Lu}', 'A', 'g'), '[^\P{L}A]', 'a', 'g'), '\p{Nd}', '9', 'g')) AS shape,
                length(text) AS length FROM documents""",
