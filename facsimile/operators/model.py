@@ -11,7 +11,7 @@ from typing import Any, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -233,44 +233,56 @@ def knot_scores(knots: list[float]) -> tuple[list[float], list[float], list[floa
 
 
 def normal_scores(flat: DataFrame, model: Model, names: list[str]) -> DataFrame:
-    """Columns ``z0, z1, …``: the normal score of each modelled column, null where it is null."""
+    """Columns ``z0, z1, …``: the normal score of each modelled column, null where it is null.
+
+    Spark brings each column to a number (a value, the place of a category, or a
+    score already); the tables of scores are looked up per Arrow batch.
+    """
     specs = {s["column"]: s for s in model.columns}
     types = {f.name: f.dataType for f in flat.schema.fields}
-    prepared, chosen, large = [], [], []
-    splits, inputs, outputs = [], [], []
+    prepared, large, tables = [], [], {}
     for i, name in enumerate(names):
-        spec = specs[name]
-        numeric = name in model.quantiles or spec["marginal"] == "norm"
-        prepared.append(f"{as_number_sql(quoted(name), types[name]) if numeric else f'string({quoted(name)})'} AS x{i}")
+        spec, sql = specs[name], quoted(name)
         if spec["marginal"] == "norm":
-            chosen.append(f"(x{i} - {spec['mean']!r}D) / {spec['std']!r}D AS z{i}")
-        elif numeric:
-            knots, at, between = knot_scores(model.quantiles[name])
-            splits.append([-math.inf, *knots, math.inf])
-            inputs.append(f"x{i}")
-            outputs.append(f"b{i}")
-            below = f"int(b{i})"  # distinct knots up to the value
-            chosen.append(
-                f"CASE WHEN x{i} IS NULL THEN NULL WHEN get({doubles_sql(knots)}, {below} - 1) = x{i} "
-                f"THEN get({doubles_sql(at)}, {below} - 1) ELSE get({doubles_sql(between)}, {below}) END AS z{i}"
-            )
+            number = as_number_sql(sql, types[name])
+            prepared.append(f"({number} - {spec['mean']!r}D) / {spec['std']!r}D AS x{i}")
+        elif name in model.quantiles:
+            prepared.append(f"{as_number_sql(sql, types[name])} AS x{i}")
+            tables[i] = tuple(np.asarray(a) for a in knot_scores(model.quantiles[name]))
         elif name in model.literals:
             scores = _category_scores(model.literals[name])
             ordered = sorted(scores)
-            place = count_at_most_sql(array_sql(ordered, "string"), len(ordered), f"x{i}")
-            chosen.append(f"get({doubles_sql([scores[v] for v in ordered])}, {place} - 1) AS z{i}")
+            place = count_at_most_sql(array_sql(ordered, "string"), len(ordered), f"string({sql})")
+            prepared.append(f"if({sql} IS NULL, NULL, double({place} - 1)) AS x{i}")
+            at = np.asarray([scores[v] for v in ordered])
+            tables[i] = (np.arange(len(ordered), dtype=float), at, np.append(at, at[-1]))
         else:
+            prepared.append(f"string({sql}) AS k{i}")
             large.append((i, name))
-            chosen.append(f"z{i}")
     base = flat.selectExpr(*prepared)
-    if splits:
-        bucketizer = Bucketizer(splitsArray=splits, inputCols=inputs, outputCols=outputs, handleInvalid="keep")
-        base = bucketizer.transform(base)
-    if large:
-        spread_by = [f"x{i}" for i in range(len(names))]
-        for i, name in large:
-            base = lookup_join(base, _large_scores(model, specs[name], f"x{i}", f"z{i}"), f"x{i}", spread_by)
-    return base.selectExpr(*chosen)
+    spread_by = base.columns
+    for i, name in large:
+        base = lookup_join(base, _large_scores(model, specs[name], f"k{i}", f"x{i}"), f"k{i}", spread_by)
+    size = len(names)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in range(size):
+                column = batch.column(i)
+                if i not in tables:
+                    out.append(column)
+                    continue
+                values, at, between = tables[i]
+                x = column.to_numpy(zero_copy_only=False)
+                below = np.searchsorted(values, x, side="right")
+                last = np.maximum(below - 1, 0)
+                z = np.where((below > 0) & (values[last] == x), at[last], between[np.minimum(below, len(values))])
+                out.append(pa.array(z, mask=np.isnan(x)))
+            yield pa.RecordBatch.from_arrays(out, names=[f"z{i}" for i in range(size)])
+
+    numbers = base.select(*[f"x{i}" for i in range(size)])
+    return numbers.mapInArrow(score, ", ".join(f"z{i} double" for i in range(size)))
 
 
 def _category_scores(entries: list[tuple[str, int]]) -> dict[str, float]:
