@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -21,6 +22,8 @@ CATEGORY_COUNT = 1000
 CATEGORY_LENGTH = 256
 ID_LENGTH = 64
 SCALES = (0, 1, 2, 3, 4)
+ROWS = "count(1)"
+AGGREGATE = re.compile(r"(count|count_if|min|max|avg|stddev_samp|coalesce)\(")
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONS = (T.FloatType, T.DoubleType)
@@ -56,7 +59,7 @@ def _base_sql(field: T.StructField) -> str:
 
 
 def _measures(n: int, position: int, field: T.StructField, present: bool) -> dict[str, str]:
-    """SQL aggregates over the prepared columns ``c<n>`` and ``p<n>``."""
+    """SQL aggregates over the prepared columns ``c<n>`` and ``p<n>``; what needs none is constant."""
     c, group = f"c{n}", type_class(field.dataType)
     number, text = group in ("time", "int", "wide", "number"), group == "string"
     digits = "int(NULL)"
@@ -68,9 +71,9 @@ def _measures(n: int, position: int, field: T.StructField, present: bool) -> dic
         "position": str(position),
         "type": sql_string(field.dataType.simpleString()),
         "class": f"'{group}'",
-        "rows": "count(1)",
+        "rows": ROWS,
         "nulls": f"count_if({c} IS NULL)",
-        "cells": f"count_if(p{n})" if present else "count(1)",
+        "cells": f"count_if(p{n})" if present else ROWS,
         "empty": f"count_if(p{n} AND {c} IS NULL)" if present else f"count_if({c} IS NULL)",
         "min": f"min({c})" if number else "double(NULL)",
         "max": f"max({c})" if number else "double(NULL)",
@@ -82,20 +85,21 @@ def _measures(n: int, position: int, field: T.StructField, present: bool) -> dic
     }
 
 
-def _long_form(base: DataFrame, measured: list[dict[str, str]]) -> DataFrame:
-    """One aggregate over ``base``, turned into a row per column."""
-    wide = base.selectExpr(*[f"{sql} AS `{n}_{key}`" for n, m in enumerate(measured) for key, sql in m.items()])
-    rows = [
-        "named_struct(" + ", ".join(f"'{key}', `{n}_{key}`" for key in m) + ")" for n, m in enumerate(measured)
-    ]
-    return wide.selectExpr(f"inline(array({', '.join(rows)}))")
-
-
 def _plain_measures(flat: DataFrame, block: list[tuple[int, T.StructField]], present: dict[str, str]) -> DataFrame:
+    """One aggregate over a block of columns, turned into a row per column."""
     columns = [f"{_base_sql(f)} AS c{n}" for n, (_, f) in enumerate(block)]
     columns += [f"({present[f.name]}) AS p{n}" for n, (_, f) in enumerate(block) if f.name in present]
     measured = [_measures(n, position, f, f.name in present) for n, (position, f) in enumerate(block)]
-    long = _long_form(flat.selectExpr(*columns), measured)
+    names: dict[str, str] = {ROWS: "a0"}  # each aggregate once
+    for m in measured:
+        for sql in m.values():
+            if AGGREGATE.match(sql):
+                names.setdefault(sql, f"a{len(names)}")
+    wide = flat.selectExpr(*columns).selectExpr(*[f"{sql} AS {name}" for sql, name in names.items()])
+    rows = [
+        "named_struct(" + ", ".join(f"'{key}', {names.get(sql, sql)}" for key, sql in m.items()) + ")" for m in measured
+    ]
+    long = wide.selectExpr(f"inline(array({', '.join(rows)}))")
     return long.withColumn("digits", F.expr(f"if(digits <= {SCALES[-1]}, digits, NULL)"))
 
 
