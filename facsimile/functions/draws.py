@@ -7,9 +7,6 @@ functions of (row number, stream, seed).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 MANTISSA_BITS = 52
 
 
@@ -23,9 +20,6 @@ class HashDraws:
         bits = f"(xxhash64({row}, bigint({stream}), bigint({self.seed})) & {(1 << MANTISSA_BITS) - 1}L)"
         return f"((double({bits}) + 0.5D) / {float(1 << MANTISSA_BITS)!r}D)"
 
-    def uniform(self, row: str, stream: str | int) -> Column:
-        return F.expr(self.uniform_sql(row, stream))
-
 
 class PowerDraws:
     """Uniform numbers from x^5 modulo a prime, in plain 64-bit arithmetic.
@@ -51,9 +45,6 @@ class PowerDraws:
         second = self._fifth_power(f"({first} + bigint({stream}) * {self.STREAM_FACTOR}L) % {self.PRIME}L")
         return f"((double({second}) + 0.5D) / {float(self.PRIME)!r}D)"
 
-    def uniform(self, row: str, stream: str | int) -> Column:
-        return F.expr(self.uniform_sql(row, stream))
-
 
 def make_draws(kind: str, seed: int):
     if kind == "hash":
