@@ -4,7 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from public_tokenizers import PATTERN
+from public_tokenizers import path as tokenizer_path
 
+from facsimile.llm.byte_bpe import decode_tokens, encode_texts
+from facsimile.llm.contamination import contained_items
+from facsimile.llm.dac import read_tokens, write_tokens
 from facsimile.llm.simhash import near_duplicates
 from facsimile.llm.suffix import remove_repeats
 
@@ -30,9 +35,53 @@ def op5_simhash_near_dedup(spark, sf_dir):
     return found.select("row.doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_benchmark_decontamination(spark, sf_dir):
+    found = contained_items(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("row_id").alias("doc_id"), "item_id", "n_shared", "n_item")
+
+
+def op9_addressable_codes(spark, sf_dir):
+    segments = write_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    return read_tokens(segments).select(
+        F.col("row_id").alias("doc_id"), "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+def op10_byte_bpe(spark, sf_dir):
+    ranks = tokenizer_path("byte_bpe_50k.tiktoken")
+    decoded = decode_tokens(encode_texts(_read(spark, sf_dir, "documents"), ranks, PATTERN), ranks)
+    return decoded.select(
+        "row.doc_id",
+        F.expr("length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+# Words are what ASCII white space separates; only A-Z change case.
+WORDS_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')""".replace("\\", "\")
+
+SHINGLES_SQL = """list_distinct(list_transform(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 4) END),
+    i -> array_to_string(w[i + 1:i + 5], ' ')))"""
+
+DECONTAMINATION_SQL = f"""
+WITH i AS (SELECT item_id, {SHINGLES_SQL} AS s FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark)),
+     d AS (SELECT doc_id, {SHINGLES_SQL} AS s FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)),
+     iu AS (SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM i),
+     du AS (SELECT doc_id, unnest(s) AS g FROM d)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM iu JOIN du USING (g)
+GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
+"""
+
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op9_addressable_codes": op9_addressable_codes,
+    "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op6_benchmark_decontamination": DECONTAMINATION_SQL,
+}
