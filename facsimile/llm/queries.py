@@ -59,11 +59,11 @@ def op10_byte_bpe(spark, sf_dir):
 
 
 # Words are what ASCII white space separates; only A-Z change case.
-WORDS_SQL = r"""list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
-    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '')""".replace("\\", "\")
+WORDS_SQL = r"""[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> '']"""
 
-SHINGLES_SQL = """list_distinct(list_transform(range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 4) END),
-    i -> array_to_string(w[i + 1:i + 5], ' ')))"""
+SHINGLES_SQL = """list_distinct([array_to_string(w[i + 1:i + 5], ' ')
+    FOR i IN range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 4) END)])"""
 
 DECONTAMINATION_SQL = f"""
 WITH i AS (SELECT item_id, {SHINGLES_SQL} AS s FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark)),
