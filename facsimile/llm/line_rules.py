@@ -2,8 +2,10 @@
 
 Lines are normalised (lower case, white space runs as one space, digits as 0), hashed,
 and counted by distinct documents per host. Lines that exceed both limits are
-boilerplate and are removed; a document that keeps too small a share of its words is
-rejected, as is one that fails the base rules on the text itself.
+boilerplate and are removed; a document that keeps too few of its words is rejected, as
+is one that fails the base rules on its own text.
+
+Each step is a column of its own, so that no lambda evaluates an array more than once.
 """
 
 from __future__ import annotations
@@ -11,45 +13,116 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import same_row
+from facsimile.llm.common import packed, same_row
 
 SPACE = r"[\x20\x09-\x0D]"
-WORD = r"[^\x20\x09-\x0D]+"
-SYMBOL = "[#*$%&|<>]"
-WINDOW = 8
+WORD = r"[^\x20\x09-\x0D]"
+SYMBOL = r"[#*$%&|<>]"
 
 
 def words_of(text: Column) -> Column:
     return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
 
 
-def repeated_words(words: Column, n: Column, window: int) -> Column:
-    """Words in windows found twice or more, the first one included.
+def normal_line(line: Column) -> Column:
+    return F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), f"{SPACE}+", " "), "[0-9]", "0"))
+
+
+def with_repeated_words(rows: DataFrame, window: int = 8) -> DataFrame:
+    """Adds n_repeat_words: words of ``words`` in windows found twice or more, the first one included.
+
+    Hashes of windows are sorted only in texts that repeat one; equal neighbours mark
+    their places, and a marked place covers up to ``window`` words before the next.
+    """
+    last = F.size("words") - (window - 1)
+    hashes = F.when(last > 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.xxhash64(F.slice("words", i, window))))
+    rows = rows.withColumn("hashes", hashes)
+    ordered = F.array_sort(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("ordered", F.when(F.size(F.array_distinct("hashes")) < F.size("hashes"), ordered)).drop("hashes")
+    beside = lambda j: F.get(F.col("ordered"), j).h
+    marked = F.transform(
+        "ordered", lambda s, j: F.when(beside(j - 1).eqNullSafe(s.h) | beside(j + 1).eqNullSafe(s.h), s.i)
+    )
+    rows = rows.withColumn("places", F.array_sort(F.array_compact(marked))).drop("ordered")
+    start = F.struct(F.lit(-window).alias("last"), F.lit(0).cast("bigint").alias("n"))
+    covered = F.aggregate(
+        "places",
+        start,
+        lambda a, i: F.struct(i.alias("last"), (a.n + F.least(F.lit(window), i - a.last)).cast("bigint").alias("n")),
+        lambda a: a.n,
+    )
+    return rows.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0).cast("bigint"))).drop("places")
+
+
+def base_counts(rows: DataFrame) -> DataFrame:
+    """row_id, row_copy, row with the counts on the text itself."""
+    with_word = F.filter(F.split("row_text", "\n"), lambda line: line.rlike(WORD))
+    rows = rows.withColumn("words", words_of(F.col("row_text"))).withColumn("lines", with_word)
+    counted = with_repeated_words(rows)
+    return counted.select(
+        "row_id",
+        "row_copy",
+        "row",
+        F.size("words").cast("bigint").alias("n_words"),
+        F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)).alias("word_chars"),
+        F.regexp_count("row_text", F.lit(SYMBOL)).cast("bigint").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("bigint").alias("n_dup_lines"),
+        "n_repeat_words",
+    )
+
+
+def line_words(rows: DataFrame) -> DataFrame:
+    """(host, line, row_id, row_copy, words): words of each distinct normalised line of a text."""
+    lines = F.transform(
+        F.filter(F.split("row_text", "\n"), lambda line: line.rlike(WORD)),
+        lambda line: F.struct(F.xxhash64(normal_line(line)).alias("line"), F.size(words_of(line)).alias("words")),
+    )
+    exploded = rows.select("row_id", "row_copy", "host", F.explode(lines).alias("l"))
+    return exploded.groupBy("host", F.col("l.line").alias("line"), "row_id", "row_copy").agg(F.sum("l.words").alias("words"))
+
+
+def judge_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_docs: int = 10,
+    max_per_mille: int = 1,
+    min_words: int = 20,
+    min_kept_percent: int = 50,
+    max_repeat_percent: int = 30,
+) -> DataFrame:
+    """Each row of ``docs`` as (row, base counts, base_failed, removed_share, kept).
 
-    Window hashes are sorted only in texts that repeat one; equal neighbours mark their
-    places, and each marked place covers up to ``window`` words before the next.
+    A line is removed where more than ``max_docs`` documents of the host and more than
+    ``max_per_mille`` thousandths of them have it. A document is kept if it passes the
+    base rules and its other lines hold ``min_words`` words and ``min_kept_percent`` of
+    its words or more. Null texts have no words and fail; null hosts are one host; equal
+    rows count as one document and share the verdict; null ids are one id whose texts
+    are told apart; an empty table gives an empty result. Other columns, whatever their
+    names, come back in ``row``.
     """
-    count = n - (window - 1)
-    places = F.sequence(F.lit(1), F.greatest(count, F.lit(1)).cast("int"))
-    hashes = F.when(count > 1, F.transform(places, lambda i: F.xxhash64(F.slice(words, i, window))))
-
-    def covered(h: Column) -> Column:
-        ordered = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        marked = F.filter(
-            F.transform(
-                ordered,
-                lambda s, j: F.when(
-                    (F.get(ordered, j - 1).h <=> s.h) | (F.get(ordered, j + 1).h <=> s.h), s.i
-                ),
-            ),
-            lambda i: i.isNotNull(),
-        )
-        sorted_places = F.array_sort(marked)
-        return F.aggregate(
-            sorted_places,
-            F.struct(F.lit(-window).alias("last"), F.lit(0).cast("bigint").alias("n")),
-            lambda a, i: F.struct(i.alias("last"), (a.n + F.least(F.lit(window), i - a.last)).alias("n")),
-            lambda a: a.n,
-        )
-
-    return hashes, covered
+    rows = packed(docs, id_col, text_col).withColumn("host", F.col("row")[host_col].cast("string"))
+    base = base_counts(rows)
+    lines = line_words(rows)
+    sizes = rows.select("host", "row_id", "row_copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
+    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)
+    frequent = counts.join(sizes.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).filter(
+        F.col("docs") * 1000 > F.col("host_docs") * max_per_mille
+    )
+    above = frequent.select(F.col("of").alias("above_host"), F.col("line").alias("above_line"))
+    marked = lines.join(above, (lines.line == F.col("above_line")) & lines.host.eqNullSafe(F.col("above_host")), "left")
+    gone = F.sum(F.when(F.col("above_line").isNotNull(), F.col("words")).otherwise(0))
+    verdict = marked.groupBy("row_id", "row_copy").agg(F.sum("words").alias("line_words"), gone.alias("removed_words"))
+    joined = base.join(verdict, same_row(base, verdict), "left").select(
+        *[base[c] for c in base.columns if c not in ("row_id", "row_copy")], "line_words", "removed_words"
+    )
+    failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
+    left = F.col("line_words") - F.col("removed_words")
+    enough = (left * F.col("n_words") >= F.col("line_words") * min_words) & (left * 100 >= F.col("line_words") * min_kept_percent)
+    return joined.select(
+        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        failed.alias("base_failed"),
+        F.coalesce(F.col("removed_words") / F.nullif(F.col("line_words"), F.lit(0)), F.lit(0.0)).alias("removed_share"),
+        (~failed & F.coalesce(enough, F.lit(False))).alias("kept"),
+    )

@@ -10,8 +10,11 @@ from public_tokenizers import path as tokenizer_path
 from facsimile.llm.byte_bpe import decode_tokens, encode_texts
 from facsimile.llm.contamination import contained_items
 from facsimile.llm.dac import read_tokens, write_tokens
+from facsimile.llm.labelled import fold
+from facsimile.llm.line_rules import judge_lines
 from facsimile.llm.simhash import near_duplicates
 from facsimile.llm.suffix import remove_repeats
+from facsimile.llm.toxicity import fit_toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -40,6 +43,21 @@ def op6_benchmark_decontamination(spark, sf_dir):
     return found.select(F.col("row_id").alias("doc_id"), "item_id", "n_shared", "n_item")
 
 
+def op7_line_frequency_rules(spark, sf_dir):
+    return judge_lines(_read(spark, sf_dir, "documents")).select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+def op8_toxicity(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 5) == 0
+    scored = fit_toxicity(docs, labels, held_out).score(docs).select("row.doc_id", "score")
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op9_addressable_codes(spark, sf_dir):
     segments = write_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
     return read_tokens(segments).select(
@@ -74,14 +92,39 @@ SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM iu JOIN du USING (g)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 
+LINE_RULES_SQL = r"""
+WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
+     w AS (SELECT doc_id, source, text, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS w,
+                  [x FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '[^\x20\x09-\x0D]')] AS l FROM t),
+     g AS (SELECT doc_id, p, array_to_string(w[p + 1:p + 8], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(0, len(w) - 7))) AS p FROM w)),
+     r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS n FROM g) WHERE n > 1),
+     c AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM r, range(0, 8) AS s(o) GROUP BY doc_id),
+     b AS (SELECT doc_id, source, len(w) AS n_words, coalesce(list_sum([length(x) FOR x IN w]), 0)::BIGINT AS word_chars,
+                  length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+                  coalesce(n, 0) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+     f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
+     x AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS line,
+                  len([y FOR y IN regexp_split_to_array(line, '[\x20\x09-\x0D]+') IF y <> '']) AS n FROM (SELECT doc_id, source, unnest(l) AS line FROM w)),
+     h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
+     o AS (SELECT x.source, line FROM x JOIN h ON x.source = h.source GROUP BY x.source, line, h.docs
+           HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) * 1000 > h.docs),
+     k AS (SELECT doc_id, sum(n) FILTER (o.line IS NULL) AS n FROM x LEFT JOIN o ON x.source = o.source AND x.line = o.line GROUP BY doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(k.n, 0) >= 20 AND 100 * coalesce(k.n, 0) >= 50 * n_words AS kept
+FROM f LEFT JOIN k USING (doc_id)
+"""
+
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
+    "op7_line_frequency_rules": op7_line_frequency_rules,
+    "op8_toxicity": op8_toxicity,
     "op9_addressable_codes": op9_addressable_codes,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLES = {
     "op6_benchmark_decontamination": DECONTAMINATION_SQL,
+    "op7_line_frequency_rules": LINE_RULES_SQL,
 }
