@@ -12,6 +12,7 @@ from facsimile.llm.contamination import contained_items
 from facsimile.llm.dac import read_tokens, write_tokens
 from facsimile.llm.labelled import fold
 from facsimile.llm.line_rules import judge_lines
+from facsimile.llm.quality_vote import fit_vote
 from facsimile.llm.simhash import near_duplicates
 from facsimile.llm.suffix import remove_repeats
 from facsimile.llm.toxicity import fit_toxicity
@@ -33,6 +34,15 @@ def op2_suffix_array_dedup(spark, sf_dir):
     )
 
 
+def op4_quality_vote(spark, sf_dir):
+    docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
+    held_out = fold("doc_id", 4) == 2
+    scored = fit_vote(docs, labels, held_out).score(docs).select("row.doc_id", "score")
+    return scored.select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
 def op5_simhash_near_dedup(spark, sf_dir):
     found = near_duplicates(_read(spark, sf_dir, "documents"))
     return found.select("row.doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
@@ -116,6 +126,7 @@ FROM f LEFT JOIN k USING (doc_id)
 
 QUERIES = {
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op4_quality_vote": op4_quality_vote,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_line_frequency_rules": op7_line_frequency_rules,
