@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.session import settle
+from facsimile.session import scratch_path, settle
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -32,6 +32,20 @@ def store(df: DataFrame, purpose: str) -> DataFrame:
         return settle(df, purpose)
 
 
+class Stored:
+    """A step's result in the shared folder, to be dropped when a later step has been stored."""
+
+    def __init__(self, df: DataFrame, purpose: str) -> None:
+        self.path = scratch_path(df.sparkSession, purpose)
+        with _shuffles_dropped(df.sparkSession):
+            self.df = settle(df, purpose, self.path)
+
+    def drop(self) -> None:
+        context = self.df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(self.path)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows as (row_id, row_copy, row_text, row): own names cannot clash with input columns.
 

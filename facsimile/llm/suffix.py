@@ -16,12 +16,13 @@ repeats needs of the order below that.
   into blocks of 16 windows, compared by the bytes that all windows of a block share, and
   only blocks that agree there are compared window by window. Counts are map-side
   aggregates at each step, so a passage that a third of all documents hold is one row per
-  task, and no pairs are made. Runs, blocks and windows are compared by 64-bit hashes
-  within a group of equal 64-bit suffix keys.
+  task, and no pairs are made. Runs and blocks are compared by 64-bit hashes
+  within a group of equal 64-bit keys, windows by 32 bits within such a group.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import packed, same_row, store, text_bytes
+from facsimile.llm.common import Stored, packed, same_row, text_bytes
 from facsimile.llm.rolling import BUFFER, U, all_hashes, mix, prefix_sums, sliding_minimum, substring_hash
 
 ANCHOR = 64  # bytes that pick a suffix and order it
@@ -38,7 +39,7 @@ LOWEST_ID = -(1 << 63)
 
 RUNS = "suffix long, run long, row_id long, row_copy int, start int, lead short, length short, batch int"
 BLOCKS = "suffix long, run long, row_id long, row_copy int, start int, lead short, length short"
-WINDOWS = "suffix long, run long, row_id long, row_copy int, start int"
+WINDOWS = "suffix long, run int, row_id long, row_copy int, start int"
 SPANS = "array<struct<start:int,length:int>>"
 
 
@@ -127,24 +128,32 @@ class SuffixIndex:
     """Levels of sorted suffix entries (suffix, row_id, n); level i holds 2^i batches."""
 
     def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
+        self.levels: dict[int, Stored] = {}
 
-    def add(self, runs: DataFrame) -> DataFrame:
+    def add(self, runs: DataFrame) -> Stored:
         """Enter a batch of runs; returns the suffix keys found to be repeated."""
         batch = runs.groupBy("suffix").agg(F.min("row_id").alias("row_id"), F.count(F.lit(1)).alias("n"))
-        merged, level = batch, 0
+        merged, level, old = batch, 0, []
         while level in self.levels:
-            merged = merged.unionByName(self.levels.pop(level))
+            old.append(self.levels.pop(level))
+            merged = merged.unionByName(old[-1].df)
             level += 1
         if level:
             merged = merged.groupBy("suffix").agg(F.min("row_id").alias("row_id"), F.sum("n").alias("n"))
-        merged = store(merged.sortWithinPartitions("suffix"), "suffix-level")
-        hits = merged.filter("n > 1").select("suffix")
+        new = Stored(merged.sortWithinPartitions("suffix"), "suffix-level")
+        found = new.df.filter("n > 1").select("suffix")
         for other in self.levels.values():  # merge scan: both sides are sorted by the suffix
-            hits = hits.unionByName(other.select("suffix").join(merged.select("suffix"), "suffix", "left_semi"))
-        self.levels[level] = merged
+            found = found.unionByName(other.df.select("suffix").join(new.df.select("suffix"), "suffix", "left_semi"))
+        hits = Stored(found, "suffix-hits")
+        self.levels[level] = new
+        for level in old:
+            level.drop()
         return hits
 
+    def drop(self) -> None:
+        for level in self.levels.values():
+            level.drop()
+
 
 def resolve(rows: DataFrame, group: str, kind: str) -> DataFrame:
     """Rows of repeated groups with ``whole`` (their kind repeats) and ``open`` (other kinds of the group may share a part).
@@ -244,8 +253,8 @@ def _emit_windows(window: int):
                 who = pa.array(row[run])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(group.view(np.int64)), pa.array(kind.view(np.int64)), ids.take(who), copies.take(who),
-                        pa.array((at + base - offsets[row[run]]).astype(np.int32)),
+                        pa.array(group.view(np.int64)), pa.array((kind >> U(32)).astype(np.uint32).view(np.int32)), ids.take(who),
+                        copies.take(who), pa.array((at + base - offsets[row[run]]).astype(np.int32)),
                     ],
                     names=["suffix", "run", "row_id", "row_copy", "start"],
                 )
@@ -255,23 +264,27 @@ def _emit_windows(window: int):
 
 def repeated_spans(rows: DataFrame, window: int = 200, batches: int = 4) -> DataFrame:
     """(row_id, row_copy, start, length): neighbouring windows that also start elsewhere; spans may overlap."""
-    runs = store(suffix_runs(rows, window, batches), "suffix-runs")
-    index, hits = SuffixIndex(), None
-    for number in range(batches):
-        found = index.add(runs.filter(F.col("batch") == number))
-        hits = found if hits is None else hits.unionByName(found)
-    repeated = runs.drop("batch").join(hits.distinct(), "suffix", "left_semi")
-    found = store(resolve(store(repeated, "suffix-repeated"), "suffix", "run"), "suffix-found")
-    blocks = store(_with_text(found, rows).mapInArrow(_emit_blocks(window), BLOCKS), "suffix-blocks")
-    finer = store(resolve(blocks, "suffix", "run"), "suffix-finer")
-    windows = store(_with_text(finer, rows).mapInArrow(_emit_windows(window), WINDOWS), "suffix-windows")
-    last = resolve(windows, "suffix", "run")
+    runs = Stored(suffix_runs(rows, window, batches), "suffix-runs")
+    index = SuffixIndex()
+    hits = [index.add(runs.df.filter(F.col("batch") == number)) for number in range(batches)]
+    known = reduce(DataFrame.unionByName, [h.df for h in hits]).distinct()
+    repeated = Stored(runs.df.drop("batch").join(known, "suffix", "left_semi"), "suffix-repeated")
+    for spent in (runs, index, *hits):
+        spent.drop()
+    found = Stored(resolve(repeated.df, "suffix", "run").drop("suffix", "run"), "suffix-found")
+    repeated.drop()
+    blocks = Stored(_with_text(found.df, rows).mapInArrow(_emit_blocks(window), BLOCKS), "suffix-blocks")
+    finer = Stored(resolve(blocks.df, "suffix", "run").drop("suffix", "run"), "suffix-finer")
+    blocks.drop()
+    windows = Stored(_with_text(finer.df, rows).mapInArrow(_emit_windows(window), WINDOWS), "suffix-windows")
+    last = Stored(resolve(windows.df, "suffix", "run").drop("suffix", "run"), "suffix-last")
+    windows.drop()
 
     def spans(part: DataFrame, length) -> DataFrame:
         return part.filter("whole").select("row_id", "row_copy", "start", length.cast("int").alias("length"))
 
     width = F.col("length") + (window - 1)
-    return spans(found, width).unionByName(spans(finer, width)).unionByName(spans(last, F.lit(window)))
+    return spans(found.df, width).unionByName(spans(finer.df, width)).unionByName(spans(last.df, F.lit(window)))
 
 
 def _emit_kept(batches):
