@@ -8,6 +8,7 @@ from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
 from facsimile.llm.byte_bpe import decode_tokens, encode_texts
+from facsimile.llm.chat import link_tools
 from facsimile.llm.contamination import contained_items
 from facsimile.llm.dac import read_tokens, write_tokens
 from facsimile.llm.labelled import fold
@@ -16,12 +17,66 @@ from facsimile.llm.quality_vote import fit_vote
 from facsimile.llm.simhash import near_duplicates
 from facsimile.llm.suffix import remove_repeats
 from facsimile.llm.toxicity import fit_toxicity
+from facsimile.llm.warc import derivatives
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_chat_tool_linking(spark, sf_dir):
+    """The table has no tool calls, so every turn of an assistant stands for one and the user's next turn for its result.
+
+    Ids repeat in every conversation, arguments refer to earlier calls (in every ninth
+    conversation to later ones too: a cycle), and some calls break their schema.
+    """
+    turns = _read(spark, sf_dir, "conversations")
+    conv, turn, word = F.col("conv_id"), F.col("turn"), F.regexp_extract("text", "[A-Za-z]+", 0)
+    made = turns.filter("role = 'assistant'").select(
+        "conv_id",
+        "turn",
+        F.lit(0).alias("position"),
+        F.concat(F.lit("call_"), turn.cast("string")).alias("call_id"),
+        F.when(conv % 7 == 1, "fetch").when(conv % 7 == 2, "lookup").otherwise("search").alias("name"),
+        F.concat(
+            F.lit('{ "query" : "'), word, F.lit('", "limit": '),
+            F.when(conv % 5 == 0, F.concat(F.lit('"'), F.length("text").cast("string"), F.lit('"'))).otherwise(F.length("text").cast("string")),
+            F.when(turn >= 2, F.concat(F.lit(', "after":{"$ref":"call_'), (turn - 2).cast("string"), F.lit('"}'))).otherwise(""),
+            F.when((conv % 9 == 0) & (turn < 2), F.concat(F.lit(', "after":{"$ref":"call_'), (turn + 2).cast("string"), F.lit('"}'))).otherwise(""),
+            F.when(conv % 11 == 0, "").otherwise("}"),
+        ).alias("arguments"),
+    )
+    results = turns.filter("role = 'user' AND turn > 0").select(
+        "conv_id", "turn", F.concat(F.lit("call_"), (turn - 1).cast("string")).alias("call_id"), F.col("text").alias("content")
+    )
+    tools = [("search", "query", "string", True), ("search", "limit", "integer", True), ("search", "after", "string", False)]
+    tools += [("fetch", "query", "string", True), ("fetch", "limit", "integer", False), ("fetch", "url", "string", True)]
+    schemas = spark.createDataFrame(tools, "name string, argument string, type string, required boolean")
+    return link_tools(made, results, schemas).select(
+        "conv_id", "call_id", "turn", "name", "depth", "status", F.array_join("problems", ",").alias("problems"), "json"
+    )
+
+
+def op3_warc_derivatives(spark, sf_dir):
+    """Pages as the responses of a crawl that fetched one a second."""
+    page = F.col("page_id").cast("string")
+    responses = _read(spark, sf_dir, "pages").select(
+        "page_id",
+        F.concat(F.lit("<urn:uuid:"), F.md5(F.concat_ws(" ", page, "url").cast("binary")), F.lit(">")).alias("record_id"),
+        F.col("url").alias("uri"),
+        F.date_format(F.timestamp_seconds(F.lit(1_600_000_000) + F.col("page_id")), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("date"),
+        F.create_map(F.lit("Content-Type"), F.lit("text/html; charset=utf-8"), F.lit("X-Page"), page).alias("headers"),
+        F.col("html").alias("payload"),
+    )
+    head = F.col("headers")
+    return derivatives(responses).select(
+        "row.page_id", "kind", F.col("row.record_id").alias("refers_to"), "record_id", head["WARC-Target-URI"].alias("target_uri"),
+        head["WARC-Date"].alias("date"), head["WARC-Source-Payload-Digest"].alias("source_digest"),
+        head["WARC-Block-Digest"].alias("block_digest"), F.sha1("block").alias("block_sha1"),
+        F.length("block").cast("bigint").alias("content_length"), F.size("links").cast("bigint").alias("n_links"),
+    )
+
+
 def op2_suffix_array_dedup(spark, sf_dir):
     found = remove_repeats(_read(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + s.length)
@@ -125,7 +180,9 @@ FROM f LEFT JOIN k USING (doc_id)
 """
 
 QUERIES = {
+    "op1_chat_tool_linking": op1_chat_tool_linking,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
+    "op3_warc_derivatives": op3_warc_derivatives,
     "op4_quality_vote": op4_quality_vote,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
