@@ -163,7 +163,8 @@ def resolve(rows: DataFrame, group: str, kind: str) -> DataFrame:
     owner = F.coalesce("row_id", F.lit(LOWEST_ID))
     kinds = rows.groupBy(group, kind).agg(F.count(F.lit(1)).alias("n"), F.min(owner).alias("owner"))
     groups = kinds.groupBy(group).agg(F.count(F.lit(1)).alias("k"))
-    known = kinds.join(groups, group).filter("n > 1 OR k > 1")
+    # Stored: a join of plain shuffles is one whose hot keys Spark splits.
+    known = Stored(kinds.join(groups, group).filter("n > 1 OR k > 1"), "suffix-kinds").df
     return rows.join(known, [group, kind]).select(
         *rows.columns,
         (F.col("n") > 1).alias("whole"),
@@ -267,9 +268,9 @@ def repeated_spans(rows: DataFrame, window: int = 200, batches: int = 4) -> Data
     runs = Stored(suffix_runs(rows, window, batches), "suffix-runs")
     index = SuffixIndex()
     hits = [index.add(runs.df.filter(F.col("batch") == number)) for number in range(batches)]
-    known = reduce(DataFrame.unionByName, [h.df for h in hits]).distinct()
-    repeated = Stored(runs.df.drop("batch").join(known, "suffix", "left_semi"), "suffix-repeated")
-    for spent in (runs, index, *hits):
+    known = Stored(reduce(DataFrame.unionByName, [h.df for h in hits]).distinct(), "suffix-hits")
+    repeated = Stored(runs.df.drop("batch").join(known.df, "suffix", "left_semi"), "suffix-repeated")
+    for spent in (runs, index, known, *hits):
         spent.drop()
     found = Stored(resolve(repeated.df, "suffix", "run").drop("suffix", "run"), "suffix-found")
     repeated.drop()
@@ -287,37 +288,67 @@ def repeated_spans(rows: DataFrame, window: int = 200, batches: int = 4) -> Data
     return spans(found.df, width).unionByName(spans(finer.df, width)).unionByName(spans(last.df, F.lit(window)))
 
 
-def _emit_kept(batches):
-    for batch in batches:
+def _emit_kept(whole_characters: bool):
+    def emit(batches):
+        for batch in batches:
+            yield from _kept(batch, whole_characters)
+
+    return emit
+
+
+def _kept(batch: pa.RecordBatch, whole_characters: bool):
+    if len(batch):
         data, offsets = text_bytes(batch.column("row_text"))
         lists = batch.column("spans")
-        kept, removed = [], []
-        for i in range(len(batch)):
-            own = data[offsets[i] : offsets[i + 1]]
-            spans = lists[i].as_py() or []
-            edge = np.zeros(len(own) + 1, np.int32)
-            if spans:
-                start = np.array([s["start"] for s in spans])
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + np.array([s["length"] for s in spans]), -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            change = np.diff(gone.astype(np.int8), prepend=0, append=0)
-            begin, end = np.flatnonzero(change == 1), np.flatnonzero(change == -1)
-            removed.append([{"start": int(a), "length": int(b - a)} for a, b in zip(begin, end)])
-            kept.append(own[~gone].tobytes())
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("row"), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())])))],
-            names=["row", "kept", "spans"],
-        )
+        counts = np.asarray(lists.value_lengths().fill_null(0)).astype(np.int64)
+        flat = lists.flatten()
+        start, length = (np.asarray(flat.field(i)).astype(np.int64) for i in range(2))
+        start = start + np.repeat(offsets[:-1], counts)
+        until = np.concatenate([[0], np.cumsum(counts)])
+        i = 0
+        while i < len(batch):
+            j = min(len(batch), max(i + 1, int(np.searchsorted(offsets, offsets[i] + BUFFER, side="right")) - 1))
+            spans = slice(until[i], until[j])
+            yield _cut(batch.column("row").slice(i, j - i), data, offsets[i : j + 1], start[spans], length[spans], whole_characters)
+            i = j
+
+
+def _cut(
+    rows: pa.Array, data: np.ndarray, offsets: np.ndarray, start: np.ndarray, length: np.ndarray, whole_characters: bool
+) -> pa.RecordBatch:
+    """Some rows' bytes without the spans, and the maximal removed runs of each row."""
+    base, bounds = offsets[0], offsets - offsets[0]
+    own = data[base : offsets[-1]]
+    edge = np.zeros(len(own) + 1, np.int32)
+    np.add.at(edge, start - base, 1)
+    np.add.at(edge, start - base + length, -1)
+    gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+    if whole_characters:
+        character = np.cumsum((own & 0xC0) != 0x80)
+        gone = (np.bincount(character, weights=gone) > 0)[character] if len(own) else gone
+    border = np.zeros(len(own) + 1, bool)
+    border[bounds] = True  # runs end with their row
+    first = np.flatnonzero(gone & (border[:-1] | ~np.concatenate([[False], gone[:-1]])))
+    last = np.flatnonzero(gone & (border[1:] | ~np.concatenate([gone[1:], [False]])))
+    row = np.searchsorted(bounds, first, side="right") - 1
+    kept_until = np.concatenate([[0], np.cumsum(~gone)])[bounds].astype(np.int32)
+    kept = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(kept_until.tobytes()), pa.py_buffer(own[~gone].tobytes())])
+    spans = pa.StructArray.from_arrays(
+        [pa.array((first - bounds[row]).astype(np.int32)), pa.array((last - first + 1).astype(np.int32))], names=["start", "length"]
+    )
+    ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(rows)))]).astype(np.int32)
+    return pa.RecordBatch.from_arrays([rows, kept, pa.ListArray.from_arrays(pa.array(ends), spans)], names=["row", "kept", "spans"])
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, batches: int = 4
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, batches: int = 4, whole_characters: bool = False
 ) -> DataFrame:
     """Each row of ``docs`` as (row, kept, spans): its other columns, the bytes left, the maximal removed runs.
 
     Every byte covered by a ``window``-byte string that also starts anywhere else, in the
-    same text or in another row, is removed; strings are judged on the input. Null texts
+    same text or in another row, is removed; strings are judged on the input. With
+    ``whole_characters`` a character goes when one of its bytes does, so ``kept`` is valid
+    UTF-8; without it bytes are cut as they are. Null texts
     are empty; texts shorter than ``window`` stay whole; equal rows are copies of each
     other and lose what they share; a null id is a document of its own; an empty table
     gives an empty result. Other columns, whatever their names, come back in ``row``.
@@ -329,4 +360,4 @@ def remove_repeats(
     lists = spans.groupBy("row_id", "row_copy").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     joined = rows.join(lists, same_row(rows, lists), "left").select("row_text", "row", "spans")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept binary, spans {SPANS}"
-    return joined.mapInArrow(_emit_kept, schema)
+    return joined.mapInArrow(_emit_kept(whole_characters), schema)
