@@ -144,7 +144,6 @@ def contained_items(
     item_text_col: str = "text",
     words: int = 5,
     share: float = 0.8,
-    only_rows: bool = False,
 ) -> DataFrame:
     """(row_id, row_copy, item_id, n_shared, n_item): items of which a text holds ``share`` of the distinct word shingles or more.
 
@@ -163,6 +162,13 @@ def contained_items(
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
+def without_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs`` that hold no item; rows and columns are as they were."""
+    hits = contained_items(docs, benchmark, id_col, text_col, **options).select("row_id", "row_copy").distinct()
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    return docs.join(hits, F.col(id_col).cast("bigint").eqNullSafe(hits.row_id) & (F.hash(text) == hits.row_copy), "left_anti")
+
+
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words: int, share: float):
     held = []
     items = benchmark.select(F.col(item_col).cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))

@@ -85,21 +85,42 @@ def near_links(prints: DataFrame, distance: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3
 ) -> DataFrame:
-    """Each row of ``docs`` as (row, row_text, print, component_id): the smallest id reachable over links.
-
-    Fingerprints link at ``distance`` or fewer differing bits; equal ones always do. Null
-    texts are empty; texts without words have the fingerprint zero, linked like any
-    other; shorter texts than ``words`` are one shingle. Null ids take part and get the
-    smallest id of their component, null if it holds none. Equal rows agree in all.
-    Other columns, whatever their names, come back in ``row``.
+    """Each row of ``docs`` as (row, row_text, print, component_id, group, first, copies).
+
+    ``component_id`` is the smallest id reachable over links, ``group`` the component's
+    smallest fingerprint. Fingerprints link at ``distance`` or fewer differing bits; equal
+    ones always do. ``first`` marks the row that stands for its component: the smallest id,
+    of equal ids the smallest text hash; ``copies`` counts rows equal in id and text, which
+    agree in all columns. Null texts are empty; texts without words have the fingerprint
+    zero, linked like any other; shorter texts than ``words`` are one shingle. Null ids
+    take part and come last; a component of null ids has a null ``component_id``. An
+    empty table gives an empty result. Other columns, whatever their names, come back in
+    ``row``.
     """
     rows = packed(docs, id_col, text_col)
     keyed = store(fingerprints(rows, words), "simhash")
-    distinct = keyed.groupBy("print").agg(F.min("row_id").alias("smallest"))
+    place = F.struct(F.col("row_id").isNull().alias("no_id"), "row_id", "row_copy")
+    distinct = keyed.groupBy("print").agg(F.min(place).alias("smallest"))
     member = components(near_links(distinct.select("print"), distance))
-    named = distinct.join(member, distinct.print == member.node, "left")
-    class_of = F.coalesce("component", "print")
-    owners = named.groupBy(class_of.alias("class")).agg(F.min("smallest").alias("component_id"))
-    by_print = named.select("print", class_of.alias("class")).join(owners, "class").select("print", "component_id")
-    labelled = keyed.distinct().join(by_print, "print")
-    return rows.join(labelled, same_row(rows, labelled)).select(rows.row, rows.row_text, "print", "component_id")
+    named = distinct.join(member, distinct.print == member.node, "left").select(
+        "print", "smallest", F.coalesce("component", "print").alias("group")
+    )
+    owners = named.groupBy("group").agg(F.min("smallest").alias("owner"))
+    by_print = store(named.select("print", "group").join(owners, "group"), "simhash-groups")
+    counted = keyed.groupBy("print", "row_id", "row_copy").agg(F.count(F.lit(1)).alias("copies"))
+    labelled = counted.join(by_print, "print")
+    return rows.join(labelled, same_row(rows, labelled)).select(
+        rows.row,
+        rows.row_text,
+        "print",
+        F.col("owner.row_id").alias("component_id"),
+        "group",
+        (rows.row_id.eqNullSafe(F.col("owner.row_id")) & (rows.row_copy == F.col("owner.row_copy"))).alias("first"),
+        "copies",
+    )
+
+
+def one_of_each(found: DataFrame) -> DataFrame:
+    """One row of each component of ``near_duplicates``; only rows that have equal copies are shuffled for it."""
+    first = found.filter("first")
+    return first.filter("copies = 1").unionByName(first.filter("copies > 1").dropDuplicates(["group"]))
