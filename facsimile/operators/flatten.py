@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.functions.nested import iso_text, quoted
-from facsimile.plans.shape import INDEX_STYLES, LENGTH, NULL_FLAG, Node, Plan
+from facsimile.plans.shape import INDEX_STYLES, ITEM, LENGTH, NULL_FLAG, Plan
 
 WIDTH_LIMIT = 10_000
 
@@ -38,32 +38,30 @@ def flat_fields(plan: Plan, index_style: str = "__i", lengths: bool = False, nul
         raise ValueError(f"index_style must be one of {sorted(INDEX_STYLES)}")
     indexed = INDEX_STYLES[index_style]
 
-    def walk(name: str, node: Node, value: str, present: str | None) -> Iterator[FlatField]:
-        if node.kind == "struct":
-            flagged = node.nullable_struct and null_flags
-            if flagged:
-                yield FlatField(name + NULL_FLAG, f"{value} IS NULL", T.BooleanType(), present)
-            inner = _both(present, f"coalesce(NOT {quoted(name + NULL_FLAG)}, false)") if flagged else present
-            for key, child in node.children.items():
-                yield from walk(f"{name}.{key}", child, f"{value}.{quoted(key)}", inner)
-        elif node.kind == "array":
-            flagged = node.nullable_array and null_flags
-            if flagged:
-                yield FlatField(name + NULL_FLAG, f"{value} IS NULL", T.BooleanType(), present)
-            filled = _both(present, f"coalesce(NOT {quoted(name + NULL_FLAG)}, false)") if flagged else present
-            if lengths:
-                yield FlatField(name + LENGTH, f"array_size({value})", T.IntegerType(), filled)
-            for i in range(node.max_elements):
-                place, item = indexed.format(base=name, i=i), f"get({value}, {i})"
-                here = _both(filled, f"coalesce({quoted(name + LENGTH)} > {i}, false)") if lengths else filled
-                if plan.deep:
-                    yield from walk(place, node.element, item, here)
-                else:
-                    yield FlatField(place, item, node.element.dtype, here)
-        else:
-            yield FlatField(name, value, node.dtype, present)
-
-    fields = [f for name, node in plan.columns.items() for f in walk(name, node, quoted(name), None)]
+    def walk(name: str, place: str, dtype: T.DataType, value: str, present: str | None) -> Iterator[FlatField]:
+        branch = plan.branches(place, dtype)
+        if branch is None:
+            yield FlatField(name, value, dtype, present)
+            return
+        extent = plan.extent(place)
+        if extent.nulls and null_flags:
+            yield FlatField(name + NULL_FLAG, f"{value} IS NULL", T.BooleanType(), present)
+            present = _both(present, f"coalesce(NOT {quoted(name + NULL_FLAG)}, false)")
+        if isinstance(branch, T.StructType):
+            for f in branch.fields:
+                yield from walk(f"{name}.{f.name}", f"{place}.{f.name}", f.dataType, f"{value}.{quoted(f.name)}", present)
+            return
+        if lengths:
+            yield FlatField(name + LENGTH, f"array_size({value})", T.IntegerType(), present)
+        for i in range(extent.width):
+            item, at = indexed.format(base=name, i=i), f"get({value}, {i})"
+            here = _both(present, f"coalesce({quoted(name + LENGTH)} > {i}, false)") if lengths else present
+            if plan.deep:
+                yield from walk(item, f"{place}.{ITEM}", branch.elementType, at, here)
+            else:
+                yield FlatField(item, at, branch.elementType, here)
+
+    fields = [f for c in plan.schema.fields for f in walk(c.name, c.name, c.dataType, quoted(c.name), None)]
     seen: set[str] = set()
     for f in fields:
         if f.name in seen:

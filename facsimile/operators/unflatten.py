@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from facsimile.functions.nested import column, nullable, quoted, reproject
 from facsimile.functions.search import sql_string
-from facsimile.plans.shape import INDEX_STYLES, LENGTH, NULL_FLAG, Node, Plan
+from facsimile.plans.shape import INDEX_STYLES, ITEM, LENGTH, NULL_FLAG, Plan
 
 ARRAY_MODES = ("compact", "pad", "length")
 
@@ -28,7 +28,7 @@ def unflatten(
     ``null_structs="expand"`` ignores struct flags (a null struct comes back as
     a struct of nulls).
     """
-    if plan is None or not plan.columns:
+    if plan is None or not plan.schema.fields:
         raise ValueError("unflatten needs a plan: call infer_plan first or load a saved one")
     if arrays not in ARRAY_MODES:
         raise ValueError(f"arrays must be one of {ARRAY_MODES}")
@@ -37,45 +37,49 @@ def unflatten(
     types = {f.name: f.dataType for f in flat.schema.fields}
     indexed = INDEX_STYLES[index_style]
 
-    def known(name: str, node: Node) -> bool:
+    def known(name: str, place: str, dtype: T.DataType) -> bool:
         if name in types or name + NULL_FLAG in types:
             return True
-        if node.kind == "struct":
-            return any(known(f"{name}.{k}", c) for k, c in node.children.items())
-        if node.kind == "array":
-            return any(known(indexed.format(base=name, i=i), node.element) for i in range(node.max_elements))
+        branch = plan.branches(place, dtype)
+        if isinstance(branch, T.StructType):
+            return any(known(f"{name}.{f.name}", f"{place}.{f.name}", f.dataType) for f in branch.fields)
+        if isinstance(branch, T.ArrayType):
+            items = (indexed.format(base=name, i=i) for i in range(plan.extent(place).width))
+            return any(known(n, f"{place}.{ITEM}", branch.elementType) for n in items)
         return False
 
     def flagged(name: str, value: str) -> str:
         return f"if({quoted(name + NULL_FLAG)}, NULL, {value})" if name + NULL_FLAG in types else value
 
-    def build(name: str, node: Node) -> str:
-        if node.kind == "struct":
-            parts = ", ".join(f"{sql_string(k)}, {build(f'{name}.{k}', c)}" for k, c in node.children.items())
-            value = f"named_struct({parts})"
-            return value if null_structs == "expand" else flagged(name, value)
-        if node.kind == "array":
-            return build_array(name, node)
-        return leaf(name, node.dtype)
+    def build(name: str, place: str, dtype: T.DataType) -> str:
+        branch = plan.branches(place, dtype)
+        if branch is None:
+            return leaf(name, dtype)
+        if isinstance(branch, T.ArrayType):
+            return build_array(name, place, branch)
+        parts = [f"{sql_string(f.name)}, {build(f'{name}.{f.name}', f'{place}.{f.name}', f.dataType)}" for f in branch.fields]
+        value = f"named_struct({', '.join(parts)})"
+        return value if null_structs == "expand" else flagged(name, value)
 
-    def build_array(name: str, node: Node) -> str:
-        places = [indexed.format(base=name, i=i) for i in range(node.max_elements)]
+    def build_array(name: str, place: str, dtype: T.ArrayType) -> str:
+        extent, below, element = plan.extent(place), f"{place}.{ITEM}", dtype.elementType
+        names = [indexed.format(base=name, i=i) for i in range(extent.width)]
         if arrays == "compact":
-            places = [p for p in places if known(p, node.element)]
-        items = [build_item(p, node.element) if plan.deep else leaf(p, node.element.dtype) for p in places]
+            names = [n for n in names if known(n, below, element)]
+        items = [build_item(n, below, element) if plan.deep else leaf(n, element) for n in names]
         value = f"array({', '.join(items)})"
         if arrays == "pad":
             return value
         if arrays == "length":
             if name + LENGTH in types:
-                value = f"slice({value}, 1, greatest(least(int({quoted(name + LENGTH)}), {len(places)}), 0))"
-        elif not node.nullable_elements:
+                value = f"slice({value}, 1, greatest(least(int({quoted(name + LENGTH)}), {len(names)}), 0))"
+        elif not extent.null_items:
             value = f"filter({value}, x -> x IS NOT NULL)"
         return flagged(name, value)
 
-    def build_item(name: str, node: Node) -> str:
-        value = build(name, node)
-        if arrays != "compact" or node.kind != "struct" or name + NULL_FLAG in types:
+    def build_item(name: str, place: str, dtype: T.DataType) -> str:
+        value = build(name, place, dtype)
+        if arrays != "compact" or not isinstance(plan.branches(place, dtype), T.StructType) or name + NULL_FLAG in types:
             return value
         # No flag and no length: an element of which nothing is set is a missing one.
         parts = [f"{quoted(n)} IS NOT NULL" for n in types if n.startswith(f"{name}.") and not n.endswith(NULL_FLAG)]
@@ -89,6 +93,6 @@ def unflatten(
         return quoted(name)
 
     reshaped: dict[str, Column] = {}
-    texts = {n: build(n, node) for n, node in plan.columns.items()}
+    texts = {c.name: build(c.name, c.name, c.dataType) for c in plan.schema.fields}
     ready = flat.withColumns(reshaped) if reshaped else flat
-    return ready.select(*[F.expr(texts[n]).cast(nullable(node.dtype)).alias(n) for n, node in plan.columns.items()])
+    return ready.select(*[F.expr(texts[c.name]).cast(nullable(c.dataType)).alias(c.name) for c in plan.schema.fields])

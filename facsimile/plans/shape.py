@@ -1,11 +1,11 @@
-"""The flatten plan: the shape of every column, with array widths and null flags."""
+"""The flatten plan: a Spark schema, and what one aggregate measured at its nested places."""
 
 from __future__ import annotations
 
 import json
 import re
 from dataclasses import dataclass, field
-from typing import Any, Iterable
+from typing import Iterable, Iterator, NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +14,18 @@ from pyspark.sql import types as T
 from facsimile.functions.nested import column
 
 INDEX_STYLES = {"__i": "{base}__{i}", "[i]": "{base}[{i}]"}
+INDEX_SUFFIX = {"__i": re.compile(r"^(.+)__(\d+)$"), "[i]": re.compile(r"^(.+)\[(\d+)\]$")}
 NULL_FLAG = "._is_null"
 LENGTH = "._len"
-INDEXED = re.compile(r"^(.+)__(\d+)$")
+ITEM = "_item"  # stands for an array's element in a place such as ``items._item.price``
+
+
+class Extent(NamedTuple):
+    """Measured at a struct or an array: nulls at all, items at most, null items at all."""
+
+    nulls: bool = False
+    width: int = 0
+    null_items: bool = False
 
 
 def type_label(dtype: T.DataType) -> str:
@@ -32,79 +41,46 @@ def type_label(dtype: T.DataType) -> str:
     return "object"
 
 
-def _type_to_json(dtype: T.DataType) -> Any:
-    return T.StructType([T.StructField("v", dtype)]).jsonValue()
-
-
-def _type_from_json(data: Any) -> T.DataType:
-    return T.StructType.fromJson(data).fields[0].dataType
-
-
-@dataclass
-class Node:
-    """One level of the shape: ``scalar``, ``struct`` or ``array``."""
-
-    kind: str
-    dtype: T.DataType
-    children: dict[str, "Node"] = field(default_factory=dict)
-    element: "Node | None" = None
-    max_elements: int = 0
-    nullable_array: bool = False
-    nullable_elements: bool = False
-    nullable_struct: bool = False
-
-    @property
-    def label(self) -> str:
-        return type_label(self.dtype)
-
-    def to_dict(self) -> dict[str, Any]:
-        data: dict[str, Any] = {"kind": self.kind, "label": self.label, "type": _type_to_json(self.dtype)}
-        if self.kind == "struct":
-            data["children"] = {k: v.to_dict() for k, v in self.children.items()}
-            data["nullable_struct"] = self.nullable_struct
-        if self.kind == "array":
-            data["element"] = self.element.to_dict()
-            data["max_elements"] = self.max_elements
-            data["nullable_array"] = self.nullable_array
-            data["nullable_elements"] = self.nullable_elements
-        return data
-
-    @classmethod
-    def from_dict(cls, data: dict[str, Any]) -> "Node":
-        return cls(
-            kind=data["kind"],
-            dtype=_type_from_json(data["type"]),
-            children={k: cls.from_dict(v) for k, v in data.get("children", {}).items()},
-            element=cls.from_dict(data["element"]) if "element" in data else None,
-            max_elements=data.get("max_elements", 0),
-            nullable_array=data.get("nullable_array", False),
-            nullable_elements=data.get("nullable_elements", False),
-            nullable_struct=data.get("nullable_struct", False),
-        )
+def places(schema: T.StructType, whole: Iterable[str] = ()) -> Iterator[tuple[str, T.DataType]]:
+    """Every place of a schema with its type, parents first; nothing below the ``whole`` ones."""
+    pending = [(f.name, f.dataType) for f in reversed(schema.fields)]
+    stop = set(whole)
+    while pending:
+        place, dtype = pending.pop()
+        yield place, dtype
+        if place in stop:
+            continue
+        if isinstance(dtype, T.StructType):
+            pending += [(f"{place}.{f.name}", f.dataType) for f in reversed(dtype.fields)]
+        elif isinstance(dtype, T.ArrayType):
+            pending.append((f"{place}.{ITEM}", dtype.elementType))
 
 
 @dataclass
 class Plan:
-    columns: dict[str, Node]
-    deep: bool = False
+    """``whole`` places are carried as they are; ``deep`` plans flatten array elements too."""
 
-    @property
-    def schema(self) -> T.StructType:
-        return T.StructType([T.StructField(n, node.dtype) for n, node in self.columns.items()])
+    schema: T.StructType
+    extents: dict[str, Extent] = field(default_factory=dict)
+    whole: frozenset[str] = frozenset()
+    deep: bool = False
 
-    def to_dict(self) -> dict[str, Any]:
-        return {"deep": self.deep, "columns": {n: node.to_dict() for n, node in self.columns.items()}}
+    def extent(self, place: str) -> Extent:
+        return self.extents.get(place, Extent())
 
-    @classmethod
-    def from_dict(cls, data: dict[str, Any]) -> "Plan":
-        return cls({n: Node.from_dict(d) for n, d in data["columns"].items()}, data.get("deep", False))
+    def branches(self, place: str, dtype: T.DataType) -> T.DataType | None:
+        """The type if the place is taken apart, None if it is a leaf."""
+        return dtype if isinstance(dtype, (T.StructType, T.ArrayType)) and place not in self.whole else None
 
     def to_json(self) -> str:
-        return json.dumps(self.to_dict())
+        measured = {place: list(e) for place, e in self.extents.items()}
+        return json.dumps({"schema": self.schema.jsonValue(), "extents": measured, "whole": sorted(self.whole), "deep": self.deep})
 
     @classmethod
     def from_json(cls, text: str) -> "Plan":
-        return cls.from_dict(json.loads(text))
+        data = json.loads(text)
+        extents = {place: Extent(*e) for place, e in data["extents"].items()}
+        return cls(T.StructType.fromJson(data["schema"]), extents, frozenset(data["whole"]), data["deep"])
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(self.to_json(),)], "plan string").coalesce(1).write.mode("overwrite").json(path)
@@ -117,21 +93,13 @@ class Plan:
         return cls.from_json(rows[0]["plan"])
 
     def rows(self, spark: SparkSession) -> DataFrame:
-        """The plan as a small table, one row per node."""
-        out: list[tuple] = []
-
-        def visit(path: str, node: Node) -> None:
-            out.append(
-                (path, node.kind, node.label, node.max_elements, node.nullable_array,
-                 node.nullable_elements, node.nullable_struct)
-            )
-            for key, child in node.children.items():
-                visit(f"{path}.{key}", child)
-            if node.element is not None:
-                visit(f"{path}._item", node.element)
-
-        for name, node in self.columns.items():
-            visit(name, node)
+        """The plan as a small table, one row per place."""
+        out = []
+        for place, dtype in places(self.schema, self.whole):
+            e, branch = self.extent(place), self.branches(place, dtype)
+            array = isinstance(branch, T.ArrayType)
+            kind = "array" if array else "struct" if branch else "scalar"
+            out.append((place, kind, type_label(dtype), e.width, e.nulls and array, e.null_items, e.nulls and not array))
         return spark.createDataFrame(
             out,
             "path string, kind string, label string, max_elements int, nullable_array boolean, "
@@ -139,27 +107,24 @@ class Plan:
         )
 
 
-class _Measures:
-    """Aggregates asked for while walking the schema; all run in one pass."""
-
-    def __init__(self) -> None:
-        self.aggregates: list[Column] = []
-        self.setters: list[tuple[Node, str, type]] = []
-
-    def ask(self, node: Node, attribute: str, value: Column, kind: type) -> None:
-        self.aggregates.append(F.max(value).alias(f"m{len(self.aggregates)}"))
-        self.setters.append((node, attribute, kind))
-
-    def run(self, df: DataFrame) -> None:
-        if not self.aggregates:
-            return
-        result = df.agg(*self.aggregates).first()
-        for i, (node, attribute, kind) in enumerate(self.setters):
-            setattr(node, attribute, kind(result[f"m{i}"] or 0))
+def _field_of_each(values: Column, name: str) -> Column:
+    return F.transform(values, lambda x: x.getField(name))
 
 
-def _each_field(values: Column, name: str) -> Column:
-    return F.transform(values, lambda x: x.getField(name))
+def _measures(place: str, dtype: T.DataType, value: Column, inside: bool, whole: frozenset[str]) -> Iterator[tuple[str, str, Column]]:
+    """(place, measure, value) of all nested places; inside arrays ``value`` holds all values at the place."""
+    if place in whole or not isinstance(dtype, (T.StructType, T.ArrayType)):
+        return
+    yield place, "nulls", F.exists(value, lambda x: x.isNull()) if inside else value.isNull()
+    if isinstance(dtype, T.StructType):
+        for f in dtype.fields:
+            child = _field_of_each(value, f.name) if inside else value.getField(f.name)
+            yield from _measures(f"{place}.{f.name}", f.dataType, child, inside, whole)
+    else:
+        yield place, "width", F.array_max(F.transform(value, F.array_size)) if inside else F.array_size(value)
+        items = F.flatten(F.filter(value, lambda x: x.isNotNull())) if inside else value
+        yield place, "null_items", F.exists(items, lambda x: x.isNull())
+        yield from _measures(f"{place}.{ITEM}", dtype.elementType, items, True, whole)
 
 
 def infer_plan(df: DataFrame, keep_nested: Iterable[str] = (), deep: bool = False) -> Plan:
@@ -168,99 +133,62 @@ def infer_plan(df: DataFrame, keep_nested: Iterable[str] = (), deep: bool = Fals
     ``keep_nested`` names columns (dotted paths) carried whole. With ``deep``
     the elements of arrays are flattened too, not only structs.
     """
-    keep = set(keep_nested)
-    measures = _Measures()
-
-    def walk(path: str, dtype: T.DataType, value: Column, inside: bool) -> Node:
-        # Inside an array, ``value`` is an array of all values at this node.
-        if path in keep:
-            return Node("scalar", dtype)
-        if isinstance(dtype, T.StructType):
-            node = Node("struct", dtype)
-            missing = F.exists(value, lambda x: x.isNull()) if inside else value.isNull()
-            measures.ask(node, "nullable_struct", missing, bool)
-            for f in dtype.fields:
-                child = (
-                    _each_field(value, f.name) if inside else value.getField(f.name)
-                )
-                node.children[f.name] = walk(f"{path}.{f.name}", f.dataType, child, inside)
-            return node
-        if isinstance(dtype, T.ArrayType):
-            node = Node("array", dtype)
-            if inside:
-                measures.ask(node, "max_elements", F.array_max(F.transform(value, F.array_size)), int)
-                measures.ask(node, "nullable_array", F.exists(value, lambda x: x.isNull()), bool)
-                items = F.flatten(F.filter(value, lambda x: x.isNotNull()))
-            else:
-                measures.ask(node, "max_elements", F.array_size(value), int)
-                measures.ask(node, "nullable_array", value.isNull(), bool)
-                items = value
-            measures.ask(node, "nullable_elements", F.exists(items, lambda x: x.isNull()), bool)
-            node.element = walk(f"{path}._item", dtype.elementType, items, True)
-            return node
-        return Node("scalar", dtype)
-
-    columns = {f.name: walk(f.name, f.dataType, column(f.name), False) for f in df.schema.fields}
-    measures.run(df)
-    return Plan(columns, deep)
-
-
-def array_groups(names: Iterable[str]) -> dict[str, dict[str, Any]]:
-    """Array columns recovered from flat names ``base__i``."""
-    groups: dict[str, list[tuple[int, str]]] = {}
-    for name in names:
-        found = INDEXED.match(name)
-        if found:
-            groups.setdefault(found.group(1), []).append((int(found.group(2)), name))
-    return {
-        base: {
-            "max_index": max(items)[0],
-            "num_elements": max(items)[0] + 1,
-            "columns": [name for _, name in sorted(items)],
-        }
-        for base, items in groups.items()
+    whole = frozenset(keep_nested)
+    asked = [m for f in df.schema.fields for m in _measures(f.name, f.dataType, column(f.name), False, whole)]
+    found = df.agg(*[F.max(value).alias(f"m{i}") for i, (_, _, value) in enumerate(asked)]).first() if asked else []
+    extents: dict[str, Extent] = {}
+    for (place, measure, _), value in zip(asked, found):
+        known = int(value or 0) if measure == "width" else bool(value)
+        extents[place] = extents.get(place, Extent())._replace(**{measure: known})
+    return Plan(df.schema, extents, whole, deep)
+
+
+def array_groups(names: Iterable[str], index_style: str = "__i") -> dict[str, list[str]]:
+    """The columns of each array among flat names, in index order."""
+    found = [(m[1], int(m[2]), name) for name in names if (m := INDEX_SUFFIX[index_style].match(name))]
+    groups: dict[str, list[str]] = {}
+    for base, _, name in sorted(found, key=lambda entry: entry[:2]):
+        groups.setdefault(base, []).append(name)
+    return groups
+
+
+def _steps(name: str, index_style: str) -> tuple[str | int, ...]:
+    """A flat name as keys (text) and indexes (numbers): ``a.v__0.x`` is a, v, 0, x."""
+    out: list[str | int] = []
+    for part in name.split("."):
+        indexes = []
+        while found := INDEX_SUFFIX[index_style].match(part):
+            part, index = found.groups()
+            indexes.insert(0, int(index))
+        out += [part, *indexes]
+    return tuple(out)
+
+
+def plan_from_names(schema: T.StructType, index_style: str = "__i") -> Plan:
+    """A plan for flat data that came without one: dots make structs, indexes arrays, at any depth."""
+    extents: dict[str, Extent] = {}
+    flags = {_steps(n[: -len(NULL_FLAG)], index_style) for n in schema.names if n.endswith(NULL_FLAG)}
+    leaves = {
+        _steps(f.name, index_style): f.dataType for f in schema.fields if not f.name.endswith((NULL_FLAG, LENGTH))
     }
 
-
-def plan_from_names(schema: T.StructType) -> Plan:
-    """A plan for flat data that came without one: dots make structs, ``__i`` arrays."""
-    types = {f.name: f.dataType for f in schema.fields}
-    groups = array_groups(types)
-    flags = {n[: -len(NULL_FLAG)] for n in types if n.endswith(NULL_FLAG)}
-    lengths = {n[: -len(LENGTH)] for n in types if n.endswith(LENGTH)}
-    members = {m for g in groups.values() for m in g["columns"]}
-    leaves: dict[str, Node] = {}
-    for name, dtype in types.items():
-        found = INDEXED.match(name)
-        if found and found.group(1) in groups:
-            base = found.group(1)
-            leaves.setdefault(
-                base,
-                Node("array", T.ArrayType(dtype), element=Node("scalar", dtype),
-                     max_elements=groups[base]["num_elements"], nullable_array=base in flags),
-            )
-        elif name not in members and not (
-            (name.endswith(NULL_FLAG) and name[: -len(NULL_FLAG)] in flags)
-            or (name.endswith(LENGTH) and name[: -len(LENGTH)] in lengths)
-        ):
-            leaves[name] = Node("scalar", dtype)
-
-    roots: dict[str, Node] = {}
-    for path, leaf in leaves.items():
-        parts = path.split(".")
-        level, prefix = roots, ""
-        for part in parts[:-1]:
-            prefix = f"{prefix}.{part}" if prefix else part
-            if part not in level:
-                level[part] = Node("struct", T.StructType(), nullable_struct=prefix in flags)
-            level = level[part].children
-        level[parts[-1]] = leaf
-
-    def close(node: Node) -> Node:
-        if node.kind == "struct":
-            for child in node.children.values():
-                close(child)
-            node.dtype = T.StructType([T.StructField(k, c.dtype) for k, c in node.children.items()])
-        return node
-
-    return Plan({n: close(node) for n, node in roots.items()})
+    def typed(place: str, below: dict[tuple, T.DataType], nulls: set[tuple]) -> T.DataType:
+        """The type of a place from the names below it; ``nulls`` holds the flags at and below it."""
+        if () in below:
+            return below[()]
+        firsts = list(dict.fromkeys(steps[0] for steps in below))
+        parts = {k: {s[1:]: t for s, t in below.items() if s[0] == k} for k in firsts}
+        marks = {k: {s[1:] for s in nulls if s and s[0] == k} for k in firsts}
+        if all(isinstance(k, int) for k in firsts):
+            merged: dict[tuple, T.DataType] = {}
+            for part in parts.values():
+                merged |= part
+            extents[place] = Extent(() in nulls, max(firsts) + 1)
+            return T.ArrayType(typed(f"{place}.{ITEM}", merged, set().union(*marks.values())))
+        if place:
+            extents[place] = Extent(() in nulls)
+        return T.StructType([T.StructField(str(k), typed(f"{place}.{k}" if place else k, parts[k], marks[k])) for k in firsts])
+
+    root = typed("", leaves, flags) if leaves else T.StructType()
+    deep = any(isinstance(k, int) for steps in leaves for k in steps[:-1])
+    return Plan(root, extents, frozenset(), deep)

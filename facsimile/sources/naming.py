@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from pathlib import PurePosixPath
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_NAMESPACE = "wb"
-
 # File extension and MIME type of each output format.
 FILE_FORMATS = {
     "csv": (".csv", "text/csv"),
@@ -17,8 +13,8 @@ FILE_FORMATS = {
 }
 
 
-def record_namespace(name: Column, default: str = DEFAULT_NAMESPACE) -> Column:
-    """Everything before the last dot of a record name, or the default."""
+def record_namespace(name: Column, default: str) -> Column:
+    """Everything before the last dot of a record name, or ``default``."""
     return F.when(F.contains(name, F.lit(".")), F.regexp_extract(name, r"^(.*)\.[^.]*$", 1)).otherwise(
         F.when(F.length(name) > 0, F.lit(default))
     )
@@ -40,16 +36,12 @@ def engine_table(fqn: Column, catalog: str) -> Column:
 
 
 def file_path(filename: str, format: str, prefix: str | None = None) -> str:
-    """``prefix/filename.ext``; an extension that is there already is replaced.
-
-    A bare name loses its folders, a name with an extension keeps them.
-    """
+    """``prefix/folders/filename.ext``: the last extension is replaced by the format's, folders stay."""
     if format not in FILE_FORMATS:
         raise ValueError(f"format must be one of {sorted(FILE_FORMATS)}")
-    extension = FILE_FORMATS[format][0]
-    path = PurePosixPath(filename)
-    full = str(path.with_suffix(extension)) if path.suffix else f"{path.name}{extension}"
-    return f"{prefix}/{full}" if prefix else full
+    folders, _, name = filename.strip("/").rpartition("/")
+    stem = name.rpartition(".")[0] or name  # a leading dot begins a name, not an extension
+    return "/".join(part for part in (prefix, folders, stem + FILE_FORMATS[format][0]) if part)
 
 
 def table_location(warehouse: str, namespace: str, table: str) -> str:

@@ -31,8 +31,7 @@ def test_index_style(spark):
 def test_null_and_empty_lists(spark):
     df = spark.createDataFrame([(1, [1, 2, 3]), (2, []), (3, None)], "id bigint, v array<bigint>")
     plan = infer_plan(df)
-    node = plan.columns["v"]
-    assert (node.max_elements, node.nullable_array, node.nullable_elements) == (3, True, False)
+    assert plan.extent("v") == (True, 3, False)
     flat = flatten(df, plan)
     assert "v._is_null" in flat.columns
     assert rows(unflatten(flat, plan), "id") == [(1, [1, 2, 3]), (2, []), (3, None)]
@@ -41,7 +40,7 @@ def test_null_and_empty_lists(spark):
 def test_null_elements_stay(spark):
     df = spark.createDataFrame([(1, [1, 2, None]), (2, [4, 5, 6])], "id bigint, v array<bigint>")
     plan = infer_plan(df)
-    assert plan.columns["v"].nullable_elements
+    assert plan.extent("v").null_items
     assert rows(unflatten(flatten(df, plan), plan), "id") == rows(df, "id")
 
 
@@ -70,7 +69,7 @@ def test_matrix_and_list_of_structs_stay_whole(spark):
     flat = flatten(df, plan)
     assert flat.columns == ["id", "m__0", "m__1", "s__0", "s__1"]
     assert rows(unflatten(flat, plan), "id") == rows(df, "id")
-    assert plan.columns["m"].element.max_elements == 2
+    assert plan.extent("m._item").width == 2
 
 
 def test_deep(spark):
@@ -124,7 +123,7 @@ def test_empty_table(spark):
 def test_map_and_void_carried(spark):
     df = spark.sql("SELECT 1 AS id, map('a', 1) AS m, NULL AS n")
     plan = infer_plan(df)
-    assert plan.columns["n"].label == "null"
+    assert [r.label for r in plan.rows(spark).collect()] == ["int64", "object", "null"]
     assert rows(unflatten(flatten(df, plan), plan), "id") == [(1, {"a": 1}, None)]
 
 
@@ -146,8 +145,8 @@ def test_unflatten_needs_a_plan(spark):
 
 def test_array_groups_and_names(spark):
     groups = array_groups(["id", "v__10", "v__2", "v__x", "a.b__0"])
-    assert groups["v"] == {"max_index": 10, "num_elements": 11, "columns": ["v__2", "v__10"]}
-    assert groups["a.b"]["num_elements"] == 1 and "v__x" not in groups
+    assert groups == {"v": ["v__2", "v__10"], "a.b": ["a.b__0"]}
+    assert array_groups(["v[1]", "v[0]", "v__0"], "[i]") == {"v": ["v[0]", "v[1]"]}
     df = spark.createDataFrame([(1, ("a", [1, 2])), (2, None)], "id int, s struct<k:string,v:array<int>>")
     flat = flatten(df, infer_plan(df), lengths=True)
     plan = plan_from_names(flat.schema)
@@ -155,6 +154,18 @@ def test_array_groups_and_names(spark):
     assert rows(unflatten(flat, plan, arrays="length"), "id") == rows(df, "id")
 
 
+@pytest.mark.parametrize("style", ["__i", "[i]"])
+def test_names_of_any_depth(spark, style):
+    df = spark.createDataFrame(
+        [(1, [("a", [1, 2]), ("b", None)], [[1], [2, 3]]), (2, None, [])],
+        "id int, x array<struct<a:string,n:array<int>>>, m array<array<int>>",
+    )
+    flat = flatten(df, infer_plan(df, deep=True), index_style=style, lengths=True)
+    plan = plan_from_names(flat.schema, style)
+    assert plan.deep and plan.schema.simpleString() == df.schema.simpleString()
+    assert rows(unflatten(flat, plan, arrays="length", index_style=style), "id") == rows(df, "id")
+
+
 def test_labels():
     assert [type_label(t) for t in (T.LongType(), T.DoubleType(), T.BooleanType(), T.StringType(), T.NullType())] == [
         "int64", "float64", "bool", "object", "null",

@@ -98,13 +98,14 @@ def test_payloads(spark):
 
 def test_names(spark):
     df = spark.createDataFrame([("test.User",), ("User",), ("a.b.C",), ("",)], "n string")
-    got = [tuple(r) for r in df.select(record_namespace(F.col("n")), record_title(F.col("n"))).collect()]
-    assert got == [("test", "User"), ("wb", "User"), ("a.b", "C"), (None, None)]
+    got = [tuple(r) for r in df.select(record_namespace(F.col("n"), "main"), record_title(F.col("n"))).collect()]
+    assert got == [("test", "User"), ("main", "User"), ("a.b", "C"), (None, None)]
     df = spark.createDataFrame([("svc.db.my-schema.v2-t",), ("a.b.c",), ("a.b.c.d.e",)], "n string")
     assert [r[0] for r in df.select(engine_table(F.col("n"), "lake")).collect()] == ["lake.my_schema.v2_t", None, None]
     assert file_path("simple", "csv", "data/examples") == "data/examples/simple.csv"
     assert file_path("dir/simple.txt", "json") == "dir/simple.json"
-    assert file_path("dir/simple", "parquet") == "simple.parquet"
+    assert file_path("dir/simple", "parquet") == "dir/simple.parquet"
+    assert file_path("/a/b.c/.hidden", "csv", "p") == "p/a/b.c/.hidden.csv"
     assert table_location("s3://b/wh", "ns", "t") == "s3://b/wh/ns.db/t/"
     with pytest.raises(ValueError):
         file_path("x", "excel")

@@ -65,7 +65,7 @@ def qualified_name(spark, sf_dir):
         F.concat(F.lit("org."), F.col("s_nationkey").cast("string"), F.lit("."), F.col("s_name"))
     )
     return read(spark, sf_dir, "supplier").select(
-        "s_suppkey", record_namespace(name).alias("namespace"), record_title(name).alias("title")
+        "s_suppkey", record_namespace(name, "main").alias("namespace"), record_title(name).alias("title")
     )
 
 
@@ -119,7 +119,7 @@ ORACLES = {
           FROM sent)
         SELECT doc_id, reason IS NULL AS ok, reason FROM judged""",
     "qualified_name": """
-        SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'wb' ELSE 'org.' || s_nationkey END AS namespace, s_name AS title
+        SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'main' ELSE 'org.' || s_nationkey END AS namespace, s_name AS title
         FROM supplier""",
     "fqn_map": """
         SELECT c_custkey, CASE WHEN c_custkey % 10 <> 0

@@ -116,7 +116,7 @@ def unflatten_pad(spark, sf_dir):
 
 def unflatten_compact(spark, sf_dir):
     flat, plan = _flat_orders(spark, sf_dir, deep=True)
-    plan.columns["items"].nullable_elements = False
+    plan.extents["items"] = plan.extent("items")._replace(null_items=False)
     return _items_of(unflatten(flat, plan, arrays="compact"))
 
 
