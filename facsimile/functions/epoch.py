@@ -21,7 +21,7 @@ def is_time(dtype: T.DataType) -> bool:
 
 
 def as_number_sql(c: str, dtype: T.DataType) -> str:
-    """The column as double: days for dates, microseconds for timestamps, NaN as null."""
+    """The column as double: days for dates, microseconds for timestamps; NaN and the infinities are null."""
     if isinstance(dtype, T.DateType):
         return f"double(unix_date({c}))"
     if isinstance(dtype, T.TimestampType):
@@ -29,7 +29,7 @@ def as_number_sql(c: str, dtype: T.DataType) -> str:
     if isinstance(dtype, T.TimestampNTZType):
         return f"double({_ntz_micros_sql(c)})"
     if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return f"nullif(double({c}), double('NaN'))"
+        return f"if(abs(double({c})) < double('Infinity'), double({c}), NULL)"
     return f"double({c})"
 
 

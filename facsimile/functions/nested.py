@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Text formats of times for JSON and CSV writers: all six digits, as the types hold.
+TIME_FORMATS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
@@ -56,7 +60,7 @@ def reproject(value: Column, source: T.DataType, target: T.DataType) -> Column:
 def cell_text(value: Column, dtype: T.DataType) -> Column:
     """One value as text: nested values as JSON, times in ISO form, the rest by cast."""
     if isinstance(dtype, (T.StructType, T.ArrayType, T.MapType)):
-        return F.to_json(value, {"ignoreNullFields": "false"})
+        return F.to_json(value, {"ignoreNullFields": "false", **TIME_FORMATS})
     if isinstance(dtype, T.BinaryType):
         return F.base64(value)
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType)):

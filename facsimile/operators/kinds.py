@@ -52,7 +52,7 @@ def to_digits_sql(value: str, digits: int) -> str:
 
 
 def _base_sql(field: T.StructField) -> str:
-    """What is measured of a column: a number, or the column itself. NaN becomes null."""
+    """What is measured of a column: a finite number, or the column itself."""
     name = quoted(field.name)
     numbers = type_class(field.dataType) in ("time", "int", "wide", "number")
     return as_number_sql(name, field.dataType) if numbers else name
@@ -66,15 +66,19 @@ def _measures(n: int, position: int, field: T.StructField, present: bool) -> dic
     if isinstance(field.dataType, FRACTIONS):
         cases = " ".join(f"WHEN {to_digits_sql(c, s)} = {c} THEN {s}" for s in SCALES)
         digits = f"max(CASE WHEN {c} IS NULL THEN {SCALES[0]} {cases} ELSE {SCALES[-1] + 1} END)"
+    endless = isinstance(field.dataType, FRACTIONS)  # such a column may hold infinities, which are no nulls
+    absent = f"{c} IS NULL AND NOT coalesce(abs(f{n}) = double('Infinity'), false)" if endless else f"{c} IS NULL"
     return {
         "column": sql_string(field.name),
         "position": str(position),
         "type": sql_string(field.dataType.simpleString()),
         "class": f"'{group}'",
         "rows": ROWS,
-        "nulls": f"count_if({c} IS NULL)",
+        "nulls": f"count_if({absent})",
         "cells": f"count_if(p{n})" if present else ROWS,
-        "empty": f"count_if(p{n} AND {c} IS NULL)" if present else f"count_if({c} IS NULL)",
+        "empty": f"count_if(p{n} AND {absent})" if present else f"count_if({absent})",
+        "minus": f"count_if(f{n} = double('-Infinity'))" if endless else "0L",
+        "plus": f"count_if(f{n} = double('Infinity'))" if endless else "0L",
         "min": f"min({c})" if number else "double(NULL)",
         "max": f"max({c})" if number else "double(NULL)",
         "mean": f"avg({c})" if number else "double(NULL)",
@@ -88,6 +92,7 @@ def _measures(n: int, position: int, field: T.StructField, present: bool) -> dic
 def _plain_measures(flat: DataFrame, block: list[tuple[int, T.StructField]], present: dict[str, str]) -> DataFrame:
     """One aggregate over a block of columns, turned into a row per column."""
     columns = [f"{_base_sql(f)} AS c{n}" for n, (_, f) in enumerate(block)]
+    columns += [f"double({quoted(f.name)}) AS f{n}" for n, (_, f) in enumerate(block) if isinstance(f.dataType, FRACTIONS)]
     columns += [f"({present[f.name]}) AS p{n}" for n, (_, f) in enumerate(block) if f.name in present]
     measured = [_measures(n, position, f, f.name in present) for n, (position, f) in enumerate(block)]
     names: dict[str, str] = {ROWS: "a0"}  # each aggregate once
@@ -126,6 +131,8 @@ def exact_distinct(flat: DataFrame) -> DataFrame:
     """
 
     def value(f: T.StructField) -> str:
+        if isinstance(f.dataType, FRACTIONS):
+            return f"string({_base_sql(f)})"
         text = f"string({quoted(f.name)})"
         return f"if(length({text}) > 64, sha2({text}, 256), {text})" if type_class(f.dataType) == "string" else text
 
@@ -134,7 +141,7 @@ def exact_distinct(flat: DataFrame) -> DataFrame:
         for f in flat.schema.fields
         if type_class(f.dataType) != "other"
     ]
-    long = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL AND value <> 'NaN'")
+    long = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
     values = long.groupBy("column", "value").agg(F.count(F.lit(1)))
     return values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
 

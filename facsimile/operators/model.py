@@ -10,7 +10,6 @@ from statistics import NormalDist
 from typing import Any, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +30,13 @@ KNOTS = 1001
 SKETCH_SIZE = 4096  # KLL quantile sketch: rank error below 0.1 %
 BLANKS = r"\s+"
 MARGINALS = ("ecdf", "norm")
-PAIRS_IN_PLAN = 10  # correlation pairs per aggregate; beyond, matrix products are faster
+CONSTANT = 1e-10  # share of the second moment below which a variance is rounding
+SUM_ROWS = 64  # matrix rows per block of sums
 RIDGE_STEPS = (0.0, 1e-8, 1e-6, 1e-4, 1e-2, 1e-1)
 
 COLUMNS_DDL = (
     "column string, position int, kind string, type string, type_json string, rows bigint, nulls bigint, "
-    "cells bigint, empty bigint, min double, max double, mean double, std double, distinct bigint, "
+    "cells bigint, empty bigint, minus bigint, plus bigint, min double, max double, mean double, std double, distinct bigint, "
     "max_length int, digits int, marginal string, entries bigint, total bigint"
 )
 QUANTILES_DDL = "column string, knots array<double>"
@@ -300,56 +300,59 @@ def _large_scores(model: Model, spec: dict[str, Any], key: str, score: str) -> D
 
 
 def correlation(scores: DataFrame, names: list[str]) -> dict[tuple[str, str], float]:
-    """Correlation of every pair of score columns over the rows where both are set."""
+    """Correlation of every pair of score columns over the rows where both are set.
+
+    With p = "is set", the products of [z, z², p] hold every sum that is needed. Each
+    task sums its rows into one matrix, cut into blocks of rows; blocks meet in two
+    steps, each as a stream that keeps one running sum. A pair of which one column is
+    constant where the other is set has no correlation.
+    """
     size = len(names)
-    pairs = [(i, j) for i in range(size) for j in range(i)]
-    if not pairs:
+    if size < 2:
         return {}
-    if len(pairs) <= PAIRS_IN_PLAN:
-        row = scores.agg(*[F.corr(f"z{i}", f"z{j}").alias(f"r{i}_{j}") for i, j in pairs]).first()
-        found = {(i, j): row[f"r{i}_{j}"] for i, j in pairs}
-    else:
-        found = _wide_correlation(scores, size)
-    return {
-        (names[i], names[j]): float(r) for (i, j), r in found.items() if r is not None and math.isfinite(r)
-    }
 
+    def blocks(total: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
+        for first in range(0, size, SUM_ROWS):
+            part = np.ascontiguousarray(total[:, first : first + SUM_ROWS])
+            yield pa.RecordBatch.from_pydict({"part": [group], "first": [first], "sums": [part.tobytes()]}, schema=arrow)
 
-def _wide_correlation(scores: DataFrame, size: int) -> dict[tuple[int, int], float]:
-    """Many columns: per task one matrix of sums, added up by cell across tasks.
+    arrow = pa.schema([("part", pa.int32()), ("first", pa.int32()), ("sums", pa.binary())])
 
-    With p = "is set", the products of [z, z², p] hold every sum that a
-    correlation over jointly set rows needs.
-    """
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = None
-        for pdf in batches:
-            z = pdf.to_numpy(dtype=float)
+        total = np.zeros((4, size, size))
+        for batch in batches:
+            z = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
             p = ~np.isnan(z)
             z = np.where(p, z, 0.0)
             p = p.astype(float)
-            part = np.stack([z.T @ z, z.T @ p, (z * z).T @ p, p.T @ p])
-            total = part if total is None else total + part
-        if total is not None:
-            for i in range(size):
-                j = np.arange(i)
-                if i:
-                    yield pd.DataFrame(
-                        {
-                            "i": i, "j": j, "zz": total[0, i, j], "zi": total[1, i, j], "zj": total[1, j, i],
-                            "qi": total[2, i, j], "qj": total[2, j, i], "n": total[3, i, j],
-                        }
-                    )
-
-    cells = scores.select(*[f"z{i}" for i in range(size)]).mapInPandas(
-        sums, "i int, j int, zz double, zi double, zj double, qi double, qj double, n double"
-    )
-    added = cells.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("zz", "zi", "zj", "qi", "qj", "n")])
-    c = F.col
-    spread = (c("n") * c("qi") - c("zi") * c("zi")) * (c("n") * c("qj") - c("zj") * c("zj"))
-    r = F.when(spread > 0, (c("n") * c("zz") - c("zi") * c("zj")) / F.sqrt(spread))
-    return {(x["i"], x["j"]): x["r"] for x in added.select("i", "j", r.alias("r")).collect()}
+            total += np.stack([z.T @ z, z.T @ p, (z * z).T @ p, p.T @ p])
+        yield from blocks(total, TaskContext.get().partitionId())
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                key, values = (row["part"], row["first"]), np.frombuffer(row["sums"])
+                totals[key] = totals[key] + values if key in totals else values
+        for (part, first), values in totals.items():
+            yield pa.RecordBatch.from_pydict({"part": [part], "first": [first], "sums": [values.tobytes()]}, schema=arrow)
+
+    ddl = "part int, first int, sums binary"
+    made = scores.select(*[f"z{i}" for i in range(size)]).mapInArrow(sums, ddl)
+    met = made.withColumn("part", F.floor(F.sqrt("part")).cast("int")).repartition("part", "first").mapInArrow(added, ddl)
+    last = met.withColumn("part", F.lit(0)).repartition("first").mapInArrow(added, ddl)
+    total = np.zeros((4, size, size))
+    for row in last.collect():  # four numbers per pair of columns
+        part = np.frombuffer(row["sums"]).reshape(4, -1, size)
+        total[:, row["first"] : row["first"] + part.shape[1]] = part
+    zz, zi, qi, n = total
+    zj, qj = zi.T, qi.T
+    vi, vj = n * qi - zi * zi, n * qj - zj * zj
+    real = (vi > CONSTANT * n * qi) & (vj > CONSTANT * n * qj)
+    r = np.where(real, n * zz - zi * zj, 0.0) / np.sqrt(np.where(real, vi * vj, 1.0))
+    return {(names[i], names[j]): float(np.clip(r[i, j], -1.0, 1.0)) for i in range(size) for j in range(i) if real[i, j]}
 
 
 def cholesky(names: list[str], pairs: dict[tuple[str, str], float]) -> np.ndarray:

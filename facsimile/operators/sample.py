@@ -26,7 +26,7 @@ from facsimile.operators.model import Model, cholesky, copula_columns, type_of,
 ROWS_PER_TASK = 1_000_000
 BUCKET_ROWS = 64  # categories per bucket of the interval join
 # Draw streams of a column, counted from position * STREAMS.
-STREAMS, VALUE, MISSING, TEXT, SECOND = 8, 0, 1, 2, 3
+STREAMS, VALUE, MISSING, TEXT, SECOND, ENDLESS = 8, 0, 1, 2, 3, 4
 
 
 def _stream(spec: dict[str, Any], purpose: int) -> int:
@@ -159,23 +159,12 @@ def _invented_text_sql(spec: dict[str, Any], model: Model, lengths: list[tuple[s
 
 
 def _word_lengths(model: Model, spec: dict[str, Any]) -> list[tuple[str, int]]:
-    """Word lengths of a text column: a frequency table over integers.
-
-    Beyond the literal limit equal steps of the distribution stand for it, taken
-    from the exact intervals.
-    """
+    """All word lengths of a text column with their intervals: as many as there are different lengths."""
     found = model.literals.get(spec["column"])
     if found:
         return found
-    step = max(1, spec["total"] // 1000)
-    rows = (
-        model.categories.where(F.col("column") == spec["column"])
-        .where(F.call_function("div", F.col("hi"), F.lit(step)) > F.call_function("div", F.col("lo"), F.lit(step)))
-        .select("value", "hi")
-        .orderBy("hi")
-        .collect()
-    )
-    return [(r["value"], r["hi"]) for r in rows]
+    mine = model.categories.where(F.col("column") == spec["column"]).select("value", "hi")
+    return [(r["value"], r["hi"]) for r in mine.orderBy("hi").collect()]
 
 
 def sample_rows(model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash", keep_row: bool = False) -> DataFrame:
@@ -185,12 +174,11 @@ def sample_rows(model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash",
     uniforms = _uniforms(model, rows.select(F.col("row").cast("long")), draws, joint)
     large = [
         s for s in model.columns
-        if s["entries"] and s["column"] not in model.literals and not wants_words(s) and s["kind"] != "id"
+        if s["entries"] and s["column"] not in model.literals and not wants_words(s)
     ]
     for s in large:
         uniforms = _join_entries(uniforms, model, s, f"v{s['position']}")
     joined = {s["column"] for s in large}
-    first_shape = _first_shapes(model)
 
     def text(spec: dict[str, Any]) -> str:
         name, p = spec["column"], spec["position"]
@@ -199,11 +187,11 @@ def sample_rows(model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash",
     def value(spec: dict[str, Any], dtype: T.DataType) -> Column:
         name, kind = spec["column"], spec["kind"]
         if kind in ("numeric", "datetime"):
-            return from_number(F.expr(_number_sql(spec, model)), dtype)
+            return _with_infinities(from_number(F.expr(_number_sql(spec, model)), dtype), spec, dtype, draws)
         if kind in ("categorical", "boolean") and spec["entries"]:
             return F.expr(text(spec))
-        if kind == "id" and isinstance(dtype, T.StringType):
-            return F.expr(numbered_shape_sql(sql_string(first_shape.get(name, "")), "row"))
+        if kind == "id" and isinstance(dtype, T.StringType) and spec["entries"]:
+            return F.expr(numbered_shape_sql(text(spec), "row"))
         if kind == "id":
             return F.expr(f"cast({int(spec['min'] or 0)} as decimal(20,0)) + cast(row as decimal(19,0))").try_cast(dtype)
         if kind == "text" and wants_words(spec) and spec["entries"]:
@@ -224,13 +212,15 @@ def sample_rows(model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash",
     return uniforms.select("row", *chosen) if keep_row else uniforms.select(*chosen)
 
 
-def _first_shapes(model: Model) -> dict[str, str]:
-    """The most frequent shape of each text id column."""
-    wanted = [s["column"] for s in model.columns if s["kind"] == "id" and s["entries"]]
-    if not wanted:
-        return {}
-    rows = model.categories.where(F.col("column").isin(wanted) & (F.col("lo") == 0)).select("column", "value")
-    return {r["column"]: r["value"] for r in rows.collect()}  # one row per column
+def _with_infinities(value: Column, spec: dict[str, Any], dtype: T.DataType, draws) -> Column:
+    """The infinities keep their shares of the filled cells, drawn apart from the finite values."""
+    filled = spec["cells"] - spec["empty"]
+    if not filled or not (spec["minus"] or spec["plus"]):
+        return value
+    u = F.expr(draws.uniform_sql("row", _stream(spec, ENDLESS)))
+    minus, plus = spec["minus"] / filled, spec["plus"] / filled
+    below, above = F.lit(float("-inf")).cast(dtype), F.lit(float("inf")).cast(dtype)
+    return F.when(u < minus, below).when(u < minus + plus, above).otherwise(value)
 
 
 def sample(model: Model | None, n: int, seed: int = 0, rng: str = "hash") -> DataFrame:

@@ -12,9 +12,8 @@ from facsimile.operators.model import Model, fit
 from facsimile.operators.sample import sample
 from facsimile.operators.unflatten import unflatten
 from facsimile.plans.shape import Plan, infer_plan
-from facsimile.session import spread
+from facsimile.session import snapshot
 
-DEFAULT_TRAIN_ROWS = 5000
 DEFAULT_OUTPUT_ROWS = 1000
 
 
@@ -41,7 +40,7 @@ class Synthesizer:
     def fit(self, df: DataFrame, keep_nested: tuple[str, ...] = (), path: str | None = None) -> "Synthesizer":
         plan = infer_plan(df, keep_nested=keep_nested, deep=True)
         present = {f.name: f.present for f in flat_fields(plan, lengths=True) if f.present is not None}
-        flat = spread(flatten(df, plan, lengths=True))
+        flat = snapshot(flatten(df, plan, lengths=True))
         self._model = fit(flat, present=present, path=path, **self.fit_options)
         self._plan = plan
         if path:

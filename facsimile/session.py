@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 _LOCAL_FOLDERS: dict[str, str] = {}
@@ -15,14 +15,14 @@ _LOCAL_FOLDERS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach, as the session names it.
 
-    A local session without the setting (tests) gets a temporary folder once;
-    on a cluster the setting is required, because a folder of one machine
-    would not survive the loss of that machine.
+    A session on one machine (``local[…]``: tests, the bench) that leaves it unset gets a
+    temporary folder once. Anything else must name a folder, because one of a single
+    machine would not survive the loss of that machine.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder shared by all executors")
     application = spark.sparkContext.applicationId
     if application not in _LOCAL_FOLDERS:
@@ -48,21 +48,11 @@ def settle(df: DataFrame, purpose: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(target)
 
 
-SMALL_INPUT = 1 << 30
+def snapshot(df: DataFrame, purpose: str = "input") -> DataFrame:
+    """Store ``df`` for several passes, whatever its size: all passes see the same rows.
 
-
-def spread(df: DataFrame, purpose: str = "input") -> DataFrame:
-    """Store a small file-based input once in as many files as there are task slots.
-
-    A few files with one row group each would leave most slots idle in every pass
-    over them. Inputs above ``SMALL_INPUT`` bytes have splits enough and stay as
-    they are, as do inputs that do not come from files.
+    What is stored in fewer pieces than there are task slots is spread over all slots.
     """
-    spark, slots = df.sparkSession, df.sparkSession.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if not files or len(files) >= slots:
-        return df
-    sizes = spark.read.format("binaryFile").load(files).select("length")  # metadata only
-    if (sizes.agg(F.sum("length").alias("n")).first()["n"] or 0) > SMALL_INPUT:
-        return df
-    return settle(df.repartition(slots), purpose)
+    stored, slots = settle(df, purpose), df.sparkSession.sparkContext.defaultParallelism
+    pieces = stored.rdd.getNumPartitions()  # of a plain file scan: planned, not run
+    return stored if pieces >= slots else settle(stored.repartition(slots), purpose)

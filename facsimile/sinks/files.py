@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from facsimile.functions.nested import cell_text, column
+from facsimile.functions.nested import TIME_FORMATS, cell_text, column
 from facsimile.sources.naming import FILE_FORMATS, file_path
 
 REPORT_DDL = "path string, format string, mime string, rows bigint"
@@ -34,7 +34,7 @@ def write_files(df: DataFrame, base: str, filename: str, format: str = "csv", pr
     path = f"{base.rstrip('/')}/{file_path(filename, format, prefix)}"
     shaped = csv_cells(df) if format == "csv" else df
     observed, seen = counted(shaped, "files")
-    writer = observed.write.mode("overwrite")
+    writer = observed.write.mode("overwrite").options(**TIME_FORMATS)
     if format == "csv":
         writer.option("header", True).option("escape", '"').csv(path)
     elif format == "json":
@@ -47,4 +47,4 @@ def write_files(df: DataFrame, base: str, filename: str, format: str = "csv", pr
 
 def as_records(df: DataFrame) -> DataFrame:
     """One JSON object per row, nulls included, in column ``record``."""
-    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("record"))
+    return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", **TIME_FORMATS}).alias("record"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Strict base64, the allowed file names, the first four bytes of an Avro container file.
 BASE64_PATTERN = r"^[A-Za-z0-9+/]*={0,2}$"
-FILENAME_PATTERN = r"^[\w\-.]+\.avro$"
+FILENAME_PATTERN = r"(?U)^[\w\-.]+\.avro$"
 AVRO_MAGIC = "4F626A01"
 
 BAD_BASE64, BAD_MAGIC, BAD_NAME = "malformed base64", "not an Avro container", "bad file name"

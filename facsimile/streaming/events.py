@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from facsimile.operators.lookup import lookup_join
-from facsimile.operators.synthesize import DEFAULT_OUTPUT_ROWS, DEFAULT_TRAIN_ROWS, synthesize
+from facsimile.operators.synthesize import DEFAULT_OUTPUT_ROWS, synthesize
 from facsimile.sources.naming import engine_table
+from facsimile.session import settle
 from facsimile.sources.tables import require_rows, training_rows
 
 EVENT_DDL = (
@@ -28,6 +30,8 @@ COLUMNS = r"^columns$"
 COLUMN_ATTRIBUTE = r"^columns\.(.+)\.([^\.]+)$"
 COLUMN_TAGS = r"^columns\.(.+)\.tags$"
 
+SUCCESS, FAILED = "success", "failed"
+STATUS_DDL = "table_name string, status string, error string"
 GENERATE, NO_ACTION, ECHO, REJECT, UNKNOWN_TABLE = "generate", "none", "echo", "reject", "unknown_table"
 
 
@@ -177,28 +181,43 @@ def regenerate_on_change(
     publish: Callable[[str, DataFrame], None],
     checkpoint: str,
     payload: str = "payload",
-    train_rows: int = DEFAULT_TRAIN_ROWS,
+    train_rows: int | None = None,
     output_rows: int = DEFAULT_OUTPUT_ROWS,
     seed: int = 0,
     record: Callable[[DataFrame, int], None] | None = None,
     available_now: bool = False,
+    report: Callable[[DataFrame, int], None] | None = None,
+    at_once: int = 4,
 ) -> StreamingQuery:
     """Per micro-batch: classify, then one new sample for each table that changed.
 
     Several events of one table in a batch cause one sample. ``record`` gets the
-    classified events of a batch, for example to store rejected ones. A batch may
-    run again after a failure, so ``publish`` and ``record`` should replace what
-    they wrote for the same table or batch.
+    classified events of a batch, for example to store rejected ones. A table that
+    cannot be loaded, learnt or published fails alone: ``report`` gets the batch's
+    ``(table_name, status, error)``, a row per changed table, and the stream goes on.
+    ``at_once`` tables are in work together. Samples learn from whole tables unless
+    ``train_rows`` bounds them. A batch may run again after a failure, so the callbacks
+    should replace what they wrote for the same table or batch.
     """
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        classified = classify_changes(batch, catalog, engine_catalog, payload)
+        classified = settle(classify_changes(batch, catalog, engine_catalog, payload), "events")
         if record is not None:
             record(classified, batch_id)
         tables = classified.where(F.col("action") == GENERATE).select("table_name").distinct()
-        for row in tables.toLocalIterator():  # one name per changed table
-            rows = training_rows(require_rows(load(row["table_name"])), train_rows)
-            publish(row["table_name"], synthesize(rows, output_rows, seed=seed))
+        with ThreadPoolExecutor(at_once) as pool:
+            statuses = list(pool.map(renew, (row["table_name"] for row in tables.toLocalIterator())))  # one name per changed table
+        if report is not None:
+            report(batch.sparkSession.createDataFrame(statuses, STATUS_DDL), batch_id)
+
+    def renew(table_name: str) -> tuple[str, str, str | None]:
+        try:
+            rows = require_rows(load(table_name))
+            rows = rows if train_rows is None else training_rows(rows, train_rows)
+            publish(table_name, synthesize(rows, output_rows, seed=seed))
+        except Exception as e:  # noqa: BLE001 one table must not stop the others
+            return table_name, FAILED, str(e)
+        return table_name, SUCCESS, None
 
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

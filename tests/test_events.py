@@ -101,17 +101,24 @@ def test_stream(spark, sf_dir, tmp_path):
     assert dict(seen) == {i: c[3] for i, c in enumerate(CASES)}
 
 
-def test_stream_stops_on_an_empty_table(spark, tmp_path):
+def test_stream_survives_a_bad_table(spark, tmp_path):
     events = spark.createDataFrame([(json.dumps(event("entityCreated")),)], "payload string")
     folder = str(tmp_path / "in")
     events.write.parquet(folder)
-    catalog = spark.createDataFrame([("t1", "a.b.c.d")], "table_id string, fully_qualified_name string")
+    catalog = spark.createDataFrame([("t1", "a.b.c.d"), ("t2", "a.b.c.e")], "table_id string, fully_qualified_name string")
+    second = json.dumps({**event("entityCreated"), "entityId": "t2"})
+    spark.createDataFrame([(second,)], "payload string").write.mode("append").parquet(folder)
+    published, reported = [], []
     query = regenerate_on_change(
-        spark.readStream.schema(events.schema).parquet(folder), catalog, "lake", load=lambda name: spark.range(0).toDF("x"),
-        publish=lambda name, sample: None, checkpoint=str(tmp_path / "checkpoint"), available_now=True,
+        spark.readStream.schema(events.schema).parquet(folder), catalog, "lake",
+        load=lambda name: spark.range(0 if name.endswith("d") else 40).toDF("x"),
+        publish=lambda name, sample: published.append((name, sample.count())), checkpoint=str(tmp_path / "checkpoint"),
+        output_rows=7, available_now=True, report=lambda statuses, i: reported.extend(tuple(r) for r in statuses.collect()),
     )
-    with pytest.raises(Exception, match="no valid records"):
-        query.awaitTermination()
+    query.awaitTermination()
+    assert published == [("lake.c.e", 7)]
+    assert sorted(r[:2] for r in reported) == [("lake.c.d", "failed"), ("lake.c.e", "success")]
+    assert [r[2] for r in reported if r[1] == "failed"] == ["no valid records loaded from source"]
 
 
 def test_hot_table_in_events(spark):

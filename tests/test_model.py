@@ -12,6 +12,7 @@ from facsimile.functions import normal
 from facsimile.operators import model as M
 from facsimile.operators.lookup import SALT, fits_broadcast, lookup_join
 from facsimile.operators.ranks import running_totals
+from facsimile.operators import sample as S
 from facsimile.operators.sample import sample_rows
 from workloads.common import order_nested, read
 
@@ -80,16 +81,70 @@ def test_sketched_grid_is_close(spark, sf_dir):
     assert max(abs(a - b) for a, b in zip(close, exact)) < 0.002 * spread
 
 
-def test_wide_correlation_agrees(spark):
+def test_correlation_agrees(spark):
     rng = np.random.default_rng(3)
     z = rng.normal(size=(500, 6)) @ rng.normal(size=(6, 6))
     data = [[float(v) if (i + j) % 7 else None for j, v in enumerate(r)] for i, r in enumerate(z)]
     df = spark.createDataFrame(data, ", ".join(f"z{i} double" for i in range(6))).repartition(5)
     plain = df.agg(*[F.corr(f"z{i}", f"z{j}").alias(f"r{i}_{j}") for i in range(6) for j in range(i)]).first()
-    wide = M._wide_correlation(df, 6)
-    assert len(wide) == 15
-    for (i, j), r in wide.items():
-        assert r == pytest.approx(plain[f"r{i}_{j}"], abs=1e-12)
+    names = [f"z{i}" for i in range(6)]
+    found = M.correlation(df, names)
+    assert len(found) == 15
+    for (a, b), r in found.items():
+        assert r == pytest.approx(plain[f"r{a[1]}_{b[1]}"], abs=1e-12)
+
+
+def test_pairs_without_a_correlation(spark):
+    """Constant where the other is set, never set together, one row, no rows: no entry and no error."""
+    rows = [(1.0, 5.0, None, 1.0), (2.0, 5.0, None, None), (3.0, 5.0, 1.0, None), (None, 7.0, 2.0, None)]
+    df = spark.createDataFrame(rows, "z0 double, z1 double, z2 double, z3 double")
+    assert set(M.correlation(df, ["a", "b", "c", "d"])) == {("c", "b")}
+    assert M.correlation(df.limit(0), ["a", "b", "c", "d"]) == {}
+
+
+def test_nullable_struct_beside_a_number(spark):
+    from facsimile import synthesize
+
+    rows = [(float(i), None if i % 3 == 0 else (i % 7,), None if i % 4 == 0 else [i % 5]) for i in range(300)]
+    df = spark.createDataFrame(rows, "x double, s struct<a:int>, v array<int>")
+    for marginal in ("ecdf", "norm"):
+        made = synthesize(df, 200, seed=3, marginal=marginal)
+        assert made.schema.simpleString() == df.schema.simpleString()
+        assert 30 < made.filter("s IS NULL").count() < 110
+
+
+@pytest.mark.parametrize("marginal", ["ecdf", "norm"])
+def test_infinities_keep_their_shares(spark, marginal):
+    inf = float("inf")
+    rows = [(inf if i % 10 == 0 else -inf if i % 10 == 1 else None if i % 10 == 2 else float(i % 50), float(i % 17), inf) for i in range(2000)]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    got = M.fit(df, marginal=marginal)
+    made = S.sample(got, 4000, seed=2)
+    shares = made.agg(
+        F.avg((F.col("a") == inf).cast("int")), F.avg((F.col("a") == -inf).cast("int")), F.avg(F.col("a").isNull().cast("int")),
+        F.max(F.when(F.abs("a") < inf, F.col("a"))), F.min("c"),
+    ).first()
+    assert [round(x, 1) for x in shares[:2]] == [0.1, 0.1] and 0.07 < shares[2] < 0.13
+    assert shares[3] <= 49.0 and shares[4] == inf
+
+
+def test_shapes_of_text_ids(spark):
+    shapes = [f"aa-{i:02d}" for i in range(0, 50)] + [f"{i}/A" for i in range(10)] + [f"{i:02d}/A" for i in range(10, 50)]
+    df = spark.createDataFrame([(s.replace("/A", "/" + "BCDEFGHIJK"[n % 10]) + str(n),) for n, s in enumerate(shapes)], "code string")
+    got = M.fit(df, overrides={"code": "id"})
+    made = S.sample(got, 400, seed=1).select("code")
+    assert made.distinct().count() == 400
+    assert made.filter("code LIKE 'a%' OR code RLIKE '^[a-z]{2}-'").count() not in (0, 400)
+
+
+def test_every_word_length(spark):
+    """Over a thousand different word lengths: each has its own interval."""
+    texts = [(" ".join("x" * (3 * i + k + 1) for k in range(3)) + " tail of words",) for i in range(500)]
+    got = M.fit(spark.createDataFrame(texts, "t string"), overrides={"t": "text"})
+    spec = got.columns[0]
+    lengths = S._word_lengths(got, spec)
+    assert len(lengths) == spec["entries"] >= 1500 and lengths[-1][1] == spec["total"]
+    assert S.sample(got, 20, seed=1).filter("t IS NOT NULL").count() == 20
 
 
 def test_cholesky_repairs():

@@ -81,7 +81,7 @@ def test_document(spark):
     assert loaded["columns"] == row["columns"] and loaded["rows"][0] == [1, None, None, None]
     assert loaded["rows"][1][1] == 'b"q' and loaded["rows"][1][3] == [1]
     with pytest.raises(ValueError):
-        sample_document(df, ["id"], 20_000)
+        sample_document(df, ["id"], 0)
     with pytest.raises(ValueError):
         sample_document(df, [])
 

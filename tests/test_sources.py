@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facsimile import check_payloads, json_records, read_table, require_rows, split_payloads
-from facsimile.session import settle, spread
+from facsimile.session import settle, snapshot
 from facsimile.sources.naming import engine_table, file_path, record_namespace, record_title, table_location
 from facsimile.sources.tables import first_rows, json_schema, ranked_head, s3_options, training_rows
 
@@ -113,10 +113,10 @@ def test_names(spark):
 
 def test_spread(spark, sf_dir):
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    wide = spread(df)
+    wide = snapshot(df)
     assert len(wide.inputFiles()) == spark.sparkContext.defaultParallelism
     assert wide.count() == df.count()
-    assert spread(spark.range(5)).count() == 5
+    assert snapshot(spark.range(5)).count() == 5
 
 
 def test_folder_without_the_setting(spark, monkeypatch):

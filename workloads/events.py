@@ -97,7 +97,7 @@ def resolve_table(spark, sf_dir):
 
 
 # The stream: every event type stands for a table of the test data.
-STREAM_TABLES = {"click": "supplier", "error": "part"}
+STREAM_TABLES = {"click": "supplier", "error": "part", "view": "region"}  # region is read without its rows
 
 
 def stream_regenerate(spark, sf_dir):
@@ -112,7 +112,8 @@ def stream_regenerate(spark, sf_dir):
     catalog = spark.createDataFrame(rows, "table_id string, fully_qualified_name string")
 
     def load(table_name):
-        return read(spark, sf_dir, table_name.split(".")[-1])
+        table = read(spark, sf_dir, table_name.split(".")[-1])
+        return table.filter("false") if table_name.endswith("region") else table
 
     def publish(table_name, sample):
         sample.write.mode("overwrite").parquet(f"{base}/samples/{table_name}")
@@ -123,15 +124,17 @@ def stream_regenerate(spark, sf_dir):
     query = regenerate_on_change(
         stream.select("event_id", payload.alias("payload")), catalog, "lake", load, publish, f"{base}/checkpoint",
         record=record, available_now=True,
+        report=lambda statuses, batch_id: statuses.write.mode("overwrite").parquet(f"{base}/status/batch={batch_id}"),
     )
     query.awaitTermination()
     counts = None
-    for table in STREAM_TABLES.values():
+    for table in ("supplier", "part"):
         one = spark.read.parquet(f"{base}/samples/lake.sf.{table}").agg(F.count(F.lit(1)).alias("sampled"))
         one = one.select(F.lit(f"lake.sf.{table}").alias("table_name"), "sampled")
         counts = one if counts is None else counts.union(one)
     seen = spark.read.parquet(f"{base}/events").groupBy("table_name", "action").agg(F.count(F.lit(1)).alias("events"))
-    return seen.join(counts, "table_name", "left")
+    status = spark.read.parquet(f"{base}/status").select("table_name", "status").distinct()
+    return seen.join(counts, "table_name", "left").join(status, "table_name", "left")
 
 
 QUERIES = {f.__name__: f for f in (
@@ -165,8 +168,10 @@ ORACLES = {
         LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 3) c
           ON c.c_custkey = e.user_id AND k IN (0, 1, 2, 3, 4, 5, 8, 9, 13)""",
     "stream_regenerate": """
-        SELECT CASE event_type WHEN 'click' THEN 'lake.sf.supplier' WHEN 'error' THEN 'lake.sf.part' END AS table_name,
-               CASE WHEN event_type IN ('click', 'error') THEN 'generate' ELSE 'unknown_table' END AS action,
-               count(*) AS events, CASE WHEN any_value(event_type) IN ('click', 'error') THEN 1000 END AS sampled
+        SELECT CASE event_type WHEN 'click' THEN 'lake.sf.supplier' WHEN 'error' THEN 'lake.sf.part'
+                               WHEN 'view' THEN 'lake.sf.region' END AS table_name,
+               CASE WHEN event_type IN ('click', 'error', 'view') THEN 'generate' ELSE 'unknown_table' END AS action,
+               count(*) AS events, CASE WHEN any_value(event_type) IN ('click', 'error') THEN 1000 END AS sampled,
+               CASE WHEN any_value(event_type) IN ('click', 'error') THEN 'success' WHEN any_value(event_type) = 'view' THEN 'failed' END AS status
         FROM events GROUP BY 1, 2""",
 }
