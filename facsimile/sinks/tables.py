@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from typing import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facsimile.functions.nested import column, reproject
+from facsimile.functions.search import sql_string
 from facsimile.sinks.files import counted
 from facsimile.sources.naming import table_identifier, table_location
 
@@ -78,14 +80,24 @@ def _without_void(schema: T.StructType) -> T.StructType:
     )
 
 
-def write_table(df: DataFrame, namespace: str, table: str, warehouse: str, properties: dict[str, str] | None = None) -> DataFrame:
+def write_table(
+    df: DataFrame,
+    namespace: str,
+    table: str,
+    warehouse: str,
+    properties: dict[str, str] | None = None,
+    partition_by: Iterable[str] = (),
+) -> DataFrame:
     """Write ``df`` as table ``namespace.table`` and report what happened.
 
     Rows go to a new snapshot folder below the table's location first. Only when
-    they are complete does the catalog entry point to it, so readers see the old
-    or the new rows and a failed write leaves the table as it was. An existing
-    table takes new columns and wider types; anything else is refused before a
-    row is written.
+    they are complete does the catalog entry point to it, so a failed write leaves the
+    table as it was. An existing table takes new columns and wider types; anything else
+    is refused before a row is written. ``partition_by`` lays a new table out in folders
+    by those columns, so that scans prune; an existing table keeps its own layout.
+    ``properties`` are added to the table's. A wider type, or new rows of a table with
+    such a layout, replace the catalog entry with all its properties; for that moment
+    readers find no table.
     """
     spark, name = df.sparkSession, table_identifier(namespace, table)
     spark.sql(f"CREATE NAMESPACE IF NOT EXISTS `{namespace}` LOCATION '{warehouse.rstrip('/')}/{namespace}.db'")
@@ -94,54 +106,84 @@ def write_table(df: DataFrame, namespace: str, table: str, warehouse: str, prope
         schema = union_schema(spark.table(name).schema, df.schema) if exists else df.schema
     except ValueError as e:
         raise TableWriteError(str(e), name, "union_schema") from e
+    layout = _partition_columns(spark, name) if exists else list(partition_by)
+    if exists and list(partition_by) not in ([], layout):
+        raise TableWriteError(f"the table is laid out by {layout}", name, "union_schema")
+    if not set(layout) < set(schema.names):
+        raise TableWriteError(f"no rows to lay out by {layout}", name, "union_schema")
     schema = _without_void(schema)
+    schema = T.StructType([f for f in schema.fields if f.name not in layout] + [schema[c] for c in layout])  # as files hold them
     base = table_location(warehouse, namespace, table)
     snapshot = uuid.uuid4().hex
     location = f"{base}{snapshot}"
     observed, seen = counted(to_schema(df, schema), "table")
     try:
-        observed.write.mode("errorifexists").parquet(location)
+        observed.write.mode("errorifexists").partitionBy(*layout).parquet(location)
     except Exception as e:
         raise TableWriteError("the rows could not be written", name, "write_data") from e
     try:
-        _point(spark, name, schema, location, exists, properties or {})
+        _point(spark, name, schema, location, exists, properties or {}, layout)
     except Exception as e:
         raise TableWriteError("the catalog entry could not be changed", name, "commit") from e
     rows = [(name, int(seen.get["rows"]), snapshot, not exists, location)]
     return spark.createDataFrame(rows, REPORT_DDL)
 
 
-def _point(spark: SparkSession, name: str, schema: T.StructType, location: str, exists: bool, properties: dict[str, str]) -> None:
-    quoted = ".".join(f"`{p}`" for p in name.split("."))
-    if exists:
-        old = spark.table(name).schema
-        before = {f.name: f.dataType for f in old.fields}
-        if all(f.name not in before or before[f.name] == f.dataType for f in schema.fields):
-            added = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in before]
-            if added:
-                spark.sql(f"ALTER TABLE {quoted} ADD COLUMNS ({', '.join(added)})")
-            spark.sql(f"ALTER TABLE {quoted} SET LOCATION '{location}'")
-            spark.catalog.refreshTable(name)
-            return
-        previous = _location(spark, name)
-        spark.sql(f"DROP TABLE {quoted}")  # external: the files stay
-        try:
-            _create(spark, name, schema, location, properties)
-        except Exception:
-            _create(spark, name, old, previous, properties)
-            raise
-    else:
-        _create(spark, name, schema, location, properties)
-
-
-def _create(spark: SparkSession, name: str, schema: T.StructType, location: str, properties: dict[str, str]) -> None:
+def _quoted(name: str) -> str:
+    return ".".join(f"`{p}`" for p in name.split("."))
+
+
+def _point(
+    spark: SparkSession, name: str, schema: T.StructType, location: str, exists: bool, properties: dict[str, str], layout: list[str]
+) -> None:
+    if not exists:
+        _create(spark, name, schema, location, properties, layout)
+        return
+    old = spark.table(name).schema
+    before = {f.name: f.dataType for f in old.fields}
+    if not layout and all(f.name not in before or before[f.name] == f.dataType for f in schema.fields):
+        added = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in before]
+        if added:
+            spark.sql(f"ALTER TABLE {_quoted(name)} ADD COLUMNS ({', '.join(added)})")
+        if properties:
+            spark.sql(f"ALTER TABLE {_quoted(name)} SET TBLPROPERTIES ({_pairs(properties)})")
+        spark.sql(f"ALTER TABLE {_quoted(name)} SET LOCATION '{location}'")
+        spark.catalog.refreshTable(name)
+        return
+    previous, kept = _location(spark, name), table_properties(spark, name)
+    spark.sql(f"DROP TABLE {_quoted(name)}")  # external: the files stay
     try:
-        spark.catalog.createTable(name, path=location, source="parquet", schema=schema, **properties)
+        _create(spark, name, schema, location, kept | properties, layout)
     except Exception:
-        spark.sql(f"DROP TABLE IF EXISTS {'.'.join(f'`{p}`' for p in name.split('.'))}")
+        _create(spark, name, old, previous, kept, layout)
         raise
 
 
+def _pairs(properties: dict[str, str]) -> str:
+    return ", ".join(f"{sql_string(k)} = {sql_string(v)}" for k, v in properties.items())
+
+
+def _create(spark: SparkSession, name: str, schema: T.StructType, location: str, properties: dict[str, str], layout: list[str]) -> None:
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    parts = f" PARTITIONED BY ({', '.join(f'`{c}`' for c in layout)})" if layout else ""
+    extra = f" TBLPROPERTIES ({_pairs(properties)})" if properties else ""
+    try:
+        spark.sql(f"CREATE TABLE {_quoted(name)} ({columns}) USING parquet{parts} LOCATION '{location}'{extra}")
+        if layout:
+            spark.sql(f"MSCK REPAIR TABLE {_quoted(name)}")  # the catalog learns the folders
+    except Exception:
+        spark.sql(f"DROP TABLE IF EXISTS {_quoted(name)}")
+        raise
+
+
+def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
+    return {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES {_quoted(name)}").collect()}
+
+
+def _partition_columns(spark: SparkSession, name: str) -> list[str]:
+    return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+
+
 def _location(spark: SparkSession, name: str) -> str:
-    rows = spark.sql(f"DESCRIBE EXTENDED {'.'.join(f'`{p}`' for p in name.split('.'))}")
+    rows = spark.sql(f"DESCRIBE EXTENDED {_quoted(name)}")
     return rows.where("col_name = 'Location'").first()["data_type"]

@@ -10,7 +10,7 @@ from facsimile.session import scratch_path
 from facsimile.sinks.document import DEFAULT_ROWS, sample_document, width_errors
 from facsimile.sinks.fanout import overall_status, write_all
 from facsimile.sinks.files import as_records, write_files
-from facsimile.sinks.tables import write_table
+from facsimile.sinks.tables import table_properties, write_table
 from workloads.common import order_nested, read
 
 
@@ -89,6 +89,43 @@ def table_report(spark, sf_dir):
     )
 
 
+def table_partitioned(spark, sf_dir):
+    """A table laid out by market segment, written twice; only one segment's folder is read."""
+    name, base = _fresh_name(), scratch_path(spark, "warehouse")
+    customer = read(spark, sf_dir, "customer")
+    write_table(customer.limit(10), "facsimile_demo", name, base, partition_by=["c_mktsegment"])
+    write_table(customer, "facsimile_demo", name, base)
+    table = spark.table(f"facsimile_demo.{name}")
+    return table.filter("c_mktsegment = 'BUILDING'").select("c_custkey", "c_name", "c_mktsegment")
+
+
+def table_properties_kept(spark, sf_dir):
+    """Properties after a second write that adds one and widens a column."""
+    name, base = _fresh_name(), scratch_path(spark, "warehouse")
+    nation = read(spark, sf_dir, "nation")
+    write_table(nation, "facsimile_demo", name, base, {"team": "demo", "note": "it's one"})
+    write_table(nation.withColumn("n_regionkey", F.col("n_regionkey").cast("bigint")), "facsimile_demo", name, base, {"step": "two"})
+    kept = table_properties(spark, f"facsimile_demo.{name}")
+    rows = [(k, kept.get(k)) for k in ("team", "note", "step")]
+    return spark.createDataFrame(rows, "key string, value string").crossJoin(
+        spark.table(f"facsimile_demo.{name}").agg(F.sum("n_regionkey").alias("regions"))
+    )
+
+
+def times_out(spark, sf_dir):
+    """Microseconds through CSV, JSON, records and a document."""
+    events = read(spark, sf_dir, "events").select("event_id", "ts")
+    base = scratch_path(spark, "sink")
+    csv = spark.read.schema("event_id bigint, csv string").option("header", True).csv(write_files(events, base, "t", "csv").first()["path"])
+    json = spark.read.schema("event_id bigint, ts string").json(write_files(events, base, "t", "json").first()["path"])
+    records = as_records(events).select(F.from_json("record", "event_id bigint, ts string").alias("r")).select("r.*")
+    cells = F.from_json("document", "rows array<array<string>>").getField("rows")
+    document = sample_document(events, ["event_id"], 1 << 30, chunk_rows=3000).select(F.explode(cells).alias("r"))
+    document = document.select(F.get("r", F.lit(0)).cast("bigint").alias("event_id"), F.get("r", F.lit(1)).alias("document"))
+    joined = csv.join(json.withColumnRenamed("ts", "json"), "event_id").join(records.withColumnRenamed("ts", "record"), "event_id")
+    return joined.join(document, "event_id").select("event_id", *[F.substring(c, 1, 26).alias(c) for c in ("csv", "json", "record", "document")])
+
+
 def document(spark, sf_dir):
     return sample_document(read(spark, sf_dir, "customer"), ["c_custkey"]).select(
         "document", F.array_join("columns", ",").alias("columns"), F.size("rows").alias("n"),
@@ -137,7 +174,7 @@ def records(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     write_csv, write_csv_nested, write_json, write_parquet, write_report, table_create, table_evolve, table_evolve_nested,
-    table_report, document, row_widths, sink_status, fanout, records,
+    table_partitioned, table_properties_kept, times_out, table_report, document, row_widths, sink_status, fanout, records,
 )}
 
 JSON_ROW = """'[' || c_custkey || ',"' || c_name || '",' || c_nationkey || ',' || c_acctbal || ',"' || c_mktsegment || '"]'"""
@@ -151,6 +188,12 @@ ORACLES = {
         f"SELECT '/p/dir/{t}.parquet' AS path, 'parquet' AS format, 'application/vnd.apache.parquet' AS mime, count(*) AS rows FROM {t}"
         for t in ("customer", "orders")),
     "table_create": "SELECT * FROM customer",
+    "table_partitioned": "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING'",
+    "table_properties_kept": """
+        SELECT k AS key, v AS value, (SELECT sum(n_regionkey)::BIGINT FROM nation) AS regions
+        FROM (VALUES ('team', 'demo'), ('note', 'it''s one'), ('step', 'two')) AS p(k, v)""",
+    "times_out": """
+        SELECT event_id, t AS csv, t AS json, t AS record, t AS document FROM (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS t FROM events)""",
     "table_evolve": "SELECT c_custkey, NULL::VARCHAR AS c_name, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 0",
     "table_evolve_nested": "SELECT s_suppkey, s_acctbal, NULL::VARCHAR AS s_name, s_nationkey FROM supplier",
     "table_report": """
