@@ -98,7 +98,7 @@ def date_from_text(c: Column, on_error: str = "null", path: str = "") -> Column:
     """Text to date; a time part after ``T`` is cut off."""
     day = F.when(F.contains(c, F.lit("T")), F.substring(c, 1, 10)).otherwise(c)
     parsed = F.when(day.rlike(f"^{DAY}$"), day).try_cast("date")
-    return _settle_failures(parsed, c, "raise" if on_error == "raise" else "null", "date", path)
+    return _settle_failures(parsed, c, "null" if on_error == "null" else "raise", "date", path)
 
 
 def uint64_from_text(c: Column, on_error: str = "raise", path: str = "") -> Column:

@@ -28,7 +28,7 @@ def conform(
 
     ``formats`` maps dotted paths (``a.b``, list items ``a._item``) to format
     names and overrides the type there. ``on_error``: ``clamp`` gives unparseable
-    times the lower bound and stops at a bad uint64, ``null`` gives null,
+    times the lower bound and stops at any other bad value, ``null`` gives null,
     ``raise`` stops at the first bad value. ``null_lists="empty"`` and
     ``null_structs="expand"`` turn null containers into empty ones.
     """
@@ -56,7 +56,7 @@ def conform(
             return casts.date_from_text(value, on_error, path)
         if source == dtype:
             return value
-        return value.cast(dtype) if on_error == "raise" else value.try_cast(dtype)
+        return value.try_cast(dtype) if on_error == "null" else value.cast(dtype)
 
     def build(value: Column | None, source: T.DataType | None, dtype: T.DataType, path: str) -> Column:
         if isinstance(dtype, T.StructType):
