@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from contextlib import contextmanager
 from typing import Iterator
 
@@ -15,6 +16,16 @@ from facsimile.session import scratch_path, settle
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+@contextmanager
+def gc_paused() -> Iterator[None]:
+    """No search for reference cycles inside: strings and bytes have none, and large tables of them are slow to walk."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 @contextmanager
 def _shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of the jobs inside go when each job has ended."""

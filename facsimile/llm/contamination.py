@@ -15,22 +15,16 @@ to the tasks and the documents are scanned, without a shuffle.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.llm.common import packed, text_bytes
-from facsimile.llm.rolling import BUFFER, U, mix, prefix_sums, substring_hash
+from facsimile.llm.rolling import U, mix
+from facsimile.llm.words import word_hashes, word_places
 
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 BLOCK_ITEMS = 5_000  # items of a block: its texts and sketches are what a task is sent
-SPACES = np.zeros(256, bool)
-SPACES[[0x20, *range(0x09, 0x0E)]] = True
-LOWER = np.arange(256, dtype=np.uint8)
-LOWER[65:91] += 32
 
 
 def shingles(text: bytes, words: int) -> list[bytes]:
@@ -41,42 +35,12 @@ def shingles(text: bytes, words: int) -> list[bytes]:
     return list(dict.fromkeys(b" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))))
 
 
-def _word_hashes(lowered: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of words at sorted places, buffer by buffer."""
-    out = np.zeros(len(begin), U)
-    i = 0
-    while i < len(begin):
-        j = max(i + 1, int(np.searchsorted(end, begin[i] + BUFFER, side="right")))
-        base = begin[i]
-        if j == i + 1 and end[i] - base > BUFFER:  # a word longer than a buffer: hash of its pieces' hashes
-            whole = U(0)
-            for at in range(base, end[i], BUFFER):
-                piece = lowered[at : min(at + BUFFER, end[i])]
-                whole = mix(np.array([whole + U(1)]) ^ substring_hash(prefix_sums(piece), np.array([0]), np.array([len(piece)])))[0]
-            out[i] = whole
-        else:
-            out[i:j] = mix(substring_hash(prefix_sums(lowered[base : end[j - 1]]), begin[i:j] - base, end[i:j] - base))
-        i = j
-    return out
-
-
 def shingle_hashes(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
     """(row, hash) of every shingle of rows of UTF-8 text, repeats included."""
-    space = SPACES[data[offsets[0] : offsets[-1]]]
-    lowered = LOWER[data[offsets[0] : offsets[-1]]]
-    offsets = offsets - offsets[0]
-    edge = np.zeros(len(space) + 1, bool)
-    edge[offsets] = True  # words end with their row
-    inside = ~space
-    opens = inside.copy()
-    opens[1:] &= space[:-1] | edge[1:-1]
-    closes = inside.copy()
-    closes[:-1] &= space[1:] | edge[1:-1]
-    begin, end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
+    lowered, row, begin, end = word_places(data, offsets)
     if not len(begin):
         return np.zeros(0, np.int64), np.zeros(0, U)
-    word = _word_hashes(lowered, begin, end)
-    row = np.searchsorted(offsets, begin, side="right") - 1
+    word = word_hashes(lowered, begin, end)
     count = np.bincount(row, minlength=len(offsets) - 1)
     first = np.cumsum(count) - count
     width = np.minimum(words, count)[row]  # shorter texts are one shingle

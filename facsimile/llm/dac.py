@@ -2,37 +2,38 @@
 
 An id is split into 8-bit chunks, lowest first. Level k holds the k-th chunk of every id
 that has one; a continuation bitmap beside it tells which of its entries go on, and a
-rank directory counts the set bits before every 512th. The chunk of entry i of a level is
+rank directory counts the set bits before every 64th. The chunk of entry i of a level is
 found at entry rank(i) of the next one, so any token is read by at most four lookups and
 no block is decoded.
 
 Layout of a segment (little-endian): magic ``DAC1``, number of levels (uint32), then per
 level its entries (uint64), the chunks (a byte each, padded to eight), the bitmap (64-bit
-words) and the directory (a uint32 per eight words).
+words) and the directory (a uint32 per word).
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from functools import lru_cache
-from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import packed, store
+from facsimile.llm.common import gc_paused, packed, store, text_bytes
+from facsimile.llm.rolling import U
+from facsimile.llm.words import WordTable, byte_slices, word_hashes, word_places
 
 MAGIC = b"DAC1"
 SEGMENT_TOKENS = 1 << 19
-WORDS_PER_RANK = 8
-CACHED_WORDS = 400_000
-CACHED_LENGTH = 64
-SEPARATOR = "0"
-# A letter before a symbol ends the tokenizer's match; the apostrophe may begin a contraction.
-AFTER_LETTER = re.compile(r"(?<=[a-z])(?=[!-&(-/:-@\[-`{-~])")
+CACHED_WORDS = 2_000_000
+READ_AT_ONCE = 32  # documents
+WORD_END = "</w>"
+# A plain letter or digit before a symbol ends the tokenizer's match; the apostrophe may begin a contraction.
+BEFORE_SYMBOL = re.compile(r"(?<=[0-9a-zÀ-ÖØ-öø-ÿ])(?=[!-&(-/:-@\[-`{-~])")
 
 
 def encode_segment(ids: np.ndarray) -> bytes:
@@ -44,7 +45,7 @@ def encode_segment(ids: np.ndarray) -> bytes:
         counts = np.bitwise_count(words).astype(np.int64)
         before = np.cumsum(counts) - counts
         chunks = (rest & 0xFF).astype(np.uint8)
-        levels.append((np.array([len(rest)], "<u8"), np.pad(chunks, (0, -len(chunks) % 8)), words, before[::WORDS_PER_RANK].astype("<u4")))
+        levels.append((np.array([len(rest)], "<u8"), np.pad(chunks, (0, -len(chunks) % 8)), words, before.astype("<u4")))
         rest = rest[more] >> 8
     return MAGIC + np.array([len(levels)], "<u4").tobytes() + b"".join(part.tobytes() for level in levels for part in level)
 
@@ -63,7 +64,7 @@ class Segment:
             at += 8 + n + -n % 8
             bitmap = np.frombuffer(data, "<u8", words, at)
             at += 8 * words
-            ranks = np.frombuffer(data, "<u4", -(-words // WORDS_PER_RANK), at)
+            ranks = np.frombuffer(data, "<u4", words, at)
             at += ranks.nbytes
             self.levels.append((chunks, bitmap, ranks))
 
@@ -82,12 +83,7 @@ class Segment:
             who, word, bit = who[goes_on], word[goes_on], bit[goes_on]
             if not len(who):
                 break
-            places = ranks[word // WORDS_PER_RANK].astype(np.int64)
-            for back in range(1, WORDS_PER_RANK):
-                earlier = word - back
-                counted = earlier // WORDS_PER_RANK == word // WORDS_PER_RANK
-                places += np.where(counted, np.bitwise_count(bitmap[np.maximum(earlier, 0)]), 0)
-            places += np.bitwise_count(bitmap[word] & ((np.uint64(1) << bit) - np.uint64(1)))
+            places = ranks[word] + np.bitwise_count(bitmap[word] & ((np.uint64(1) << bit) - np.uint64(1))).astype(np.int64)
         return ids
 
 
@@ -96,59 +92,98 @@ def _word_encoder(tokenizer_json: str) -> "WordEncoder":
     return WordEncoder(tokenizer_json)
 
 
+def _normal(text: str) -> str:
+    """NFC, and each character in lower case for itself: no final sigma."""
+    if text.isascii():
+        return text.lower()
+    text = unicodedata.normalize("NFC", text)
+    return "".join([c.lower() for c in text]) if "\u03a3" in text else text.lower()
+
+
 class WordEncoder:
-    """Packed ids of texts for a tokenizer that drops white space: words are encoded once each."""
+    """Ids of texts for a tokenizer that drops white space and marks word ends: words are encoded once each.
+
+    Words of letters alone are one match of the tokenizer's pattern, so many of them are
+    normalised (NFC, each character in lower case) and encoded together, without the
+    pattern, and cut again at the word ends. Known words are found by a 64-bit hash.
+    """
 
     def __init__(self, tokenizer_json: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.built = Tokenizer.from_str(tokenizer_json)
-        self.built.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.separator = self._ids(SEPARATOR)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.built.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def _learn_pieces(self, pieces: set[str], known: dict[str, bytes]) -> None:
-        fresh = [p for p in pieces if p not in known]
-        plain = [p for p in fresh if SEPARATOR not in p] if len(self.separator) == 1 else []
-        for i in range(0, len(plain), 500):
-            part = plain[i : i + 500]
-            ids = self._ids(f" {SEPARATOR} ".join(part))
-            ends = np.append(np.flatnonzero(ids == self.separator[0]), len(ids)).tolist()
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole = Tokenizer.from_str(tokenizer_json)
+        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.letters = Tokenizer(self.whole.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocab = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
+        self.known = WordTable()
+
+    def _ids(self, built, text: str) -> np.ndarray:
+        return np.array(built.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode and enter pieces that are not known yet, each given once."""
+        keys = _keys(pieces)
+        fresh = np.flatnonzero(self.known.find(keys) < 0).tolist()
+        letters, others = [], []
+        for i in fresh:
+            (letters if pieces[i].isalpha() else others).append(i)
+        order, found, sizes = [], [], []
+        for k in range(0, len(letters), 1000):
+            part = letters[k : k + 1000]
+            text = _normal(" ".join([pieces[i] for i in part]))
+            if not text.replace(" ", "").isalpha():  # a letter became a letter and a mark
+                others += [i for i in part if not _normal(pieces[i]).isalpha()]
+                part = [i for i in part if _normal(pieces[i]).isalpha()]
+                text = _normal(" ".join([pieces[i] for i in part]))
+            ids = self._ids(self.letters, text)
+            ends = np.flatnonzero(self.ends[ids]) + 1
             if len(ends) == len(part):
-                begin = 0
-                for piece, end in zip(part, ends):
-                    known[piece], begin = ids[begin:end].tobytes(), end + 1
-        for piece in fresh:
-            if piece not in known:
-                known[piece] = self._ids(piece).tobytes()
-
-    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """``texts`` are UTF-8 with A-Z in lower case; words end at ASCII white space."""
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        if len(self.pieces) > CACHED_WORDS:
-            self.pieces.clear()
-        split = [t.split() for t in texts]
-        wanted = set().union(*split)
-        fresh = {w: AFTER_LETTER.split(w.decode()) for w in wanted if w not in self.words}
-        parts = set().union(*fresh.values())
-        self._learn_pieces({p for p in parts if len(p) <= CACHED_LENGTH}, self.pieces)
-        long: dict[str, bytes] = {}
-        self._learn_pieces({p for p in parts if len(p) > CACHED_LENGTH}, long)
-        rare: dict[bytes, bytes] = {}
-        for word, own in fresh.items():
-            code = b"".join([self.pieces[p] if len(p) <= CACHED_LENGTH else long[p] for p in own])
-            (self.words if len(word) <= CACHED_LENGTH else rare)[word] = code
-        for words in split:
-            if rare:
-                yield b"".join([self.words[w] if w in self.words else rare[w] for w in words])
+                order += part
+                found.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
             else:
-                yield b"".join(map(self.words.__getitem__, words))
+                others += part
+        for i in others:
+            found.append(self._ids(self.whole, pieces[i]))
+            sizes.append([len(found[-1])])
+        if found:
+            self.known.add(keys[order + others], np.concatenate(found), np.concatenate(sizes).astype(np.int64))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows of UTF-8 text, how many each row has)."""
+        if len(self.known.key) > CACHED_WORDS:
+            self.known = WordTable()
+        lowered, row, begin, end = word_places(data, offsets)
+        keys, first, of = np.unique(word_hashes(lowered, begin, end), return_index=True, return_inverse=True)
+        missing = np.flatnonzero(self.known.find(keys) < 0)
+        raw = lowered.tobytes()
+        words = [raw[a:b].decode() for a, b in zip(begin[first[missing]].tolist(), end[first[missing]].tolist())]
+        cut = [[w] if w.isalpha() else BEFORE_SYMBOL.split(w) for w in words]
+        self._learn(list(dict.fromkeys(p for own in cut for p in own)))
+        several = [i for i, own in enumerate(cut) if len(own) > 1]
+        if several:
+            parts = self.known.find(_keys([p for i in several for p in cut[i]]))
+            ids, n = self.known.gather(parts)
+            bounds = np.cumsum([len(cut[i]) for i in several])
+            total = np.diff(np.concatenate([[0], np.cumsum(n)])[bounds], prepend=0)
+            self.known.add(keys[missing[several]], ids, total)
+        ids, n = self.known.gather(self.known.find(keys)[of])
+        return ids, np.bincount(row, weights=n, minlength=len(offsets) - 1).astype(np.int64)
+
+
+def _keys(pieces: list[str]) -> np.ndarray:
+    """Hashes of words that are in lower case and hold no white space."""
+    if not pieces:
+        return np.zeros(0, U)
+    data = np.frombuffer("\n".join(pieces).encode(), np.uint8)
+    end = np.append(np.flatnonzero(data == 10), len(data))
+    return word_hashes(data, np.append(0, end[:-1] + 1), end)
 
 
 SEGMENTS = (
@@ -169,27 +204,24 @@ def write_tokens(
 
     Rows are dealt to parts by ranges of the id and sorted within; equal ids are ordered
     by their text's hash, null ids come first. A part is a sequence of segments; a
-    segment ends with the document that fills it, so it is as long as ``segment_tokens``
-    or its last document. ``before`` counts the part's ids before the segment.
+    segment ends with the documents that fill it, a few megabytes of text at most or one
+    longer document. ``before`` counts the part's ids before the segment.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_json = file.read()
-    end = np.array([end_id], "<u4").tobytes()
-
     def emit(batches):
         from pyspark import TaskContext
 
         encoder, part = _word_encoder(tokenizer_json), TaskContext.get().partitionId()
-        ids, copies, codes, held, segment, before = [], [], [], 0, 0, 0
+        ids, copies, codes, sizes, held, segment, before = [], [], [], [], 0, 0, 0
 
         def flush():
-            tokens = np.frombuffer(b"".join(codes), "<u4")
-            size = np.array([len(c) // 4 for c in codes], np.int64)
+            size = np.concatenate(sizes)
             return pa.RecordBatch.from_pylist(
                 [
                     {
-                        "part": part, "segment": segment, "before": before, "tokens": len(tokens), "row_ids": ids, "row_copies": copies,
-                        "begins": (np.cumsum(size) - size).tolist(), "codes": encode_segment(tokens),
+                        "part": part, "segment": segment, "before": before, "tokens": held, "row_ids": ids, "row_copies": copies,
+                        "begins": np.cumsum(size) - size, "codes": encode_segment(np.concatenate(codes)),
                     }
                 ],
                 schema=pa.schema(
@@ -201,17 +233,19 @@ def write_tokens(
             )
 
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                cut = batch.slice(i, 512)
-                texts = [t.lower() for t in cut.column("row_text").cast(pa.large_binary()).to_pylist()]
-                for row_id, copy, code in zip(cut.column("row_id").to_pylist(), cut.column("row_copy").to_pylist(), encoder.encode(texts)):
-                    ids.append(row_id)
-                    copies.append(copy)
-                    codes.append(code + end)
-                    held += len(code) // 4 + 1
-                    if held >= segment_tokens:
-                        yield flush()
-                        ids, copies, codes, held, segment, before = [], [], [], 0, segment + 1, before + held
+            data, offsets = text_bytes(batch.column("row_text"))
+            for i, j in byte_slices(offsets):
+                with gc_paused():
+                    found, n = encoder.encode(data, offsets[i : j + 1])
+                codes.append(np.insert(found, np.cumsum(n), end_id).astype("<u4"))
+                sizes.append(n + 1)
+                ids += batch.column("row_id").slice(i, j - i).to_pylist()
+                copies += batch.column("row_copy").slice(i, j - i).to_pylist()
+                held += int(n.sum()) + j - i
+                if held >= segment_tokens:
+                    yield flush()
+                    segment, before = segment + 1, before + held
+                    ids, copies, codes, sizes, held = [], [], [], [], 0
         if codes:
             yield flush()
 
@@ -239,7 +273,12 @@ def read_tokens(segments: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 codes = Segment(row["codes"])
                 bounds = np.append(np.array(row["begins"], np.int64), row["tokens"])
-                packed_ids = [codes.take(np.arange(a, b)).astype("<u4").tobytes() for a, b in zip(bounds[:-1], bounds[1:])]
+                packed_ids = []
+                for i in range(0, len(bounds) - 1, READ_AT_ONCE):
+                    own = bounds[i : i + READ_AT_ONCE + 1]
+                    ids = codes.take(np.arange(own[0], own[-1])).astype("<u4").tobytes()
+                    cuts = (4 * (own - own[0])).tolist()
+                    packed_ids += [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
                 starts = bounds[:-1] + row["base"] + row["before"]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(row["row_ids"], pa.int64()), pa.array(starts), pa.array(packed_ids, pa.binary())], names=["row_id", "start", "ids"]
