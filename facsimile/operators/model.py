@@ -400,6 +400,8 @@ def fit(
     if kinds is None:
         kinds = detect_kinds(flat, overrides, exact, present)
     types = {f.name: f.dataType for f in flat.schema.fields}
+    if present:
+        flat = _existing_flags(flat, present)
     specs = [r.asDict() for r in kinds.orderBy("position").collect()]  # one row per column
     if not specs or specs[0]["rows"] == 0:
         raise ValueError("no rows to learn from")
@@ -446,6 +448,16 @@ def fit(
     return model
 
 
+def _existing_flags(flat: DataFrame, present: dict[str, str]) -> DataFrame:
+    """``flat`` with flags set to null where there is no cell: an absent element is no null element."""
+    chosen = []
+    for f in flat.schema.fields:
+        name = quoted(f.name)
+        masked = isinstance(f.dataType, T.BooleanType) and f.name in present
+        chosen.append(f"if({present[f.name]}, {name}, NULL) AS {name}" if masked else name)
+    return flat.selectExpr(*chosen)
+
+
 def copula_columns(model: Model) -> list[str]:
     """Columns that take part in the dependence: numbers, times, categories, flags; no constants."""
     out = []

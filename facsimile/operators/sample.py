@@ -25,6 +25,7 @@ from facsimile.operators.model import Model, cholesky, copula_columns, type_of,
 
 ROWS_PER_TASK = 1_000_000
 BUCKET_ROWS = 64  # categories per bucket of the interval join
+SEGMENTS = 1000  # at most, of a category table
 # Draw streams of a column, counted from position * STREAMS.
 STREAMS, VALUE, MISSING, TEXT, SECOND, ENDLESS = 8, 0, 1, 2, 3, 4
 
@@ -124,25 +125,47 @@ def _entry_sql(u: str, entries: list[tuple[str, int]]) -> str:
     return f"get({array_sql([v for v, _ in entries], 'string')}, {place})"
 
 
+def _buckets(mine: DataFrame, entries: int) -> tuple[list[int], list[int]]:
+    """Where segments of about equally many entries begin, and the bucket width in each.
+
+    Frequent categories come first, so a bucket of a fixed width would hold ever more
+    entries towards the rare end. Within a segment the counts are alike.
+    """
+    segments = max(1, min(SEGMENTS, entries // BUCKET_ROWS))
+    shares = [i / segments for i in range(segments)]
+    cuts = mine.agg(F.percentile_approx("lo", shares, 10 * SEGMENTS).alias("lo"), F.max("hi").alias("total")).first()
+    starts = sorted({0, *cuts["lo"]})
+    ends = [*starts[1:], cuts["total"]]
+    per_segment = max(1, entries // len(starts))
+    return starts, [max(1, (end - start) * BUCKET_ROWS // max(per_segment, BUCKET_ROWS)) for start, end in zip(starts, ends)]
+
+
+def _bucket_sql(point: str, starts: list[int], widths: list[int]) -> tuple[str, str]:
+    """Segment of a position, and its bucket within the segment."""
+    segment = f"({count_at_most_sql(longs_sql(starts), len(starts), point)} - 1)"
+    return segment, f"(({point} - get({longs_sql(starts)}, {segment})) div get({longs_sql(widths)}, {segment}))"
+
+
 def _join_entries(sample: DataFrame, model: Model, spec: dict[str, Any], out: str) -> DataFrame:
     """Adds ``out``: the category of each row, by an interval join for large category tables.
 
-    Positions and intervals are cut into buckets of equal width, so a frequent
-    category spreads over many buckets and no bucket gets more than its share of rows.
+    Positions and intervals are cut into buckets that hold about ``BUCKET_ROWS`` entries;
+    a frequent category spreads over many buckets, and no interval leaves its segment.
     """
-    total, entries = spec["total"], spec["entries"]
-    width = max(1, total // max(1, entries // BUCKET_ROWS))
-    div = lambda a: F.call_function("div", a, F.lit(width))
-    point = F.least(F.floor(F.col(f"u{spec['position']}") * F.lit(float(total))), F.lit(total - 1)).cast("long")
-    placed = sample.withColumn("point", point).withColumn("bucket", div(F.col("point")))
+    total = spec["total"]
     mine = model.categories.where(F.col("column") == spec["column"]).select(F.col("value").alias(out), "lo", "hi")
-    buckets = F.sequence(div(F.col("lo")), div(F.col("hi") - 1))
-    intervals = mine.withColumn("bucket", F.explode(buckets))
+    starts, widths = _buckets(mine, spec["entries"])
+    point = F.least(F.floor(F.col(f"u{spec['position']}") * F.lit(float(total))), F.lit(total - 1)).cast("long")
+    segment, bucket = _bucket_sql("point", starts, widths)
+    placed = sample.withColumn("point", point).withColumns({"segment": F.expr(segment), "bucket": F.expr(bucket)})
+    segment, first = _bucket_sql("lo", starts, widths)
+    last = f"((hi - 1 - get({longs_sql(starts)}, segment)) div get({longs_sql(widths)}, segment))"
+    intervals = mine.withColumn("segment", F.expr(segment)).withColumn("bucket", F.expr(f"explode(sequence({first}, {last}))"))
     if fits_broadcast(mine):  # at most one extra row per BUCKET_ROWS categories
         intervals = F.broadcast(intervals)
     hit = (F.col("lo") <= F.col("point")) & (F.col("point") < F.col("hi"))
-    joined = placed.alias("s").join(intervals.alias("i"), (F.col("s.bucket") == F.col("i.bucket")) & hit)
-    return joined.select(*[F.col(f"s.{c}") for c in sample.columns], out)
+    same = (F.col("s.segment") == F.col("i.segment")) & (F.col("s.bucket") == F.col("i.bucket"))
+    return placed.alias("s").join(intervals.alias("i"), same & hit).select(*[F.col(f"s.{c}") for c in sample.columns], out)
 
 
 def _invented_text_sql(spec: dict[str, Any], model: Model, lengths: list[tuple[str, int]], draws) -> str:

@@ -137,6 +137,22 @@ def test_shapes_of_text_ids(spark):
     assert made.filter("code LIKE 'a%' OR code RLIKE '^[a-z]{2}-'").count() not in (0, 400)
 
 
+def test_buckets_hold_about_as_many_entries(spark):
+    """One value in most rows and a long tail of single ones: no bucket grows."""
+    rows = [("hot",)] * 60_000 + [(f"v{i}",) for i in range(20_000)] + [(f"w{i % 500}",) for i in range(5000)]
+    df = spark.createDataFrame(rows, "c string")
+    got = M.fit(df, overrides={"c": "categorical"})
+    spec = got.columns[0]
+    mine = got.categories.select("lo", "hi")
+    starts, widths = S._buckets(mine, spec["entries"])
+    segment, bucket = S._bucket_sql("lo", starts, widths)
+    sizes = mine.selectExpr(f"{segment} AS s", f"{bucket} AS b").groupBy("s", "b").count().agg(F.max("count")).first()[0]
+    assert sizes <= 2 * S.BUCKET_ROWS
+    made = S.sample(got, 4000, seed=1)
+    assert made.filter("c IS NULL").count() == 0 and 0.66 < made.filter("c = 'hot'").count() / 4000 < 0.75
+    assert made.filter("c LIKE 'v%'").distinct().count() > 700
+
+
 def test_every_word_length(spark):
     """Over a thousand different word lengths: each has its own interval."""
     texts = [(" ".join("x" * (3 * i + k + 1) for k in range(3)) + " tail of words",) for i in range(500)]

@@ -103,6 +103,28 @@ def synthesize_nested(spark, sf_dir):
     return synthesize(df, df.count(), seed=7)
 
 
+def synthesize_facts(spark, sf_dir):
+    """What holds of every synthesis of the nested orders, however it was drawn; shares to two points in a hundred."""
+    df = order_nested(spark, sf_dir).withColumn("odd", F.when(F.col("o_orderkey") % 4 == 1, F.lit(float("inf"))).otherwise(F.col("head.total")))
+    made = Synthesizer().fit(df).sample(df.count(), seed=11)
+    known = df.select("head.o_orderstatus").distinct()
+    bounds = df.agg(F.min("head.total").alias("low"), F.max("head.total").alias("high"))
+    strange = made.select("head.o_orderstatus").distinct().join(known, "o_orderstatus", "left_anti").count()
+    outside = made.join(bounds).filter("head.total < low OR head.total > high").count()
+    share = lambda t, c: t.agg(F.avg(F.expr(c).cast("int"))).first()[0]
+    alike = ("items IS NULL", "size(items) = 0", "odd = double('Infinity')", "get(items, 0) IS NULL AND size(items) > 0", "size(items) > 3")
+    facts = {
+        "schema": made.schema.simpleString() == df.schema.simpleString(),
+        "rows": made.count() == df.count(),
+        "keys": made.select("o_orderkey").distinct().count() == df.count(),
+        "states": strange == 0,
+        "totals": outside == 0,
+        "longest": made.agg(F.max(F.size("items"))).first()[0] <= 5,
+    }
+    facts |= {c: abs(share(made, c) - share(df, c)) < 0.02 for c in alike}
+    return spark.createDataFrame(list(facts.items()), "fact string, holds boolean").crossJoin(made.agg(F.count(F.lit(1)).alias("rows")))
+
+
 def synthesize_pages(spark, sf_dir):
     pages = read(spark, sf_dir, "pages").select("page_id", "url", F.split("url", "/").alias("parts"))
     return Synthesizer(marginal="ecdf").fit(pages).sample(pages.count(), seed=7)
@@ -146,7 +168,7 @@ def conform_types(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     sample_category, sample_many_categories, sample_numeric, sample_steps, sample_datetime, sample_bounds, sample_nulls,
-    sample_ids, sample_pair, sample_joint, sample_documents, sample_texts, synthesize_nested, synthesize_pages, document_shapes, text_mask, conform_types,
+    sample_ids, sample_pair, sample_joint, sample_documents, sample_texts, synthesize_nested, synthesize_facts, synthesize_pages, document_shapes, text_mask, conform_types,
 )}
 
 
@@ -222,6 +244,10 @@ ORACLES = {
         u AS (SELECT row, {cdf_sql('c0')} AS u0, {cdf_sql('c1')} AS u1 FROM c)
         SELECT row, {_step('u0', 'a.g')}::BIGINT AS quantity, {millionths_sql(_step('u1', 'b.g'))} AS charge_e6
         FROM u, {_grid_sql('l_quantity', 'lineitem')} a, {_grid_sql('charge', CHARGED)} b""",
+    "synthesize_facts": """
+        SELECT f AS fact, true AS holds, (SELECT count(*) FROM orders) AS rows
+        FROM (VALUES ('schema'), ('rows'), ('keys'), ('states'), ('totals'), ('longest'), ('items IS NULL'), ('size(items) = 0'),
+                     ('odd = double(''Infinity'')'), ('get(items, 0) IS NULL AND size(items) > 0'), ('size(items) > 3')) AS v(f)""",
     "sample_nulls": _category_sql(
         "orders", "o_orderpriority", "priority", "o_orderkey % 5 <> 0",
         "(SELECT count_if(o_orderkey % 5 = 0)::DOUBLE / count(*) FROM orders)"),
