@@ -12,7 +12,7 @@ from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.llm.byte_bpe import decode_tokens, encode_texts
+from facsimile.llm.byte_bpe import encode_texts
 from facsimile.llm.common import store
 from facsimile.llm.contamination import without_items
 from facsimile.llm.labelled import fold
@@ -53,7 +53,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed token ids of each document; ``intact`` tells that they decode to its text."""
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
     kept = docs.withColumn("text_sha256", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
-    decoded = decode_tokens(encode_texts(kept, ranks, PATTERN), ranks)
+    decoded = encode_texts(kept, ranks, PATTERN, decoded=True)
     return decoded.select(
         "row.doc_id",
         "row.lang",

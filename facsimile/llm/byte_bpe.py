@@ -15,20 +15,25 @@ from __future__ import annotations
 import base64
 import codecs
 import os
-import re
 from functools import lru_cache
-from typing import Iterable, Iterator
+from typing import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-CACHED_PIECES = 500_000
+from facsimile.llm.common import gc_paused, text_bytes
+from facsimile.llm.words import WordTable, byte_slices, word_hashes
+
+CACHED_PIECES = 1_000_000
 JOINED_PIECES = 500
-CACHED_LENGTH = 64
 ROWS_AT_ONCE = 512
+# ASCII characters that some definition counts as white space, and first bytes of longer ones that may be.
+BLANK = np.zeros(256, bool)
+BLANK[[0x20, *range(0x09, 0x0E), *range(0x1C, 0x20)]] = True
+MAY_BE_SPACE = np.zeros(256, bool)
+MAY_BE_SPACE[[0xE1, 0xE2, 0xE3]] = True
 
 
 def read_ranks(path: str) -> str:
@@ -83,47 +88,78 @@ def tokenizer(ranks: str, pattern: str):
     return built
 
 
+def piece_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of pieces: a row is cut before each single space between characters that are surely no white space."""
+    raw = data[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    before = np.zeros(len(raw), bool)  # the character that ends here is no white space
+    wide = MAY_BE_SPACE[raw]
+    before[:] = ~BLANK[raw]
+    before[1:] &= ~((raw[:-1] == 0xC2) & (raw[1:] >= 0x80))
+    before[2:] &= ~(wide[:-2] & (raw[2:] >= 0x80))
+    after = ~BLANK[raw] & ~wide & (raw != 0xC2)  # the character that begins here is none either
+    cut = raw == 0x20
+    cut[:1] = cut[-1:] = False
+    cut[1:] &= before[:-1]
+    cut[:-1] &= after[1:]
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    cut &= ~edge[:-1] & ~edge[1:]  # not where its neighbour is another row's
+    filled = offsets[:-1][np.diff(offsets) > 0]
+    cut[filled] = True
+    begin = np.flatnonzero(cut)
+    return np.searchsorted(offsets, begin, side="right") - 1, begin, np.append(begin[1:], len(raw))[: len(begin)]
+
+
 class PieceEncoder:
-    """Packed ids of texts, from packed ids of their pieces."""
+    """Ids of texts from the ids of their pieces; known pieces are found by a 64-bit hash."""
 
     def __init__(self, built, table: tuple[bytes, ...]) -> None:
         self.built = built
         self.size = np.array([len(t) for t in table])
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: Iterable[str], known: dict[str, bytes]) -> None:
-        """Encode new pieces; those that begin with a space many at a time, cut again by their bytes."""
-        fresh = [p for p in pieces if p not in known]
-        joined = [p for p in fresh if p[:1] == " "]
-        for i in range(0, len(joined), JOINED_PIECES):
-            part = joined[i : i + JOINED_PIECES]
-            ids = self._ids("".join(part))
-            piece_end = np.cumsum([len(p.encode()) for p in part])
-            cuts = np.searchsorted(np.cumsum(self.size[ids]), piece_end, side="right")
-            begin = 0
-            for piece, end in zip(part, cuts.tolist()):
-                known[piece], begin = ids[begin:end].tobytes(), end
-        for piece in fresh:
-            if piece[:1] != " ":
-                known[piece] = self._ids(piece).tobytes()
+        self.known = WordTable()
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.built.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        cut = []
-        for text in texts:
-            head, *rest = SINGLE_SPACE.split(text)
-            cut.append((head, [" " + p for p in rest]))
-        wanted = set().union(*(rest for _, rest in cut), (head for head, _ in cut))
-        self._learn((p for p in wanted if len(p) <= CACHED_LENGTH), self.known)
-        long: dict[str, bytes] = {}
-        self._learn((p for p in wanted if len(p) > CACHED_LENGTH), long)
-        known = {p: self.known[p] for p in wanted if len(p) <= CACHED_LENGTH} | long if long else self.known
-        for head, rest in cut:
-            yield known[head] + b"".join(map(known.__getitem__, rest))
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        """Enter new pieces; those that begin with a space are encoded many at a time and cut again by their bytes."""
+        spaced = [i for i, p in enumerate(pieces) if p[:1] == b" "]
+        others = [i for i, p in enumerate(pieces) if p[:1] != b" "]
+        found, sizes = [], []
+        for k in range(0, len(spaced), JOINED_PIECES):
+            part = [pieces[i] for i in spaced[k : k + JOINED_PIECES]]
+            ids = self._ids(b"".join(part).decode())
+            cuts = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum([len(p) for p in part]), side="right")
+            found.append(ids[: cuts[-1]])
+            sizes.append(np.diff(cuts, prepend=0))
+        for i in others:
+            found.append(self._ids(pieces[i].decode()))
+            sizes.append([len(found[-1])])
+        if found:
+            self.known.add(keys[spaced + others], np.concatenate(found), np.concatenate(sizes).astype(np.int64))
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows of UTF-8 text, how many each row has)."""
+        if len(self.known.key) > CACHED_PIECES:
+            self.known = WordTable()
+        row, begin, end = piece_places(data, offsets)
+        own = data[offsets[0] : offsets[-1]]
+        keys, first, of = np.unique(word_hashes(own, begin, end), return_index=True, return_inverse=True)
+        missing = np.flatnonzero(self.known.find(keys) < 0)
+        raw = own.tobytes()
+        self._learn(keys[missing], [raw[a:b] for a, b in zip(begin[first[missing]].tolist(), end[first[missing]].tolist())])
+        ids, n = self.known.gather(self.known.find(keys)[of])
+        return ids, np.bincount(row, weights=n, minlength=len(offsets) - 1).astype(np.int64)
+
+    def packed(self, texts: pa.Array) -> Iterator[pa.Array]:
+        """Packed ids of the texts, some rows at a time."""
+        data, offsets = text_bytes(texts)
+        for i, j in byte_slices(offsets):
+            with gc_paused():
+                ids, n = self.encode(data, offsets[i : j + 1])
+            until = np.concatenate([[0], np.cumsum(4 * n)]).astype(np.int32)
+            yield pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(until.tobytes()), pa.py_buffer(ids.tobytes())])
 
 
 @lru_cache(maxsize=2)
@@ -157,8 +193,12 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(i, ROWS_AT_ONCE)
 
 
-def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", offsets: bool = False) -> DataFrame:
-    """Each row of ``docs`` as (row, ids[, first_char, last_char]): its other columns and the packed token ids.
+def encode_texts(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", offsets: bool = False, decoded: bool = False
+) -> DataFrame:
+    """Each row of ``docs`` as (row, ids[, first_char, last_char][, decoded]): its other columns and the packed token ids.
+
+    ``decoded`` decodes the ids again on the way, in the same Python worker.
 
     Null and empty texts have no ids. No special tokens: their strings are ordinary text.
     Rows are independent, so equal rows agree and an empty table gives an empty result;
@@ -168,24 +208,34 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, text_col: str =
 
     def emit(batches):
         encoder = _encoder(ranks, pattern)
-        for whole in batches:
-            for batch in _slices(whole):
-                packed = list(encoder.encode(batch.column("row_text").to_pylist()))
-                columns, names = [batch.column("row"), pa.array(packed, pa.binary())], ["row", "ids"]
+        for batch in batches:
+            done = 0
+            for ids in encoder.packed(batch.column("row_text")):
+                columns, names = [batch.column("row").slice(done, len(ids)), ids], ["row", "ids"]
+                done += len(ids)
                 if offsets:
-                    places = [token_offsets(p, token_table(ranks)) for p in packed]
+                    places = [token_offsets(p, token_table(ranks)) for p in ids.to_pylist()]
                     columns += [pa.array([p[i] for p in places], pa.list_(pa.int64())) for i in (0, 1)]
                     names += ["first_char", "last_char"]
+                if decoded:
+                    columns.append(_decoded(ids, token_table(ranks)))
+                    names.append("decoded")
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        encoder.known = WordTable()  # the worker may live on
 
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
         F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("row_text"),
     )
     places = ", first_char array<bigint>, last_char array<bigint>" if offsets else ""
+    places += ", decoded binary" if decoded else ""
     return rows.mapInArrow(emit, f"row {rows.schema['row'].dataType.simpleString()}, ids binary{places}")
 
 
+def _decoded(ids: pa.Array, table: tuple[bytes, ...]) -> pa.Array:
+    return pa.array([decode(p.as_py() or b"", table) for p in ids], pa.binary())
+
+
 def decode_tokens(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """(row, ids, decoded): the bytes that the ids stand for. Null ids decode to nothing; an id outside the file is an error."""
     ranks = read_ranks(ranks_path)
@@ -194,8 +244,7 @@ def decode_tokens(encoded: DataFrame, ranks_path: str) -> DataFrame:
         table = token_table(ranks)
         for whole in batches:
             for batch in _slices(whole):
-                packed = [p or b"" for p in batch.column("ids").to_pylist()]
-                decoded = pa.array([decode(p, table) for p in packed], pa.binary())
+                decoded = _decoded(batch.column("ids"), table)
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("ids"), decoded], names=["row", "ids", "decoded"])
 
     kept = encoded.select("row", "ids")

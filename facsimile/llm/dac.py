@@ -29,7 +29,7 @@ from facsimile.llm.words import WordTable, byte_slices, word_hashes, word_places
 
 MAGIC = b"DAC1"
 SEGMENT_TOKENS = 1 << 19
-CACHED_WORDS = 2_000_000
+CACHED_WORDS = 1_000_000
 READ_AT_ONCE = 32  # documents
 WORD_END = "</w>"
 # A plain letter or digit before a symbol ends the tokenizer's match; the apostrophe may begin a contraction.
@@ -248,6 +248,7 @@ def write_tokens(
                     ids, copies, codes, sizes, held = [], [], [], [], 0
         if codes:
             yield flush()
+        encoder.known = WordTable()  # the worker may live on
 
     rows = packed(docs, id_col, text_col).select("row_id", "row_copy", "row_text")
     dealt = rows.repartitionByRange("row_id").sortWithinPartitions("row_id", "row_copy")

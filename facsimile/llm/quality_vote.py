@@ -184,7 +184,7 @@ def fit_vote(
     """Learn from at most ``max_labelled`` labelled rows, held-out ones excluded; document frequencies cover all rows."""
     found, n = document_frequencies(packed(docs, id_col, text_col))
     idf = (np.log((1 + n) / (1 + found)) + 1).astype(np.float32)
-    sample = Stored(labelled_sample(docs, labels, label_col, held_out, max_labelled, id_col, text_col), "quality-sample")
+    sample = Stored(labelled_sample(docs, labels, label_col, held_out, max_labelled, id_col, text_col).repartition(32), "quality-sample")
 
     def vectors(batches):
         for batch in batches:

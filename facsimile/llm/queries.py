@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
-from facsimile.llm.byte_bpe import decode_tokens, encode_texts
+from facsimile.llm.byte_bpe import encode_texts
 from facsimile.llm.chat import link_tools
 from facsimile.llm.contamination import contained_items
 from facsimile.llm.dac import read_tokens, write_tokens
@@ -132,7 +132,7 @@ def op9_addressable_codes(spark, sf_dir):
 
 def op10_byte_bpe(spark, sf_dir):
     ranks = tokenizer_path("byte_bpe_50k.tiktoken")
-    decoded = decode_tokens(encode_texts(_read(spark, sf_dir, "documents"), ranks, PATTERN), ranks)
+    decoded = encode_texts(_read(spark, sf_dir, "documents"), ranks, PATTERN, decoded=True)
     return decoded.select(
         "row.doc_id",
         F.expr("length(ids) div 4").alias("n_tokens"),

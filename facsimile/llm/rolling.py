@@ -12,7 +12,7 @@ from functools import lru_cache
 import numpy as np
 
 U = np.uint64
-BUFFER = 1 << 21  # bytes hashed at once; the tables have as many powers
+BUFFER = 1 << 19  # bytes hashed at once; the tables have as many powers
 
 
 def mix(x: np.ndarray) -> np.ndarray:

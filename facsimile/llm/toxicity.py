@@ -59,7 +59,7 @@ class Flags(dict):
         self.given, self.learned = given, learned
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         flag = 2 if word in self.given else int(not self.learned.isdisjoint(keys_of(word)))
         self[word] = flag
@@ -136,10 +136,12 @@ def with_features(rows: DataFrame, given: frozenset, learned: frozenset, kept: l
 
     def emit(batches):
         flags = Flags(given, learned)
-        for batch in batches:
-            values = [text_features(t, flags) for t in batch.column("row_text").to_pylist()]
-            columns = [pa.array([v[i] for v in values], pa.float64()) for i in range(len(FEATURES))]
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, *FEATURES])
+        for whole in batches:
+            for i in range(0, len(whole), 512):
+                batch = whole.slice(i, 512)
+                values = [text_features(t.as_py(), flags) for t in batch.column("row_text")]
+                columns = [pa.array(v, pa.float64()) for v in zip(*values)]
+                yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + columns, names=[*kept, *FEATURES])
 
     read = list(dict.fromkeys([*kept, "row_text"]))
     types = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{f} double" for f in FEATURES]
@@ -202,7 +204,8 @@ def fit_toxicity(
     learned from all of them. Ties in the sample and the lexicon are broken by id and word.
     """
     given = frozenset(lexicon)
-    stored = Stored(labelled_sample(docs, labels, label_col, held_out, max_labelled, id_col, text_col), "toxic-sample")
+    # A bounded sample, dealt over many tasks.
+    stored = Stored(labelled_sample(docs, labels, label_col, held_out, max_labelled, id_col, text_col).repartition(32), "toxic-sample")
     sample = stored.df.withColumnRenamed("text", "row_text")
     counts = {r.label: r.n for r in sample.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())

@@ -80,7 +80,7 @@ class WordTable:
         return self.ids[first + np.arange(len(first))], n
 
 
-def byte_slices(offsets: np.ndarray, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def byte_slices(offsets: np.ndarray, size: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``size`` bytes, or of one longer row."""
     i = 0
     while i < len(offsets) - 1:

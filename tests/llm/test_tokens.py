@@ -38,6 +38,8 @@ def test_byte_bpe(spark, plain):
     rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(None, None, "x", "y"), (3, texts[3], "x", "y")]
     docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
     encoded = byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN, offsets=True)
+    at_once = byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN, decoded=True).select("ids", "decoded").collect()
+    assert sorted(at_once) == sorted(byte_bpe.decode_tokens(encoded, RANKS).select("ids", "decoded").collect())
     table = byte_bpe.token_table(byte_bpe.read_ranks(RANKS))
     places = {r.row.doc_id: (r.first_char, r.last_char) for r in encoded.collect()}
     got = byte_bpe.decode_tokens(encoded, RANKS).collect()
