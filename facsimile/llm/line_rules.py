@@ -96,8 +96,8 @@ def judge_lines(
 
     A line is removed where more than ``max_docs`` documents of the host and more than
     ``max_per_mille`` thousandths of them have it. A document is kept if it passes the
-    base rules and its other lines hold ``min_words`` words and ``min_kept_percent`` of
-    its words or more. Null texts have no words and fail; null hosts are one host; equal
+    base rules (``min_words``, ``max_repeat_percent``) and its other lines hold
+    ``min_kept_percent`` of its words or more. Null texts have no words and fail; null hosts are one host; equal
     rows count as one document and share the verdict; null ids are one id whose texts
     are told apart; an empty table gives an empty result. Other columns, whatever their
     names, come back in ``row``.
@@ -119,7 +119,7 @@ def judge_lines(
     )
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
     left = F.col("line_words") - F.col("removed_words")
-    enough = (left * F.col("n_words") >= F.col("line_words") * min_words) & (left * 100 >= F.col("line_words") * min_kept_percent)
+    enough = left * 100 >= F.col("line_words") * min_kept_percent
     return joined.select(
         "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),

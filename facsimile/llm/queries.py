@@ -175,7 +175,7 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
            HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) * 1000 > h.docs),
      k AS (SELECT doc_id, sum(n) FILTER (o.line IS NULL) AS n FROM x LEFT JOIN o ON x.source = o.source AND x.line = o.line GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(k.n, 0) >= 20 AND 100 * coalesce(k.n, 0) >= 50 * n_words AS kept
+       NOT base_failed AND 100 * coalesce(k.n, 0) >= 50 * n_words AS kept
 FROM f LEFT JOIN k USING (doc_id)
 """
 

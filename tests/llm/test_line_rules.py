@@ -34,7 +34,7 @@ def brute(rows, max_docs=3):
             len(WORD.findall(x)) for x in lines
             if not (len(holders[host, normal(x)]) > max_docs and 1000 * len(holders[host, normal(x)]) > len(members[host]))
         )
-        kept = not failed and left >= 20 and 2 * left >= len(words)
+        kept = not failed and 2 * left >= len(words)
         symbols = len(re.findall("[#*$%&|<>]", t))
         out.append((str(i), len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(covered), failed, kept))
     return sorted(out)
