@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import packed, same_row
+from facsimile.llm.common import Stored, packed, same_row
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -104,7 +104,7 @@ def judge_lines(
     """
     rows = packed(docs, id_col, text_col).withColumn("host", F.col("row")[host_col].cast("string"))
     base = base_counts(rows)
-    lines = line_words(rows)
+    lines = Stored(line_words(rows), "lines").df  # counted and judged: read twice, and joined by plain shuffles
     sizes = rows.select("host", "row_id", "row_copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)
     frequent = counts.join(sizes.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).filter(
