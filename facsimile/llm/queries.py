@@ -157,6 +157,37 @@ SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM iu JOIN du USING (g)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 
+TOOL_LINKING_SQL = """
+WITH c AS (SELECT conv_id, turn, 'call_' || turn AS call_id, length(text) AS n, regexp_extract(text, '[A-Za-z]+') AS word,
+                  CASE conv_id % 7 WHEN 1 THEN 'fetch' WHEN 2 THEN 'lookup' ELSE 'search' END AS name, conv_id % 11 = 0 AS broken,
+                  CASE WHEN turn >= 2 THEN turn - 2 WHEN conv_id % 9 = 0 THEN turn + 2 END AS wants
+           FROM conversations WHERE role = 'assistant'),
+     i AS (SELECT *, turn // 2 - row_number() OVER (PARTITION BY conv_id, turn % 2 ORDER BY turn) AS island FROM c),
+     d AS (SELECT *, row_number() OVER w - 1 AS place, min(turn) OVER w2 AS first, count(*) OVER w2 AS size FROM i
+           WINDOW w AS (PARTITION BY conv_id, turn % 2, island ORDER BY turn), w2 AS (PARTITION BY conv_id, turn % 2, island)),
+     k AS (SELECT *, CASE WHEN broken THEN 0 WHEN conv_id % 9 = 0 AND first < 2 AND size > 1 THEN NULL ELSE place END AS depth FROM d),
+     r AS (SELECT conv_id, 'call_' || (turn - 1) AS call_id, text AS result FROM conversations WHERE role = 'user' AND turn > 0),
+     j AS (SELECT coalesce(k.conv_id, r.conv_id) AS conv_id, coalesce(k.call_id, r.call_id) AS call_id, turn, name, depth, word, n, broken, wants,
+                  CASE WHEN k.call_id IS NULL THEN 'orphan' WHEN r.call_id IS NULL THEN 'open' ELSE 'linked' END AS status, result
+           FROM k FULL JOIN r ON k.conv_id = r.conv_id AND k.call_id = r.call_id)
+SELECT conv_id, call_id, turn, name, depth, status,
+       CASE WHEN status <> 'orphan' THEN array_to_string(list_sort([x FOR x IN [
+           CASE WHEN name = 'lookup' THEN 'tool' WHEN broken THEN 'json' END,
+           CASE WHEN broken AND name <> 'lookup' THEN 'missing:query' END,
+           CASE WHEN broken AND name = 'search' THEN 'missing:limit' END,
+           CASE WHEN name = 'fetch' THEN 'missing:url' END,
+           CASE WHEN NOT broken AND name <> 'lookup' AND conv_id % 5 = 0 THEN 'type:limit' END,
+           CASE WHEN NOT broken AND name <> 'search' AND wants IS NOT NULL THEN 'unknown:after' END,
+           CASE WHEN NOT broken AND name = 'lookup' THEN 'unknown:limit' END,
+           CASE WHEN NOT broken AND name = 'lookup' THEN 'unknown:query' END] IF x IS NOT NULL]), ',') END AS problems,
+       '{' || array_to_string([x FOR x IN [
+           CASE WHEN NOT broken THEN '"arguments":{' || CASE WHEN wants IS NULL THEN '' ELSE '"after":{"$ref":"call_' || wants || '"},' END ||
+               '"limit":' || CASE WHEN conv_id % 5 = 0 THEN '"' || n || '"' ELSE n::VARCHAR END || ',"query":"' || word || '"}' END,
+           '"depth":' || depth, '"id":"' || call_id || '"', '"name":"' || name || '"', '"result":' || to_json(result)::VARCHAR, '"turn":' || turn
+       ] IF x IS NOT NULL], ',') || '}' AS json
+FROM j
+"""
+
 LINE_RULES_SQL = r"""
 WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
      w AS (SELECT doc_id, source, text, [x FOR x IN regexp_split_to_array(text, '[\x20\x09-\x0D]+') IF x <> ''] AS w,
@@ -193,6 +224,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_chat_tool_linking": TOOL_LINKING_SQL,
     "op6_benchmark_decontamination": DECONTAMINATION_SQL,
     "op7_line_frequency_rules": LINE_RULES_SQL,
 }
