@@ -161,14 +161,15 @@ def resolve(rows: DataFrame, group: str, kind: str) -> DataFrame:
     Of a repeated kind, only rows of its smallest id stay open: they stand for all of them.
     """
     owner = F.coalesce("row_id", F.lit(LOWEST_ID))
-    kinds = rows.groupBy(group, kind).agg(F.count(F.lit(1)).alias("n"), F.min(owner).alias("owner"))
-    groups = kinds.groupBy(group).agg(F.count(F.lit(1)).alias("k"))
     # Stored: a join of plain shuffles is one whose hot keys Spark splits.
-    known = Stored(kinds.join(groups, group).filter("n > 1 OR k > 1"), "suffix-kinds").df
+    kinds = Stored(rows.groupBy(group, kind).agg(F.count(F.lit(1)).alias("n"), F.min(owner).alias("owner")), "suffix-kinds")
+    groups = Stored(kinds.df.groupBy(group).agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "suffix-groups").df
+    known = Stored(kinds.df.join(groups, group, "left").filter("n > 1 OR k > 1"), "suffix-known").df
+    kinds.drop()
     return rows.join(known, [group, kind]).select(
         *rows.columns,
         (F.col("n") > 1).alias("whole"),
-        ((F.col("k") > 1) & ((F.col("n") == 1) | (owner == F.col("owner")))).alias("open"),
+        (F.col("k").isNotNull() & ((F.col("n") == 1) | (owner == F.col("owner")))).alias("open"),
     )
 
 
