@@ -83,30 +83,63 @@ def violations(arguments: DataFrame, calls: DataFrame, schemas: DataFrame) -> Da
     return known_tool.groupBy("conv_id", "call_id").agg(F.array_sort(F.collect_set("problem")).alias("problems"))
 
 
+def _followed(single: DataFrame) -> DataFrame:
+    """(conv_id, call_id, needs, steps): chains of calls with one reference each, followed to the first call of another kind.
+
+    Pointers double in each round, so rounds grow with the logarithm of the longest
+    chain. Calls in or behind a cycle of such calls never arrive and are left out.
+    """
+    links = Stored(single.withColumn("steps", F.lit(1).cast("bigint")), "tool-chain").df
+    reach, longest = 1, links.count()
+    while reach <= longest:
+        ahead = links.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("then"), F.col("steps").alias("more"))
+        joined = links.join(ahead, ["conv_id", "needs"], "left")
+        links = Stored(
+            joined.select(
+                "conv_id", "call_id", F.coalesce("then", "needs").alias("needs"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")
+            ),
+            "tool-chain",
+        ).df
+        reach *= 2
+        if links.join(single.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_semi").isEmpty():
+            break
+    return links.join(single.select("conv_id", F.col("call_id").alias("needs")), ["conv_id", "needs"], "left_anti")
+
+
 def depths(calls: DataFrame, arguments: DataFrame) -> DataFrame:
     """(conv_id, call_id, depth): 0 without references, else one more than the deepest call referred to.
 
-    References to ids that no call has are left out. Each round settles the calls all of
-    whose references are settled, and later rounds look at the others alone; calls in or
-    behind a cycle are never settled and have no row. Rounds are as many as the longest
-    chain of references.
+    References to ids that no call has are left out. Calls with one reference are
+    followed by pointer doubling. The others are settled in rounds, each settling the
+    calls all of whose references are settled, as many rounds as such calls stand in a row. Calls in or
+    behind a cycle are never settled and have no row.
     """
+    key = ["conv_id", "call_id"]
     links = arguments.filter("needs IS NOT NULL").select("conv_id", "call_id", "needs").distinct()
     ids = calls.select("conv_id", F.col("call_id").alias("needs"))
     edges = Stored(links.join(ids, ["conv_id", "needs"], "left_semi"), "tool-edges").df
-    roots = calls.select("conv_id", "call_id").join(edges, ["conv_id", "call_id"], "left_anti")
-    settled = fresh = Stored(roots.select("conv_id", "call_id", F.lit(0).alias("depth")), "tool-depth").df
-    waiting = edges.withColumn("depth", F.lit(None).cast("int"))
-    while not fresh.isEmpty():
+    several = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(*key)
+    single = Stored(edges.join(several, key, "left_anti"), "tool-single").df
+    followed = Stored(_followed(single), "tool-chain").df
+    roots = calls.select(*key).join(edges, key, "left_anti")
+    settled = fresh = Stored(roots.select(*key, F.lit(0).cast("bigint").alias("depth")), "tool-depth").df
+    ends = followed.select("conv_id", F.col("call_id").alias("needs"), F.col("needs").alias("end"), F.col("steps").alias("more"))
+    forks = edges.join(several, key, "left_semi").join(ends, ["conv_id", "needs"], "left")
+    waiting = forks.select(*key, F.coalesce("end", "needs").alias("needs"), F.coalesce("more", F.lit(0)).alias("steps"), F.lit(None).cast("bigint").alias("depth"))
+    while not fresh.isEmpty() and not several.isEmpty():
         done = fresh.select("conv_id", F.col("call_id").alias("needs"), F.col("depth").alias("now"))
         waiting = Stored(
-            waiting.join(done, ["conv_id", "needs"], "left").select("conv_id", "call_id", "needs", F.coalesce("depth", "now").alias("depth")), "tool-wait"
+            waiting.join(done, ["conv_id", "needs"], "left").select(*key, "needs", "steps", F.coalesce("depth", "now").alias("depth")), "tool-wait"
         ).df
-        ready = waiting.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("n"), F.count("depth").alias("k"), (F.max("depth") + 1).alias("depth"))
-        fresh = Stored(ready.filter("n = k").select("conv_id", "call_id", "depth"), "tool-depth").df
-        waiting = waiting.join(fresh.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_anti")
-        settled = settled.unionByName(fresh)
-    return settled
+        ready = waiting.groupBy(*key).agg(
+            F.count(F.lit(1)).alias("n"), F.count("depth").alias("k"), (F.max(F.col("depth") + F.col("steps")) + 1).alias("depth")
+        )
+        fresh = Stored(ready.filter("n = k").select(*key, "depth"), "tool-depth").df
+        waiting = waiting.join(fresh.select(*key), key, "left_anti")
+        settled = Stored(settled.unionByName(fresh), "tool-depth").df
+    ended = settled.select("conv_id", F.col("call_id").alias("needs"), "depth")
+    chained = followed.join(ended, ["conv_id", "needs"]).select(*key, (F.col("depth") + F.col("steps")).alias("depth"))
+    return settled.unionByName(chained)
 
 
 def link_tools(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Linking, order, validation and JSON on cases with known results."""
 
+import random
+
 from facsimile.llm.chat import link_tools
 
 CALLS = "conv_id long, turn long, position int, call_id string, name string, arguments string, depth string"
@@ -60,6 +62,31 @@ def test_linking(spark):
     assert got[1, "lost"].json == '{"id":"lost","result":"z"}'
 
 
+def test_depths_of_random_graphs(spark):
+    rng = random.Random(6)
+    calls, needs = [], {}
+    for conv in range(6):
+        for i in range(40):
+            if conv < 3:  # forwards only; conversation 0 is one chain
+                targets = [i - 1] * (i > 0) if conv == 0 else rng.sample(range(i), min(i, rng.choice([0, 1, 1, 2, 3])))
+            else:
+                targets = rng.sample(range(45), rng.choice([0, 1, 1, 1, 2]))
+            needs[conv, i] = {t for t in targets if t < 40}
+            values = ", ".join(f'"a{n}": {{"$ref": "c{t}"}}' for n, t in enumerate(targets))
+            calls.append((conv, i, 0, f"c{i}", "find", "{" + values + "}"))
+
+    def depth(node, above=()):
+        if node in above:
+            return None
+        below = [depth((node[0], t), (*above, node)) for t in needs[node]]
+        return None if None in below else 1 + max(below, default=-1)
+
+    rng.shuffle(calls)
+    got = run(spark, calls, [])
+    assert {k: r.depth for k, r in got.items()} == {(c, f"c{i}"): depth((c, i)) for c, i in needs}
+    assert got[0, "c39"].depth == 39
+
+
 def test_no_rows(spark):
     assert run(spark, [], []) == {}
     assert len(run(spark, [], [(1, 1, "a", "x")])) == 1
