@@ -13,6 +13,7 @@ words) and the directory (a uint32 per word).
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -88,8 +89,8 @@ class Segment:
 
 
 @lru_cache(maxsize=2)
-def _word_encoder(tokenizer_json: str) -> "WordEncoder":
-    return WordEncoder(tokenizer_json)
+def _word_encoder(tokenizer_json: str, special_tokens: bool) -> "WordEncoder":
+    return WordEncoder(tokenizer_json, special_tokens)
 
 
 def _normal(text: str) -> str:
@@ -106,19 +107,28 @@ class WordEncoder:
     Words of letters alone are one match of the tokenizer's pattern, so many of them are
     normalised (NFC, each character in lower case) and encoded together, without the
     pattern, and cut again at the word ends. Known words are found by a 64-bit hash.
+    Rows are cut at added tokens before anything else, as the library does; with
+    ``special_tokens`` off, the strings of special ones are ordinary text.
     """
 
-    def __init__(self, tokenizer_json: str) -> None:
+    def __init__(self, tokenizer_json: str, special_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole = Tokenizer.from_str(tokenizer_json)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        given = Tokenizer.from_str(tokenizer_json)
+        self.whole = Tokenizer(given.model)  # without added tokens: a lower-cased word may look like one
+        self.whole.normalizer, self.whole.pre_tokenizer = given.normalizer, given.pre_tokenizer
+        added = [t for t in json.loads(tokenizer_json).get("added_tokens", []) if special_tokens or not t["special"]]
+        if any(t["normalized"] or t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
+            raise ValueError("added tokens must be plain strings of the text: not normalized, single words or stripped")
+        self.added = {t["content"].encode(): t["id"] for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.any_added = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         self.letters = Tokenizer(self.whole.model)
         self.letters.pre_tokenizer = pre_tokenizers.Sequence(
             [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
-        vocab = self.whole.get_vocab()
+        vocab = given.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for token, i in vocab.items() if token.endswith(WORD_END)]] = True
         self.known = WordTable()
@@ -155,11 +165,31 @@ class WordEncoder:
         if found:
             self.known.add(keys[order + others], np.concatenate(found), np.concatenate(sizes).astype(np.int64))
 
+    def _added_places(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """(row, begin, end, id) of the added tokens in rows of UTF-8 text."""
+        raw = data.tobytes()
+        if self.any_added is None or not self.any_added.search(raw):
+            return np.zeros((0, 4), np.int64)
+        bounds = offsets.tolist()
+        found = [
+            (row, m.start(), m.end(), self.added[m.group()])
+            for row, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]))
+            for m in self.any_added.finditer(raw, a, b)
+        ]
+        return np.array(found, np.int64).reshape(-1, 4)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows of UTF-8 text, how many each row has)."""
         if len(self.known.key) > CACHED_WORDS:
             self.known = WordTable()
-        lowered, row, begin, end = word_places(data, offsets)
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        added = self._added_places(data, offsets)
+        lowered, row, begin, end = word_places(data, np.sort(np.concatenate([offsets, added[:, 1], added[:, 2]])))
+        if len(added):
+            last = np.searchsorted(added[:, 1], begin, side="right") - 1
+            own = (last < 0) | (begin >= added[last, 2])
+            begin, end = begin[own], end[own]
+            row = np.searchsorted(offsets, begin, side="right") - 1
         keys, first, of = np.unique(word_hashes(lowered, begin, end), return_index=True, return_inverse=True)
         missing = np.flatnonzero(self.known.find(keys) < 0)
         raw = lowered.tobytes()
@@ -174,7 +204,12 @@ class WordEncoder:
             total = np.diff(np.concatenate([[0], np.cumsum(n)])[bounds], prepend=0)
             self.known.add(keys[missing[several]], ids, total)
         ids, n = self.known.gather(self.known.find(keys)[of])
-        return ids, np.bincount(row, weights=n, minlength=len(offsets) - 1).astype(np.int64)
+        sizes = np.bincount(row, weights=n, minlength=len(offsets) - 1).astype(np.int64)
+        if len(added):
+            before = np.append(0, np.cumsum(n))[np.searchsorted(begin, added[:, 1])]
+            ids = np.insert(ids, before, added[:, 3])
+            sizes += np.bincount(added[:, 0], minlength=len(offsets) - 1)
+        return ids, sizes
 
 
 def _keys(pieces: list[str]) -> np.ndarray:
@@ -199,20 +234,23 @@ def write_tokens(
     text_col: str = "text",
     path: str | None = None,
     segment_tokens: int = SEGMENT_TOKENS,
+    special_tokens: bool = False,
 ) -> DataFrame:
     """Token ids of all texts in ascending id order, as stored segments; returns the segment table.
 
     Rows are dealt to parts by ranges of the id and sorted within; equal ids are ordered
     by their text's hash, null ids come first. A part is a sequence of segments; a
     segment ends with the documents that fill it, a few megabytes of text at most or one
-    longer document. ``before`` counts the part's ids before the segment.
+    longer document. ``before`` counts the part's ids before the segment. With
+    ``special_tokens`` the string of a special token becomes its id, as in the library's
+    plain call; without, it is ordinary text.
     """
     with open(tokenizer_path, encoding="utf-8") as file:
         tokenizer_json = file.read()
     def emit(batches):
         from pyspark import TaskContext
 
-        encoder, part = _word_encoder(tokenizer_json), TaskContext.get().partitionId()
+        encoder, part = _word_encoder(tokenizer_json, special_tokens), TaskContext.get().partitionId()
         ids, copies, codes, sizes, held, segment, before = [], [], [], [], 0, 0, 0
 
         def flush():

@@ -124,7 +124,7 @@ def op8_toxicity(spark, sf_dir):
 
 
 def op9_addressable_codes(spark, sf_dir):
-    segments = write_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2)
+    segments = write_tokens(_read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=2, special_tokens=True)
     return read_tokens(segments).select(
         F.col("row_id").alias("doc_id"), "start", F.expr("length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
     )

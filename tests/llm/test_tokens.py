@@ -95,3 +95,22 @@ def test_files_no_rows(spark):
     assert dac.read_tokens(dac.write_tokens(spark.createDataFrame([], SCHEMA), WORDS, end_id=2)).count() == 0
 
 
+
+
+def test_files_special_tokens(spark, tmp_path):
+    """The registered query against the library's plain call, with strings of special tokens in the texts."""
+    from facsimile.llm.queries import op9_addressable_codes
+
+    rng = random.Random(6)
+    marks = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext", "text|>", "<|", "|>", " ", "Ab", "é", "\n"]
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "<|endof", "text|> x", "", "<|endoftext|><|startoftext|>", "a<|endoftext|>B's", *odd_texts(5, 100)]
+    texts += ["".join(rng.choices(marks, k=rng.randint(1, 9))) for _ in range(300)]
+    whole = Tokenizer.from_file(WORDS)
+    assert whole.encode(texts[0], add_special_tokens=False).ids == [862, 49407, 763]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got, at = {r.doc_id: r for r in op9_addressable_codes(spark, str(tmp_path)).collect()}, 0
+    for i, text in enumerate(texts):
+        want = np.array([*whole.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(want), zlib.crc32(want.tobytes())), text
+        at += len(want)
+    assert len(got) == len(texts)
