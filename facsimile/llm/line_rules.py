@@ -2,8 +2,8 @@
 
 Lines are normalised (lower case, white space runs as one space, digits as 0), hashed,
 and counted by distinct documents per host. Lines that exceed both limits are
-boilerplate and are removed; a document that keeps too few of its words is rejected, as
-is one that fails the base rules on its own text.
+boilerplate and are removed from the text; a document that keeps too few of its words is
+rejected, as is one that fails the base rules on its own text.
 
 Each step is a column of its own, so that no lambda evaluates an array more than once.
 """
@@ -55,13 +55,15 @@ def with_repeated_words(rows: DataFrame, window: int = 8) -> DataFrame:
 
 
 def base_counts(rows: DataFrame) -> DataFrame:
-    """row_id, row_copy, row with the counts on the text itself."""
+    """row_id, row_copy, row_text, host, row with the counts on the text itself."""
     with_word = F.filter(F.split("row_text", "\n"), lambda line: line.rlike(WORD))
     rows = rows.withColumn("words", words_of(F.col("row_text"))).withColumn("lines", with_word)
     counted = with_repeated_words(rows)
     return counted.select(
         "row_id",
         "row_copy",
+        "row_text",
+        "host",
         "row",
         F.size("words").cast("bigint").alias("n_words"),
         F.aggregate("words", F.lit(0).cast("bigint"), lambda n, w: n + F.length(w)).alias("word_chars"),
@@ -71,14 +73,16 @@ def base_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def line_words(rows: DataFrame) -> DataFrame:
-    """(host, line, row_id, row_copy, words): words of each distinct normalised line of a text."""
-    lines = F.transform(
-        F.filter(F.split("row_text", "\n"), lambda line: line.rlike(WORD)),
-        lambda line: F.struct(F.xxhash64(normal_line(line)).alias("line"), F.size(words_of(line)).alias("words")),
-    )
-    exploded = rows.select("row_id", "row_copy", "host", F.explode(lines).alias("l"))
-    return exploded.groupBy("host", F.col("l.line").alias("line"), "row_id", "row_copy").agg(F.sum("l.words").alias("words"))
+def text_lines(rows: DataFrame) -> DataFrame:
+    """(host, line, row_id, row_copy): each distinct normalised line of a text, hashed."""
+    lines = F.transform(F.filter(F.split("row_text", "\n"), lambda line: line.rlike(WORD)), lambda line: F.xxhash64(normal_line(line)))
+    return rows.select("host", F.explode(lines).alias("line"), "row_id", "row_copy").distinct()
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """The text without the lines whose normalised form has one of the hashes; the other lines are as they were."""
+    own = F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(hashes, F.xxhash64(normal_line(line))))
+    return F.when(hashes.isNull(), text).otherwise(F.array_join(own, "\n"))
 
 
 def judge_lines(
@@ -92,37 +96,38 @@ def judge_lines(
     min_kept_percent: int = 50,
     max_repeat_percent: int = 30,
 ) -> DataFrame:
-    """Each row of ``docs`` as (row, base counts, base_failed, removed_share, kept).
+    """Each row of ``docs`` as (row, clean_text, base counts, base_failed, removed_share, kept).
 
     A line is removed where more than ``max_docs`` documents of the host and more than
-    ``max_per_mille`` thousandths of them have it. A document is kept if it passes the
-    base rules (``min_words``, ``max_repeat_percent``) and its other lines hold
-    ``min_kept_percent`` of its words or more. Null texts have no words and fail; null hosts are one host; equal
+    ``max_per_mille`` thousandths of them have it; ``clean_text`` is the text without
+    such lines. A document is kept if it passes the base rules (``min_words``,
+    ``max_repeat_percent``) and its clean text holds ``min_kept_percent`` of its words or
+    more. Null texts are empty, have no words and fail; null hosts are one host; equal
     rows count as one document and share the verdict; null ids are one id whose texts
     are told apart; an empty table gives an empty result. Other columns, whatever their
     names, come back in ``row``.
     """
     rows = packed(docs, id_col, text_col).withColumn("host", F.col("row")[host_col].cast("string"))
     base = base_counts(rows)
-    lines = Stored(line_words(rows), "lines").df  # counted and judged: read twice, and joined by plain shuffles
+    lines = Stored(text_lines(rows), "lines").df  # counted and judged: read twice, and joined by plain shuffles
     sizes = rows.select("host", "row_id", "row_copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)
     frequent = counts.join(sizes.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).filter(
         F.col("docs") * 1000 > F.col("host_docs") * max_per_mille
     )
     above = frequent.select(F.col("of").alias("above_host"), F.col("line").alias("above_line"))
-    marked = lines.join(above, (lines.line == F.col("above_line")) & lines.host.eqNullSafe(F.col("above_host")), "left")
-    gone = F.sum(F.when(F.col("above_line").isNotNull(), F.col("words")).otherwise(0))
-    verdict = marked.groupBy("row_id", "row_copy").agg(F.sum("words").alias("line_words"), gone.alias("removed_words"))
-    joined = base.join(verdict, same_row(base, verdict), "left").select(
-        *[base[c] for c in base.columns if c not in ("row_id", "row_copy")], "line_words", "removed_words"
-    )
+    marked = lines.join(above, (lines.line == F.col("above_line")) & lines.host.eqNullSafe(F.col("above_host")))
+    gone = marked.groupBy("row_id", "row_copy", "host").agg(F.collect_set("above_line").alias("gone"))  # of rows that lose a line
+    same = same_row(base, gone) & base.host.eqNullSafe(gone.host)
+    joined = base.join(gone, same, "left").select(*[base[c] for c in base.columns if c not in ("row_id", "row_copy", "host")], "gone")
+    cleaned = joined.withColumn("clean_text", without_lines(F.col("row_text"), F.col("gone")))
+    left = F.when(F.col("gone").isNull(), F.col("n_words")).otherwise(F.size(words_of(F.col("clean_text"))).cast("bigint"))
+    cleaned = cleaned.withColumn("left", left)
     failed = (F.col("n_words") < min_words) | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeat_percent)
-    left = F.col("line_words") - F.col("removed_words")
-    enough = left * 100 >= F.col("line_words") * min_kept_percent
-    return joined.select(
-        "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    enough = (F.col("n_words") > 0) & (F.col("left") * 100 >= F.col("n_words") * min_kept_percent)
+    return cleaned.select(
+        "row", "clean_text", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         failed.alias("base_failed"),
-        F.coalesce(F.col("removed_words") / F.nullif(F.col("line_words"), F.lit(0)), F.lit(0.0)).alias("removed_share"),
-        (~failed & F.coalesce(enough, F.lit(False))).alias("kept"),
+        F.coalesce((F.col("n_words") - F.col("left")) / F.nullif(F.col("n_words"), F.lit(0)), F.lit(0.0)).alias("removed_share"),
+        (~failed & enough).alias("kept"),
     )

@@ -71,3 +71,30 @@ def test_no_python(spark):
 
 def test_no_rows(spark):
     assert judge_lines(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_lines_are_removed(spark):
+    """Texts without their boilerplate lines, line by line; the other lines as they were."""
+    rng = random.Random(8)
+    shared = ["Page 12 of  90", "all rights reserved", "\u00c9dition du jour"]
+    rows = []
+    for i in range(40):
+        lines = [f"own {i} {chr(97 + k % 26)}{chr(97 + i % 26)}" for k in range(rng.randint(0, 3))] + ["", " \t"]
+        lines += [x.upper().replace("1", str(rng.randint(0, 9))) + " " for x in shared if rng.random() < 0.5]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), rng.choice(["h1", "h2", None]), "x", "y"))
+    rows += [(50, None, "h1", "x", "y"), (51, "", "h1", "x", "y"), (52, "\n\n", "h2", "x", "y"), rows[3]]
+    rows += [(None, rows[4][1], host, "x", "y") for host in ("h1", "h2", None, "alone")]  # one text on several hosts
+    normal = lambda line: re.sub("[0-9]", "0", " ".join(WORD.findall(line.lower())))
+    holders = defaultdict(set)
+    for i, t, host, *_ in rows:
+        for line in filter(WORD.search, (t or "").split("\n")):
+            holders[host, normal(line)].add((i, t))
+    want = []
+    for i, t, host, *_ in rows:
+        clean = "\n".join(x for x in (t or "").split("\n") if not (WORD.search(x) and len(holders[host, normal(x)]) > 5))
+        n = len(WORD.findall(t or ""))
+        want.append((str(i), clean, round((n - len(WORD.findall(clean))) / n, 9) if n else 0.0))
+    assert sum(c != (t or "") for (_, t, *_), (_, c, _) in zip(rows, want)) > 20
+    got = judge_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), max_docs=5, min_words=1).collect()
+    assert sorted((str(r.row.doc_id), r.clean_text, round(r.removed_share, 9)) for r in got) == sorted(want)
