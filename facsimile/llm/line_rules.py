@@ -1,7 +1,7 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
 Lines are normalised (lower case, white space runs as one space, digits as 0), hashed,
-and counted by distinct documents per host. Lines that exceed both limits are
+and counted by distinct documents per host. Lines above the limit are
 boilerplate and are removed from the text; a document that keeps too few of its words is
 rejected, as is one that fails the base rules on its own text.
 
@@ -91,18 +91,19 @@ def judge_lines(
     text_col: str = "text",
     host_col: str = "source",
     max_docs: int = 10,
-    max_per_mille: int = 1,
+    max_per_mille: int | None = None,
     min_words: int = 20,
     min_kept_percent: int = 50,
     max_repeat_percent: int = 30,
 ) -> DataFrame:
     """Each row of ``docs`` as (row, clean_text, base counts, base_failed, removed_share, kept).
 
-    A line is removed where more than ``max_docs`` documents of the host and more than
-    ``max_per_mille`` thousandths of them have it; ``clean_text`` is the text without
-    such lines. A document is kept if it passes the base rules (``min_words``,
-    ``max_repeat_percent``) and its clean text holds ``min_kept_percent`` of its words or
-    more. Null texts are empty, have no words and fail; null hosts are one host; equal
+    A line is removed where more than ``max_docs`` documents of the host have it, however
+    many documents the host has; ``clean_text`` is the text without such lines. A caller
+    may ask for more than ``max_per_mille`` thousandths of the host's documents too. A
+    document is kept if it passes the base rules (``min_words``, ``max_repeat_percent``)
+    and its clean text holds ``min_kept_percent`` of its words or more. Null texts are
+    empty, have no words and fail; null hosts are one host; equal
     rows count as one document and share the verdict; null ids are one id whose texts
     are told apart; an empty table gives an empty result. Other columns, whatever their
     names, come back in ``row``.
@@ -110,12 +111,12 @@ def judge_lines(
     rows = packed(docs, id_col, text_col).withColumn("host", F.col("row")[host_col].cast("string"))
     base = base_counts(rows)
     lines = Stored(text_lines(rows), "lines").df  # counted and judged: read twice, and joined by plain shuffles
-    sizes = rows.select("host", "row_id", "row_copy").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
-    counts = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)
-    frequent = counts.join(sizes.withColumnRenamed("host", "of"), F.col("host").eqNullSafe(F.col("of"))).filter(
-        F.col("docs") * 1000 > F.col("host_docs") * max_per_mille
-    )
-    above = frequent.select(F.col("of").alias("above_host"), F.col("line").alias("above_line"))
+    frequent = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("docs")).filter(F.col("docs") > max_docs)
+    if max_per_mille is not None:
+        sizes = rows.select("host", "row_id", "row_copy").distinct().groupBy(F.col("host").alias("of")).agg(F.count(F.lit(1)).alias("host_docs"))
+        of_host = F.col("docs") * 1000 > F.col("host_docs") * max_per_mille
+        frequent = frequent.join(sizes, F.col("host").eqNullSafe(F.col("of"))).filter(of_host)
+    above = frequent.select(F.col("host").alias("above_host"), F.col("line").alias("above_line"))
     marked = lines.join(above, (lines.line == F.col("above_line")) & lines.host.eqNullSafe(F.col("above_host")))
     gone = marked.groupBy("row_id", "row_copy", "host").agg(F.collect_set("above_line").alias("gone"))  # of rows that lose a line
     same = same_row(base, gone) & base.host.eqNullSafe(gone.host)

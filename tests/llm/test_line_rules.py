@@ -4,6 +4,8 @@ import random
 import re
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from facsimile.llm.line_rules import judge_lines
 
 SCHEMA = "doc_id long, text string, source string, host string, words string"
@@ -98,3 +100,15 @@ def test_lines_are_removed(spark):
     assert sum(c != (t or "") for (_, t, *_), (_, c, _) in zip(rows, want)) > 20
     got = judge_lines(spark.createDataFrame(rows, SCHEMA).repartition(4), max_docs=5, min_words=1).collect()
     assert sorted((str(r.row.doc_id), r.clean_text, round(r.removed_share, 9)) for r in got) == sorted(want)
+
+
+def test_limit_is_the_same_on_large_hosts(spark):
+    """Eleven holders are above the limit of ten on a host of 12,000 documents as on one of 20."""
+    docs = spark.range(12_020).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("own line "), F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij"),
+                 F.when((F.col("id") < 11) | (F.col("id") >= 12_009), "\nthe same footer").when(F.col("id") < 21, "\na rarer footer").otherwise("")).alias("text"),
+        F.when(F.col("id") < 12_000, "large").otherwise("small").alias("source"),
+    )
+    cut = judge_lines(docs, min_words=1).filter(F.instr("clean_text", "\n") == 0).filter("removed_share > 0")
+    assert sorted(r.doc_id for r in cut.select("row.doc_id").collect()) == [*range(11), *range(12_009, 12_020)]
