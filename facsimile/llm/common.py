@@ -57,6 +57,11 @@ class Stored:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def copy_key(text: Column) -> Column:
+    """64 bits that tell different texts of one id, or of no id, apart."""
+    return F.xxhash64(text)
+
+
 def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows as (row_id, row_copy, row_text, row): own names cannot clash with input columns.
 
@@ -67,7 +72,7 @@ def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return docs.select(
         F.col(id_col).cast("bigint").alias("row_id"),
-        F.hash(text).alias("row_copy"),
+        copy_key(text).alias("row_copy"),
         text.alias("row_text"),
         F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row"),
     )

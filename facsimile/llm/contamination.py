@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import packed, text_bytes
+from facsimile.llm.common import copy_key, packed, text_bytes
 from facsimile.llm.rolling import U, mix
 from facsimile.llm.words import word_hashes, word_places
 
@@ -118,7 +118,7 @@ def contained_items(
     of ``BLOCK_ITEMS`` by the driver: a benchmark is a stated query set.
     """
     rows = packed(docs, id_col, text_col).select("row_id", "row_copy", "row_text")
-    schema = "row_id long, row_copy int, item_id long, n_shared long, n_item long"
+    schema = "row_id long, row_copy long, item_id long, n_shared long, n_item long"
     found = None
     for block in _blocks(benchmark, item_col, item_text_col, words, share):
         part = rows.mapInArrow(_emit_contained(block), schema)
@@ -130,7 +130,7 @@ def without_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that hold no item; rows and columns are as they were."""
     hits = contained_items(docs, benchmark, id_col, text_col, **options).select("row_id", "row_copy").distinct()
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.join(hits, F.col(id_col).cast("bigint").eqNullSafe(hits.row_id) & (F.hash(text) == hits.row_copy), "left_anti")
+    return docs.join(hits, F.col(id_col).cast("bigint").eqNullSafe(hits.row_id) & (copy_key(text) == hits.row_copy), "left_anti")
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, words: int, share: float):

@@ -222,7 +222,7 @@ def _keys(pieces: list[str]) -> np.ndarray:
 
 
 SEGMENTS = (
-    "part int, segment int, before long, tokens long, row_ids array<bigint>, row_copies array<int>, begins array<bigint>, codes binary"
+    "part int, segment int, before long, tokens long, row_ids array<bigint>, row_copies array<bigint>, begins array<bigint>, codes binary"
 )
 
 
@@ -265,7 +265,7 @@ def write_tokens(
                 schema=pa.schema(
                     [
                         ("part", pa.int32()), ("segment", pa.int32()), ("before", pa.int64()), ("tokens", pa.int64()), ("row_ids", pa.list_(pa.int64())),
-                        ("row_copies", pa.list_(pa.int32())), ("begins", pa.list_(pa.int64())), ("codes", pa.binary()),
+                        ("row_copies", pa.list_(pa.int64())), ("begins", pa.list_(pa.int64())), ("codes", pa.binary()),
                     ]
                 ),
             )

@@ -37,9 +37,9 @@ ANCHOR = 64  # bytes that pick a suffix and order it
 BLOCK = 16  # windows of a block
 LOWEST_ID = -(1 << 63)
 
-RUNS = "suffix long, run long, row_id long, row_copy int, start int, lead short, length short, batch int"
-BLOCKS = "suffix long, run long, row_id long, row_copy int, start int, lead short, length short"
-WINDOWS = "suffix long, run int, row_id long, row_copy int, start int"
+RUNS = "suffix long, run long, row_id long, row_copy long, start int, lead short, length short, batch int"
+BLOCKS = "suffix long, run long, row_id long, row_copy long, start int, lead short, length short"
+WINDOWS = "suffix long, run int, row_id long, row_copy long, start int"
 SPANS = "array<struct<start:int,length:int>>"
 
 
