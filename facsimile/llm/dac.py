@@ -238,8 +238,8 @@ def write_tokens(
 ) -> DataFrame:
     """Token ids of all texts in ascending id order, as stored segments; returns the segment table.
 
-    Rows are dealt to parts by ranges of the id and sorted within; equal ids are ordered
-    by their text's hash, null ids come first. A part is a sequence of segments; a
+    Rows are dealt to parts by ranges of the id and the text's hash and sorted within;
+    equal ids are ordered by their text's hash, null ids come first. A part is a sequence of segments; a
     segment ends with the documents that fill it, a few megabytes of text at most or one
     longer document. ``before`` counts the part's ids before the segment. With
     ``special_tokens`` the string of a special token becomes its id, as in the library's
@@ -289,7 +289,7 @@ def write_tokens(
         encoder.known = WordTable()  # the worker may live on
 
     rows = packed(docs, id_col, text_col).select("row_id", "row_copy", "row_text")
-    dealt = rows.repartitionByRange("row_id").sortWithinPartitions("row_id", "row_copy")
+    dealt = rows.repartitionByRange("row_id", "row_copy").sortWithinPartitions("row_id", "row_copy")
     return store(dealt.mapInArrow(emit, SEGMENTS), "tokens") if path is None else _store_at(dealt.mapInArrow(emit, SEGMENTS), path)
 
 

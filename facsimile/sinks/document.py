@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.functions.nested import TIME_FORMATS, cell_text, column
-from facsimile.operators.ranks import running_totals
+from facsimile.operators.ranks import SLOT_ROWS, running_totals
 from facsimile.session import settle
 
 CHUNK_ROWS = 10_000  # rows in one cell
@@ -24,14 +24,15 @@ def sample_document(df: DataFrame, order_by: list[str], limit: int = DEFAULT_ROW
 
     ``rows`` holds values as text (times in ISO form), ``document`` as JSON values. Any
     number of rows may be asked for; each chunk is a document of ``chunk_rows`` of them.
-    ``order_by`` should name each row once.
+    ``order_by`` should name each row once. Up to ``SLOT_ROWS`` rows are a top-k; more are
+    placed slice by slice, without one task seeing all of them.
     """
     if limit <= 0:
         raise ValueError("the limit must be positive")
     if not order_by:
         raise ValueError("order_by must name the columns that order the rows")
-    top = settle(df.orderBy(*[column(c) for c in order_by]).limit(limit), "document")
-    placed = running_totals(top.withColumn("_one", F.lit(1).cast("long")), [], order_by, "_one")
+    top = settle(df.orderBy(*[column(c) for c in order_by]).limit(limit) if limit <= SLOT_ROWS else df, "document")
+    placed = running_totals(top.withColumn("_one", F.lit(1).cast("long")), [], order_by, "_one").where(F.col("hi") <= limit)
     top = placed.withColumn("_chunk", F.call_function("div", F.col("lo"), F.lit(chunk_rows))).drop("_one", "lo", "hi")
     cells = F.array(*[cell_text(column(f.name), f.dataType) for f in df.schema.fields])
     values = F.concat(F.lit("["), F.concat_ws(",", *[F.coalesce(_cell_json(c), F.lit("null")) for c in df.columns]), F.lit("]"))

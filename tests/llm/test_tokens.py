@@ -114,3 +114,15 @@ def test_files_special_tokens(spark, tmp_path):
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (at, len(want), zlib.crc32(want.tobytes())), text
         at += len(want)
     assert len(got) == len(texts)
+
+
+def test_null_ids_are_dealt_over_parts(spark):
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id").cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        segments = dac.write_tokens(docs, WORDS, end_id=2)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert segments.select("part").distinct().count() > 1
+    starts = [r.start for r in dac.read_tokens(segments).sort("start").select("start").collect()]
+    assert len(starts) == 2000 and starts[0] == 0 and len(set(starts)) == 2000

@@ -111,3 +111,16 @@ def test_records(df):
     assert [json.loads(r["record"]) for r in as_records(df.orderBy("id")).collect()] == [
         {"id": 1, "name": "a", "v": [1, 2]}, {"id": 2, "name": None, "v": None},
     ]
+
+
+@pytest.mark.parametrize("limit", [110_001, 1 << 30])
+def test_large_document_has_no_top_k(spark, monkeypatch, limit):
+    """Many rows are placed in slices; one reducer holds no more than a slice."""
+    from facsimile.sinks import document
+
+    plans, settle = [], document.settle
+    monkeypatch.setattr(document, "settle", lambda df, name: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or settle(df, name))
+    rows = spark.range(0, 120_000, 1, 4).selectExpr("119999 - id AS id")
+    got = sample_document(rows, ["id"], limit).sort("chunk").select("rows").collect()
+    assert "Limit" not in plans[0] and "Sort" not in plans[0]
+    assert [int(r[0]) for chunk in got for r in chunk.rows] == list(range(min(limit, 120_000)))
