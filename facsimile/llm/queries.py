@@ -8,9 +8,11 @@ from public_tokenizers import PATTERN
 from public_tokenizers import path as tokenizer_path
 
 from facsimile.llm.byte_bpe import encode_texts
+from facsimile.llm.centroids import fit_centroids
 from facsimile.llm.chat import link_tools
 from facsimile.llm.contamination import contained_items
 from facsimile.llm.dac import read_tokens, write_tokens
+from facsimile.llm.fill_middle import fill_middle, restored_text
 from facsimile.llm.labelled import fold
 from facsimile.llm.line_rules import judge_lines
 from facsimile.llm.quality_vote import fit_vote
@@ -141,6 +143,22 @@ def op10_byte_bpe(spark, sf_dir):
     )
 
 
+def op11_fill_middle(spark, sf_dir):
+    made = fill_middle(_read(spark, sf_dir, "documents"))
+    return made.select(
+        "row.doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(restored_text(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
+
+
+def op12_centroid_clusters(spark, sf_dir):
+    clusters = fit_centroids(_read(spark, sf_dir, "embeddings"))
+    if clusters is None:
+        return spark.createDataFrame([], "vec_id long, cluster int, distance long, cluster_inertia long, inertia long, centroid_sha256 string")
+    return clusters.labelled().select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 # Words are what ASCII white space separates; only A-Z change case.
 WORDS_SQL = r"""[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> '']"""
@@ -210,6 +228,49 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f LEFT JOIN k USING (doc_id)
 """
 
+FILL_MIDDLE_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+     d AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS l, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+                  ('0x' || h[25:32])::BIGINT AS h4 FROM t),
+     k AS (SELECT *, least(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS a, greatest(h1 % (len(l) + 1), h2 % (len(l) + 1)) AS b FROM d),
+     p AS (SELECT doc_id, text, len(l) AS n, array_to_string(l[1:a], '') AS prefix, array_to_string(l[a + 1:b], '') AS middle,
+                  array_to_string(l[b + 1:], '') AS suffix,
+                  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain'
+                       WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM k)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _centroids_sql(k: int = 8, rounds: int = 10, dims: int = 64) -> str:
+    """The rounds as one common table each; ``a{n}`` assigns to the centroids of ``c{n}``."""
+    steps = []
+    for n in range(rounds + 1):
+        steps.append(f"""
+     a{n} AS MATERIALIZED (SELECT vec_id, x, c, d FROM (
+         SELECT vec_id, x, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS place FROM (
+             SELECT vec_id, x, c, list_sum([(z[1] - z[2]) * (z[1] - z[2]) FOR z IN list_zip(x, m)])::BIGINT AS d FROM v, c{n})) WHERE place = 1)""")
+        if n < rounds:
+            steps.append(f"""
+     c{n + 1} AS MATERIALIZED (SELECT c{n}.c, coalesce(q.m, c{n}.m) AS m FROM c{n} LEFT JOIN (
+         SELECT c, list(((s - ((s % n + n) % n)) // n)::BIGINT ORDER BY i) AS m FROM (
+             SELECT c, i, sum(x[i]) AS s, count(*) AS n FROM a{n}, range(1, {dims + 1}) AS r(i) GROUP BY c, i) GROUP BY c) q ON q.c = c{n}.c)""")
+    return f"""
+WITH v AS MATERIALIZED (
+         SELECT vec_id, [floor(1024 * y::DOUBLE)::BIGINT FOR y IN embedding] AS x, sha256('3:' || vec_id) AS h FROM embeddings
+         WHERE len(embedding) = {dims} AND len([y FOR y IN embedding IF y IS NOT NULL AND isfinite(y)]) = {dims}),
+     c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, x AS m FROM v ORDER BY h LIMIT {k}),{",".join(steps)},
+     t AS (SELECT c, sum(d) AS total FROM a{rounds} GROUP BY c)
+SELECT vec_id, a.c::INT AS cluster, d AS distance, total::BIGINT AS cluster_inertia, (SELECT sum(total) FROM t)::BIGINT AS inertia,
+       sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} f ON f.c = a.c JOIN t ON t.c = a.c
+"""
+
+
 QUERIES = {
     "op1_chat_tool_linking": op1_chat_tool_linking,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -221,10 +282,14 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_addressable_codes": op9_addressable_codes,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_centroid_clusters": op12_centroid_clusters,
 }
 
 ORACLES = {
     "op1_chat_tool_linking": TOOL_LINKING_SQL,
     "op6_benchmark_decontamination": DECONTAMINATION_SQL,
     "op7_line_frequency_rules": LINE_RULES_SQL,
+    "op11_fill_middle": FILL_MIDDLE_SQL,
+    "op12_centroid_clusters": _centroids_sql(),
 }
