@@ -13,6 +13,7 @@ from facsimile.llm.chat import link_tools
 from facsimile.llm.contamination import contained_items
 from facsimile.llm.dac import read_tokens, write_tokens
 from facsimile.llm.fill_middle import fill_middle, restored_text
+from facsimile.llm.jaccard import jaccard_components
 from facsimile.llm.labelled import fold
 from facsimile.llm.line_rules import judge_lines
 from facsimile.llm.quality_vote import fit_vote
@@ -159,6 +160,10 @@ def op12_centroid_clusters(spark, sf_dir):
     return clusters.labelled().select("row.vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
 
 
+def op13_jaccard_join(spark, sf_dir):
+    return jaccard_components(_read(spark, sf_dir, "documents")).select("row.doc_id", "n_shingles", "component_id")
+
+
 # Words are what ASCII white space separates; only A-Z change case.
 WORDS_SQL = r"""[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> '']"""
@@ -284,6 +289,7 @@ QUERIES = {
     "op10_byte_bpe": op10_byte_bpe,
     "op11_fill_middle": op11_fill_middle,
     "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_jaccard_join": op13_jaccard_join,
 }
 
 ORACLES = {
