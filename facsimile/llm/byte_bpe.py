@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from facsimile.llm.common import gc_paused, text_bytes
-from facsimile.llm.words import WordTable, byte_slices, word_hashes
+from facsimile.llm.words import WordTable, byte_slices
 
 CACHED_PIECES = 1_000_000
 JOINED_PIECES = 500
@@ -112,7 +112,7 @@ def piece_places(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 class PieceEncoder:
-    """Ids of texts from the ids of their pieces; known pieces are found by a 64-bit hash."""
+    """Ids of texts from the ids of their pieces; known pieces are found by their bytes."""
 
     def __init__(self, built, table: tuple[bytes, ...]) -> None:
         self.built = built
@@ -141,11 +141,11 @@ class PieceEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows of UTF-8 text, how many each row has)."""
-        if len(self.known.key) > CACHED_PIECES:
+        if self.known.full(CACHED_PIECES):
             self.known = WordTable()
         row, begin, end = piece_places(data, offsets)
         own = data[offsets[0] : offsets[-1]]
-        keys, first, of = np.unique(word_hashes(own, begin, end), return_index=True, return_inverse=True)
+        keys, first, of = np.unique(self.known.keys(own, begin, end), return_index=True, return_inverse=True)
         missing = np.flatnonzero(self.known.find(keys) < 0)
         raw = own.tobytes()
         self._learn(keys[missing], [raw[a:b] for a, b in zip(begin[first[missing]].tolist(), end[first[missing]].tolist())])

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from facsimile.llm.common import gc_paused, packed, store, text_bytes
 from facsimile.llm.rolling import U
-from facsimile.llm.words import WordTable, byte_slices, word_hashes, word_places
+from facsimile.llm.words import WordTable, byte_slices, word_places
 
 MAGIC = b"DAC1"
 SEGMENT_TOKENS = 1 << 19
@@ -136,9 +136,17 @@ class WordEncoder:
     def _ids(self, built, text: str) -> np.ndarray:
         return np.array(built.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
+    def _keys(self, pieces: list[str]) -> np.ndarray:
+        """Keys of words that are in lower case and hold no white space."""
+        if not pieces:
+            return np.zeros(0, U)
+        data = np.frombuffer("\n".join(pieces).encode(), np.uint8)
+        end = np.append(np.flatnonzero(data == 10), len(data))
+        return self.known.keys(data, np.append(0, end[:-1] + 1), end)
+
     def _learn(self, pieces: list[str]) -> None:
         """Encode and enter pieces that are not known yet, each given once."""
-        keys = _keys(pieces)
+        keys = self._keys(pieces)
         fresh = np.flatnonzero(self.known.find(keys) < 0).tolist()
         letters, others = [], []
         for i in fresh:
@@ -180,7 +188,7 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows of UTF-8 text, how many each row has)."""
-        if len(self.known.key) > CACHED_WORDS:
+        if self.known.full(CACHED_WORDS):
             self.known = WordTable()
         data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
         added = self._added_places(data, offsets)
@@ -190,7 +198,7 @@ class WordEncoder:
             own = (last < 0) | (begin >= added[last, 2])
             begin, end = begin[own], end[own]
             row = np.searchsorted(offsets, begin, side="right") - 1
-        keys, first, of = np.unique(word_hashes(lowered, begin, end), return_index=True, return_inverse=True)
+        keys, first, of = np.unique(self.known.keys(lowered, begin, end), return_index=True, return_inverse=True)
         missing = np.flatnonzero(self.known.find(keys) < 0)
         raw = lowered.tobytes()
         words = [raw[a:b].decode() for a, b in zip(begin[first[missing]].tolist(), end[first[missing]].tolist())]
@@ -198,7 +206,7 @@ class WordEncoder:
         self._learn(list(dict.fromkeys(p for own in cut for p in own)))
         several = [i for i, own in enumerate(cut) if len(own) > 1]
         if several:
-            parts = self.known.find(_keys([p for i in several for p in cut[i]]))
+            parts = self.known.find(self._keys([p for i in several for p in cut[i]]))
             ids, n = self.known.gather(parts)
             bounds = np.cumsum([len(cut[i]) for i in several])
             total = np.diff(np.concatenate([[0], np.cumsum(n)])[bounds], prepend=0)
@@ -212,15 +220,6 @@ class WordEncoder:
         return ids, sizes
 
 
-def _keys(pieces: list[str]) -> np.ndarray:
-    """Hashes of words that are in lower case and hold no white space."""
-    if not pieces:
-        return np.zeros(0, U)
-    data = np.frombuffer("\n".join(pieces).encode(), np.uint8)
-    end = np.append(np.flatnonzero(data == 10), len(data))
-    return word_hashes(data, np.append(0, end[:-1] + 1), end)
-
-
 SEGMENTS = (
     "part int, segment int, before long, tokens long, row_ids array<bigint>, row_copies array<bigint>, begins array<bigint>, codes binary"
 )

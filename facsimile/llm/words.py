@@ -47,12 +47,45 @@ def word_hashes(lowered: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.n
     return out
 
 
+LONGEST_SHORT = 7  # bytes of a word that is its own key
+LONG = 0xFF << 56
+KEPT_BYTES = 64 << 20
+
+
 class WordTable:
-    """Token ids by word hash: sorted keys, and for each the place and number of its ids."""
+    """Token ids of words: sorted keys, and for each the place and number of its ids.
+
+    A key stands for one word: its bytes and their number if they fit eight bytes, and
+    beyond that the number under which the table keeps the word's bytes.
+    """
 
     def __init__(self) -> None:
         self.key, self.at, self.n = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
+        self.long: dict[bytes, int] = {}
+        self.kept_bytes = 0
+
+    def full(self, words: int) -> bool:
+        """Whether more than ``words`` entries or too many bytes are held; keys of a new table are other ones."""
+        return len(self.key) > words or self.kept_bytes > KEPT_BYTES
+
+    def keys(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The keys of the words at these places."""
+        padded = np.concatenate([data, np.zeros(8, np.uint8)])
+        eight = np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+        size = end - begin
+        bits = np.minimum(size, LONGEST_SHORT).astype(U)
+        found = (eight[begin] & ((U(1) << (bits << U(3))) - U(1))) | (bits << U(56))
+        far = np.flatnonzero(size > LONGEST_SHORT)
+        if len(far):
+            raw = data.tobytes()
+            words = [raw[a:b] for a, b in zip(begin[far].tolist(), end[far].tolist())]
+            for word in words:
+                if word not in self.long:
+                    self.long[word] = len(self.long)
+                    self.kept_bytes += len(word)
+            found[far] = np.fromiter(map(self.long.__getitem__, words), U, len(words)) | U(LONG)
+        return found
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each key, -1 where there is none."""

@@ -18,9 +18,19 @@ SCHEMA = "doc_id long, text string, ids string, row string"
 LETTERS = ["abcdeinorst", "abc'sdtrelmvABC ", "  \n\t\r\x0b\xa0\x85 \x1c", "0123456789²½", "éüñçßǼé̈İΣς", "漢字かな", "😀👍🏽🇩🇪", "​﻿　", "!?.,*$%&|<>_"]
 
 
+def thue_morse(a, b, steps=10):
+    """Two words of which every polynomial hash modulo 2^64 is the same."""
+    one, two = a, b
+    for _ in range(steps):
+        one, two = one + two, two + one
+    return [one, two]
+
+
 def odd_texts(seed, n):
     rng = random.Random(seed)
-    out = ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "Don't   we'll 's", "<|endoftext|> x<|startoftext|>", "word*** *** 10 0 00", "x" * 3000]
+    out = thue_morse("a", "b") + thue_morse("x", "é", 11) + [f"see {w} there" for w in thue_morse("a", "b")]
+    out += ["\x00", "a\x00", "seven77 seven78", "eight888 eight889"]
+    out += ["", " ", "a", " a", "a ", "a  b", "a\n\nb", "Don't   we'll 's", "<|endoftext|> x<|startoftext|>", "word*** *** 10 0 00", "x" * 3000]
     for _ in range(n):
         out.append("".join(rng.choice(rng.choice(LETTERS)) for _ in range(rng.randint(0, 80))))
         out.append(" ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(1, 14))) + rng.choice(["", ",", "$$$", "'s"]) for _ in range(20)))
