@@ -35,7 +35,6 @@ from facsimile.llm.rolling import BUFFER, U, all_hashes, mix, prefix_sums, slidi
 
 ANCHOR = 64  # bytes that pick a suffix and order it
 BLOCK = 16  # windows of a block
-LOWEST_ID = -(1 << 63)
 
 RUNS = "suffix long, run long, row_id long, row_copy long, start int, lead short, length short, batch int"
 BLOCKS = "suffix long, run long, row_id long, row_copy long, start int, lead short, length short"
@@ -158,9 +157,9 @@ class SuffixIndex:
 def resolve(rows: DataFrame, group: str, kind: str) -> DataFrame:
     """Rows of repeated groups with ``whole`` (their kind repeats) and ``open`` (other kinds of the group may share a part).
 
-    Of a repeated kind, only rows of its smallest id stay open: they stand for all of them.
+    Of a repeated kind, only rows of one text stay open, null ids included: they stand for all of them.
     """
-    owner = F.coalesce("row_id", F.lit(LOWEST_ID))
+    owner = F.xxhash64("row_id", "row_copy")
     # Stored: a join of plain shuffles is one whose hot keys Spark splits.
     kinds = Stored(rows.groupBy(group, kind).agg(F.count(F.lit(1)).alias("n"), F.min(owner).alias("owner")), "suffix-kinds")
     groups = Stored(kinds.df.groupBy(group).agg(F.count(F.lit(1)).alias("k")).filter("k > 1"), "suffix-groups").df
@@ -341,6 +340,19 @@ def _cut(
     return pa.RecordBatch.from_arrays([rows, kept, pa.ListArray.from_arrays(pa.array(ends), spans)], names=["row", "kept", "spans"])
 
 
+def _folded(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Each (row_id, row_copy) once with its text, and those that came several times (None: there are none)."""
+    rows = rows.select("row_id", "row_copy", "row_text")
+    several = Stored(rows.groupBy("row_id", "row_copy").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"), "suffix-several").df
+    if several.isEmpty():
+        return rows, None
+    keys = several.withColumnsRenamed({"row_id": "id", "row_copy": "copy"})
+    same = rows.row_id.eqNullSafe(keys.id) & (rows.row_copy == keys["copy"])
+    told = Stored(rows.join(keys, same, "left").select("row_id", "row_copy", "row_text", F.col("copy").isNotNull().alias("again")), "suffix-told").df
+    single, again = told.filter("NOT again"), told.filter("again").dropDuplicates(["row_id", "row_copy"])
+    return single.unionByName(again).drop("again"), again.drop("again")
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 200, batches: int = 4, whole_characters: bool = False
 ) -> DataFrame:
@@ -351,13 +363,18 @@ def remove_repeats(
     ``whole_characters`` a character goes when one of its bytes does, so ``kept`` is valid
     UTF-8; without it bytes are cut as they are. Null texts
     are empty; texts shorter than ``window`` stay whole; equal rows are copies of each
-    other and lose what they share; a null id is a document of its own; an empty table
+    other and lose what they share, and are searched once, however many; a null id is a document of its own; an empty table
     gives an empty result. Other columns, whatever their names, come back in ``row``.
     """
     if not ANCHOR + 2 * BLOCK <= window <= 255:
         raise ValueError(f"window must lie between {ANCHOR + 2 * BLOCK} and 255 bytes")
     rows = packed(docs, id_col, text_col)
-    spans = repeated_spans(rows, window, batches)
+    single, several = _folded(rows)
+    spans = repeated_spans(single, window, batches)
+    if several is not None:  # every string of such a text also starts in its copy
+        size = F.octet_length("row_text")
+        whole = several.filter(size >= window).select("row_id", "row_copy", F.lit(0).alias("start"), size.cast("int").alias("length"))
+        spans = spans.unionByName(whole)
     lists = spans.groupBy("row_id", "row_copy").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     joined = rows.join(lists, same_row(rows, lists), "left").select("row_text", "row", "spans")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept binary, spans {SPANS}"

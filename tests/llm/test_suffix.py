@@ -90,3 +90,23 @@ def test_long_texts_in_pieces(spark, monkeypatch):
 
 def test_no_rows(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """A thousand equal rows without id, as many with one, and a text that holds a part of them."""
+    rng = random.Random(8)
+    text = "".join(rng.choices("abcdefgh ", k=3000))
+    part = "own beginning " + text[100:800] + " own end"
+    rows = [(None, text, "r", "t")] * 1000 + [(5, text, "r", "t")] * 1000 + [(6, part, "r", "t"), (7, "s" * 150, "r", "t"), (7, "s" * 150, "r", "t")]
+    got = Counter((r.row.doc_id, bytes(r.kept), tuple((s.start, s.length) for s in r.spans or ())) for r in remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    start = len("own beginning ")
+    assert got == {(None, b"", ((0, 3000),)): 1000, (5, b"", ((0, 3000),)): 1000, (6, b"own beginning  own end", ((start, 700),)): 1, (7, b"s" * 150, ()): 2}
+
+
+def test_many_texts_without_id_share_a_passage(spark):
+    rng = random.Random(9)
+    passage = "".join(rng.choices("abcdefgh ", k=600))
+    texts = [f"{rng.random()} begins {passage[i % 5 :]} ends {rng.random()}" for i in range(200)]
+    want = Counter(kept for kept, _ in brute([t.encode() for t in texts], 200))
+    rows = spark.createDataFrame([(None, t, "r", "t") for t in texts], SCHEMA)
+    assert Counter(bytes(r.kept) for r in remove_repeats(rows).collect()) == want
