@@ -7,7 +7,8 @@ document: these k are its sketch. Items are partitioned by size, and a class of
 uses the k of its largest, so no item's sketch is too short. Every shingle of every
 document is hashed (all words of a batch at once) and looked up in the sketches; items
 that are met are then verified by exact shingle containment in the same task. The search
-misses nothing, so long documents need no windows and no estimate.
+misses nothing, so long documents need no windows and no estimate. Items of fewer words
+than a shingle are one shingle of their own width, and texts are searched at each width.
 
 Benchmarks are query sets, stated in blocks: each block's sketches and texts are shipped
 to the tasks and the documents are scanned, without a shuffle.
@@ -59,11 +60,12 @@ class ItemBlock:
     """Sketches and shingles of a block of items."""
 
     def __init__(self, items: list[tuple[int, bytes]], words: int, share: float) -> None:
-        self.share, self.words = share, words
+        self.share = share
         self.ids = [i for i, _ in items]
         self.sets = [frozenset(shingles(text, words)) for _, text in items]
-        keys: list[np.ndarray] = []
-        owners: list[np.ndarray] = []
+        self.width = [min(words, len(text.split())) for _, text in items]
+        keys: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
         for n, own in enumerate(self.sets):
             if not own:
                 continue
@@ -74,12 +76,13 @@ class ItemBlock:
             offsets = np.concatenate([[0], np.minimum(ends, len(data))])
             hashes = np.unique(shingle_hashes(data, offsets, words)[1])
             sketch = hashes[: self.sketch_size(len(own))]
-            keys.append(sketch)
-            owners.append(np.full(len(sketch), n))
-        key = np.concatenate(keys) if keys else np.zeros(0, U)
-        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
-        order = np.argsort(key, kind="stable")
-        self.key, self.owner = key[order], owner[order]
+            keys.setdefault(self.width[n], []).append(sketch)
+            owners.setdefault(self.width[n], []).append(np.full(len(sketch), n))
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by width: sorted sketch hashes and their items
+        for width in keys:
+            key, owner = np.concatenate(keys[width]), np.concatenate(owners[width])
+            order = np.argsort(key, kind="stable")
+            self.tables[width] = key[order], owner[order]
 
     def sketch_size(self, size: int) -> int:
         """Of a size class (bounds are powers of two): how many shingles its largest member may lack, and one."""
@@ -88,15 +91,16 @@ class ItemBlock:
 
     def candidates(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Distinct (row, item) with a sketch hash in the row."""
-        if not len(self.key):
-            return np.zeros((0, 2), np.int64)
-        row, found = shingle_hashes(data, offsets, self.words)
-        at = np.searchsorted(self.key, found)
-        hit = np.flatnonzero(self.key[np.minimum(at, len(self.key) - 1)] == found)
-        begin, end = at[hit], np.searchsorted(self.key, found[hit], side="right")
-        many = end - begin
-        owner = self.owner[np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-        return np.unique(np.stack([np.repeat(row[hit], many), owner], axis=1), axis=0)
+        pairs = [np.zeros((0, 2), np.int64)]
+        for width, (key, owners) in self.tables.items():
+            row, found = shingle_hashes(data, offsets, width)
+            at = np.searchsorted(key, found)
+            hit = np.flatnonzero(key[np.minimum(at, len(key) - 1)] == found)
+            begin, end = at[hit], np.searchsorted(key, found[hit], side="right")
+            many = end - begin
+            owner = owners[np.repeat(begin, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
+            pairs.append(np.stack([np.repeat(row[hit], many), owner], axis=1))
+        return np.unique(np.concatenate(pairs), axis=0)
 
 
 def contained_items(
@@ -112,7 +116,7 @@ def contained_items(
     """(row_id, row_copy, item_id, n_shared, n_item): items of which a text holds ``share`` of the distinct word shingles or more.
 
     Words are what ASCII white space separates, A-Z in lower case; an item of fewer than
-    ``words`` words is one shingle, found where a text of as many words equals it. Items
+    ``words`` words is one shingle of as many words, found wherever they follow each other. Items
     without words match nothing, null texts are empty, null ids are reported as null,
     equal rows are reported each, and either table may be empty. Items are read in blocks
     of ``BLOCK_ITEMS`` by the driver: a benchmark is a stated query set.
@@ -153,11 +157,14 @@ def _emit_contained(block: ItemBlock):
                 data, offsets = text_bytes(batch.column("row_text"))
                 pairs = block.candidates(data, offsets)
                 rows, items, shared = [], [], []
-                last, own = -1, frozenset()
+                last, own = -1, {}
                 for row, item in pairs.tolist():
                     if row != last:
-                        last, own = row, frozenset(shingles(data[offsets[row] : offsets[row + 1]].tobytes(), block.words))
-                    n = len(block.sets[item] & own)
+                        last, own = row, {}
+                    width = block.width[item]
+                    if width not in own:
+                        own[width] = frozenset(shingles(data[offsets[row] : offsets[row + 1]].tobytes(), width))
+                    n = len(block.sets[item] & own[width])
                     if n >= block.share * len(block.sets[item]) - 1e-9:
                         rows.append(row)
                         items.append(item)

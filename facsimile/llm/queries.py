@@ -168,15 +168,16 @@ def op13_jaccard_join(spark, sf_dir):
 WORDS_SQL = r"""[x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
     'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> '']"""
 
-SHINGLES_SQL = """list_distinct([array_to_string(w[i + 1:i + 5], ' ')
-    FOR i IN range(0, CASE WHEN len(w) = 0 THEN 0 ELSE greatest(1, len(w) - 4) END)])"""
+# An item of fewer than five words is one shingle of as many words.
+SHINGLES_SQL = "unnest(list_distinct([array_to_string(w[i + 1:i + k], ' ') FOR i IN range(0, greatest(0, len(w) - k + 1))]))"
 
 DECONTAMINATION_SQL = f"""
-WITH i AS (SELECT item_id, {SHINGLES_SQL} AS s FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark)),
-     d AS (SELECT doc_id, {SHINGLES_SQL} AS s FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents)),
-     iu AS (SELECT item_id, len(s) AS n_item, unnest(s) AS g FROM i),
-     du AS (SELECT doc_id, unnest(s) AS g FROM d)
-SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM iu JOIN du USING (g)
+WITH i AS (SELECT item_id, w, least(5, len(w)) AS k FROM (SELECT item_id, {WORDS_SQL} AS w FROM benchmark) WHERE len(w) > 0),
+     d AS (SELECT doc_id, w, k FROM (SELECT doc_id, {WORDS_SQL} AS w FROM documents), (SELECT DISTINCT k FROM i)),
+     iu AS (SELECT item_id, k, {SHINGLES_SQL} AS g FROM i),
+     du AS (SELECT doc_id, k, {SHINGLES_SQL} AS g FROM d),
+     n AS (SELECT item_id, count(*) AS n_item FROM iu GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS n_shared, n_item FROM iu JOIN du USING (k, g) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING count(*) >= 0.8 * n_item
 """
 
@@ -224,9 +225,7 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
      f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b),
      x AS (SELECT doc_id, source, trim(regexp_replace(regexp_replace(lower(line), '[\x20\x09-\x0D]+', ' ', 'g'), '[0-9]', '0', 'g'), ' ') AS line,
                   len([y FOR y IN regexp_split_to_array(line, '[\x20\x09-\x0D]+') IF y <> '']) AS n FROM (SELECT doc_id, source, unnest(l) AS line FROM w)),
-     h AS (SELECT source, count(*) AS docs FROM documents GROUP BY source),
-     o AS (SELECT x.source, line FROM x JOIN h ON x.source = h.source GROUP BY x.source, line, h.docs
-           HAVING count(DISTINCT doc_id) > 10 AND count(DISTINCT doc_id) * 1000 > h.docs),
+     o AS (SELECT source, line FROM x GROUP BY source, line HAVING count(DISTINCT doc_id) > 10),
      k AS (SELECT doc_id, sum(n) FILTER (o.line IS NULL) AS n FROM x LEFT JOIN o ON x.source = o.source AND x.line = o.line GROUP BY doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND 100 * coalesce(k.n, 0) >= 50 * n_words AS kept

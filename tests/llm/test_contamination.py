@@ -38,8 +38,8 @@ def test_same_as_sets(spark, monkeypatch, block):
     frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
     want = []
     for i, t, *_ in rows:
-        own = set(shingles((t or "").encode(), 5))
         for n, item in enumerate(items):
+            own = set(shingles((t or "").encode(), min(5, len((item or "").split())) or 1))
             s = set(shingles((item or "").encode(), 5))
             if s and 10 * len(s & own) >= 8 * len(s):
                 want.append((str(i), n, len(s & own), len(s)))
@@ -50,6 +50,14 @@ def test_same_as_sets(spark, monkeypatch, block):
     assert left.count() == sum(str(r[0]) not in {w[0] for w in want} for r in rows)
 
 
+def test_short_items_inside_texts(spark):
+    items = spark.createDataFrame([(1, "Capital of France"), (2, "paris"), (3, "of  france is Paris"), (4, "of france paris")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the capital of France is Paris today", "", ""), (2, "capital\tof france", "", ""), (3, "of France", "", ""), (4, "Paris", "", "")], SCHEMA)
+    found = sorted((r.row_id, r.item_id, r.n_shared, r.n_item) for r in contained_items(docs, items).collect())
+    assert found == [(1, 1, 1, 1), (1, 2, 1, 1), (1, 3, 1, 1), (2, 1, 1, 1), (4, 2, 1, 1)]
+    assert [r.doc_id for r in without_items(docs, items).collect()] == [3]
+
+
 def test_no_rows(spark):
     docs = spark.createDataFrame([(1, "a b c d e f", "x", "y")], SCHEMA)
     items = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
