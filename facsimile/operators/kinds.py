@@ -14,7 +14,7 @@ from facsimile.functions.nested import column, quoted
 from facsimile.functions.search import sql_string
 from facsimile.operators.sketches import merged
 
-KINDS = ("numeric", "datetime", "boolean", "categorical", "id", "text", "carried")
+KINDS = ("numeric", "datetime", "boolean", "categorical", "id", "text", "bytes", "carried")
 BLOCK = 24  # columns per aggregate, so that it stays in generated code; each block reads its own columns
 SKETCH_BITS = 12  # HyperLogLog registers: 2^12, standard error 1.6 %
 DISTINCT_ERROR = 0.02
@@ -27,6 +27,7 @@ AGGREGATE = re.compile(r"(count|count_if|min|max|avg|stddev_samp|coalesce)\(")
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONS = (T.FloatType, T.DoubleType)
+UNCOUNTED = ("binary", "other")  # classes whose distinct values decide nothing
 
 
 def type_class(dtype: T.DataType) -> str:
@@ -42,7 +43,7 @@ def type_class(dtype: T.DataType) -> str:
         return "number"
     if isinstance(dtype, T.StringType):
         return "string"
-    return "other"
+    return "binary" if isinstance(dtype, T.BinaryType) else "other"
 
 
 def to_digits_sql(value: str, digits: int) -> str:
@@ -139,7 +140,7 @@ def exact_distinct(flat: DataFrame) -> DataFrame:
     cells = [
         f"named_struct('column', {sql_string(f.name)}, 'value', {value(f)})"
         for f in flat.schema.fields
-        if type_class(f.dataType) != "other"
+        if type_class(f.dataType) not in UNCOUNTED
     ]
     long = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
     values = long.groupBy("column", "value").agg(F.count(F.lit(1)))
@@ -161,19 +162,19 @@ def column_profile(
     """
     present = present or {}
     fields = flat.schema.fields
-    counted = [f for f in fields if type_class(f.dataType) != "other" and (counts is None or f.name in counts)]
+    counted = [f for f in fields if type_class(f.dataType) not in UNCOUNTED and (counts is None or f.name in counts)]
     blocks, sketches = [], []
     for start in range(0, len(fields), BLOCK):
         block = list(enumerate(fields))[start : start + BLOCK]
         blocks.append(_plain_measures(flat, block, present))
+    if not counted:
+        return reduce(DataFrame.unionByName, blocks).withColumn("distinct", F.lit(0).cast("long"))
     if exact:
         sketches.append(exact_distinct(flat.select(*[column(f.name) for f in counted])))
     else:
         for start in range(0, len(counted), BLOCK):
             sketches.append(sketched_distinct(flat, counted[start : start + BLOCK]))
     profile = reduce(DataFrame.unionByName, blocks)
-    if not counted:
-        return profile.withColumn("distinct", F.lit(0).cast("long"))
     distinct = reduce(DataFrame.unionByName, sketches)
     joined = profile.join(F.broadcast(distinct), "column", "left")  # one row per column
     return joined.withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("long")))
@@ -211,6 +212,7 @@ def detect_kinds(
         WHEN class = 'int' AND nulls = 0 AND {unique} AND lower(column) RLIKE '(id|key)$' THEN 'id'
         WHEN class = 'wide' AND {unique} THEN 'id'
         WHEN class IN ('int', 'wide', 'number') THEN 'numeric'
+        WHEN class = 'binary' THEN 'bytes'
         WHEN class = 'other' THEN 'carried'
         WHEN {unique} AND max_length <= {ID_LENGTH} AND NOT spaced THEN 'id'
         WHEN {unique} OR max_length > {CATEGORY_LENGTH} THEN 'text'

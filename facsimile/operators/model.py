@@ -119,6 +119,8 @@ def _numeric_views(flat: DataFrame, specs: list[dict[str, Any]]) -> dict[str, st
             views[s["column"]] = as_number_sql(name, types[s["column"]])
         elif wants_words(s):
             views[s["column"]] = f"double(size({words_sql(name)}))"
+        elif s["kind"] == "bytes":
+            views[s["column"]] = f"double(octet_length({name}))"
     return views
 
 
@@ -161,11 +163,15 @@ def value_ranks(flat: DataFrame, views: dict[str, str], slot_rows: int = SLOT_RO
 
 
 def _exact_grid(flat: DataFrame, views: dict[str, str], knots: int) -> DataFrame:
-    counted = _counted_values(flat, views)
+    return ranked_grid(_counted_values(flat, views), knots)
+
+
+def ranked_grid(counted: DataFrame, knots: int) -> DataFrame:
+    """``(column, knots)`` of a stored table ``(column, value, count)`` with each value of a column once."""
     ranked = running_totals(counted, ["column"], ["value"], "count")
     totals = counted.groupBy("column").agg(F.sum("count").alias("n"))
     points = (
-        ranked.join(F.broadcast(totals), "column")  # one row per column
+        lookup_join(ranked, totals, "column", ["value"], "inner")
         .selectExpr(
             "column", "value", f"if(lo = 0, 0, lo * {knots - 1} div n + 1) AS a", f"hi * {knots - 1} div n AS b"
         )
@@ -180,12 +186,48 @@ def _exact_grid(flat: DataFrame, views: dict[str, str], knots: int) -> DataFrame
 # --- category frequencies -----------------------------------------------------------
 
 
-def category_intervals(flat: DataFrame, cells: dict[str, str], bound: int | None = None, path: str | None = None) -> DataFrame:
+def byte_counts(flat: DataFrame, names: list[str]) -> DataFrame:
+    """``(column, value, count)`` of the bytes of binary columns, a byte as two hex digits; a task sends 256 sums per column."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals = np.zeros((len(names), 256), np.int64)
+        for batch in batches:
+            for i, column in enumerate(batch.columns):
+                _, offsets, data = column.cast(pa.large_binary()).buffers()
+                if data is not None:
+                    ends = np.frombuffer(offsets, np.int64)[[column.offset, column.offset + len(column)]]
+                    totals[i] += np.bincount(np.frombuffer(data, np.uint8)[ends[0] : ends[1]], minlength=256)
+        at, byte = np.nonzero(totals)
+        yield pa.RecordBatch.from_pydict(
+            {"column": [names[i] for i in at], "value": [f"{b:02X}" for b in byte], "count": totals[at, byte]},
+            schema=pa.schema([("column", pa.string()), ("value", pa.string()), ("count", pa.int64())]),
+        )
+
+    filled = flat.select(*[F.coalesce(F.col(quoted(n)), F.lit(b"")).alias(f"b{i}") for i, n in enumerate(names)])
+    counted = filled.mapInArrow(emit, "column string, value string, count bigint")
+    return counted.groupBy("column", "value").agg(F.sum("count").alias("count"))
+
+
+def category_intervals(
+    flat: DataFrame, cells: dict[str, str], bound: int | None = None, path: str | None = None, more: DataFrame | None = None
+) -> DataFrame:
     """``(column, value, count, lo, hi)``, the most frequent value first in each column.
 
     ``cells`` maps a name to the SQL expression of the text to count, or of an
-    array of texts. ``bound``, if known, is an upper limit of the result rows.
+    array of texts; ``more`` holds values that are counted already. ``bound``, if
+    known, is an upper limit of the result rows.
     """
+    counted = [] if more is None else [more]
+    if cells:
+        counted.append(_counted_texts(flat, cells))
+    counts = reduce(DataFrame.unionByName, counted)
+    if bound is None or bound >= SLOT_ROWS:
+        counts, bound = settle(counts, "frequencies"), None
+    ranked = running_totals(counts.withColumn("rarity", -F.col("count")), ["column"], ["rarity", "value"], "count", bound)
+    return settle(ranked.select("column", "value", "count", "lo", "hi"), "categories", path)
+
+
+def _counted_texts(flat: DataFrame, cells: dict[str, str]) -> DataFrame:
     base = flat.selectExpr(*[f"{sql} AS v{i}" for i, sql in enumerate(cells.values())])
     tagged = []
     for i, (name, f) in enumerate(zip(cells, base.schema.fields)):
@@ -195,11 +237,7 @@ def category_intervals(flat: DataFrame, cells: dict[str, str], bound: int | None
         else:
             tagged.append(f"array({entry.format(f'v{i}')})")
     long = base.selectExpr(f"inline(concat({', '.join(tagged)}))")
-    counted = long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
-    if bound is None or bound >= SLOT_ROWS:
-        counted, bound = settle(counted, "frequencies"), None
-    ranked = running_totals(counted.withColumn("rarity", -F.col("count")), ["column"], ["rarity", "value"], "count", bound)
-    return settle(ranked.select("column", "value", "count", "lo", "hi"), "categories", path)
+    return long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def _literals(categories: DataFrame, specs: list[dict[str, Any]]) -> dict[str, list[tuple[str, int]]]:
@@ -425,13 +463,14 @@ def fit(
             cells[name] = f"transform({words_sql(sql)}, w -> length(w))"
         elif s["kind"] == "text" or (s["kind"] == "id" and isinstance(types[name], T.StringType)):
             cells[name] = shape_sql(sql)
+    binary = [s["column"] for s in specs if s["kind"] == "bytes"]
     target = f"{path}/categories" if path else scratch_path(spark, "categories")
-    if cells:
+    if cells or binary:
         plain = all(
             s["kind"] == "boolean" or s["kind"] == "categorical" and s["distinct"] for s in specs if s["column"] in cells
         )
-        bound = sum(2 * s["distinct"] + 100 for s in specs if s["column"] in cells) if plain else None
-        categories = category_intervals(flat, cells, bound, target)
+        bound = sum(2 * s["distinct"] + 100 for s in specs if s["column"] in cells) + 256 * len(binary) if plain else None
+        categories = category_intervals(flat, cells, bound, target, byte_counts(flat, binary) if binary else None)
         sizes = categories.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max("hi").alias("total")).collect()
         for r in sizes:
             by_name[r["column"]].update(entries=r["n"], total=r["total"])

@@ -181,6 +181,18 @@ def _invented_text_sql(spec: dict[str, Any], model: Model, lengths: list[tuple[s
     return f"array_join(transform({points}, (point, i) -> {word}), ' ')"
 
 
+def _bytes_sql(spec: dict[str, Any], model: Model, draws) -> str:
+    """As many bytes as the length says, each drawn by the frequency of its value."""
+    entries, total = model.literals[spec["column"]], spec["total"]
+    stream = _stream(spec, TEXT)
+    draw = draws.uniform_sql("row", f"(bigint(i) * {STREAMS * 1009}L + {stream}L)")
+    points = f"transform(sequence(1, size), i -> least(floor({draw} * {float(total)!r}D), {total - 1}L))"
+    place = count_at_most_sql(longs_sql([hi for _, hi in entries]), len(entries), "point")
+    texts = f"transform({points}, point -> get({array_sql([v for v, _ in entries], 'string')}, {place}))"
+    size = f"int(round({_number_sql(spec, model)}))"
+    return f"transform(array({size}), size -> if(size < 1, X'', unhex(array_join({texts}, ''))))[0]"
+
+
 def _word_lengths(model: Model, spec: dict[str, Any]) -> list[tuple[str, int]]:
     """All word lengths of a text column with their intervals: as many as there are different lengths."""
     found = model.literals.get(spec["column"])
@@ -190,8 +202,10 @@ def _word_lengths(model: Model, spec: dict[str, Any]) -> list[tuple[str, int]]:
     return [(r["value"], r["hi"]) for r in mine.orderBy("hi").collect()]
 
 
-def sample_rows(model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash", keep_row: bool = False) -> DataFrame:
-    """One synthetic row per value of ``rows.row`` (a bigint, each value once)."""
+def sample_rows(
+    model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash", keep_row: bool = False, row_name: str = "row"
+) -> DataFrame:
+    """One synthetic row per value of ``rows.row`` (a bigint, each value once); ``keep_row`` returns it as ``row_name``."""
     draws = make_draws(rng, seed)
     joint = copula_columns(model) if model.correlation else []
     uniforms = _uniforms(model, rows.select(F.col("row").cast("long")), draws, joint)
@@ -217,6 +231,8 @@ def sample_rows(model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash",
             return F.expr(numbered_shape_sql(text(spec), "row"))
         if kind == "id":
             return F.expr(f"cast({int(spec['min'] or 0)} as decimal(20,0)) + cast(row as decimal(19,0))").try_cast(dtype)
+        if kind == "bytes":
+            return F.expr(_bytes_sql(spec, model, draws)) if spec["entries"] else F.lit(b"")
         if kind == "text" and wants_words(spec) and spec["entries"]:
             return F.expr(_invented_text_sql(spec, model, _word_lengths(model, spec), draws))
         if kind == "text" and spec["entries"]:
@@ -232,7 +248,7 @@ def sample_rows(model: Model, rows: DataFrame, seed: int = 0, rng: str = "hash",
         return made.cast(dtype).alias(spec["column"])
 
     chosen = [cell(s) for s in model.columns]
-    return uniforms.select("row", *chosen) if keep_row else uniforms.select(*chosen)
+    return uniforms.select(F.col("row").alias(row_name), *chosen) if keep_row else uniforms.select(*chosen)
 
 
 def _with_infinities(value: Column, spec: dict[str, Any], dtype: T.DataType, draws) -> Column:
@@ -253,5 +269,10 @@ def sample(model: Model | None, n: int, seed: int = 0, rng: str = "hash") -> Dat
     if n <= 0:
         raise ValueError("the number of rows must be positive")
     spark = model.spark
+    return sample_rows(model, numbered_rows(spark, n), seed, rng)
+
+
+def numbered_rows(spark, n: int) -> DataFrame:
+    """``row`` from 0 on, dealt over enough tasks."""
     tasks = max(spark.sparkContext.defaultParallelism, -(-n // ROWS_PER_TASK))
-    return sample_rows(model, spark.range(0, n, 1, tasks).select(F.col("id").alias("row")), seed, rng)
+    return spark.range(0, n, 1, tasks).select(F.col("id").alias("row"))

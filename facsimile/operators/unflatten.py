@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from facsimile.functions.nested import column, nullable, quoted, reproject
 from facsimile.functions.search import sql_string
-from facsimile.plans.shape import INDEX_STYLES, ITEM, LENGTH, NULL_FLAG, Plan
+from facsimile.plans.shape import INDEX_STYLES, ITEM, LENGTH, NULL_FLAG, TAIL, Plan
 
 ARRAY_MODES = ("compact", "pad", "length")
 
@@ -19,14 +19,16 @@ def unflatten(
     arrays: str = "compact",
     index_style: str = "__i",
     null_structs: str = "keep",
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """Inverse of :func:`facsimile.operators.flatten.flatten`.
 
     ``arrays``: ``compact`` drops null elements unless the plan allows them and
     gives a null array where the flag says so; ``pad`` always gives
-    ``max_elements`` items; ``length`` cuts by ``a._len`` and is an exact inverse.
+    ``max_elements`` items; ``length`` cuts by ``a._len`` and is an exact inverse. Items
+    in ``a._tail`` follow, except with ``pad``.
     ``null_structs="expand"`` ignores struct flags (a null struct comes back as
-    a struct of nulls).
+    a struct of nulls). Columns named in ``carry`` come first, as they are.
     """
     if plan is None or not plan.schema.fields:
         raise ValueError("unflatten needs a plan: call infer_plan first or load a saved one")
@@ -44,7 +46,7 @@ def unflatten(
         if isinstance(branch, T.StructType):
             return any(known(f"{name}.{f.name}", f"{place}.{f.name}", f.dataType) for f in branch.fields)
         if isinstance(branch, T.ArrayType):
-            items = (indexed.format(base=name, i=i) for i in range(plan.extent(place).width))
+            items = (indexed.format(base=name, i=i) for i in range(plan.columns(place)))
             return any(known(n, f"{place}.{ITEM}", branch.elementType) for n in items)
         return False
 
@@ -63,7 +65,7 @@ def unflatten(
 
     def build_array(name: str, place: str, dtype: T.ArrayType) -> str:
         extent, below, element = plan.extent(place), f"{place}.{ITEM}", dtype.elementType
-        names = [indexed.format(base=name, i=i) for i in range(extent.width)]
+        names = [indexed.format(base=name, i=i) for i in range(plan.columns(place))]
         if arrays == "compact":
             names = [n for n in names if known(n, below, element)]
         items = [build_item(n, below, element) if plan.deep else leaf(n, element) for n in names]
@@ -75,8 +77,15 @@ def unflatten(
                 value = f"slice({value}, 1, greatest(least(int({quoted(name + LENGTH)}), {len(names)}), 0))"
         elif not extent.null_items:
             value = f"filter({value}, x -> x IS NOT NULL)"
+        if name + TAIL in types:
+            value = f"concat({value}, coalesce({tail(name, dtype)}, array()))"
         return flagged(name, value)
 
+    def tail(name: str, dtype: T.ArrayType) -> str:
+        if nullable(types[name + TAIL]) != nullable(dtype):
+            reshaped[name + TAIL] = reproject(column(name + TAIL), types[name + TAIL], dtype)
+        return quoted(name + TAIL)
+
     def build_item(name: str, place: str, dtype: T.DataType) -> str:
         value = build(name, place, dtype)
         if arrays != "compact" or not isinstance(plan.branches(place, dtype), T.StructType) or name + NULL_FLAG in types:
@@ -95,4 +104,4 @@ def unflatten(
     reshaped: dict[str, Column] = {}
     texts = {c.name: build(c.name, c.name, c.dataType) for c in plan.schema.fields}
     ready = flat.withColumns(reshaped) if reshaped else flat
-    return ready.select(*[F.expr(texts[c.name]).cast(nullable(c.dataType)).alias(c.name) for c in plan.schema.fields])
+    return ready.select(*map(column, carry), *[F.expr(texts[c.name]).cast(nullable(c.dataType)).alias(c.name) for c in plan.schema.fields])

@@ -17,6 +17,8 @@ INDEX_STYLES = {"__i": "{base}__{i}", "[i]": "{base}[{i}]"}
 INDEX_SUFFIX = {"__i": re.compile(r"^(.+)__(\d+)$"), "[i]": re.compile(r"^(.+)\[(\d+)\]$")}
 NULL_FLAG = "._is_null"
 LENGTH = "._len"
+TAIL = "._tail"  # the items of an array beyond the places that are columns
+ENTRIES = "._entries"  # the size of a map
 ITEM = "_item"  # stands for an array's element in a place such as ``items._item.price``
 
 
@@ -58,12 +60,22 @@ def places(schema: T.StructType, whole: Iterable[str] = ()) -> Iterator[tuple[st
 
 @dataclass
 class Plan:
-    """``whole`` places are carried as they are; ``deep`` plans flatten array elements too."""
+    """``whole`` places are carried as they are; ``deep`` plans flatten array elements too.
+
+    ``head`` is how many places of an array are columns (None: all). The items beyond
+    them stay together in one column, so that a long list widens nothing.
+    """
 
     schema: T.StructType
     extents: dict[str, Extent] = field(default_factory=dict)
     whole: frozenset[str] = frozenset()
     deep: bool = False
+    head: int | None = None
+
+    def columns(self, place: str) -> int:
+        """How many places of the array there are columns."""
+        width = self.extent(place).width
+        return width if self.head is None else min(width, self.head)
 
     def extent(self, place: str) -> Extent:
         return self.extents.get(place, Extent())
@@ -74,13 +86,13 @@ class Plan:
 
     def to_json(self) -> str:
         measured = {place: list(e) for place, e in self.extents.items()}
-        return json.dumps({"schema": self.schema.jsonValue(), "extents": measured, "whole": sorted(self.whole), "deep": self.deep})
+        return json.dumps({"schema": self.schema.jsonValue(), "extents": measured, "whole": sorted(self.whole), "deep": self.deep, "head": self.head})
 
     @classmethod
     def from_json(cls, text: str) -> "Plan":
         data = json.loads(text)
         extents = {place: Extent(*e) for place, e in data["extents"].items()}
-        return cls(T.StructType.fromJson(data["schema"]), extents, frozenset(data["whole"]), data["deep"])
+        return cls(T.StructType.fromJson(data["schema"]), extents, frozenset(data["whole"]), data["deep"], data.get("head"))
 
     def save(self, spark: SparkSession, path: str) -> None:
         spark.createDataFrame([(self.to_json(),)], "plan string").coalesce(1).write.mode("overwrite").json(path)
@@ -127,12 +139,15 @@ def _measures(place: str, dtype: T.DataType, value: Column, inside: bool, whole:
         yield from _measures(f"{place}.{ITEM}", dtype.elementType, items, True, whole)
 
 
-def infer_plan(df: DataFrame, keep_nested: Iterable[str] = (), deep: bool = False) -> Plan:
+def infer_plan(df: DataFrame, keep_nested: Iterable[str] = (), deep: bool = False, head: int | None = None) -> Plan:
     """Shape of ``df``: types from the schema, widths and null flags from one aggregate.
 
     ``keep_nested`` names columns (dotted paths) carried whole. With ``deep``
-    the elements of arrays are flattened too, not only structs.
+    the elements of arrays are flattened too, not only structs. ``head`` limits how
+    many places of an array become columns.
     """
+    if head is not None and head < 1:
+        raise ValueError("head must be at least 1")
     whole = frozenset(keep_nested)
     asked = [m for f in df.schema.fields for m in _measures(f.name, f.dataType, column(f.name), False, whole)]
     found = df.agg(*[F.max(value).alias(f"m{i}") for i, (_, _, value) in enumerate(asked)]).first() if asked else []
@@ -140,7 +155,7 @@ def infer_plan(df: DataFrame, keep_nested: Iterable[str] = (), deep: bool = Fals
     for (place, measure, _), value in zip(asked, found):
         known = int(value or 0) if measure == "width" else bool(value)
         extents[place] = extents.get(place, Extent())._replace(**{measure: known})
-    return Plan(df.schema, extents, whole, deep)
+    return Plan(df.schema, extents, whole, deep, head)
 
 
 def array_groups(names: Iterable[str], index_style: str = "__i") -> dict[str, list[str]]:
