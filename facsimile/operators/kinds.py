@@ -109,8 +109,8 @@ def _plain_measures(flat: DataFrame, block: list[tuple[int, T.StructField]], pre
     return long.withColumn("digits", F.expr(f"if(digits <= {SCALES[-1]}, digits, NULL)"))
 
 
-def sketched_distinct(flat: DataFrame, fields: list[T.StructField]) -> DataFrame:
-    """``(column, distinct)`` from HyperLogLog sketches, one binary buffer per column.
+def distinct_sketches(flat: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """``(column, sketch)``: HyperLogLog sketches, one binary buffer per column, which can be merged.
 
     Kept apart from the plain measures: a sketch in the same aggregate would
     take all of them out of generated code.
@@ -119,16 +119,19 @@ def sketched_distinct(flat: DataFrame, fields: list[T.StructField]) -> DataFrame
     base = flat.selectExpr(*[f"{_base_sql(f)} AS {c}" for c, f in zip(columns, fields)])
     build = f"hll_sketch_agg(if({{0}} IS NULL, NULL, xxhash64({{0}})), {SKETCH_BITS})"
     sketches = merged(base, build, "hll_union_agg({})", columns)
-    rows = [
-        f"named_struct('column', {sql_string(f.name)}, 'distinct', hll_sketch_estimate({c}))" for c, f in zip(columns, fields)
-    ]
+    rows = [f"named_struct('column', {sql_string(f.name)}, 'sketch', {c})" for c, f in zip(columns, fields)]
     return sketches.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
-def exact_distinct(flat: DataFrame) -> DataFrame:
-    """``(column, distinct)`` exactly: values are pre-aggregated before the shuffle.
+def sketched_distinct(flat: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """``(column, distinct)`` from sketches."""
+    return distinct_sketches(flat, fields).selectExpr("column", "hll_sketch_estimate(sketch) AS distinct")
+
 
-    Long texts are counted by their SHA-256, so that the shuffle carries no texts.
+def distinct_values(flat: DataFrame) -> DataFrame:
+    """``(column, value)``, each value of each column once, pre-aggregated before the shuffle.
+
+    Long texts stand there by their SHA-256, so that the shuffle carries no texts.
     """
 
     def value(f: T.StructField) -> str:
@@ -143,8 +146,12 @@ def exact_distinct(flat: DataFrame) -> DataFrame:
         if type_class(f.dataType) not in UNCOUNTED
     ]
     long = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
-    values = long.groupBy("column", "value").agg(F.count(F.lit(1)))
-    return values.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    return long.groupBy("column", "value").agg(F.count(F.lit(1))).select("column", "value")
+
+
+def exact_distinct(flat: DataFrame) -> DataFrame:
+    """``(column, distinct)`` exactly."""
+    return distinct_values(flat).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
 
 
 def column_profile(
@@ -180,7 +187,7 @@ def column_profile(
     return joined.withColumn("distinct", F.coalesce("distinct", F.lit(0).cast("long")))
 
 
-def _decisive(fields: list[T.StructField]) -> set[str]:
+def decisive_columns(fields: list[T.StructField]) -> set[str]:
     """Columns whose kind depends on their number of distinct values."""
     out = set()
     for f in fields:
@@ -201,11 +208,17 @@ def detect_kinds(
     unknown = set(overrides) - set(flat.columns)
     if unknown or not set(overrides.values()) <= set(KINDS):
         raise ValueError(f"overrides name existing columns and one of {KINDS}")
+    counts = None if exact else decisive_columns(flat.schema.fields)
+    return column_profile(flat, exact, present, counts).withColumn("kind", F.expr(kind_sql(overrides, exact)))
+
+
+def kind_sql(overrides: dict[str, str], exact: bool) -> str:
+    """The kind of a row of the profile."""
     slack = 1.0 if exact else 1.0 - 3 * DISTINCT_ERROR
     filled = "(rows - nulls)"
     unique = f"(distinct >= {filled} * {slack}D)"
     forced = " ".join(f"WHEN column = {sql_string(n)} THEN '{k}'" for n, k in overrides.items())
-    kind = f"""CASE {forced}
+    return f"""CASE {forced}
         WHEN {filled} = 0 THEN 'carried'
         WHEN class = 'bool' THEN 'boolean'
         WHEN class = 'time' THEN 'datetime'
@@ -218,5 +231,3 @@ def detect_kinds(
         WHEN {unique} OR max_length > {CATEGORY_LENGTH} THEN 'text'
         WHEN distinct <= {CATEGORY_COUNT} OR distinct <= rows / 2 THEN 'categorical'
         ELSE 'text' END"""
-    counts = None if exact else _decisive(flat.schema.fields)
-    return column_profile(flat, exact, present, counts).withColumn("kind", F.expr(kind))

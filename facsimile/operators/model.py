@@ -86,7 +86,7 @@ class Model:
         categories = spark.read.schema(CATEGORIES_DDL).parquet(f"{path}/categories")
         return cls(
             spark, columns, {r["column"]: list(r["knots"]) for r in quantiles}, categories,
-            _literals(categories, columns), {(r["column_a"], r["column_b"]): r["r"] for r in pairs},
+            literal_entries(categories, columns), {(r["column_a"], r["column_b"]): r["r"] for r in pairs},
         )
 
 
@@ -110,7 +110,7 @@ def words_sql(c: str) -> str:
 # --- marginals of numbers and times -------------------------------------------------
 
 
-def _numeric_views(flat: DataFrame, specs: list[dict[str, Any]]) -> dict[str, str]:
+def numeric_views(flat: DataFrame, specs: list[dict[str, Any]]) -> dict[str, str]:
     types = {f.name: f.dataType for f in flat.schema.fields}
     views = {}
     for s in specs:
@@ -134,7 +134,11 @@ def quantile_grid(flat: DataFrame, views: dict[str, str], knots: int = KNOTS, ex
     """
     if exact:
         return _exact_grid(flat, views, knots)
-    grid = doubles_sql([i / (knots - 1) for i in range(knots)])
+    return sketch_knots(grid_sketches(flat, views), knots)
+
+
+def grid_sketches(flat: DataFrame, views: dict[str, str]) -> DataFrame:
+    """``(column, sketch)``: KLL sketches of the views, which can be merged."""
     names = list(views)
     blocks = []
     for start in range(0, len(names), BLOCK):
@@ -142,16 +146,18 @@ def quantile_grid(flat: DataFrame, views: dict[str, str], knots: int = KNOTS, ex
         columns = [f"v{i}" for i in range(len(part))]
         base = flat.selectExpr(*[f"{views[n]} AS {c}" for n, c in zip(part, columns)])
         sketches = merged(base, f"kll_sketch_agg_double({{}}, {SKETCH_SIZE})", "kll_merge_agg_double({})", columns)
-        rows = [
-            f"named_struct('column', {sql_string(n)}, 'knots', "
-            f"if(kll_sketch_get_n_double({c}) > 0, kll_sketch_get_quantile_double({c}, {grid}), NULL))"
-            for n, c in zip(part, columns)
-        ]
+        rows = [f"named_struct('column', {sql_string(n)}, 'sketch', {c})" for n, c in zip(part, columns)]
         blocks.append(sketches.selectExpr(f"inline(array({', '.join(rows)}))"))
     return reduce(DataFrame.unionByName, blocks)
 
 
-def _counted_values(flat: DataFrame, views: dict[str, str]) -> DataFrame:
+def sketch_knots(sketches: DataFrame, knots: int) -> DataFrame:
+    grid = doubles_sql([i / (knots - 1) for i in range(knots)])
+    some = "kll_sketch_get_n_double(sketch) > 0"
+    return sketches.selectExpr("column", f"if({some}, kll_sketch_get_quantile_double(sketch, {grid}), NULL) AS knots")
+
+
+def counted_values(flat: DataFrame, views: dict[str, str]) -> DataFrame:
     cells = [f"named_struct('column', {sql_string(n)}, 'value', double({v}))" for n, v in views.items()]
     long = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL")
     return settle(long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count")), "values")
@@ -159,11 +165,11 @@ def _counted_values(flat: DataFrame, views: dict[str, str]) -> DataFrame:
 
 def value_ranks(flat: DataFrame, views: dict[str, str], slot_rows: int = SLOT_ROWS) -> DataFrame:
     """``(column, value, count, lo, hi)``: how many rows lie below and up to each value."""
-    return running_totals(_counted_values(flat, views), ["column"], ["value"], "count", slot_rows=slot_rows)
+    return running_totals(counted_values(flat, views), ["column"], ["value"], "count", slot_rows=slot_rows)
 
 
 def _exact_grid(flat: DataFrame, views: dict[str, str], knots: int) -> DataFrame:
-    return ranked_grid(_counted_values(flat, views), knots)
+    return ranked_grid(counted_values(flat, views), knots)
 
 
 def ranked_grid(counted: DataFrame, knots: int) -> DataFrame:
@@ -219,15 +225,19 @@ def category_intervals(
     """
     counted = [] if more is None else [more]
     if cells:
-        counted.append(_counted_texts(flat, cells))
-    counts = reduce(DataFrame.unionByName, counted)
+        counted.append(counted_texts(flat, cells))
+    return intervals_of(reduce(DataFrame.unionByName, counted), bound, path)
+
+
+def intervals_of(counts: DataFrame, bound: int | None = None, path: str | None = None) -> DataFrame:
+    """Intervals of ``counts(column, value, count)``."""
     if bound is None or bound >= SLOT_ROWS:
         counts, bound = settle(counts, "frequencies"), None
     ranked = running_totals(counts.withColumn("rarity", -F.col("count")), ["column"], ["rarity", "value"], "count", bound)
     return settle(ranked.select("column", "value", "count", "lo", "hi"), "categories", path)
 
 
-def _counted_texts(flat: DataFrame, cells: dict[str, str]) -> DataFrame:
+def counted_texts(flat: DataFrame, cells: dict[str, str]) -> DataFrame:
     base = flat.selectExpr(*[f"{sql} AS v{i}" for i, sql in enumerate(cells.values())])
     tagged = []
     for i, (name, f) in enumerate(zip(cells, base.schema.fields)):
@@ -240,7 +250,7 @@ def _counted_texts(flat: DataFrame, cells: dict[str, str]) -> DataFrame:
     return long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
-def _literals(categories: DataFrame, specs: list[dict[str, Any]]) -> dict[str, list[tuple[str, int]]]:
+def literal_entries(categories: DataFrame, specs: list[dict[str, Any]]) -> dict[str, list[tuple[str, int]]]:
     """Categories of the columns that have at most ``LITERAL_LIMIT`` of them."""
     small = [s["column"] for s in specs if s["entries"] and s["entries"] <= LITERAL_LIMIT]
     out: dict[str, list[tuple[str, int]]] = {n: [] for n in small}
@@ -270,11 +280,12 @@ def knot_scores(knots: list[float]) -> tuple[list[float], list[float], list[floa
     return distinct.tolist(), at, [normal.inv_cdf(g / total) for g in gaps]
 
 
-def normal_scores(flat: DataFrame, model: Model, names: list[str]) -> DataFrame:
+def normal_scores(flat: DataFrame, model: Model, names: list[str], unseen: bool = False) -> DataFrame:
     """Columns ``z0, z1, …``: the normal score of each modelled column, null where it is null.
 
     Spark brings each column to a number (a value, the place of a category, or a
-    score already); the tables of scores are looked up per Arrow batch.
+    score already); the tables of scores are looked up per Arrow batch. ``unseen``: rows
+    may hold categories that the model has not seen; these have no score.
     """
     specs = {s["column"]: s for s in model.columns}
     types = {f.name: f.dataType for f in flat.schema.fields}
@@ -291,7 +302,8 @@ def normal_scores(flat: DataFrame, model: Model, names: list[str]) -> DataFrame:
             scores = _category_scores(model.literals[name])
             ordered = sorted(scores)
             place = count_at_most_sql(array_sql(ordered, "string"), len(ordered), f"string({sql})")
-            prepared.append(f"if({sql} IS NULL, NULL, double({place} - 1)) AS x{i}")
+            absent = f"coalesce(get({array_sql(ordered, 'string')}, {place} - 1), '') <> string({sql}) OR {sql} IS NULL" if unseen else f"{sql} IS NULL"
+            prepared.append(f"if({absent}, NULL, double({place} - 1)) AS x{i}")
             at = np.asarray([scores[v] for v in ordered])
             tables[i] = (np.arange(len(ordered), dtype=float), at, np.append(at, at[-1]))
         else:
@@ -345,9 +357,11 @@ def correlation(scores: DataFrame, names: list[str]) -> dict[tuple[str, str], fl
     steps, each as a stream that keeps one running sum. A pair of which one column is
     constant where the other is set has no correlation.
     """
-    size = len(names)
-    if size < 2:
-        return {}
+    return correlation_of(pair_sums(scores, len(names)), names) if len(names) > 1 else {}
+
+
+def pair_sums(scores: DataFrame, size: int) -> np.ndarray:
+    """Four matrices over all rows: the sums of z·z', z·p', z²·p' and p·p'. Sums of further rows can be added."""
 
     def blocks(total: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
         for first in range(0, size, SUM_ROWS):
@@ -385,6 +399,11 @@ def correlation(scores: DataFrame, names: list[str]) -> dict[tuple[str, str], fl
     for row in last.collect():  # four numbers per pair of columns
         part = np.frombuffer(row["sums"]).reshape(4, -1, size)
         total[:, row["first"] : row["first"] + part.shape[1]] = part
+    return total
+
+
+def correlation_of(total: np.ndarray, names: list[str]) -> dict[tuple[str, str], float]:
+    size = len(names)
     zz, zi, qi, n = total
     zj, qj = zi.T, qi.T
     vi, vj = n * qi - zi * zi, n * qj - zj * zj
@@ -450,19 +469,11 @@ def fit(
         s["entries"] = s["total"] = 0
 
     by_name = {s["column"]: s for s in specs}
-    views = {n: v for n, v in _numeric_views(flat, specs).items() if by_name[n]["marginal"] != "norm"}
+    views = {n: v for n, v in numeric_views(flat, specs).items() if by_name[n]["marginal"] != "norm"}
     grids = quantile_grid(flat, views, knots, exact).collect() if views else []
     quantiles = {r["column"]: [float(x) for x in r["knots"]] for r in grids if r["knots"]}
 
-    cells: dict[str, str] = {}
-    for s in specs:
-        name, sql = s["column"], quoted(s["column"])
-        if s["kind"] in ("categorical", "boolean"):
-            cells[name] = f"string({sql})"
-        elif wants_words(s):
-            cells[name] = f"transform({words_sql(sql)}, w -> length(w))"
-        elif s["kind"] == "text" or (s["kind"] == "id" and isinstance(types[name], T.StringType)):
-            cells[name] = shape_sql(sql)
+    cells = text_cells(specs)
     binary = [s["column"] for s in specs if s["kind"] == "bytes"]
     target = f"{path}/categories" if path else scratch_path(spark, "categories")
     if cells or binary:
@@ -477,7 +488,7 @@ def fit(
     else:
         categories = settle(spark.createDataFrame([], CATEGORIES_DDL), "categories", target)
 
-    model = Model(spark, specs, quantiles, categories, _literals(categories, specs))
+    model = Model(spark, specs, quantiles, categories, literal_entries(categories, specs))
     if not independent:
         names = copula_columns(model)
         if len(names) > 1:
@@ -487,6 +498,20 @@ def fit(
     return model
 
 
+def text_cells(specs: list[dict[str, Any]]) -> dict[str, str]:
+    """What is counted of each column that has frequencies: values, word lengths or shapes."""
+    cells: dict[str, str] = {}
+    for s in specs:
+        name, sql = s["column"], quoted(s["column"])
+        if s["kind"] in ("categorical", "boolean"):
+            cells[name] = f"string({sql})"
+        elif wants_words(s):
+            cells[name] = f"transform({words_sql(sql)}, w -> length(w))"
+        elif s["kind"] == "text" or (s["kind"] == "id" and isinstance(type_of(s), T.StringType)):
+            cells[name] = shape_sql(sql)
+    return cells
+
+
 def _existing_flags(flat: DataFrame, present: dict[str, str]) -> DataFrame:
     """``flat`` with flags set to null where there is no cell: an absent element is no null element."""
     chosen = []

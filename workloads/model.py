@@ -11,7 +11,9 @@ from facsimile.operators.model import (
 )
 from workloads.common import millionths, millionths_sql, order_nested, read
 from facsimile.operators.flatten import flatten
+from facsimile.operators.state import learn_state
 from facsimile.plans.shape import infer_plan
+from facsimile.session import scratch_path
 
 
 def _kinds(df):
@@ -40,7 +42,7 @@ def profile_part(spark, sf_dir):
 
 
 def profile_lineitem(spark, sf_dir):
-    return _profile(read(spark, sf_dir, "lineitem").select("l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag"))
+    return _profile(read(spark, sf_dir, "lineitem"))
 
 
 def profile_flat_orders(spark, sf_dir):
@@ -52,9 +54,11 @@ def profile_flat_orders(spark, sf_dir):
 
 
 def _profile(df):
+    """Mean and spread of times in thousands of seconds, so that engines agree on the last digit."""
+    unit = F.when(F.col("class") == "time", 1e9).otherwise(1.0)
     return column_profile(df).select(
-        "column", "rows", "nulls", "min", "max", F.floor(F.col("mean") * 1e3 + 0.5).alias("mean_e3"),
-        F.floor(F.col("std") * 1e3 + 0.5).alias("std_e3"), "max_length", "spaced", "digits",
+        "column", "rows", "nulls", "min", "max", F.floor(F.col("mean") / unit * 1e3 + 0.5).alias("mean_e3"),
+        F.floor(F.col("std") / unit * 1e3 + 0.5).alias("std_e3"), "max_length", "spaced", "digits",
     )
 
 
@@ -121,9 +125,21 @@ def correlation_with_gaps(spark, sf_dir):
     return spark.createDataFrame(rows, "a string, b string, r double").select("a", "b", millionths(F.col("r")).alias("r_e6"))
 
 
+def refit_append(spark, sf_dir):
+    """Two thirds of the rows are learnt, the rest is appended to what was kept of them: the model of all rows."""
+    lines = read(spark, sf_dir, "lineitem")
+    columns = ["l_extendedprice", "l_quantity", "l_discount", "l_returnflag", "l_linestatus"]
+    old, new = (lines.filter(cut).select(*columns) for cut in ("l_orderkey % 3 <> 0", "l_orderkey % 3 = 0"))
+    state = learn_state(old, scratch_path(spark, "state"), exact=True, independent=True)
+    model = state.append(new, scratch_path(spark, "state")).model(KNOTS)
+    grids = model.quantiles_table().select("column", F.posexplode("knots").alias("place", "number"))
+    texts = model.categories.select("column", F.col("lo").cast("int").alias("place"), "value", "hi")
+    return grids.unionByName(texts, allowMissingColumns=True).select("column", "place", millionths(F.col("number")).alias("number_e6"), "value", "hi")
+
+
 QUERIES = {f.__name__: f for f in (
     kinds_customer, kinds_lineitem, kinds_documents, kinds_sketched, profile_part, profile_lineitem, profile_flat_orders,
-    category_frequencies, word_lengths, quantile_knots, price_ranks, scores, score_correlation, correlation_with_gaps,
+    category_frequencies, word_lengths, quantile_knots, price_ranks, scores, score_correlation, correlation_with_gaps, refit_append,
 )}
 
 
@@ -167,6 +183,14 @@ def profile_sql(table: str, columns: dict[str, str]) -> str:
     parts = []
     for c, group in columns.items():
         number, text = group in ("int", "number"), group == "string"
+        if group == "time":
+            parts.append(
+                f"SELECT '{c}' AS \"column\", count(*) AS rows, count(*) - count({c}) AS nulls, "
+                f"epoch_us(min({c}))::DOUBLE AS min, epoch_us(max({c}))::DOUBLE AS max, floor(avg(epoch_us({c})) / 1e9 * 1e3 + 0.5)::BIGINT AS mean_e3, "
+                f"floor(stddev_samp(epoch_us({c})) / 1e9 * 1e3 + 0.5)::BIGINT AS std_e3, "
+                f"NULL::INTEGER AS max_length, false AS spaced, NULL::INTEGER AS digits FROM {table}"
+            )
+            continue
         digits = "NULL::INTEGER"
         if group == "number":
             tests = " ".join(f"WHEN bool_and(round({c}, {s}) = {c}) THEN {s}" for s in range(5))
@@ -228,8 +252,7 @@ ORACLES = {
     "kinds_sketched": kinds_sql("orders", ORDERS, '"column", kind'),
     "profile_part": profile_sql("part", {
         "p_partkey": "int", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "number"}),
-    "profile_lineitem": profile_sql("lineitem", {
-        "l_partkey": "int", "l_quantity": "number", "l_extendedprice": "number", "l_discount": "number", "l_returnflag": "string"}),
+    "profile_lineitem": profile_sql("lineitem", LINEITEM),
     "profile_flat_orders": """
         WITH o AS (SELECT o_orderkey % 7 = 0 AS gone, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 6 END AS n,
                           o_orderkey % 11 = 0 AS hole FROM orders),
@@ -258,4 +281,8 @@ ORACLES = {
         f"WHERE l_orderkey % {i + 2} <> 0 AND l_orderkey % {j + 2} <> 0"
         for i in range(len(GAPPED)) for j in range(i)),
 }
+ORACLES["refit_append"] = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", i AS place, {millionths_sql('value')} AS number_e6, NULL AS value, NULL AS hi FROM ({knots_sql(c, 'lineitem', KNOTS)})"
+    for c in PRICES
+) + f' UNION ALL SELECT "column", lo::INTEGER, NULL, value, hi FROM ({_interval_sql("lineitem", {c: c for c in ("l_returnflag", "l_linestatus")})})'
 ORACLES["score_correlation"] = f"WITH s AS MATERIALIZED ({SCORES_SQL}) " + ORACLES["score_correlation"]
