@@ -59,6 +59,13 @@ def _base_sql(field: T.StructField) -> str:
     return as_number_sql(name, field.dataType) if numbers else name
 
 
+def absent_sql(field: T.StructField) -> str:
+    """Whether a cell counts as null: infinities do not, other numbers that are none do."""
+    base = _base_sql(field)
+    endless = isinstance(field.dataType, FRACTIONS)
+    return f"({base} IS NULL AND NOT coalesce(abs(double({quoted(field.name)})) = double('Infinity'), false))" if endless else f"{base} IS NULL"
+
+
 def _measures(n: int, position: int, field: T.StructField, present: bool) -> dict[str, str]:
     """SQL aggregates over the prepared columns ``c<n>`` and ``p<n>``; what needs none is constant."""
     c, group = f"c{n}", type_class(field.dataType)

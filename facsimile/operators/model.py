@@ -20,7 +20,7 @@ from facsimile.functions.nested import quoted
 from facsimile.functions.normal import normal_quantile
 from facsimile.functions.search import LITERAL_LIMIT, array_sql, count_at_most_sql, doubles_sql, sql_string
 from facsimile.functions.text import shape_sql
-from facsimile.operators.kinds import BLOCK, ID_LENGTH, detect_kinds
+from facsimile.operators.kinds import BLOCK, ID_LENGTH, absent_sql, detect_kinds
 from facsimile.operators.lookup import lookup_join
 from facsimile.operators.ranks import SLOT_ROWS, running_totals
 from facsimile.operators.sketches import merged
@@ -42,11 +42,16 @@ COLUMNS_DDL = (
 QUANTILES_DDL = "column string, knots array<double>"
 CATEGORIES_DDL = "column string, value string, count bigint, lo bigint, hi bigint"
 CORRELATION_DDL = "column_a string, column_b string, r double"
+PATTERNS_DDL = "pattern string, position int, bit int, column string, entries bigint, total bigint"
+MISSING_MODES = ("patterns", "independent")
+PATTERN = "._nulls"  # with a number, the name of a block of columns in the table of categories
+PATTERN_COLUMNS = 16  # of a block: it has at most 65,536 patterns, however many rows there are
+PATTERN_POSITION = 1 << 20  # beyond the positions of columns, which the draws are told apart by
 
 
 @dataclass
 class Model:
-    """Four small tables; ``categories`` stays a DataFrame, as it may be large."""
+    """Five small tables; ``categories`` stays a DataFrame, as it may be large."""
 
     spark: SparkSession
     columns: list[dict[str, Any]]
@@ -54,6 +59,7 @@ class Model:
     categories: DataFrame
     literals: dict[str, list[tuple[str, int]]]  # (value, hi) of columns with few categories
     correlation: dict[tuple[str, str], float] = field(default_factory=dict)
+    patterns: list[dict[str, Any]] = field(default_factory=list)  # blocks of columns that are null together: a spec and ``members``
 
     @property
     def schema(self) -> T.StructType:
@@ -68,7 +74,12 @@ class Model:
     def correlation_table(self) -> DataFrame:
         return self.spark.createDataFrame([(a, b, r) for (a, b), r in self.correlation.items()], CORRELATION_DDL)
 
+    def patterns_table(self) -> DataFrame:
+        rows = [(p["column"], p["position"], i, name, p["entries"], p["total"]) for p in self.patterns for i, name in enumerate(p["members"])]
+        return self.spark.createDataFrame(rows, PATTERNS_DDL)
+
     def save_parameters(self, path: str) -> None:
+        self.patterns_table().coalesce(1).write.mode("overwrite").parquet(f"{path}/patterns")
         self.columns_table().coalesce(1).write.mode("overwrite").parquet(f"{path}/columns")
         self.quantiles_table().coalesce(1).write.mode("overwrite").parquet(f"{path}/quantiles")
         self.correlation_table().coalesce(1).write.mode("overwrite").parquet(f"{path}/correlation")
@@ -83,10 +94,15 @@ class Model:
         quantiles = spark.read.schema(QUANTILES_DDL).parquet(f"{path}/quantiles").collect()
         pairs = spark.read.schema(CORRELATION_DDL).parquet(f"{path}/correlation").collect()
         columns = [r.asDict() for r in specs]
+        patterns: dict[str, dict[str, Any]] = {}
+        for r in spark.read.schema(PATTERNS_DDL).parquet(f"{path}/patterns").orderBy("position", "bit").collect():
+            empty = {"column": r["pattern"], "position": r["position"], "entries": r["entries"], "total": r["total"], "members": []}
+            patterns.setdefault(r["pattern"], empty)["members"].append(r["column"])
         categories = spark.read.schema(CATEGORIES_DDL).parquet(f"{path}/categories")
         return cls(
             spark, columns, {r["column"]: list(r["knots"]) for r in quantiles}, categories,
-            literal_entries(categories, columns), {(r["column_a"], r["column_b"]): r["r"] for r in pairs},
+            literal_entries(categories, [*columns, *patterns.values()]), {(r["column_a"], r["column_b"]): r["r"] for r in pairs},
+            list(patterns.values()),
         )
 
 
@@ -443,16 +459,20 @@ def fit(
     overrides: dict[str, str] | None = None,
     present: dict[str, str] | None = None,
     path: str | None = None,
+    missing: str = "patterns",
 ) -> Model:
     """Learn the columns of ``flat``. Every statistic is an aggregate over all rows.
 
-    ``marginal``: ``ecdf`` keeps a quantile grid, ``norm`` mean and spread.
+    ``missing="patterns"`` learns which columns are null together, for columns whose cells
+    exist in every row; ``independent`` takes each column's share of nulls alone. ``marginal``: ``ecdf`` keeps a quantile grid, ``norm`` mean and spread.
     ``exact`` replaces sketches by exact counts. ``path`` stores the model tables.
     """
     if marginal not in MARGINALS:
         raise ValueError(f"marginal must be one of {MARGINALS}")
     if knots < 2:
         raise ValueError("knots must be at least 2")
+    if missing not in MISSING_MODES:
+        raise ValueError(f"missing must be one of {MISSING_MODES}")
     spark = flat.sparkSession
     if kinds is None:
         kinds = detect_kinds(flat, overrides, exact, present)
@@ -474,6 +494,8 @@ def fit(
     quantiles = {r["column"]: [float(x) for x in r["knots"]] for r in grids if r["knots"]}
 
     cells = text_cells(specs)
+    patterns = patterns_of(null_blocks(specs)) if missing == "patterns" else []
+    cells |= pattern_cells(flat, patterns)
     binary = [s["column"] for s in specs if s["kind"] == "bytes"]
     target = f"{path}/categories" if path else scratch_path(spark, "categories")
     if cells or binary:
@@ -481,14 +503,16 @@ def fit(
             s["kind"] == "boolean" or s["kind"] == "categorical" and s["distinct"] for s in specs if s["column"] in cells
         )
         bound = sum(2 * s["distinct"] + 100 for s in specs if s["column"] in cells) + 256 * len(binary) if plain else None
+        bound = bound and bound + sum(1 << len(p["members"]) for p in patterns)
         categories = category_intervals(flat, cells, bound, target, byte_counts(flat, binary) if binary else None)
         sizes = categories.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max("hi").alias("total")).collect()
+        by_name |= {p["column"]: p for p in patterns}
         for r in sizes:
             by_name[r["column"]].update(entries=r["n"], total=r["total"])
     else:
         categories = settle(spark.createDataFrame([], CATEGORIES_DDL), "categories", target)
 
-    model = Model(spark, specs, quantiles, categories, literal_entries(categories, specs))
+    model = Model(spark, specs, quantiles, categories, literal_entries(categories, [*specs, *patterns]), patterns=patterns)
     if not independent:
         names = copula_columns(model)
         if len(names) > 1:
@@ -498,6 +522,24 @@ def fit(
     return model
 
 
+def null_blocks(specs: list[dict[str, Any]]) -> list[list[str]]:
+    """Blocks of columns with nulls; columns with equal numbers of nulls, which may be null together, are neighbours."""
+    some = [s for s in specs if s["empty"] and s["cells"] == s["rows"] and s["kind"] != "carried"]
+    names = [s["column"] for s in sorted(some, key=lambda s: (s["empty"], s["position"]))]
+    blocks = [names[i : i + PATTERN_COLUMNS] for i in range(0, len(names), PATTERN_COLUMNS)]
+    return [b for b in blocks if len(b) > 1]  # the pattern of one column is its share of nulls
+
+
+def patterns_of(blocks: list[list[str]]) -> list[dict[str, Any]]:
+    return [{"column": f"{PATTERN}{i}", "position": PATTERN_POSITION + i, "entries": 0, "total": 0, "members": b} for i, b in enumerate(blocks)]
+
+
+def pattern_cells(flat: DataFrame, patterns: list[dict[str, Any]]) -> dict[str, str]:
+    """The pattern of a row: a digit per column of the block, 1 where it is null."""
+    fields = {f.name: f for f in flat.schema.fields}
+    return {p["column"]: "concat(" + ", ".join(f"if({absent_sql(fields[n])}, '1', '0')" for n in p["members"]) + ")" for p in patterns}
+
+
 def text_cells(specs: list[dict[str, Any]]) -> dict[str, str]:
     """What is counted of each column that has frequencies: values, word lengths or shapes."""
     cells: dict[str, str] = {}

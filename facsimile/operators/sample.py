@@ -56,6 +56,7 @@ def _uniforms(model: Model, base: DataFrame, draws, joint: list[str]) -> DataFra
             drawn.append(f"{normal_draw_sql(u, draws.uniform_sql('row', _stream(s, SECOND)))} AS n{p}")
         else:
             drawn.append(f"{u} AS u{p}")
+    drawn += [f"{draws.uniform_sql('row', _stream(p, VALUE))} AS u{p['position']}" for p in model.patterns]
     return rows.selectExpr("row", *drawn)
 
 
@@ -213,9 +214,15 @@ def sample_rows(
         s for s in model.columns
         if s["entries"] and s["column"] not in model.literals and not wants_words(s)
     ]
+    large += [p for p in model.patterns if p["column"] not in model.literals]
     for s in large:
         uniforms = _join_entries(uniforms, model, s, f"v{s['position']}")
     joined = {s["column"] for s in large}
+    nulls: dict[str, str] = {}  # column: SQL of whether the row's pattern has it null
+    for p in model.patterns:
+        mask = f"v{p['position']}" if p["column"] in joined else _entry_sql(f"u{p['position']}", model.literals[p["column"]])
+        uniforms = uniforms.withColumn(f"nulls{p['position']}", F.expr(mask))
+        nulls |= {name: f"substring(nulls{p['position']}, {i + 1}, 1) = '1'" for i, name in enumerate(p["members"])}
 
     def text(spec: dict[str, Any]) -> str:
         name, p = spec["column"], spec["position"]
@@ -243,7 +250,9 @@ def sample_rows(
         dtype = type_of(spec)
         made = value(spec, dtype)
         rate = spec["empty"] / spec["cells"] if spec["cells"] else 1.0
-        if rate > 0 and spec["kind"] != "carried":
+        if spec["column"] in nulls:
+            made = F.when(~F.expr(nulls[spec["column"]]), made)
+        elif rate > 0 and spec["kind"] != "carried":
             made = F.when(F.expr(f"{draws.uniform_sql('row', _stream(spec, MISSING))} >= {rate!r}D"), made)
         return made.cast(dtype).alias(spec["column"])
 

@@ -8,7 +8,8 @@ without reading a row of the table again.
 
 Scores are ranks, which move with every new row. The sums therefore refer to the scores of
 the first rows, whose model is kept as the ``scorer``: dependence is measured on one scale
-for all rows.
+for all rows. The kinds of the columns, and which columns' nulls are counted together, are those of
+the first rows too.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from facsimile.functions.nested import column
 from facsimile.operators.kinds import UNCOUNTED, column_profile, decisive_columns, distinct_sketches, distinct_values, kind_sql, type_class
 from facsimile.operators.model import (
     CATEGORIES_DDL, KNOTS, Model, byte_counts, copula_columns, correlation_of, counted_texts, counted_values, grid_sketches,
-    intervals_of, literal_entries, normal_scores, numeric_views, pair_sums, ranked_grid, sketch_knots, text_cells,
+    intervals_of, literal_entries, normal_scores, null_blocks, numeric_views, pair_sums, pattern_cells, patterns_of, ranked_grid, sketch_knots,
+    text_cells,
 )
 from facsimile.session import scratch_path, settle
 
@@ -46,13 +48,14 @@ class FitState:
     exact: bool
     overrides: dict[str, str]
     kinds: dict[str, str]
+    blocks: list[list[str]]  # columns whose nulls are counted together
     scorer: Model | None
 
     def part(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def _save(self) -> FitState:
-        facts = {"schema": self.schema.jsonValue(), "exact": self.exact, "overrides": self.overrides, "kinds": self.kinds, "scorer": self.scorer is not None}
+        facts = {"schema": self.schema.jsonValue(), "exact": self.exact, "overrides": self.overrides, "kinds": self.kinds, "blocks": self.blocks, "scorer": self.scorer is not None}
         self.spark.createDataFrame([(json.dumps(facts),)], "facts string").coalesce(1).write.mode("overwrite").json(f"{self.path}/facts")
         if self.scorer is not None:
             self.scorer.save(f"{self.path}/scorer")
@@ -62,7 +65,7 @@ class FitState:
     def load(cls, spark: SparkSession, path: str) -> FitState:
         facts = json.loads(spark.read.schema("facts string").json(f"{path}/facts").first()["facts"])
         scorer = Model.load(spark, f"{path}/scorer") if facts["scorer"] else None
-        return cls(spark, path, T.StructType.fromJson(facts["schema"]), facts["exact"], facts["overrides"], facts["kinds"], scorer)
+        return cls(spark, path, T.StructType.fromJson(facts["schema"]), facts["exact"], facts["overrides"], facts["kinds"], facts["blocks"], scorer)
 
     def _found_kinds(self) -> dict[str, str]:
         distinct = self.part("distinct")
@@ -97,10 +100,11 @@ class FitState:
         quantiles = {r["column"]: [float(x) for x in r["knots"]] for r in grids.collect() if r["knots"]}
         target = f"{path}/categories" if path else scratch_path(self.spark, "categories")
         categories = intervals_of(self.part("frequencies"), None, target)
-        by_name = {s["column"]: s for s in specs}
+        patterns = patterns_of(self.blocks)
+        by_name = {s["column"]: s for s in [*specs, *patterns]}
         for r in categories.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.max("hi").alias("total")).collect():
             by_name[r["column"]].update(entries=r["n"], total=r["total"])
-        model = Model(self.spark, specs, quantiles, categories, literal_entries(categories, specs))
+        model = Model(self.spark, specs, quantiles, categories, literal_entries(categories, [*specs, *patterns]), patterns=patterns)
         if self.scorer is not None:
             scored = copula_columns(self.scorer)
             total = np.zeros((4, len(scored), len(scored)))
@@ -132,7 +136,7 @@ class FitState:
         both["profile"] = _merged_profile(self.part("profile"), other.part("profile"))
         for name, table in both.items():
             settle(table, name, f"{path}/{name}")
-        return FitState(self.spark, path, self.schema, self.exact, self.overrides, self.kinds, self.scorer)._save()
+        return FitState(self.spark, path, self.schema, self.exact, self.overrides, self.kinds, self.blocks, self.scorer)._save()
 
 
 def _merged_profile(one: DataFrame, two: DataFrame) -> DataFrame:
@@ -169,7 +173,7 @@ def _merged_profile(one: DataFrame, two: DataFrame) -> DataFrame:
 
 def _observe(flat: DataFrame, path: str, exact: bool, overrides: dict[str, str], like: FitState | None, independent: bool = False) -> FitState:
     spark, fields = flat.sparkSession, flat.schema.fields
-    state = FitState(spark, path, flat.schema, exact, overrides, like.kinds if like else {}, like.scorer if like else None)
+    state = FitState(spark, path, flat.schema, exact, overrides, like.kinds if like else {}, like.blocks if like else [], like.scorer if like else None)
     settle(column_profile(flat, counts=set()), "profile", f"{path}/profile")
     if exact:
         counted = [f for f in fields if type_class(f.dataType) not in UNCOUNTED]
@@ -188,7 +192,8 @@ def _observe(flat: DataFrame, path: str, exact: bool, overrides: dict[str, str],
     else:
         grids = grid_sketches(flat, views) if views else spark.createDataFrame([], "column string, sketch binary")
     settle(grids, "grids", f"{path}/grids")
-    cells, binary = text_cells(specs), [s["column"] for s in specs if s["kind"] == "bytes"]
+    state.blocks = like.blocks if like else null_blocks(specs)
+    cells, binary = text_cells(specs) | pattern_cells(flat, patterns_of(state.blocks)), [s["column"] for s in specs if s["kind"] == "bytes"]
     texts = [counted_texts(flat, cells)] if cells else []
     texts += [byte_counts(flat, binary)] if binary else []
     counts = reduce(DataFrame.unionByName, texts) if texts else spark.createDataFrame([], CATEGORIES_DDL).select("column", "value", "count")

@@ -205,11 +205,12 @@ def synthesize(
     keep_nested: tuple[str, ...] = (),
     overrides: dict[str, str] | None = None,
     path: str | None = None,
+    missing: str = "patterns",
 ) -> DataFrame:
     """``n`` synthetic rows with the schema of ``df`` and similar statistics."""
     if n <= 0:
         raise ValueError("the number of rows must be positive")
-    maker = Synthesizer(marginal=marginal, independent=independent, overrides=overrides)
+    maker = Synthesizer(marginal=marginal, independent=independent, overrides=overrides, missing=missing)
     return maker.fit(df, keep_nested, path).sample(n, seed)
 
 

@@ -304,3 +304,30 @@ def test_constant_and_empty_columns(spark):
     out = synthesize(df, 300).toPandas()
     assert (out["same"] == 3.5).all() and out["none"].isna().all() and (out["one"] == "x").all()
     assert 0.35 < out["nans"].isna().mean() < 0.65
+
+
+def test_null_patterns(spark, tmp_path):
+    """Twenty columns in two blocks; those of equal shares are null together, and infinities are no nulls."""
+    rows = spark.range(4000)
+    pairs = [F.when(F.col("id") % (i // 2 + 3) != 0, F.col("id") % 10).alias(f"c{i}") for i in range(20)]
+    odd = F.when(F.col("id") % 3 != 0, F.when(F.col("id") % 2 == 0, float("inf")).otherwise(1.5)).alias("odd")
+    model = fit(rows.select(*pairs, odd), independent=True, path=str(tmp_path))
+    assert [len(p["members"]) for p in model.patterns] == [16, 5]
+    got = sample(model, 4000, seed=2)
+    together = got.agg(*[F.count_if(F.col(f"c{i}").isNull() != F.col(f"c{i + 1}").isNull()).alias(f"d{i}") for i in range(0, 20, 2)]).first()
+    assert all(n == 0 for n in together)
+    shares = got.agg(*[F.avg(F.col(f"c{i}").isNull().cast("int")) for i in range(20)], F.avg(F.col("odd").isNull().cast("int"))).first()
+    assert all(abs(s - 1 / (i // 2 + 3)) < 0.04 for i, s in enumerate(shares[:20])) and abs(shares[20] - 1 / 3) < 0.04
+    assert sorted(map(str, sample(Model.load(spark, str(tmp_path)), 4000, seed=2).collect())) == sorted(map(str, got.collect()))
+    alone = sample(fit(rows.select(*pairs[:2]), independent=True, missing="independent"), 4000, seed=2)
+    assert alone.filter("(c0 IS NULL) <> (c1 IS NULL)").count() > 1000
+
+
+def test_many_null_patterns(spark, monkeypatch):
+    """More patterns than a literal holds: drawn by the interval join."""
+    rows = spark.range(3000).select(*[F.when(F.xxhash64("id", F.lit(i)) % 2 == 0, F.lit(i)).alias(f"c{i}") for i in range(12)])
+    model = fit(rows, independent=True)
+    assert model.patterns[0]["entries"] > 1000 and not model.literals.get("._nulls0")
+    seen = {tuple(v is None for v in r) for r in rows.collect()}
+    got = sample(model, 2000, seed=1).collect()
+    assert len(got) == 2000 and {tuple(v is None for v in r) for r in got} <= seen

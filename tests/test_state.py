@@ -16,6 +16,7 @@ def lines(spark, sf_dir):
         F.when(F.col("l_linenumber") % 3 != 0, F.col("l_tax")).alias("tax"), (F.col("l_linenumber") > 2).alias("late"),
         F.when(F.col("l_orderkey") % 7 == 0, F.lit(float("inf"))).otherwise(F.col("l_extendedprice")).alias("price"),
         F.encode("l_returnflag", "UTF-8").alias("raw"),
+        F.when(F.col("l_linenumber") % 3 != 0, F.col("l_linenumber") % 2).alias("half"),
     )
 
 

@@ -9,7 +9,7 @@ from facsimile.functions.draws import PowerDraws
 from facsimile.functions.normal import cdf_sql
 from facsimile.functions.text import HEX, HEX_AS_LETTERS, STRIDE, fill_shape_sql, shape_sql
 from facsimile.functions.epoch import epoch_micros
-from facsimile.operators.model import fit
+from facsimile.operators.model import PATTERN_POSITION, fit
 from facsimile.operators.sample import MISSING, SECOND, STREAMS, TEXT, VALUE, sample, sample_rows
 from facsimile.operators.synthesize import Synthesizer, conform_sample, synthesize
 from workloads.common import draws_sql, millionths, millionths_sql, order_nested, read
@@ -63,6 +63,17 @@ def sample_nulls(spark, sf_dir):
     return _sample(spark, gaps)
 
 
+def sample_null_patterns(spark, sf_dir):
+    """Columns that are null together are so in the sample: the row's pattern is drawn first."""
+    key = F.col("o_orderkey")
+    orders = read(spark, sf_dir, "orders").select(
+        F.when(key % 5 != 0, F.col("o_orderpriority")).alias("priority"),
+        F.when((key % 5 != 0) & (key % 3 != 0), F.col("o_orderstatus")).alias("status"),
+        F.when(key % 7 != 0, (key % 4).cast("string")).alias("part"),
+    )
+    return _sample(spark, orders)
+
+
 def sample_ids(spark, sf_dir):
     return _sample(spark, read(spark, sf_dir, "customer").select("c_custkey", "c_name"))
 
@@ -167,7 +178,7 @@ def conform_types(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    sample_category, sample_many_categories, sample_numeric, sample_steps, sample_datetime, sample_bounds, sample_nulls,
+    sample_category, sample_many_categories, sample_numeric, sample_steps, sample_datetime, sample_bounds, sample_nulls, sample_null_patterns,
     sample_ids, sample_pair, sample_joint, sample_documents, sample_texts, synthesize_nested, synthesize_facts, synthesize_pages, document_shapes, text_mask, conform_types,
 )}
 
@@ -204,6 +215,14 @@ def _smooth_sql(column: str, table: str, digits: int | None = None) -> str:
         {_grid_sql(column, table)}"""
 
 
+def _pattern_value_sql(name: str, position: int) -> str:
+    drawn = draws_sql(_rows("orders"), "row", {"u": position * STREAMS + VALUE}, "row")
+    return f"""
+        SELECT row, v AS {name} FROM (SELECT row, least(floor(u * total), total - 1)::BIGINT AS p FROM {drawn}, (SELECT count({name}) AS total FROM o))
+        JOIN (SELECT v, c, sum(c) OVER (ORDER BY c DESC, v) AS hi FROM (SELECT {name} AS v, count(*) AS c FROM o WHERE {name} IS NOT NULL GROUP BY 1))
+        ON hi - c <= p AND p < hi"""
+
+
 STEP_DRAWS = draws_sql(_rows("lineitem"), "row", {"u0": VALUE, "u1": STREAMS + VALUE}, "row")
 PAIR_DRAWS = draws_sql(
     _rows("lineitem"), "row", {"a0": VALUE, "b0": SECOND, "a1": STREAMS + VALUE, "b1": STREAMS + SECOND}, "row"
@@ -251,6 +270,24 @@ ORACLES = {
     "sample_nulls": _category_sql(
         "orders", "o_orderpriority", "priority", "o_orderkey % 5 <> 0",
         "(SELECT count_if(o_orderkey % 5 = 0)::DOUBLE / count(*) FROM orders)"),
+    "sample_null_patterns": f"""
+        WITH o AS (SELECT CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority,
+                          CASE WHEN o_orderkey % 5 <> 0 AND o_orderkey % 3 <> 0 THEN o_orderstatus END AS status,
+                          CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 4)::VARCHAR END AS part FROM orders),
+        n AS (SELECT name, place FROM (SELECT name, row_number() OVER (ORDER BY nulls, i) AS place FROM (
+              SELECT 'priority' AS name, 0 AS i, count_if(priority IS NULL) AS nulls FROM o UNION ALL
+              SELECT 'status', 1, count_if(status IS NULL) FROM o UNION ALL SELECT 'part', 2, count_if(part IS NULL) FROM o))),
+        p AS (SELECT array_to_string(list_sort([(SELECT place FROM n WHERE name = 'priority') * 10 + (priority IS NULL)::INT,
+              (SELECT place FROM n WHERE name = 'status') * 10 + (status IS NULL)::INT,
+              (SELECT place FROM n WHERE name = 'part') * 10 + (part IS NULL)::INT]), ',') AS coded FROM o),
+        f AS (SELECT coded[2:2] || coded[5:5] || coded[8:8] AS v, count(*) AS c FROM p GROUP BY 1),
+        k AS (SELECT v, c, sum(c) OVER (ORDER BY c DESC, v) AS hi, sum(c) OVER () AS total FROM f),
+        d AS (SELECT row, u FROM {draws_sql(_rows("orders"), "row", {"u": f"{PATTERN_POSITION * STREAMS + VALUE}::BIGINT"}, "row")}),
+        m AS (SELECT row, v FROM (SELECT row, least(floor(u * total), total - 1)::BIGINT AS p FROM d, (SELECT any_value(total) AS total FROM k))
+              JOIN k ON hi - c <= p AND p < hi),
+        a AS ({_pattern_value_sql("priority", 0)}), b AS ({_pattern_value_sql("status", 1)}), e AS ({_pattern_value_sql("part", 2)})
+        SELECT m.row, {", ".join(f"CASE WHEN substr(m.v, (SELECT place FROM n WHERE name = '{c}'), 1) = '0' THEN {t}.{c} END AS {c}" for c, t in (("priority", "a"), ("status", "b"), ("part", "e")))}
+        FROM m JOIN a ON a.row = m.row JOIN b ON b.row = m.row JOIN e ON e.row = m.row""",
     "sample_ids": f"SELECT row, row + (SELECT min(c_custkey) FROM customer) AS c_custkey, "
     f"'Aaaaaaaa#' || lpad(row::VARCHAR, 9, '0') AS c_name FROM {_rows('customer')}",
     "sample_texts": f"""
