@@ -8,13 +8,12 @@ from typing import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facsimile.operators.ranks import running_totals
+from facsimile.operators.ranks import SLOT_ROWS, any_rows, first_by
 from facsimile.session import settle
 
 INTERNAL_COLUMNS = ("_dq", "_dq_failed_checks", "_stage_dt", "_cleansed_dt")
 FILE_KINDS = ("parquet", "s3", "json", "avro")
 TABLE_KINDS = ("table", "jdbc", "iceberg")
-TOP_ROWS = 100_000  # limits up to here are a top-k; larger ones are ranked in slices
 
 
 def s3_options(overrides: dict[str, str] | None = None, defaults: dict[str, str] | None = None) -> dict[str, str]:
@@ -75,29 +74,22 @@ def read_table(
 
 
 def first_rows(df: DataFrame, limit: int | None, order_by: Iterable[str] = ()) -> DataFrame:
-    """At most ``limit`` rows; the first ones by ``order_by`` if it is given.
+    """At most ``limit`` rows; the first ones by ``order_by`` if it is given, else those of the first partitions.
 
-    Small limits stop early or keep a top-k per task. Above ``TOP_ROWS`` rows would
-    pile up in one task, so they are ranked in slices; ``order_by`` must then
-    name each row once.
+    Rows are counted, by slices of the order or by partitions, and then filtered where
+    they are: no task gathers them, whatever the limit.
     """
     if limit is None:
         return df
     if limit <= 0:
         raise ValueError("the limit must be positive")
     keys = list(order_by)
-    if limit <= TOP_ROWS:
-        return df.orderBy(*keys).limit(limit) if keys else df.limit(limit)
-    if not keys:
-        raise ValueError(f"limits above {TOP_ROWS} need order_by with a unique key")
-    return ranked_head(df, limit, keys)
-
-
-def ranked_head(df: DataFrame, limit: int, keys: list[str], slot_rows: int | None = None) -> DataFrame:
-    """The first ``limit`` rows by ``keys`` without gathering them in one task."""
-    sizes = {} if slot_rows is None else {"slot_rows": slot_rows}
-    ranked = running_totals(df.withColumn("one", F.lit(1).cast("long")), [], keys, "one", **sizes)
-    return ranked.where(F.col("hi") <= limit).select(*df.columns)
+    return first_by(df, limit, keys) if keys else any_rows(df, limit)
+
+
+def ranked_head(df: DataFrame, limit: int, keys: list[str], slot_rows: int = SLOT_ROWS) -> DataFrame:
+    """The first ``limit`` rows by ``keys``, counted in slices of about ``slot_rows``."""
+    return first_by(df, limit, keys, slot_rows)
 
 
 def require_rows(df: DataFrame) -> DataFrame:

@@ -18,8 +18,7 @@ def test_limits(spark, sf_dir):
     assert first_rows(spark.range(3), 10).count() == 3
     with pytest.raises(ValueError):
         first_rows(spark.range(3), 0)
-    with pytest.raises(ValueError, match="order_by"):
-        first_rows(spark.range(3), 2_000_000)
+    assert first_rows(spark.range(3), 2_000_000).count() == 3
 
 
 @pytest.mark.parametrize("limit", [1, 99, 250, 1000])
@@ -29,6 +28,38 @@ def test_ranked_head(spark, limit):
     assert sorted(r["k"] for r in got.collect()) == list(range(min(limit, 600)))
 
 
+@pytest.mark.parametrize("limit", [1, 40, 57, 333, 599])
+def test_ties_and_types(spark, limit):
+    """Repeated keys, nulls first, and keys whose digits must survive: exactly as many rows, none out of order."""
+    n = F.col("id") * 7919 % 600
+    keys = [
+        F.when(n % 9 != 0, F.concat(F.lit("q'\\\""), (n % 5).cast("string"))).alias("text"),
+        F.timestamp_micros(n % 4 * 1_000_003).alias("at"),
+        (n / 7).cast("decimal(20,9)").alias("exact"),
+        F.when(n % 50 != 0, n / 3).otherwise(float("nan")).alias("number"),
+    ]
+    df = spark.range(600).select(*keys, F.lit(1).alias("v"))
+    for order in (["text"], ["at", "text"], ["exact"], ["number", "at"]):
+        got = first_rows(df, limit, order)
+        want = df.orderBy(*order).limit(limit)
+        assert got.count() == limit and got.columns == df.columns
+        assert sorted(map(str, got.select(*order).collect())) == sorted(map(str, want.select(*order).collect()))
+
+
+def test_limits_gather_no_rows(spark, sf_dir, monkeypatch):
+    """One path for every size; rows stay where the scan has them."""
+    path = f"{sf_dir}/lineitem.parquet"
+    for limit in (10, 3_000, 5_999):
+        for order in ([], ["l_extendedprice"], ["l_orderkey", "l_linenumber"]):
+            df = first_rows(spark.read.parquet(path), limit, order)
+            text = df._jdf.queryExecution().executedPlan().toString()
+            assert "SinglePartition" not in text and "Limit" not in text and "TakeOrdered" not in text
+            assert df.count() == limit
+    many = spark.range(0, 1000, 1, 7).filter("id % 3 = 0")
+    assert [first_rows(many, n).count() for n in (1, 48, 49, 200, 333, 334, 900)] == [1, 48, 49, 200, 333, 334, 334]
+    assert first_rows(many.groupBy((F.col("id") % 50).alias("k")).count(), 20).count() == 20
+
+
 def test_training_rows_are_fixed(spark, sf_dir):
     rows = training_rows(read_table(spark, "parquet", f"{sf_dir}/lineitem.parquet"), 100)
     assert rows.count() == 100 and sorted(map(str, rows.collect())) == sorted(map(str, rows.collect()))
