@@ -17,6 +17,7 @@ DAY = r"\d{4}-\d{2}-\d{2}"
 OFFSET = r"(Z|[+-]\d{2}:\d{2})"
 CLOCK = r"[T ]\d{2}(:\d{2}(:\d{2}(\.\d+)?)?)?"
 ISO_TIME = f"^{DAY}({CLOCK}{OFFSET}?)?$"
+WITH_SECONDS = rf"^{DAY}[T ]\d{{2}}:\d{{2}}:\d{{2}}(\.\d+)?"
 UUID_TEXT = "^([0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[0-9a-fA-F]{32})$"
 ON_ERROR = ("clamp", "null", "raise")
 
@@ -45,8 +46,10 @@ def micros_from_text(c: Column, default_offset: str = DEFAULT_OFFSET) -> Column:
         F.when(local == 10, F.lit("T00:00:00")).when(local == 13, F.lit(":00:00")).when(local == 16, F.lit(":00")).otherwise(F.lit(""))
     )
     offset = F.when(tail > 0, F.substring(c, local + 1, tail)).otherwise(F.lit(default_offset))
-    usable = c.rlike(ISO_TIME) & ~c.startswith("0000")
-    return F.unix_micros(F.when(usable, F.concat(F.substring(c, F.lit(1), local), filler, offset)).try_cast("timestamp"))
+    # Most text has all its parts, or lacks the offset alone; only the rest is taken apart.
+    ready = F.when(c.rlike(f"{WITH_SECONDS}{OFFSET}$"), c).when(c.rlike(f"{WITH_SECONDS}$"), F.concat(c, F.lit(default_offset)))
+    filled = ready.when(c.rlike(ISO_TIME), F.concat(F.substring(c, F.lit(1), local), filler, offset))
+    return F.unix_micros(F.when(~c.startswith("0000"), filled).try_cast("timestamp"))
 
 
 def _clamped(us: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from facsimile import conform, format_paths, table_schema
 from facsimile.functions import casts
+from facsimile.operators.ingest import ingest
 from facsimile.plans.avro import override_types, spark_type, uuid_paths
 from workloads.typed import ORDER_AVRO
 
@@ -111,3 +112,47 @@ def test_null_containers(spark):
     assert loose["l"] == [] and loose["s"].asDict() == {"a": None, "b": None}
     with pytest.raises(ValueError):
         conform(df, target, on_error="ignore")
+
+
+def test_ingest_sets_rows_apart(spark):
+    schema = T.StructType.fromDDL("id INT NOT NULL, at TIMESTAMP, tags ARRAY<INT>, inner STRUCT<a: INT NOT NULL, b: DATE>, gone STRING")
+    rows = [
+        ("1", "2024-01-01T00:00:00Z", ["1", None], ("3", "2024-01-01"), "u"),
+        (None, "x", None, None, None),
+        ("z", None, ["a", "2", "b"], (None, "bad"), None),
+        ("4", "2024-01-01", [], None, "v"),
+    ]
+    staged = spark.createDataFrame(rows, "id string, at string, tags array<string>, inner struct<a:string,b:string>, extra string")
+    found = ingest(staged, schema)
+    assert found.accepted().schema.simpleString() == schema.simpleString()
+    assert sorted(r.id for r in found.accepted().collect()) == [1, 4]
+    notes = {r.at: [tuple(p) for p in r.problems] for r in found.rejected().collect()}
+    assert notes == {
+        "x": [("id", None, "missing"), ("at", "x", "not a timestamp")],
+        None: [
+            ("id", "z", "not a int"), ("tags._item", "a", "not a int"), ("tags._item", "b", "not a int"),
+            ("inner.a", None, "missing"), ("inner.b", "bad", "not a date"),
+        ],
+    }
+    assert found.rejected().columns == [*staged.columns, "problems"]
+    counts = {(r.path, r.reason): (r.rows, r.cells) for r in found.counts().collect()}
+    assert counts[("tags._item", "not a int")] == (1, 2) and counts[("id", "missing")] == (1, 1)
+
+
+def test_ingest_shapes_and_avro(spark):
+    """Containers that are none, absent columns, and the formats that an Avro record brings."""
+    avro = {
+        "type": "record", "name": "r",
+        "fields": [
+            {"name": "key", "type": {"type": "string", "logicalType": "uuid"}},
+            {"name": "list", "type": ["null", {"type": "array", "items": "int"}]},
+            {"name": "rec", "type": ["null", {"type": "record", "name": "s", "fields": [{"name": "x", "type": ["null", "int"]}]}]},
+            {"name": "need", "type": "int"},
+        ],
+    }
+    staged = spark.createDataFrame([("123e4567-e89b-12d3-a456-426614174000", "no list", "no record"), ("nope", None, None)], "key string, list string, rec string")
+    notes = [[(p.path, p.reason) for p in r.problems] for r in sorted(ingest(staged, avro).rejected().collect(), key=lambda r: r.key)]
+    assert notes[0] == [("list", "not a list"), ("rec", "not a record"), ("need", "missing")]
+    assert notes[1] == [("key", "not a uuid"), ("need", "missing")]
+    plain = spark.createDataFrame([(1,)], "a int")
+    assert ingest(plain, plain.schema).accepted().count() == 1 and ingest(plain.limit(0), plain.schema).rows.count() == 0

@@ -7,9 +7,10 @@ from pyspark.sql import types as T
 
 from facsimile.functions import casts
 from facsimile.functions.epoch import epoch_micros
+from facsimile.operators.ingest import ingest
 from facsimile.operators.typed import conform
 from facsimile.plans.avro import table_schema
-from workloads.common import read
+from workloads.common import millionths, millionths_sql, read
 
 MIN, MAX = casts.MICROS_MIN, casts.MICROS_MAX
 
@@ -210,7 +211,54 @@ TYPED_SQL = """
            NULL::VARCHAR AS note
     FROM e"""
 
+INGEST_DDL = (
+    "id BIGINT NOT NULL, price DOUBLE, placed TIMESTAMP, big DECIMAL(20,0), lines ARRAY<STRUCT<no: INT, due: DATE>>, head STRUCT<code: INT, note: STRING>, late STRING"
+)
+
+
+def _ingested(spark, sf_dir):
+    """Orders staged as text; keys tell which cells are bad, several in some rows."""
+    key, day = F.col("o_orderkey"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    line = lambda i: F.struct(
+        F.when((key + i) % 19 == 0, F.concat(F.lit("n"), i.cast("string"))).otherwise(i.cast("string")).alias("no"),
+        F.when((key + i) % 23 == 0, F.lit("2024-13-01")).otherwise(day).alias("due"),
+    )
+    staged = read(spark, sf_dir, "orders").select(
+        F.when(key % 11 != 0, key.cast("string")).alias("id"),
+        F.when(key % 13 == 0, F.lit("12,50")).otherwise(F.col("o_totalprice").cast("string")).alias("price"),
+        F.when(key % 17 == 0, F.lit("soon")).otherwise(F.concat(day, F.lit("T10:00:00Z"))).alias("placed"),
+        F.when(key % 29 == 0, F.lit("18446744073709551616")).otherwise(key.cast("string")).alias("big"),
+        F.when(key % 5 != 0, F.transform(F.sequence(F.lit(1), (key % 3 + 1).cast("int")), line)).alias("lines"),
+        F.when(key % 7 != 0, F.struct(F.when(key % 31 == 0, F.lit("?")).otherwise(F.lit("7")).alias("code"), F.lit("x").alias("note"))).alias("head"),
+        key.alias("staged_key"),
+    )
+    return ingest(staged, T.StructType.fromDDL(INGEST_DDL), {"big": "uint64"})
+
+
+def ingest_quarantine(spark, sf_dir):
+    """Accepted rows with their typed values, rejected ones with what is wrong with them."""
+    found = _ingested(spark, sf_dir)
+    lines = lambda c: F.aggregate(F.coalesce(c, F.array().cast("array<struct<no:int,due:date>>")), F.lit(0), lambda a, x: a + x["no"])
+    accepted = found.accepted().select(
+        F.lit(True).alias("accepted"), F.col("id").alias("key"), millionths(F.col("price")).alias("price_e6"), F.unix_micros("placed").alias("placed_us"),
+        lines(F.col("lines")).cast("long").alias("lines"), F.col("head.code").alias("code"), F.lit(None).cast("string").alias("problems"),
+    )
+    told = F.transform("problems", lambda p: F.concat_ws("|", p["path"], F.coalesce(p["value"], F.lit("-")), p["reason"]))
+    rejected = found.rejected().select(
+        F.lit(False).alias("accepted"), F.col("staged_key").alias("key"), F.lit(None).cast("long").alias("price_e6"), F.lit(None).cast("long").alias("placed_us"),
+        F.lit(None).cast("long").alias("lines"), F.lit(None).cast("int").alias("code"), F.array_join(told, ";").alias("problems"),
+    )
+    return accepted.unionByName(rejected)
+
+
+def ingest_counts(spark, sf_dir):
+    """How many rows and cells have each problem."""
+    return _ingested(spark, sf_dir).counts()
+
+
 QUERIES = {
+    "ingest_quarantine": ingest_quarantine,
+    "ingest_counts": ingest_counts,
     "ts_parse_clamp": ts_parse_clamp,
     "ts_parse_null": ts_parse_null,
     "ts_from_ns": ts_from_ns,
@@ -222,7 +270,30 @@ QUERIES = {
     "typed_nested_expanded": typed_nested_expanded,
 }
 
+INGEST_SQL = """
+    o AS (SELECT o_orderkey AS k, o_totalprice AS price, epoch_us(o_orderdate) AS day FROM orders),
+    l AS (SELECT k, unnest(range(1, k % 3 + 2)) AS i FROM o WHERE k % 5 <> 0),
+    notes AS (
+      SELECT k, 0 AS place, 0 AS sub, 'id' AS path, '-' AS value, 'missing' AS reason FROM o WHERE k % 11 = 0
+      UNION ALL SELECT k, 1, 0, 'price', '12,50', 'not a double' FROM o WHERE k % 13 = 0
+      UNION ALL SELECT k, 2, 0, 'placed', 'soon', 'not a timestamp' FROM o WHERE k % 17 = 0
+      UNION ALL SELECT k, 3, 0, 'big', '18446744073709551616', 'not a uint64' FROM o WHERE k % 29 = 0
+      UNION ALL SELECT k, 4, 2 * i, 'lines._item.no', 'n' || i, 'not a int' FROM l WHERE (k + i) % 19 = 0
+      UNION ALL SELECT k, 4, 2 * i + 1, 'lines._item.due', '2024-13-01', 'not a date' FROM l WHERE (k + i) % 23 = 0
+      UNION ALL SELECT k, 5, 0, 'head.code', '?', 'not a int' FROM o WHERE k % 7 <> 0 AND k % 31 = 0)"""
+
 ORACLES = {
+    "ingest_quarantine": f"""
+        WITH {INGEST_SQL},
+        bad AS (SELECT k, string_agg(path || '|' || value || '|' || reason, ';' ORDER BY place, sub) AS problems FROM notes GROUP BY k)
+        SELECT problems IS NULL AS accepted, o.k AS key, CASE WHEN problems IS NULL THEN {millionths_sql('price')} END AS price_e6,
+               CASE WHEN problems IS NULL THEN (day // 86400000000) * 86400000000 + 36000000000 END AS placed_us,
+               CASE WHEN problems IS NULL THEN CASE WHEN o.k % 5 = 0 THEN 0 ELSE (o.k % 3 + 1) * (o.k % 3 + 2) // 2 END END AS lines,
+               CASE WHEN problems IS NULL AND o.k % 7 <> 0 THEN 7 END AS code, problems
+        FROM o LEFT JOIN bad ON bad.k = o.k""",
+    "ingest_counts": f"""
+        WITH {INGEST_SQL}
+        SELECT path, reason, count(DISTINCT k) AS rows, count(*) AS cells FROM notes GROUP BY path, reason""",
     "ts_parse_clamp": TS_SQL.format(offset=3 * 3600 * 10**6, junk=MIN, low=MIN, high=MAX),
     "ts_parse_null": TS_SQL.format(offset=-9000 * 10**6, junk="NULL", low=MIN, high=MAX),
     "ts_from_ns": f"""
