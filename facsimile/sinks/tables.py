@@ -14,6 +14,8 @@ from facsimile.functions.search import sql_string
 from facsimile.sinks.files import counted
 from facsimile.sources.naming import table_identifier, table_location
 
+SNAPSHOT = "facsimile.snapshot"  # property: the snapshot that the entry points to
+EMPTY_PARTITION = "__HIVE_DEFAULT_PARTITION__"  # fixed value: the folder name of null
 REPORT_DDL = "table string, rows bigint, snapshot string, created boolean, location string"
 
 # The widenings a table schema may take without rewriting its meaning.
@@ -87,6 +89,7 @@ def write_table(
     warehouse: str,
     properties: dict[str, str] | None = None,
     partition_by: Iterable[str] = (),
+    expected: str | None = None,
 ) -> DataFrame:
     """Write ``df`` as table ``namespace.table`` and report what happened.
 
@@ -95,9 +98,12 @@ def write_table(
     table as it was. An existing table takes new columns and wider types; anything else
     is refused before a row is written. ``partition_by`` lays a new table out in folders
     by those columns, so that scans prune; an existing table keeps its own layout.
-    ``properties`` are added to the table's. A wider type, or new rows of a table with
-    such a layout, replace the catalog entry with all its properties; for that moment
-    readers find no table.
+    ``properties`` are added to the table's. The entry itself stays: its schema, location
+    and partitions are changed one after the other, so readers always find a table (with
+    a layout, one of whose folders some are old and some new for that moment).
+
+    A table follows one snapshot with one other: if another writer has replaced the
+    snapshot that this write started from, or that is ``expected``, the write is refused.
     """
     spark, name = df.sparkSession, table_identifier(namespace, table)
     spark.sql(f"CREATE NAMESPACE IF NOT EXISTS `{namespace}` LOCATION '{warehouse.rstrip('/')}/{namespace}.db'")
@@ -106,11 +112,16 @@ def write_table(
         schema = union_schema(spark.table(name).schema, df.schema) if exists else df.schema
     except ValueError as e:
         raise TableWriteError(str(e), name, "union_schema") from e
+    previous = table_properties(spark, name).get(SNAPSHOT, "") if exists else ""
+    if expected is not None and expected != previous:
+        raise TableWriteError(f"the table is at snapshot {previous or 'none'}, not at {expected}", name, "conflict")
     layout = _partition_columns(spark, name) if exists else list(partition_by)
     if exists and list(partition_by) not in ([], layout):
         raise TableWriteError(f"the table is laid out by {layout}", name, "union_schema")
     if not set(layout) < set(schema.names):
         raise TableWriteError(f"no rows to lay out by {layout}", name, "union_schema")
+    if exists and any(spark.table(name).schema[c].dataType != schema[c].dataType for c in layout):
+        raise TableWriteError("columns that lay the table out keep their types", name, "union_schema")
     schema = _without_void(schema)
     schema = T.StructType([f for f in schema.fields if f.name not in layout] + [schema[c] for c in layout])  # as files hold them
     base = table_location(warehouse, namespace, table)
@@ -121,9 +132,12 @@ def write_table(
         observed.write.mode("errorifexists").partitionBy(*layout).parquet(location)
     except Exception as e:
         raise TableWriteError("the rows could not be written", name, "write_data") from e
+    if not _claim(spark, base, previous):
+        raise TableWriteError("another writer has replaced the snapshot that this write started from", name, "conflict")
     try:
-        _point(spark, name, schema, location, exists, properties or {}, layout)
+        _point(spark, name, schema, location, exists, (properties or {}) | {SNAPSHOT: snapshot}, layout)
     except Exception as e:
+        _release(spark, base, previous)
         raise TableWriteError("the catalog entry could not be changed", name, "commit") from e
     rows = [(name, int(seen.get["rows"]), snapshot, not exists, location)]
     return spark.createDataFrame(rows, REPORT_DDL)
@@ -133,30 +147,70 @@ def _quoted(name: str) -> str:
     return ".".join(f"`{p}`" for p in name.split("."))
 
 
+def _path(spark: SparkSession, text: str):
+    """A Hadoop path and its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(text)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _claim(spark: SparkSession, base: str, previous: str) -> bool:
+    """Whether this writer is the first to follow ``previous``: a file that only one can create."""
+    path, files = _path(spark, f"{base}_followed/{previous or 'none'}")
+    try:
+        files.create(path, False).close()
+    except Exception:
+        if files.exists(path):
+            return False
+        raise
+    return True
+
+
+def _release(spark: SparkSession, base: str, previous: str) -> None:
+    path, files = _path(spark, f"{base}_followed/{previous or 'none'}")
+    files.delete(path, False)
+
+
 def _point(
     spark: SparkSession, name: str, schema: T.StructType, location: str, exists: bool, properties: dict[str, str], layout: list[str]
 ) -> None:
+    """Let the entry point to a complete snapshot: new columns and types first, then folders, at last what is gone."""
     if not exists:
         _create(spark, name, schema, location, properties, layout)
         return
-    old = spark.table(name).schema
-    before = {f.name: f.dataType for f in old.fields}
-    if not layout and all(f.name not in before or before[f.name] == f.dataType for f in schema.fields):
-        added = [f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields if f.name not in before]
+    table = _quoted(name)
+    if spark.table(name).schema.simpleString() != schema.simpleString():
+        state = spark._jsparkSession.sessionState()
+        data = T.StructType([f for f in schema.fields if f.name not in layout])
+        state.catalog().alterTableDataSchema(state.sqlParser().parseTableIdentifier(table), spark._jsparkSession.parseDataType(data.json()))
+    gone: list[str] = []
+    if layout:
+        old = {r["partition"] for r in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+        new = _folders(spark, location, len(layout))
+        for folder in sorted(old & new):
+            spark.sql(f"ALTER TABLE {table} PARTITION ({_spec(spark, folder)}) SET LOCATION {sql_string(f'{location}/{folder}')}")
+        added = [f"PARTITION ({_spec(spark, f)}) LOCATION {sql_string(f'{location}/{f}')}" for f in sorted(new - old)]
         if added:
-            spark.sql(f"ALTER TABLE {_quoted(name)} ADD COLUMNS ({', '.join(added)})")
-        if properties:
-            spark.sql(f"ALTER TABLE {_quoted(name)} SET TBLPROPERTIES ({_pairs(properties)})")
-        spark.sql(f"ALTER TABLE {_quoted(name)} SET LOCATION '{location}'")
-        spark.catalog.refreshTable(name)
-        return
-    previous, kept = _location(spark, name), table_properties(spark, name)
-    spark.sql(f"DROP TABLE {_quoted(name)}")  # external: the files stay
-    try:
-        _create(spark, name, schema, location, kept | properties, layout)
-    except Exception:
-        _create(spark, name, old, previous, kept, layout)
-        raise
+            spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {' '.join(added)}")
+        gone = [f"PARTITION ({_spec(spark, f)})" for f in sorted(old - new)]
+    spark.sql(f"ALTER TABLE {table} SET LOCATION {sql_string(location)}")
+    spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ({_pairs(properties)})")
+    if gone:
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {', '.join(gone)}")  # external: the files stay
+    spark.catalog.refreshTable(name)
+
+
+def _folders(spark: SparkSession, location: str, depth: int) -> set[str]:
+    """The folders of a layout, such as ``year=2024/kind=a``."""
+    path, files = _path(spark, location + "/*=*" * depth)
+    found = [f.getPath().toString().split("/") for f in files.globStatus(path) or []]
+    return {"/".join(parts[-depth:]) for parts in found}
+
+
+def _spec(spark: SparkSession, folder: str) -> str:
+    """SQL of the partition of a folder."""
+    unescaped = spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    pairs = [part.split("=", 1) for part in folder.split("/")]
+    return ", ".join(f"`{unescaped(k)}` = {'NULL' if v == EMPTY_PARTITION else sql_string(unescaped(v))}" for k, v in pairs)
 
 
 def _pairs(properties: dict[str, str]) -> str:
@@ -182,8 +236,3 @@ def table_properties(spark: SparkSession, name: str) -> dict[str, str]:
 
 def _partition_columns(spark: SparkSession, name: str) -> list[str]:
     return [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
-
-
-def _location(spark: SparkSession, name: str) -> str:
-    rows = spark.sql(f"DESCRIBE EXTENDED {_quoted(name)}")
-    return rows.where("col_name = 'Location'").first()["data_type"]

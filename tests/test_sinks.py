@@ -60,6 +60,62 @@ def test_failed_write_leaves_no_table(df, spark, tmp_path):
     assert spark.table("sinks.t5").columns == df.columns and spark.table("sinks.t5").count() == 2
 
 
+def test_readers_always_find_a_table(spark, tmp_path, monkeypatch):
+    """New columns, wider types and new folders under the entry that is there; a reader looks after every step."""
+    def rows(ids, extra="int"):
+        return spark.createDataFrame([(i, ["a=b/c", "x y", None, "q'"][i % 4], i) for i in ids], f"id int, kind string, n {extra}")
+
+    write_table(rows(range(8)), "sinks", "t6", str(tmp_path), partition_by=["kind"])
+    seen, plain = [], type(spark).sql
+
+    def watched(self, query, *args, **more):
+        done = plain(self, query, *args, **more)
+        if query.startswith(("ALTER", "DROP", "CREATE TABLE")):
+            plain(self, "REFRESH TABLE sinks.t6")
+            seen.append((query.split()[0], self.table("sinks.t6").count()))
+        return done
+
+    monkeypatch.setattr(type(spark), "sql", watched)
+    write_table(rows([0, 1, 4, 5, 9], "bigint").withColumn("more", F.lit(1.5)), "sinks", "t6", str(tmp_path))
+    monkeypatch.undo()
+    assert seen and all(step == "ALTER" and count >= 4 for step, count in seen)
+    table = spark.table("sinks.t6")
+    assert table.schema["n"].dataType == T.LongType() and {r.kind for r in table.collect()} == {"a=b/c", "x y"}
+    assert table.count() == 5 and table.filter("kind = 'x y'").count() == 3 and table.filter("more = 1.5").count() == 5
+    write_table(rows([2, 3, 6]).withColumn("more", F.lit(2.5)), "sinks", "t6", str(tmp_path))
+    assert sorted((r.id, r.kind) for r in spark.table("sinks.t6").collect()) == [(2, None), (3, "q'"), (6, None)]
+    with pytest.raises(TableWriteError, match="keep their types"):
+        write_table(rows([1]).withColumn("kind", F.col("id")), "sinks", "t7", str(tmp_path), partition_by=["kind"])
+        write_table(rows([1]).withColumn("kind", F.col("id").cast("long")), "sinks", "t7", str(tmp_path))
+
+
+def test_two_writers(df, spark, tmp_path, monkeypatch):
+    """A write that another one has overtaken is refused, and so is one that expects another snapshot."""
+    from facsimile.sinks import tables
+
+    first = write_table(df, "sinks", "t8", str(tmp_path)).first()["snapshot"]
+    second = write_table(df, "sinks", "t8", str(tmp_path), expected=first).first()["snapshot"]
+    assert tables.table_properties(spark, "sinks.t8")[tables.SNAPSHOT] == second
+    with pytest.raises(TableWriteError, match="conflict"):
+        write_table(df, "sinks", "t8", str(tmp_path), expected=first)
+    counted = tables.counted
+
+    def overtaken(rows, name):
+        monkeypatch.setattr(tables, "counted", counted)
+        write_table(df.limit(1), "sinks", "t8", str(tmp_path))
+        return counted(rows, name)
+
+    monkeypatch.setattr(tables, "counted", overtaken)
+    with pytest.raises(TableWriteError, match="conflict"):
+        write_table(df, "sinks", "t8", str(tmp_path))
+    assert spark.table("sinks.t8").count() == 1
+    monkeypatch.setattr(tables, "_point", lambda *a: 1 / 0)
+    with pytest.raises(TableWriteError, match="commit"):
+        write_table(df, "sinks", "t8", str(tmp_path))
+    monkeypatch.undo()
+    assert write_table(df, "sinks", "t8", str(tmp_path)).first()["rows"] == 2
+
+
 def test_union_schema():
     a = T.StructType.fromDDL("x int, s struct<p:int>, l array<int>, d decimal(8,2)")
     b = T.StructType.fromDDL("l array<bigint>, s struct<q:string,p:int>, y date, d decimal(10,2)")

@@ -10,8 +10,8 @@ from facsimile.session import scratch_path
 from facsimile.sinks.document import DEFAULT_ROWS, sample_document, width_errors
 from facsimile.sinks.fanout import overall_status, write_all
 from facsimile.sinks.files import as_records, write_files
-from facsimile.sinks.tables import table_properties, write_table
-from workloads.common import order_nested, read
+from facsimile.sinks.tables import TableWriteError, table_properties, write_table
+from workloads.common import NESTED_ITEM, ORDER_ITEMS_SQL, order_nested, read
 
 
 def write_csv(spark, sf_dir):
@@ -22,10 +22,14 @@ def write_csv(spark, sf_dir):
 
 def write_csv_nested(spark, sf_dir):
     """Nested columns become JSON text in CSV."""
-    df = order_nested(spark, sf_dir).select("o_orderkey", "head")
+    df = order_nested(spark, sf_dir)
     report = write_files(df, scratch_path(spark, "sink"), "orders.txt", "csv").first()
-    back = spark.read.schema("o_orderkey bigint, head string").option("header", True).option("escape", '"').csv(report["path"])
-    return back.select("o_orderkey", F.get_json_object("head", "$.o_orderstatus").alias("status"))
+    back = spark.read.schema("o_orderkey bigint, head string, items string").option("header", True).option("escape", '"').csv(report["path"])
+    items = F.from_json("items", f"array<{NESTED_ITEM}>")
+    return back.select(
+        "o_orderkey", F.get_json_object("head", "$.o_orderstatus").alias("status"), F.size(items).alias("n"),
+        F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["part"], F.lit(0))).alias("parts"),
+    )
 
 
 def write_json(spark, sf_dir):
@@ -112,6 +116,20 @@ def table_properties_kept(spark, sf_dir):
     )
 
 
+def table_conflict(spark, sf_dir):
+    """Two writes that expect the same snapshot: the second is refused and the rows of the first stay."""
+    name, base = _fresh_name(), scratch_path(spark, "warehouse")
+    customer = read(spark, sf_dir, "customer")
+    start = write_table(customer, "facsimile_demo", name, base, partition_by=["c_mktsegment"]).first()["snapshot"]
+    write_table(customer.filter("c_acctbal > 0"), "facsimile_demo", name, base, expected=start)
+    try:
+        write_table(customer.filter("c_acctbal <= 0"), "facsimile_demo", name, base, expected=start)
+        step = "none"
+    except TableWriteError as e:
+        step = e.operation
+    return spark.table(f"facsimile_demo.{name}").select("c_custkey", "c_mktsegment", F.lit(step).alias("refused_at"))
+
+
 def times_out(spark, sf_dir):
     """Microseconds through CSV, JSON, records and a document."""
     events = read(spark, sf_dir, "events").select("event_id", "ts")
@@ -174,14 +192,17 @@ def records(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     write_csv, write_csv_nested, write_json, write_parquet, write_report, table_create, table_evolve, table_evolve_nested,
-    table_partitioned, table_properties_kept, times_out, table_report, document, row_widths, sink_status, fanout, records,
+    table_partitioned, table_properties_kept, table_conflict, times_out, table_report, document, row_widths, sink_status, fanout, records,
 )}
 
 JSON_ROW = """'[' || c_custkey || ',"' || c_name || '",' || c_nationkey || ',' || c_acctbal || ',"' || c_mktsegment || '"]'"""
 
 ORACLES = {
     "write_csv": "SELECT * FROM customer",
-    "write_csv_nested": "SELECT o_orderkey, o_orderstatus AS status FROM orders",
+    "write_csv_nested": f"""
+        SELECT o_orderkey, any_value(o_orderstatus) AS status, CASE WHEN NOT any_value(null_list) THEN any_value(n)::INTEGER END AS n,
+               CASE WHEN NOT any_value(null_list) THEN coalesce(sum(part) FILTER (filled), 0)::BIGINT END AS parts
+        FROM ({ORDER_ITEMS_SQL}) JOIN orders USING (o_orderkey) GROUP BY o_orderkey""",
     "write_json": "SELECT * FROM customer",
     "write_parquet": "SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN (o_orderkey % 6)::INTEGER END AS n, o_totalprice AS total FROM orders",
     "write_report": " UNION ALL ".join(
@@ -192,6 +213,7 @@ ORACLES = {
     "table_properties_kept": """
         SELECT k AS key, v AS value, (SELECT sum(n_regionkey)::BIGINT FROM nation) AS regions
         FROM (VALUES ('team', 'demo'), ('note', 'it''s one'), ('step', 'two')) AS p(k, v)""",
+    "table_conflict": "SELECT c_custkey, c_mktsegment, 'conflict' AS refused_at FROM customer WHERE c_acctbal > 0",
     "times_out": """
         SELECT event_id, t AS csv, t AS json, t AS record, t AS document FROM (SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS t FROM events)""",
     "table_evolve": "SELECT c_custkey, NULL::VARCHAR AS c_name, c_nationkey::BIGINT AS c_nationkey, c_mktsegment FROM customer WHERE c_acctbal > 0",
