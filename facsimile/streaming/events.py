@@ -15,14 +15,15 @@ from facsimile.sources.naming import engine_table
 from facsimile.session import settle
 from facsimile.sources.tables import require_rows, training_rows
 
+# Values of any JSON type come as variants: where a text is asked for, a number or an object is none.
 EVENT_DDL = (
-    "message string, id string, entityType string, eventType string, entityId string, timestamp bigint, "
+    "message variant, id variant, entityType variant, eventType variant, entityId variant, timestamp bigint, "
     "changeDescription struct<"
-    "fieldsAdded:array<struct<name:string,newValue:string>>,"
-    "fieldsUpdated:array<struct<name:string,newValue:string,oldValue:string>>,"
-    "fieldsDeleted:array<struct<name:string,oldValue:string>>>"
+    "fieldsAdded:array<struct<name:variant,newValue:variant>>,"
+    "fieldsUpdated:array<struct<name:variant,newValue:variant,oldValue:variant>>,"
+    "fieldsDeleted:array<struct<name:variant,oldValue:variant>>>"
 )
-VALUE_DDL = "array<struct<name:string,fullyQualifiedName:string>>"
+VALUE_DDL = "array<struct<name:variant,fullyQualifiedName:variant>>"
 
 # Entity and event types, and the patterns of changed field names.
 TABLE, CREATED, UPDATED = "table", "entityCreated", "entityUpdated"
@@ -35,6 +36,27 @@ STATUS_DDL = "table_name string, status string, error string"
 GENERATE, NO_ACTION, ECHO, REJECT, UNKNOWN_TABLE = "generate", "none", "echo", "reject", "unknown_table"
 
 
+def _text(value: Column) -> Column:
+    """The text of a variant, null if it is of another type."""
+    return F.when(F.schema_of_variant(value) == "STRING", value.cast("string"))
+
+
+def _texts(items: Column, *names: str) -> Column:
+    return F.transform(items, lambda x: F.struct(*[_text(x[n]).alias(n) for n in names]))
+
+
+def _plain(event: Column) -> Column:
+    """A parsed event with texts in place of variants; a list with a field that is none stays a list."""
+    change = event["changeDescription"]
+    lists = {"fieldsAdded": ("name", "newValue"), "fieldsUpdated": ("name", "newValue", "oldValue"), "fieldsDeleted": ("name", "oldValue")}
+    opened = [_texts(change[f], *names).alias(f) for f, names in lists.items()]
+    return F.struct(
+        *[_text(event[n]).alias(n) for n in ("message", "id", "entityType", "eventType", "entityId")],
+        event["timestamp"].alias("timestamp"),
+        F.when(change.isNotNull(), F.struct(*opened)).alias("changeDescription"),
+    )
+
+
 def _list(fields: Column) -> Column:
     return F.coalesce(fields, F.array())
 
@@ -75,7 +97,8 @@ def _opened(fields: Column, *attributes: str) -> Column:
 
     def one(f: Column) -> Column:
         described = f["name"].rlike(COLUMNS)
-        lists = [F.when(described & f[a].rlike(r"^\s*\["), F.from_json(f[a], VALUE_DDL)).alias(a) for a in attributes]
+        parsed = {a: F.from_json(F.when(described & f[a].rlike(r"^\s*\["), f[a]), VALUE_DDL) for a in attributes}
+        lists = [_texts(v, "name", "fullyQualifiedName").alias(a) for a, v in parsed.items()]
         return F.struct(f["name"].alias("name"), *lists)
 
     return F.transform(_list(fields), one)
@@ -123,7 +146,7 @@ def parse_events(events: DataFrame, payload: str = "payload", count_deletes: boo
     Created tables and updates that touch a column ask for a new sample. A field
     that cannot be judged counts as a schema change.
     """
-    parsed = events.withColumn("event", F.from_json(F.col(payload), EVENT_DDL))
+    parsed = events.withColumn("event", F.from_json(F.col(payload), EVENT_DDL)).withColumn("event", _plain(F.col("event")))
     parsed = parsed.withColumn("kind", event_kind(F.col("event")))
     findings = F.when(F.col("kind") == "updated", change_findings(F.col("event.changeDescription"), count_deletes))
     parsed = parsed.withColumn("findings", findings)

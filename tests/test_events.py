@@ -49,6 +49,15 @@ CASES = [
     ("other entity", {**event("entityCreated"), "entityType": "topic"}, "rejected", "reject", None),
     ("other event", event("entityDeleted"), "rejected", "reject", None),
     ("test message", {"message": "hello"}, "test", "echo", None),
+    ("object as value", update([field("columns", [{"name": "a", "fullyQualifiedName": "b"}])]), "rejected", "reject", None),
+    ("number as value", update([field("owner", 5)]), "rejected", "reject", None),
+    ("number as old value", update(updated=[field("owner", "x", 5)]), "rejected", "reject", None),
+    ("number as field name", update([{"name": 5, "newValue": "x"}]), "rejected", "reject", None),
+    ("number as id", {**event("entityCreated"), "id": 7}, "rejected", "reject", None),
+    ("object as message", {"message": {"a": 1}}, "rejected", "reject", None),
+    ("number as column name", update([field("columns", '[{"name": 5, "fullyQualifiedName": "b"}]')]), "updated", "none", []),
+    ("list of numbers", update([field("columns", "[1, 2]")]), "updated", "none", []),
+    ("digits as text", update([field("columns", '[{"name": "5", "fullyQualifiedName": "6"}]')]), "updated", "generate", ["5"]),
     ("no JSON", "{broken", "rejected", "reject", None),
 ]
 

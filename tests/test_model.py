@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from facsimile import Model, Synthesizer, detect_kinds, fit, sample, synthesize
 from facsimile.functions import normal
 from facsimile.operators import model as M
-from facsimile.operators.lookup import SALT, fits_broadcast, lookup_join
+from facsimile.operators.lookup import SALT, fits_broadcast, hot_keys, lookup_join
 from facsimile.operators.ranks import running_totals
 from facsimile.operators import sample as S
 from facsimile.operators.sample import sample_rows
@@ -45,8 +45,12 @@ def test_lookup_join_salted(spark, monkeypatch):
     assert fits_broadcast(table) and not fits_broadcast(table, rows=100) and not fits_broadcast(table, size=10)
     plain = lookup_join(facts, table, "k", ["id"])
     monkeypatch.setattr("facsimile.operators.lookup.fits_broadcast", lambda t: False)
+    monkeypatch.setattr("facsimile.operators.lookup.HOT_ROWS", 50)
+    assert [r.k for r in hot_keys(facts, "k").collect()] == [1]
     salted = lookup_join(facts, table, "k", ["id"])
     assert SALT > 1
+    text = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN hot" in text or "if (hot" in text  # other keys are neither copied nor salted
     assert sorted(map(tuple, plain.select("id", "k", "name").collect()), key=str) == sorted(
         map(tuple, salted.select("id", "k", "name").collect()), key=str
     )

@@ -8,7 +8,7 @@ from facsimile.session import scratch_path
 from facsimile.streaming.events import classify_changes, parse_events, regenerate_on_change
 from workloads.common import read
 
-KINDS = 14
+KINDS = 16
 
 
 def _text(s):
@@ -57,6 +57,8 @@ def change_events(df):
             update, _text('"fieldsAdded":[{"name":"owner","newValue":"u"}],"fieldsUpdated":[{"name":"'), attribute,
             _text('","newValue":"n","oldValue":"o"},{"name":"columns","newValue":'), column, _text(',"oldValue":'), column, _text("}"), close,
         ),                                                                                  # 13 several fields
+        added(_text("columns"), _text('[{"name":"c","fullyQualifiedName":"a.b.c"}]')),      # 14 a list that is no text
+        added(_text("columns"), F.concat(_text('"[{\\"name\\":'), user, _text(',\\"fullyQualifiedName\\":\\"a.b.c\\"}]"'))),  # 15 a number as column name
     ]
     payload = forms[0]
     for i, form in enumerate(forms[1:], 1):
@@ -143,22 +145,22 @@ QUERIES = {f.__name__: f for f in (
 
 BASE = f"SELECT event_id, user_id, event_id % {KINDS} AS k FROM events"
 ACTION = (
-    "CASE WHEN k IN (0, 1, 2, 5, 13) THEN 'generate' WHEN k IN (3, 4, 8, 9) THEN 'none' WHEN k = 6 THEN 'echo' ELSE 'reject' END"
+    "CASE WHEN k IN (0, 1, 2, 5, 13) THEN 'generate' WHEN k IN (3, 4, 8, 9, 15) THEN 'none' WHEN k = 6 THEN 'echo' ELSE 'reject' END"
 )
 
 ORACLES = {
     "event_route": f"""
-        SELECT event_id, CASE WHEN k = 0 THEN 'created' WHEN k IN (1, 2, 3, 4, 5, 8, 9, 13) THEN 'updated'
+        SELECT event_id, CASE WHEN k = 0 THEN 'created' WHEN k IN (1, 2, 3, 4, 5, 8, 9, 13, 15) THEN 'updated'
                               WHEN k = 6 THEN 'test' ELSE 'rejected' END AS kind, {ACTION} AS action,
-               CASE WHEN k IN (0, 1, 2, 3, 4, 5, 8, 9, 13) THEN 't' || user_id END AS entity_id FROM ({BASE})""",
+               CASE WHEN k IN (0, 1, 2, 3, 4, 5, 8, 9, 13, 15) THEN 't' || user_id END AS entity_id FROM ({BASE})""",
     "schema_change": f"""
-        SELECT event_id, CASE WHEN k IN (1, 2, 5, 13) THEN true WHEN k IN (3, 4, 8, 9) THEN false END AS schema_change,
+        SELECT event_id, CASE WHEN k IN (1, 2, 5, 13) THEN true WHEN k IN (3, 4, 8, 9, 15) THEN false END AS schema_change,
                CASE WHEN k = 1 THEN 'c' || user_id WHEN k = 2 THEN 'a.' || user_id WHEN k = 13 THEN 'a.' || user_id || '|c' || user_id
-                    WHEN k IN (3, 4, 5, 8, 9) THEN '' END AS columns FROM ({BASE})""",
+                    WHEN k IN (3, 4, 5, 8, 9, 15) THEN '' END AS columns FROM ({BASE})""",
     "schema_change_with_deletes": f"""
-        SELECT event_id, CASE WHEN k IN (1, 2, 4, 5, 13) THEN true WHEN k IN (3, 8, 9) THEN false END AS schema_change,
+        SELECT event_id, CASE WHEN k IN (1, 2, 4, 5, 13) THEN true WHEN k IN (3, 8, 9, 15) THEN false END AS schema_change,
                CASE WHEN k IN (1, 4) THEN 'c' || user_id WHEN k = 2 THEN 'a.' || user_id WHEN k = 13 THEN 'a.' || user_id || '|c' || user_id
-                    WHEN k IN (3, 5, 8, 9) THEN '' END AS columns FROM ({BASE})""",
+                    WHEN k IN (3, 5, 8, 9, 15) THEN '' END AS columns FROM ({BASE})""",
     "resolve_table": f"""
         SELECT event_id, CASE WHEN a = 'generate' AND (c_custkey IS NULL OR c_custkey % 10 = 4) THEN 'unknown_table' ELSE a END AS action,
                CASE WHEN c_custkey % 10 = 4 THEN 'svc.only' WHEN c_custkey IS NOT NULL
@@ -166,7 +168,7 @@ ORACLES = {
                CASE WHEN c_custkey % 10 <> 4 THEN 'lake.' || lower(c_mktsegment) || '.my_table_' || c_custkey END AS table_name
         FROM (SELECT *, {ACTION} AS a FROM ({BASE})) e
         LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 10 <> 3) c
-          ON c.c_custkey = e.user_id AND k IN (0, 1, 2, 3, 4, 5, 8, 9, 13)""",
+          ON c.c_custkey = e.user_id AND k IN (0, 1, 2, 3, 4, 5, 8, 9, 13, 15)""",
     "stream_regenerate": """
         SELECT CASE event_type WHEN 'click' THEN 'lake.sf.supplier' WHEN 'error' THEN 'lake.sf.part'
                                WHEN 'view' THEN 'lake.sf.region' END AS table_name,
