@@ -19,15 +19,14 @@ from pyspark.sql import types as T
 
 from facsimile.functions.epoch import as_number_sql, from_number
 from facsimile.functions.text import fill_shape_sql, shape_sql
+from facsimile.operators.frequencies import Frequencies
 from facsimile.operators.kinds import detect_kinds, to_digits_sql
-from facsimile.operators.lookup import fits_broadcast, lookup_join
+from facsimile.operators.lookup import lookup_join
 from facsimile.operators.model import SKETCH_SIZE, ranked_grid, type_of
-from facsimile.operators.ranks import running_totals
 from facsimile.operators.sample import STREAMS, VALUE
 from facsimile.session import settle
 
 KEY_KNOTS = 101  # of a key's values
-BUCKET_ENTRIES = 64  # texts of a group in one bucket of the join, on average
 SINGLE_SIZES = 8  # sizes with key frequencies of their own
 PLACE_STRIDE = 7919 * STREAMS  # distance of the draw streams of two entries of one map
 KEY, EMPTY, LETTERS = 5, 6, 7  # draw streams beside VALUE
@@ -39,47 +38,6 @@ def is_map(dtype: T.DataType) -> bool:
     return isinstance(dtype, T.MapType) and not isinstance(dtype.keyType, nested) and not isinstance(dtype.valueType, nested)
 
 
-@dataclass
-class Frequencies:
-    """Texts of each group with their intervals ``(label, text, lo, hi)``, and ``(label, total, width)`` of the groups' buckets."""
-
-    texts: DataFrame
-    groups: DataFrame
-
-    @classmethod
-    def learn(cls, table: DataFrame) -> Frequencies:
-        """From ``table(label, text)``, a row per occurrence; nulls are none."""
-        counted = table.filter("text IS NOT NULL").groupBy("label", "text").agg(F.count(F.lit(1)).alias("count"))
-        counted = settle(counted.withColumn("rarity", -F.col("count")), "frequencies")
-        texts = settle(running_totals(counted, ["label"], ["rarity", "text"], "count").select("label", "text", "lo", "hi"), "frequencies")
-        sizes = texts.groupBy("label").agg(F.count(F.lit(1)).alias("texts"), F.max("hi").alias("total"))
-        width = F.expr(f"greatest(1, total div greatest(1, texts div {BUCKET_ENTRIES}))")
-        return cls(texts, settle(sizes.select("label", "total", width.alias("width")), "frequency-groups"))
-
-    @classmethod
-    def load(cls, spark: SparkSession, path: str) -> Frequencies:
-        return cls(spark.read.parquet(f"{path}/texts"), spark.read.parquet(f"{path}/groups"))
-
-    def save(self, path: str) -> None:
-        self.texts.write.mode("overwrite").parquet(f"{path}/texts")
-        self.groups.write.mode("overwrite").parquet(f"{path}/groups")
-
-    def draw(self, facts: DataFrame, u: str) -> DataFrame:
-        """Adds ``text`` to ``facts(row, place, label, …)``: that of the group at the uniform number ``u``, null if it has none.
-
-        An interval join in buckets, each of which meets about ``BUCKET_ENTRIES`` texts.
-        """
-        groups = lookup_join(facts, self.groups, "label", ["row", "place"])
-        placed = groups.withColumn("point", F.expr(f"least(bigint(floor({u} * total)), total - 1)")).withColumn("bucket", F.expr("point div width"))
-        cut = lookup_join(self.texts, self.groups.select("label", "width"), "label", ["text"])
-        cut = cut.select("label", "text", "lo", "hi", F.explode(F.expr("sequence(lo div width, (hi - 1) div width)")).alias("bucket"))
-        if fits_broadcast(self.texts):  # at most one extra row per BUCKET_ENTRIES texts
-            cut = F.broadcast(cut)
-        a, b = placed.alias("a"), cut.alias("b")
-        hit = (F.col("a.label") == F.col("b.label")) & (F.col("a.bucket") == F.col("b.bucket")) & F.expr("b.lo <= a.point AND a.point < b.hi")
-        return a.join(b, hit, "left").select(*[F.col(f"a.{c}") for c in facts.columns], "b.text")
-
-
 @dataclass
 class MapModel:
     """``keys`` by size; ``values`` a row per key with its share of nulls and, for numbers, its grid; ``texts`` of each key or their shapes."""

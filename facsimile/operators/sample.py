@@ -19,6 +19,7 @@ from facsimile.functions.epoch import from_number
 from facsimile.functions.normal import cdf_array, normal_draw_sql
 from facsimile.functions.search import array_sql, count_at_most_sql, doubles_sql, longs_sql, sql_string
 from facsimile.functions.text import fill_shape_sql, invented_word_sql, numbered_shape_sql
+from facsimile.operators.frequencies import Frequencies
 from facsimile.operators.kinds import to_digits_sql
 from facsimile.operators.lookup import fits_broadcast
 from facsimile.operators.model import Model, cholesky, copula_columns, type_of, wants_words
@@ -194,13 +195,22 @@ def _bytes_sql(spec: dict[str, Any], model: Model, draws) -> str:
     return f"transform(array({size}), size -> if(size < 1, X'', unhex(array_join({texts}, ''))))[0]"
 
 
-def _word_lengths(model: Model, spec: dict[str, Any]) -> list[tuple[str, int]]:
-    """All word lengths of a text column with their intervals: as many as there are different lengths."""
-    found = model.literals.get(spec["column"])
-    if found:
-        return found
-    mine = model.categories.where(F.col("column") == spec["column"]).select("value", "hi")
-    return [(r["value"], r["hi"]) for r in mine.orderBy("hi").collect()]
+def _join_words(sample: DataFrame, model: Model, spec: dict[str, Any], out: str, draws) -> DataFrame:
+    """Adds ``out``: the text of each row, for columns of more word lengths than a literal holds.
+
+    The same draws as ``_invented_text_sql``, word by word in an exploded table: lengths
+    are joined by their intervals, and the words regrouped by row.
+    """
+    stream = _stream(spec, TEXT)
+    count = f"greatest(int(round({_number_sql(spec, model)})), 1)"
+    draw = draws.uniform_sql("row", f"(bigint(place) * {STREAMS * 1009}L + {stream}L)")
+    places = sample.select("row", F.expr(f"explode(sequence(1, {count}))").alias("place"), F.lit(spec["column"]).alias("label"))
+    mine = model.categories.where(F.col("column") == spec["column"]).select(F.col("column").alias("label"), F.col("value").alias("text"), "lo", "hi")
+    sized = Frequencies.of(mine).draw(places, draw)
+    word = F.expr(invented_word_sql("row", "place - 1", "int(text)", stream, draws.seed))
+    listed = sized.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", word.alias("word")))).alias("words"))
+    texts = listed.select("row", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias(out))
+    return sample.join(texts, "row", "left")
 
 
 def sample_rows(
@@ -217,7 +227,10 @@ def sample_rows(
     large += [p for p in model.patterns if p["column"] not in model.literals]
     for s in large:
         uniforms = _join_entries(uniforms, model, s, f"v{s['position']}")
-    joined = {s["column"] for s in large}
+    worded = [s for s in model.columns if s["entries"] and wants_words(s) and s["column"] not in model.literals]
+    for s in worded:
+        uniforms = _join_words(uniforms, model, s, f"v{s['position']}", draws)
+    joined = {s["column"] for s in (*large, *worded)}
     nulls: dict[str, str] = {}  # column: SQL of whether the row's pattern has it null
     for p in model.patterns:
         mask = f"v{p['position']}" if p["column"] in joined else _entry_sql(f"u{p['position']}", model.literals[p["column"]])
@@ -241,7 +254,7 @@ def sample_rows(
         if kind == "bytes":
             return F.expr(_bytes_sql(spec, model, draws)) if spec["entries"] else F.lit(b"")
         if kind == "text" and wants_words(spec) and spec["entries"]:
-            return F.expr(_invented_text_sql(spec, model, _word_lengths(model, spec), draws))
+            return F.col(f"v{spec['position']}") if name in joined else F.expr(_invented_text_sql(spec, model, model.literals[name], draws))
         if kind == "text" and spec["entries"]:
             return F.expr(fill_shape_sql(text(spec), "row", draws, _stream(spec, TEXT)))
         return F.lit(None)

@@ -35,6 +35,21 @@ def s3_options(overrides: dict[str, str] | None = None, defaults: dict[str, str]
     return options
 
 
+def jdbc_options(location: str, split_by: str | None = None, bounds: tuple | None = None, parts: int | None = None) -> dict[str, str]:
+    """Options of a database table, read by ``parts`` tasks over ranges of ``split_by`` (a number, date or time) between ``bounds``.
+
+    The bounds cut the ranges and leave no row out: the first and the last range are open.
+    """
+    if split_by is None:
+        if bounds is not None or parts is not None:
+            raise ValueError("bounds and parts need split_by")
+        return {"dbtable": location}
+    if bounds is None or parts is None or parts < 1 or not bounds[0] < bounds[1]:
+        raise ValueError("split_by needs lower and upper bounds and at least one part")
+    low, high = bounds
+    return {"dbtable": location, "partitionColumn": split_by, "lowerBound": str(low), "upperBound": str(high), "numPartitions": str(parts)}
+
+
 def read_table(
     spark: SparkSession,
     kind: str,
@@ -43,6 +58,9 @@ def read_table(
     order_by: Iterable[str] = (),
     drop: Iterable[str] = (),
     options: dict[str, str] | None = None,
+    split_by: str | None = None,
+    bounds: tuple | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """A table as a DataFrame.
 
@@ -50,9 +68,12 @@ def read_table(
     options), ``avro``, ``s3`` (Parquet; the location starts with ``s3://``),
     ``table`` (catalog.schema.name), ``jdbc``, ``iceberg``. Columns named in
     ``drop`` are left out; absent ones are ignored. Catalog and database tables
-    always lose the internal columns.
+    always lose the internal columns. A database table is read by one task unless
+    ``split_by``, ``bounds`` and ``parts`` deal it out (see ``jdbc_options``).
     """
     options = options or {}
+    if kind != "jdbc" and split_by is not None:
+        raise ValueError("split_by is for jdbc; other tables are read in the pieces they are stored in")
     if kind == "s3":
         if not location.startswith("s3://"):
             raise ValueError("the path must start with 's3://'")
@@ -62,7 +83,7 @@ def read_table(
     elif kind == "table":
         df = spark.table(location)
     elif kind == "jdbc":
-        df = spark.read.format("jdbc").options(dbtable=location, **options).load()
+        df = spark.read.format("jdbc").options(**options, **jdbc_options(location, split_by, bounds, parts)).load()
     elif kind == "iceberg":
         df = spark.read.format("iceberg").options(**options).load(location)
     else:

@@ -76,7 +76,7 @@ def test_map_draws_do_not_depend_on_joins(spark, attributes, monkeypatch):
     """The same maps whether the tables of keys and texts are broadcast or shuffled."""
     maker = Synthesizer().fit(attributes)
     before = sorted(map(str, maker.sample(500, seed=2).collect()))
-    for module in ("entries", "lookup", "sample"):
+    for module in ("frequencies", "lookup", "sample"):
         monkeypatch.setattr(f"facsimile.operators.{module}.fits_broadcast", lambda t: False)
     assert sorted(map(str, maker.sample(500, seed=2).collect())) == before
 

@@ -157,14 +157,18 @@ def test_buckets_hold_about_as_many_entries(spark):
     assert made.filter("c LIKE 'v%'").distinct().count() > 700
 
 
-def test_every_word_length(spark):
-    """Over a thousand different word lengths: each has its own interval."""
+def test_every_word_length(spark, monkeypatch):
+    """Over a thousand different word lengths: each has its own interval, and the words are those of the literal."""
     texts = [(" ".join("x" * (3 * i + k + 1) for k in range(3)) + " tail of words",) for i in range(500)]
     got = M.fit(spark.createDataFrame(texts, "t string"), overrides={"t": "text"})
     spec = got.columns[0]
-    lengths = S._word_lengths(got, spec)
-    assert len(lengths) == spec["entries"] >= 1500 and lengths[-1][1] == spec["total"]
-    assert S.sample(got, 20, seed=1).filter("t IS NOT NULL").count() == 20
+    assert spec["entries"] >= 1500 and not got.literals
+    made = [r.t for r in S.sample(got, 20, seed=1).collect()]
+    known = {int(r.value) for r in got.categories.collect()}
+    assert len(made) == 20 and {len(w) for t in made for w in t.split(" ")} <= known
+    monkeypatch.setattr(M, "LITERAL_LIMIT", 10_000)
+    got.literals = M.literal_entries(got.categories, got.columns)
+    assert sorted(r.t for r in S.sample(got, 20, seed=1).collect()) == sorted(made)
 
 
 def test_cholesky_repairs():

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from facsimile import check_payloads, json_records, read_table, require_rows, split_payloads
 from facsimile.session import settle, snapshot
 from facsimile.sources.naming import engine_table, file_path, record_namespace, record_title, table_location
-from facsimile.sources.tables import first_rows, json_schema, ranked_head, s3_options, training_rows
+from facsimile.sources.tables import first_rows, jdbc_options, json_schema, ranked_head, s3_options, training_rows
 
 
 def test_limits(spark, sf_dir):
@@ -65,6 +65,18 @@ def test_training_rows_are_fixed(spark, sf_dir):
     assert rows.count() == 100 and sorted(map(str, rows.collect())) == sorted(map(str, rows.collect()))
 
 
+def test_database_tables_are_dealt_out(spark):
+    """The options that Spark cuts the ranges by; its own cutting is asked for the ranges, no database is needed."""
+    assert jdbc_options("t") == {"dbtable": "t"}
+    made = jdbc_options("t", "id", (0, 1000), 4)
+    assert made == {"dbtable": "t", "partitionColumn": "id", "lowerBound": "0", "upperBound": "1000", "numPartitions": "4"}
+    for bad in (dict(bounds=(0, 1)), dict(parts=3), dict(split_by="id"), dict(split_by="id", bounds=(5, 5), parts=2), dict(split_by="id", bounds=(0, 5), parts=0)):
+        with pytest.raises(ValueError):
+            jdbc_options("t", **bad)
+    with pytest.raises(ValueError, match="jdbc"):
+        read_table(spark, "parquet", "x", split_by="id", bounds=(0, 1), parts=2)
+
+
 def test_json_files_and_guards(spark, tmp_path):
     path = tmp_path / "a.json"
     path.write_text('{"a": 1, "b": {"c": [1, 2]}}\n{"a": 2, "d": "x"}\n')

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from facsimile import flatten, infer_plan, require_rows, synthesize, unflatten, write_table
+from facsimile import Synthesizer, flatten, infer_plan, require_rows, sample, synthesize, unflatten, write_table
 from facsimile.session import scratch_path
 from facsimile.sinks.tables import TableWriteError
 from facsimile.sources.tables import training_rows
@@ -34,7 +34,21 @@ def outcomes(spark, sf_dir):
     same = nested.join(whole.withColumnRenamed("items", "again"), "o_orderkey").filter(F.col("items").eqNullSafe(F.col("again")))
     twice = training_rows(customer, customer.count(), ["c_custkey"])
     broken = customer.withColumn("c_name", F.array("c_name"))
+    unread, gone = infer_plan(nested, deep=True), f"customer_{uuid.uuid4().hex}"
+    nothing = nested.filter("o_orderkey < 0")
+    empty_plan = infer_plan(nothing, deep=True)
+    back = unflatten(flatten(nothing, empty_plan, lengths=True), empty_plan, arrays="length")
+    later = unflatten(flatten(nothing, unread, lengths=True), unread, arrays="length")  # the plan of the full table
+    failing = customer.withColumn("c_name", F.when(F.col("c_custkey") >= 0, F.raise_error(F.lit("stop"))).cast("string"))
     cases = {
+        "empty table": f"{','.join(back.columns)} {back.count()}",
+        "empty table, full plan": f"{later.schema.simpleString() == nested.schema.simpleString()} {later.count()}",
+        "model before fit": _refused(lambda: Synthesizer().model),
+        "plan before fit": _refused(lambda: Synthesizer().plan),
+        "sample before fit": _refused(lambda: sample(None, 5)),
+        "failed new table": _refused(lambda: write_table(failing, "facsimile_demo", gone, base)),
+        "table after it": str(spark.catalog.tableExists(f"facsimile_demo.{gone}")),
+        "rows after it": str(write_table(customer, "facsimile_demo", gone, base).first()["rows"] - customer.count()),
         "no rows to learn from": _refused(lambda: require_rows(customer.filter("c_custkey < 0"))),
         "no plan": _refused(lambda: unflatten(customer, None)),
         "no rows asked for": _refused(lambda: synthesize(customer, 0)),
@@ -56,7 +70,10 @@ QUERIES = {"outcomes": outcomes}
 ORACLES = {
     "outcomes": """
         SELECT c AS "case", o AS outcome, (SELECT count(*) FROM customer) AS rows
-        FROM (VALUES ('no rows to learn from', 'no valid records loaded from source'), ('no plan', 'unflatten needs a plan'),
+        FROM (VALUES ('empty table', 'o_orderkey,head,items 0'), ('empty table, full plan', 'True 0'),
+                     ('model before fit', 'call fit before reading the model'), ('plan before fit', 'call fit before reading the plan'),
+                     ('sample before fit', 'no fitted model; call fit first'), ('failed new table', 'write_data'),
+                     ('table after it', 'False'), ('rows after it', '0'), ('no rows to learn from', 'no valid records loaded from source'), ('no plan', 'unflatten needs a plan'),
                      ('no rows asked for', 'the number of rows must be positive'), ('incompatible table', 'union_schema'),
                      ('rows by default', '1000'), ('training rows', '0'), ('after the refusal', '0')) AS v(c, o)
         UNION ALL SELECT 'carried whole', 'equal', count(*) FROM orders""",

@@ -137,7 +137,7 @@ def synthesize_facts(spark, sf_dir):
 
 
 def synthesize_pages(spark, sf_dir):
-    pages = read(spark, sf_dir, "pages").select("page_id", "url", F.split("url", "/").alias("parts"))
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html", F.split("url", "/").alias("parts"))
     return Synthesizer(marginal="ecdf").fit(pages).sample(pages.count(), seed=7)
 
 

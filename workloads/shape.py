@@ -79,7 +79,7 @@ def flatten_vector(spark, sf_dir):
     df = read(spark, sf_dir, "embeddings")
     flat = flatten(df, infer_plan(df))
     return flat.select(
-        "vec_id", "label", *[column(f"embedding__{i}").cast("double").alias(f"e{i}") for i in (0, 1, 31, 62, 63)]
+        "vec_id", "label", *[column(f"embedding__{i}").cast("double").alias(f"e{i}") for i in range(64)]
     )
 
 
@@ -220,7 +220,7 @@ ORACLES = {
         UNION ALL
         SELECT page_id, host, 'address.params__' || i || '.value', list_extract(string_split(pair, '='), 2) FROM q
         WHERE contains(pair, '=')""",
-    "flatten_vector": "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in (0, 1, 31, 62, 63)) + " FROM embeddings",
+    "flatten_vector": "SELECT vec_id, label, " + ", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(64)) + " FROM embeddings",
     "flatten_ts_text": """
         SELECT event_id, t AS ts, t AS t0, strftime(date_trunc('day', ts), '%Y-%m-%dT00:00:00') AS t1
         FROM (SELECT event_id, ts, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S')
