@@ -76,8 +76,17 @@ def absolute(base: str, href: str) -> str:
         return href
 
 
-def derive(response_id: str, uri: str, date: str | None, source: dict[str, str], payload: str) -> list[dict]:
+def _one_line(value: str | None, line_end: dict[str, str]) -> str | None:
+    """A header value; a line end in it would begin another header."""
+    return value if value is None else value.translate(str.maketrans(line_end))
+
+
+def derive(response_id: str | None, uri: str, date: str | None, source: dict[str, str], payload: str) -> list[dict]:
     """The metadata and the conversion record of a response."""
+    source_digest = digest(payload.encode())
+    name = "\0".join((uri, date or "", source_digest)) if response_id is None else response_id
+    response_id, date = _one_line(response_id or "", {"\r": " ", "\n": " "}), _one_line(date, {"\r": " ", "\n": " "})
+    uri = _one_line(uri, {"\r": "%0D", "\n": "%0A"})
     title, text, hrefs = read_page(payload)
     links = list(dict.fromkeys(absolute(uri, h) for h in hrefs if h))
     body = text.encode()
@@ -87,14 +96,14 @@ def derive(response_id: str, uri: str, date: str | None, source: dict[str, str],
         "metadata": ("application/warc-fields", "".join(f"{k}: {' '.join(v.split())}\r\n" for k, v in fields).encode()),
         "conversion": ("text/plain; charset=utf-8", body),
     }
-    ids = {kind: derived_id(response_id, kind) for kind in blocks}
+    ids = {kind: derived_id(name, kind) for kind in blocks}
     out = []
     for kind, (content_type, block) in blocks.items():
         other = ids["conversion" if kind == "metadata" else "metadata"]
         headers = [
             ("WARC-Type", kind), ("WARC-Record-ID", ids[kind]), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", response_id),
             ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", date), ("WARC-Concurrent-To", other),
-            ("WARC-Source-Payload-Digest", digest(payload.encode())), ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type),
+            ("WARC-Source-Payload-Digest", source_digest), ("WARC-Block-Digest", digest(block)), ("Content-Type", content_type),
             ("Content-Length", str(len(block))),
         ]
         kept = [(k, v) for k, v in headers if v is not None]
@@ -109,7 +118,8 @@ def derivatives(
 
     A null payload is empty and gives empty text; a null URI is empty and links stay as
     written; a null date leaves its headers out; null source headers are none; a null id
-    is read as an empty one. Equal responses give equal records. Links are distinct,
+    gives an empty refers-to, and records named by the response's URI, date and digest.
+    Line ends in an id, a URI or a date do not reach a header. Equal responses give equal records. Links are distinct,
     absolute and in order of appearance. An empty table gives an empty result; further
     columns, whatever their names, stay in ``row``.
     """
@@ -131,7 +141,7 @@ def derivatives(
             for i in range(0, len(whole), 512):
                 batch = whole.slice(i, 512)
                 fields = zip(*(batch.column(c).to_pylist() for c in "abcde"))
-                made = [r for a, b, c, d, e in fields for r in derive(a or "", b or "", c, dict(d or {}), e or "")]
+                made = [r for a, b, c, d, e in fields for r in derive(a, b or "", c, dict(d or {}), e or "")]
                 table = pa.RecordBatch.from_pylist(made, schema=schema)
                 twice = pa.array([n // 2 for n in range(2 * len(batch))], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(twice), *table.columns], names=["row", *schema.names])

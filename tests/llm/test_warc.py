@@ -94,5 +94,22 @@ def test_records(spark):
     assert bytes(by["<urn:uuid:3>", "conversion"].block) == b""
 
 
+def test_null_ids_and_line_ends(spark):
+    rows = [
+        (None, "http://a.example/1", "2020-01-01T00:00:00Z", {}, "one", "x", "y"),
+        (None, "http://a.example/2", "2020-01-01T00:00:00Z", {}, "one", "x", "y"),
+        (None, "http://a.example/2", "2020-01-01T00:00:00Z", {}, "two", "x", "y"),
+        (None, "http://a.example/2", "2020-01-01T00:00:00Z", {}, "two", "x", "y"),
+        ("<urn:uuid:4>\r\nX-Evil: 2", "http://a\r\nX-Evil: 1", "2020\nX-Evil: 3", {"a\r\nX-Evil: 5": "v\r\nX-Evil: 4"}, "", "x", "y"),
+    ]
+    found = derivatives(spark.createDataFrame(rows, SCHEMA)).withColumn("bytes", record_bytes(F.col("headers"), F.col("block"))).collect()
+    assert len({r.record_id for r in found}) == 8  # the two equal responses share theirs
+    for r in found:
+        head = bytes(r.bytes).partition(b"\r\n\r\n")[0].decode()
+        assert "\nX-Evil" not in head and len(head.split("\r\n")) == 1 + len(r.headers)
+        assert b"\nX-Evil" not in bytes(r.block)
+    assert {r.headers["WARC-Target-URI"] for r in found if r.row.record_id} == {"http://a%0D%0AX-Evil: 1"}
+
+
 def test_no_rows(spark):
     assert derivatives(spark.createDataFrame([], SCHEMA)).count() == 0
