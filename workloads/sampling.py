@@ -11,7 +11,7 @@ from facsimile.functions.text import HEX, HEX_AS_LETTERS, STRIDE, fill_shape_sql
 from facsimile.functions.epoch import epoch_micros
 from facsimile.operators.model import PATTERN_POSITION, fit
 from facsimile.operators.sample import MISSING, SECOND, STREAMS, TEXT, VALUE, sample, sample_rows
-from facsimile.operators.synthesize import Synthesizer, conform_sample, synthesize
+from facsimile.operators.synthesize import ROW, Synthesizer, conform_sample
 from workloads.common import draws_sql, millionths, millionths_sql, order_nested, read
 from workloads.model import CHARGED, knots_sql, score_sql
 
@@ -109,9 +109,15 @@ def sample_texts(spark, sf_dir):
 
 
 def synthesize_nested(spark, sf_dir):
-    """Flatten, fit, sample, unflatten: nested orders in, nested orders out."""
+    """Flatten, fit, sample, unflatten: nested orders in, nested orders out, row by row."""
     df = order_nested(spark, sf_dir)
-    return synthesize(df, df.count(), seed=7)
+    maker = Synthesizer(exact=True, independent=True).fit(df)
+    made = maker.sample_rows(spark.range(df.count()).selectExpr("id AS row"), rng="power")
+    item = lambda x: F.when(x.isNull(), "-").otherwise(F.concat_ws(":", x["line"], x["part"], millionths(x["price"])))
+    return made.select(
+        F.col(f"`{ROW}`").alias("row"), "o_orderkey", F.col("head.o_orderstatus").alias("status"), millionths(F.col("head.total")).alias("total_e6"),
+        F.array_join("head.tags", "|").alias("tags"), F.array_join(F.transform("items", item), "|").alias("items"),
+    )
 
 
 def synthesize_facts(spark, sf_dir):
@@ -235,6 +241,67 @@ def _step(u: str, grid: str) -> str:
     return f"{grid}[least(floor({u} * {KNOTS}.0::DOUBLE), {KNOTS - 1})::BIGINT + 1]"
 
 
+class _FlatSql:
+    """Common tables that draw the flat columns of a fit: position by position, like the model."""
+
+    def __init__(self, table: str, source: str):
+        self.table, self.source, self.tables, self.positions = table, source, [], []
+
+    def category(self, position: int, value: str, where: str = "true") -> None:
+        p = position
+        self.positions.append(p)
+        self.tables.append(f"""
+        f{p} AS (SELECT v, c, sum(c) OVER (ORDER BY c DESC, v) AS hi FROM (SELECT {value} AS v, count(*) AS c FROM o WHERE {where} GROUP BY 1)),
+        v{p} AS MATERIALIZED (SELECT row, v AS x{p} FROM (SELECT row, least(floor(u{p} * t), t - 1)::BIGINT AS q FROM d, (SELECT max(hi) AS t FROM f{p})) JOIN f{p} ON hi - c <= q AND q < hi)""")
+
+    def number(self, position: int, value: str, where: str = "true", whole: bool = False) -> None:
+        p, last = position, KNOTS - 1
+        self.positions.append(p)
+        low = f"least(floor(u{p} * {last}.0::DOUBLE), {last - 1})::BIGINT"
+        between = f"g[{low} + 1] + (u{p} * {last}.0::DOUBLE - {low}) * (g[{low} + 2] - g[{low} + 1])"
+        drawn = f"CASE WHEN smooth THEN {between} ELSE {_step(f'u{p}', 'g')} END"
+        digits = "any_value(NULL::INTEGER)" if whole else "CASE " + " ".join(f"WHEN bool_and(round_even(w * 1e{s}, 0) / 1e{s} = w) THEN {s}" for s in range(5)) + " END"
+        cut = f"CASE WHEN digits IS NULL THEN {drawn} ELSE round_even(({drawn}) * 10.0::DOUBLE ** digits, 0) / 10.0::DOUBLE ** digits END"
+        self.tables.append(f"""
+        n{p} AS MATERIALIZED (SELECT ({value})::DOUBLE AS w FROM o WHERE {where}),
+        g{p} AS MATERIALIZED (SELECT g, smooth, lo, hi, digits FROM
+                 (SELECT array_agg(value ORDER BY i) AS g, count(DISTINCT value) > {KNOTS // 2} AS smooth, min(value) AS lo, max(value) AS hi FROM ({knots_sql("w", f"n{p}", KNOTS)})),
+                 (SELECT {digits} AS digits FROM n{p})),
+        v{p} AS MATERIALIZED (SELECT row, {'round(' if whole else ''}greatest(least({cut}, hi), lo){')::BIGINT' if whole else ''} AS x{p} FROM d, g{p})""")
+
+    def sql(self, chosen: str) -> str:
+        drawn = draws_sql(_rows(self.table), "row", {f"u{p}": p * STREAMS + VALUE for p in self.positions}, "row")
+        first, *rest = self.positions
+        joined = f"v{first} " + " ".join(f"JOIN v{p} USING (row)" for p in rest)
+        return f"WITH o AS MATERIALIZED ({self.source}), d AS MATERIALIZED (SELECT * FROM {drawn}),{','.join(self.tables)} SELECT {chosen} FROM {joined}"
+
+
+def _nested_sql() -> str:
+    flat = _FlatSql("orders", """
+        SELECT o_orderkey AS k, o_orderstatus AS status, o_totalprice AS total, o_custkey AS c, regexp_split_to_array(o_orderpriority, '[- ]') AS tags FROM orders""")
+    flat.category(1, "status")
+    flat.number(2, "total")
+    flat.category(3, "(k % 5 = 0)::VARCHAR")
+    flat.number(4, "len(tags)", "k % 5 <> 0", whole=True)
+    for i in range(3):
+        flat.category(5 + i, f"tags[{i + 1}]", f"k % 5 <> 0 AND len(tags) > {i}")
+    flat.category(8, "(k % 7 = 0)::VARCHAR")
+    flat.number(9, "k % 6", "k % 7 <> 0", whole=True)
+    items = []
+    for i in range(5):
+        p, there, filled = 10 + 4 * i, f"k % 7 <> 0 AND k % 6 > {i}", "true" if i else "k % 11 <> 0"
+        flat.category(p, f"(NOT ({filled}))::VARCHAR", there)
+        flat.number(p + 1, str(i + 1), f"{there} AND {filled}", whole=True)
+        flat.number(p + 2, f"(c + k * {i + 1}) % 1000", f"{there} AND {filled}", whole=True)
+        flat.number(p + 3, f"total * {i + 1}", f"{there} AND {filled}")
+        made = f"x{p + 1} || ':' || x{p + 2} || ':' || {millionths_sql(f'x{p + 3}')}"
+        items.append(f"CASE WHEN x9 > {i} THEN CASE WHEN x{p} = 'true' THEN '-' ELSE {made} END END")
+    return flat.sql(f"""
+        row, row + (SELECT min(k) FROM o) AS o_orderkey, x1 AS status, {millionths_sql('x2')} AS total_e6,
+        CASE WHEN x3 = 'false' THEN concat_ws('|', {', '.join(f'CASE WHEN x4 > {i} THEN x{5 + i} END' for i in range(3))}) END AS tags,
+        CASE WHEN x8 = 'false' THEN concat_ws('|', {', '.join(items)}) END AS items""")
+
+
 WORDS = r"(SELECT len(regexp_split_to_array(trim(text), '\s+')) AS w FROM documents)"
 COUNT_DRAWS = draws_sql(_rows("documents"), "row", {"u": VALUE}, "row")
 WORD_DRAWS = draws_sql("places", "row", {"u": f"(i * {STREAMS * 1009} + {TEXT})"}, "row, i")
@@ -263,6 +330,7 @@ ORACLES = {
         u AS (SELECT row, {cdf_sql('c0')} AS u0, {cdf_sql('c1')} AS u1 FROM c)
         SELECT row, {_step('u0', 'a.g')}::BIGINT AS quantity, {millionths_sql(_step('u1', 'b.g'))} AS charge_e6
         FROM u, {_grid_sql('l_quantity', 'lineitem')} a, {_grid_sql('charge', CHARGED)} b""",
+    "synthesize_nested": _nested_sql(),
     "synthesize_facts": """
         SELECT f AS fact, true AS holds, (SELECT count(*) FROM orders) AS rows
         FROM (VALUES ('schema'), ('rows'), ('keys'), ('states'), ('totals'), ('longest'), ('items IS NULL'), ('size(items) = 0'),
