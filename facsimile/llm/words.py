@@ -52,6 +52,18 @@ LONG = 0xFF << 56
 KEPT_BYTES = 64 << 20
 
 
+class Numbered(dict):
+    """Byte strings under consecutive numbers, given when they are first asked for."""
+
+    def __init__(self) -> None:
+        self.kept_bytes = 0
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.kept_bytes += len(word)
+        return number
+
+
 class WordTable:
     """Token ids of words: sorted keys, and for each the place and number of its ids.
 
@@ -62,12 +74,11 @@ class WordTable:
     def __init__(self) -> None:
         self.key, self.at, self.n = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.ids, self.used = np.zeros(1 << 16, "<u4"), 0
-        self.long: dict[bytes, int] = {}
-        self.kept_bytes = 0
+        self.long = Numbered()
 
     def full(self, words: int) -> bool:
         """Whether more than ``words`` entries or too many bytes are held; keys of a new table are other ones."""
-        return len(self.key) > words or self.kept_bytes > KEPT_BYTES
+        return len(self.key) > words or self.long.kept_bytes > KEPT_BYTES
 
     def keys(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The keys of the words at these places."""
@@ -79,12 +90,8 @@ class WordTable:
         far = np.flatnonzero(size > LONGEST_SHORT)
         if len(far):
             raw = data.tobytes()
-            words = [raw[a:b] for a, b in zip(begin[far].tolist(), end[far].tolist())]
-            for word in words:
-                if word not in self.long:
-                    self.long[word] = len(self.long)
-                    self.kept_bytes += len(word)
-            found[far] = np.fromiter(map(self.long.__getitem__, words), U, len(words)) | U(LONG)
+            words = map(raw.__getitem__, map(slice, begin[far].tolist(), end[far].tolist()))
+            found[far] = np.fromiter(map(self.long.__getitem__, words), U, len(far)) | U(LONG)
         return found
 
     def find(self, keys: np.ndarray) -> np.ndarray:
