@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass, field
 from functools import reduce
 from statistics import NormalDist
@@ -31,7 +32,8 @@ SKETCH_SIZE = 4096  # KLL quantile sketch: rank error below 0.1 %
 BLANKS = r"\s+"
 MARGINALS = ("ecdf", "norm")
 CONSTANT = 1e-10  # share of the second moment below which a variance is rounding
-SUM_ROWS = 64  # matrix rows per block of sums
+SUM_ROWS = 64  # rows of a block of sums
+SUM_COLUMNS = 256  # columns of one, and of a block of columns that a task reads with another
 RIDGE_STEPS = (0.0, 1e-8, 1e-6, 1e-4, 1e-2, 1e-1)
 
 COLUMNS_DDL = (
@@ -41,7 +43,7 @@ COLUMNS_DDL = (
 )
 QUANTILES_DDL = "column string, knots array<double>"
 CATEGORIES_DDL = "column string, value string, count bigint, lo bigint, hi bigint"
-CORRELATION_DDL = "column_a string, column_b string, r double"
+CORRELATION_DDL = "position int, column string, r array<double>"
 PATTERNS_DDL = "pattern string, position int, bit int, column string, entries bigint, total bigint"
 MISSING_MODES = ("patterns", "independent")
 PATTERN = "._nulls"  # with a number, the name of a block of columns in the table of categories
@@ -58,7 +60,7 @@ class Model:
     quantiles: dict[str, list[float]]
     categories: DataFrame
     literals: dict[str, list[tuple[str, int]]]  # (value, hi) of columns with few categories
-    correlation: dict[tuple[str, str], float] = field(default_factory=dict)
+    correlation: Mapping = field(default_factory=dict)
     patterns: list[dict[str, Any]] = field(default_factory=list)  # blocks of columns that are null together: a spec and ``members``
 
     @property
@@ -72,7 +74,7 @@ class Model:
         return self.spark.createDataFrame(list(self.quantiles.items()), QUANTILES_DDL)
 
     def correlation_table(self) -> DataFrame:
-        return self.spark.createDataFrame([(a, b, r) for (a, b), r in self.correlation.items()], CORRELATION_DDL)
+        return self.correlation.table(self.spark) if self.correlation else self.spark.createDataFrame([], CORRELATION_DDL)
 
     def patterns_table(self) -> DataFrame:
         rows = [(p["column"], p["position"], i, name, p["entries"], p["total"]) for p in self.patterns for i, name in enumerate(p["members"])]
@@ -92,7 +94,7 @@ class Model:
     def load(cls, spark: SparkSession, path: str) -> "Model":
         specs = spark.read.schema(COLUMNS_DDL).parquet(f"{path}/columns").orderBy("position").collect()
         quantiles = spark.read.schema(QUANTILES_DDL).parquet(f"{path}/quantiles").collect()
-        pairs = spark.read.schema(CORRELATION_DDL).parquet(f"{path}/correlation").collect()
+        pairs = Correlation.of_table(spark.read.schema(CORRELATION_DDL).parquet(f"{path}/correlation"))
         columns = [r.asDict() for r in specs]
         patterns: dict[str, dict[str, Any]] = {}
         for r in spark.read.schema(PATTERNS_DDL).parquet(f"{path}/patterns").orderBy("position", "bit").collect():
@@ -101,7 +103,7 @@ class Model:
         categories = spark.read.schema(CATEGORIES_DDL).parquet(f"{path}/categories")
         return cls(
             spark, columns, {r["column"]: list(r["knots"]) for r in quantiles}, categories,
-            literal_entries(categories, [*columns, *patterns.values()]), {(r["column_a"], r["column_b"]): r["r"] for r in pairs},
+            literal_entries(categories, [*columns, *patterns.values()]), pairs,
             list(patterns.values()),
         )
 
@@ -365,76 +367,156 @@ def _large_scores(model: Model, spec: dict[str, Any], key: str, score: str) -> D
     return mine.select(F.col("value").alias(key), u.alias("u")).select(key, normal_quantile("u").alias(score))
 
 
-def correlation(scores: DataFrame, names: list[str]) -> dict[tuple[str, str], float]:
-    """Correlation of every pair of score columns over the rows where both are set.
+class Correlation(Mapping):
+    """Correlations by pair of names, the later column first, over one matrix; pairs without a correlation are absent."""
 
-    With p = "is set", the products of [z, z², p] hold every sum that is needed. Each
-    task sums its rows into one matrix, cut into blocks of rows; blocks meet in two
-    steps, each as a stream that keeps one running sum. A pair of which one column is
-    constant where the other is set has no correlation.
+    def __init__(self, names: list[str], matrix: np.ndarray):
+        self.names, self.matrix = list(names), matrix  # NaN where there is none; the lower half counts
+        self.place = {n: i for i, n in enumerate(self.names)}
+
+    def __getitem__(self, pair: tuple[str, str]) -> float:
+        i, j = self.place.get(pair[0], -1), self.place.get(pair[1], -1)
+        if not i > j >= 0 or np.isnan(self.matrix[i, j]):
+            raise KeyError(pair)
+        return float(self.matrix[i, j])
+
+    def __iter__(self) -> Iterator[tuple[str, str]]:
+        return ((a, self.names[j]) for i, a in enumerate(self.names) for j in np.flatnonzero(~np.isnan(self.matrix[i, :i])).tolist())
+
+    def __len__(self) -> int:
+        return int(np.count_nonzero(np.tril(~np.isnan(self.matrix), -1)))
+
+    def among(self, names: list[str]) -> np.ndarray:
+        """The full matrix of some columns, 0 where there is no correlation."""
+        known = [n for n in names if n in self.place]
+        at = [self.place[n] for n in known]
+        lower = np.tril(np.nan_to_num(self.matrix), -1)
+        some = (lower + lower.T)[np.ix_(at, at)]
+        out, to = np.eye(len(names)), [names.index(n) for n in known]
+        out[np.ix_(to, to)] += some
+        return out
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        """A row per column, with its correlations to the columns before it."""
+        lists = [self.matrix[i, :i] for i in range(len(self.names))]
+        until = np.concatenate([[0], np.cumsum([len(r) for r in lists])]).astype(np.int32)
+        rows = pa.ListArray.from_arrays(pa.array(until), pa.array(np.concatenate([np.zeros(0), *lists])))
+        places = pa.array(np.arange(len(self.names), dtype=np.int32))
+        return spark.createDataFrame(pa.Table.from_arrays([places, pa.array(self.names, pa.string()), rows], names=["position", "column", "r"]))
+
+    @classmethod
+    def of_table(cls, table: DataFrame) -> Correlation:
+        rows = table.orderBy("position").toArrow()
+        names, matrix = rows.column("column").to_pylist(), np.full((len(rows), len(rows)), np.nan)
+        for i, row in enumerate(rows.column("r").combine_chunks() if len(rows) else ()):
+            matrix[i, :i] = row.values.to_numpy() if i else ()
+        return cls(names, matrix)
+
+
+def correlation(scores: DataFrame, names: list[str]) -> Correlation:
+    """Correlation of every pair of score columns ``z0, z1, …`` over the rows where both are set.
+
+    A pair of which one column is constant where the other is set has none.
     """
-    return correlation_of(pair_sums(scores, len(names)), names) if len(names) > 1 else {}
+    if len(names) < 2:
+        return Correlation(names, np.full((len(names), len(names)), np.nan))
+    return correlation_of(pair_sums(scores, len(names)), names)
 
 
-def pair_sums(scores: DataFrame, size: int) -> np.ndarray:
-    """Four matrices over all rows: the sums of z·z', z·p', z²·p' and p·p'. Sums of further rows can be added."""
+SUMS_DDL = "row int, col int, part int, sums binary"
 
-    def blocks(total: np.ndarray, group: int) -> Iterator[pa.RecordBatch]:
-        for first in range(0, size, SUM_ROWS):
-            part = np.ascontiguousarray(total[:, first : first + SUM_ROWS])
-            yield pa.RecordBatch.from_pydict({"part": [group], "first": [first], "sums": [part.tobytes()]}, schema=arrow)
 
-    arrow = pa.schema([("part", pa.int32()), ("first", pa.int32()), ("sums", pa.binary())])
+def pair_sums(scores: DataFrame, size: int) -> DataFrame:
+    """(row, col, part, sums): what correlations are made of, in blocks of ``SUM_ROWS`` by ``SUM_COLUMNS`` pairs of columns.
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    With p = "is set", six matrices of sums over rows: z·z', z·p', z²·p', p·z', p·z'² and p·p'.
+    Columns are taken by pairs of blocks, and a task reads and sums the columns of one
+    pair, so that its memory does not grow with their number. Sums of tasks meet in two
+    steps, each as a stream that keeps one running sum. Sums of further rows can be added
+    by ``added_sums``.
+    """
+    firsts = range(0, size, SUM_COLUMNS)
+    pairs = [(a, b) for a in firsts for b in firsts if b <= a]
+    if len(pairs) > 1:  # read once per pair of blocks
+        scores = settle(scores, "scores")
 
-        total = np.zeros((4, size, size))
-        for batch in batches:
-            z = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
-            p = ~np.isnan(z)
-            z = np.where(p, z, 0.0)
-            p = p.astype(float)
-            total += np.stack([z.T @ z, z.T @ p, (z * z).T @ p, p.T @ p])
-        yield from blocks(total, TaskContext.get().partitionId())
-
-    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                key, values = (row["part"], row["first"]), np.frombuffer(row["sums"])
-                totals[key] = totals[key] + values if key in totals else values
-        for (part, first), values in totals.items():
-            yield pa.RecordBatch.from_pydict({"part": [part], "first": [first], "sums": [values.tobytes()]}, schema=arrow)
-
-    ddl = "part int, first int, sums binary"
-    made = scores.select(*[f"z{i}" for i in range(size)]).mapInArrow(sums, ddl)
-    met = made.withColumn("part", F.floor(F.sqrt("part")).cast("int")).repartition("part", "first").mapInArrow(added, ddl)
-    last = met.withColumn("part", F.lit(0)).repartition("first").mapInArrow(added, ddl)
-    total = np.zeros((4, size, size))
-    for row in last.collect():  # four numbers per pair of columns
-        part = np.frombuffer(row["sums"]).reshape(4, -1, size)
-        total[:, row["first"] : row["first"] + part.shape[1]] = part
-    return total
-
-
-def correlation_of(total: np.ndarray, names: list[str]) -> dict[tuple[str, str], float]:
-    size = len(names)
-    zz, zi, qi, n = total
-    zj, qj = zi.T, qi.T
-    vi, vj = n * qi - zi * zi, n * qj - zj * zj
-    real = (vi > CONSTANT * n * qi) & (vj > CONSTANT * n * qj)
-    r = np.where(real, n * zz - zi * zj, 0.0) / np.sqrt(np.where(real, vi * vj, 1.0))
-    return {(names[i], names[j]): float(np.clip(r[i, j], -1.0, 1.0)) for i in range(size) for j in range(i) if real[i, j]}
+    def summed(a: int, b: int) -> DataFrame:
+        left, right = ([*range(first, min(first + SUM_COLUMNS, size))] for first in (a, b))
+
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            from pyspark import TaskContext
 
+            total = np.zeros((6, len(left), len(right)))
+            for batch in batches:
+                z = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+                p = ~np.isnan(z)
+                z, p = np.where(p, z, 0.0), p.astype(float)
+                zl, pl, zr, pr = z[:, : len(left)], p[:, : len(left)], z[:, -len(right) :], p[:, -len(right) :]
+                total += np.stack([zl.T @ zr, zl.T @ pr, (zl * zl).T @ pr, pl.T @ zr, pl.T @ (zr * zr), pl.T @ pr])
+            for first in range(0, len(left), SUM_ROWS):
+                part = np.ascontiguousarray(total[:, first : first + SUM_ROWS])
+                yield _sum_block(a + first, b, TaskContext.get().partitionId(), part)
 
-def cholesky(names: list[str], pairs: dict[tuple[str, str], float]) -> np.ndarray:
+        columns = left if a == b else left + right
+        return scores.select(*[f"z{i}" for i in columns]).mapInArrow(emit, SUMS_DDL)
+
+    made = reduce(DataFrame.unionByName, [summed(a, b) for a, b in pairs])
+    met = made.withColumn("part", F.floor(F.sqrt("part")).cast("int")).repartition("part", "row", "col").mapInArrow(_add, SUMS_DDL)
+    return added_sums(met)
+
+
+def added_sums(sums: DataFrame) -> DataFrame:
+    """One row per block, of the sums of all rows."""
+    return sums.withColumn("part", F.lit(0)).repartition("row", "col").mapInArrow(_add, SUMS_DDL)
+
+
+def _sum_block(row: int, col: int, part: int, values: np.ndarray) -> pa.RecordBatch:
+    schema = pa.schema([("row", pa.int32()), ("col", pa.int32()), ("part", pa.int32()), ("sums", pa.binary())])
+    return pa.RecordBatch.from_pydict({"row": [row], "col": [col], "part": [part], "sums": [values.tobytes()]}, schema=schema)
+
+
+def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    totals: dict[tuple[int, int, int], np.ndarray] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            key, values = (r["row"], r["col"], r["part"]), np.frombuffer(r["sums"])
+            totals[key] = totals[key] + values if key in totals else values
+    for key, values in totals.items():
+        yield _sum_block(*key, values)
+
+
+def correlation_of(sums: DataFrame, names: list[str]) -> Correlation:
+    """Correlations from sums, block by block; the driver gets one number per pair."""
+    size = len(names)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                columns = min(SUM_COLUMNS, size - r["col"])
+                zz, zi, qi, zj, qj, n = np.frombuffer(r["sums"]).reshape(6, -1, columns)
+                vi, vj = n * qi - zi * zi, n * qj - zj * zj
+                real = (vi > CONSTANT * n * qi) & (vj > CONSTANT * n * qj)
+                found = np.where(real, n * zz - zi * zj, np.nan) / np.sqrt(np.where(real, vi * vj, 1.0))
+                yield _sum_block(r["row"], r["col"], 0, np.clip(found, -1.0, 1.0))
+
+    matrix = np.full((size, size), np.nan)
+    for r in sums.mapInArrow(emit, SUMS_DDL).toLocalIterator():
+        columns = min(SUM_COLUMNS, size - r["col"])
+        block = np.frombuffer(r["sums"]).reshape(-1, columns)
+        matrix[r["row"] : r["row"] + len(block), r["col"] : r["col"] + columns] = block
+    return Correlation(names, np.where(np.tri(size, k=-1, dtype=bool), matrix, np.nan))
+
+
+def cholesky(names: list[str], pairs: Mapping) -> np.ndarray:
     """Lower factor of the correlation matrix; a ridge repairs a matrix that has none."""
-    place = {n: i for i, n in enumerate(names)}
-    matrix = np.eye(len(names))
-    for (a, b), r in pairs.items():
-        if a in place and b in place:
-            matrix[place[a], place[b]] = matrix[place[b], place[a]] = min(max(r, -1.0), 1.0)
+    if isinstance(pairs, Correlation):
+        matrix = pairs.among(names)
+    else:
+        place = {n: i for i, n in enumerate(names)}
+        matrix = np.eye(len(names))
+        for (a, b), r in pairs.items():
+            if a in place and b in place:
+                matrix[place[a], place[b]] = matrix[place[b], place[a]] = min(max(r, -1.0), 1.0)
     for ridge in RIDGE_STEPS:
         try:
             return np.linalg.cholesky((matrix + ridge * np.eye(len(names))) / (1.0 + ridge))

@@ -19,7 +19,6 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Any
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,14 +26,12 @@ from pyspark.sql import types as T
 from facsimile.functions.nested import column
 from facsimile.operators.kinds import UNCOUNTED, column_profile, decisive_columns, distinct_sketches, distinct_values, kind_sql, type_class
 from facsimile.operators.model import (
-    CATEGORIES_DDL, KNOTS, Model, byte_counts, copula_columns, correlation_of, counted_texts, counted_values, grid_sketches,
+    CATEGORIES_DDL, KNOTS, SUMS_DDL, Model, added_sums, byte_counts, copula_columns, correlation_of, counted_texts, counted_values, grid_sketches,
     intervals_of, literal_entries, normal_scores, null_blocks, numeric_views, pair_sums, pattern_cells, patterns_of, ranked_grid, sketch_knots,
     text_cells,
 )
 from facsimile.session import scratch_path, settle
 
-SUMS = ("zz", "zi", "qi", "n")
-PAIRS_DDL = "a int, b int, zz double, zi double, qi double, n double"
 SUMMED = ("rows", "nulls", "cells", "empty", "minus", "plus")
 
 
@@ -107,11 +104,8 @@ class FitState:
         model = Model(self.spark, specs, quantiles, categories, literal_entries(categories, [*specs, *patterns]), patterns=patterns)
         if self.scorer is not None:
             scored = copula_columns(self.scorer)
-            total = np.zeros((4, len(scored), len(scored)))
-            for r in self.part("pairs").collect():
-                total[:, r["a"], r["b"]] = [r[name] for name in SUMS]
-            still = set(copula_columns(model))
-            model.correlation = {(a, b): r for (a, b), r in correlation_of(total, scored).items() if a in still and b in still}
+            if len(scored) > 1:
+                model.correlation = correlation_of(self.part("pairs"), scored)
         if path:
             model.save_parameters(path)
         return model
@@ -132,7 +126,7 @@ class FitState:
             filled = F.expr("kll_sketch_get_n_double(sketch) > 0")
             both["grids"] = both["grids"].filter(filled).groupBy("column").agg(F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
         both["frequencies"] = both["frequencies"].groupBy("column", "value").agg(F.sum("count").alias("count"))
-        both["pairs"] = both["pairs"].groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in SUMS])
+        both["pairs"] = added_sums(both["pairs"])
         both["profile"] = _merged_profile(self.part("profile"), other.part("profile"))
         for name, table in both.items():
             settle(table, name, f"{path}/{name}")
@@ -201,11 +195,8 @@ def _observe(flat: DataFrame, path: str, exact: bool, overrides: dict[str, str],
     if like is None and not independent and specs[0]["rows"]:
         state.scorer = state.model()
     names = copula_columns(state.scorer) if state.scorer is not None else []
-    pairs: list[tuple] = []
-    if len(names) > 1:
-        total = pair_sums(normal_scores(flat, state.scorer, names, unseen=True), len(names))
-        pairs = [(i, j, *map(float, total[:, i, j])) for i in range(len(names)) for j in range(len(names))]
-    settle(spark.createDataFrame(pairs, PAIRS_DDL), "pairs", f"{path}/pairs")
+    sums = pair_sums(normal_scores(flat, state.scorer, names, unseen=True), len(names)) if len(names) > 1 else spark.createDataFrame([], SUMS_DDL)
+    settle(sums, "pairs", f"{path}/pairs")
     return state
 
 

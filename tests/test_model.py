@@ -98,6 +98,25 @@ def test_correlation_agrees(spark):
         assert r == pytest.approx(plain[f"r{a[1]}_{b[1]}"], abs=1e-12)
 
 
+def test_wide_correlation_by_blocks(spark, monkeypatch, tmp_path):
+    """Pairs of column blocks: the same correlations, and no task holds more than a pair."""
+    names = [f"c{i}" for i in range(11)]
+    df = spark.range(400).select(*[F.when(F.col("id") % (i + 2) != 0, F.sin(F.col("id") * (i // 3 + 1)) + F.rand(i)).alias(f"z{i}") for i in range(11)])
+    df = M.settle(df, "wide")
+    whole = M.correlation(df, names)
+    monkeypatch.setattr(M, "SUM_COLUMNS", 4)
+    monkeypatch.setattr(M, "SUM_ROWS", 3)
+    parts = M.correlation(df, names)
+    assert len(parts) == len(whole) == 55 and all(parts[k] == pytest.approx(r, abs=1e-12) for k, r in whole.items())
+    sizes = {len(r["sums"]) for r in M.pair_sums(df, 11).collect()}
+    assert max(sizes) == 6 * 3 * 4 * 8
+    parts.table(spark).write.parquet(str(tmp_path / "r"))
+    again = M.Correlation.of_table(spark.read.parquet(str(tmp_path / "r")))
+    assert dict(again) == dict(parts) and again.names == names
+    assert np.allclose(M.cholesky(names, parts), M.cholesky(names, dict(parts)))
+    assert M.cholesky(["c3", "new", "c1"], parts)[2, 0] == pytest.approx(parts["c3", "c1"])
+
+
 def test_pairs_without_a_correlation(spark):
     """Constant where the other is set, never set together, one row, no rows: no entry and no error."""
     rows = [(1.0, 5.0, None, 1.0), (2.0, 5.0, None, None), (3.0, 5.0, 1.0, None), (None, 7.0, 2.0, None)]
