@@ -25,7 +25,8 @@ class PowerDraws:
     """Uniform numbers from x^5 modulo a prime, in plain 64-bit arithmetic.
 
     The fifth power permutes the residues of the prime. Any SQL engine repeats
-    this generator, which is what it is for; row numbers must stay below 1e9.
+    this generator, which is what it is for. Row numbers count by their remainder, so
+    numbers that are a multiple of the prime apart share their draws.
     """
 
     PRIME = 2147483647
@@ -41,7 +42,7 @@ class PowerDraws:
         return f"(({square} * {square}) % {cls.PRIME}L * ({x}) % {cls.PRIME}L)"
 
     def uniform_sql(self, row: str, stream: str | int) -> str:
-        first = self._fifth_power(f"(bigint({row}) * {self.ROW_FACTOR}L + {self.seed}L) % {self.PRIME}L")
+        first = self._fifth_power(f"(bigint({row}) % {self.PRIME}L * {self.ROW_FACTOR}L + {self.seed}L) % {self.PRIME}L")
         second = self._fifth_power(f"({first} + bigint({stream}) * {self.STREAM_FACTOR}L) % {self.PRIME}L")
         return f"((double({second}) + 0.5D) / {float(self.PRIME)!r}D)"
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facsimile import Synthesizer, fit, flatten, infer_plan, sample, unflatten
+from facsimile.functions.draws import PowerDraws
 from facsimile.operators.synthesize import ROW
 
 
@@ -137,3 +138,12 @@ def test_long_lists(spark, tmp_path):
     assert sorted(map(str, again)) == sorted(map(str, got))
     picked = maker.sample_rows(spark.createDataFrame([(7,), (250,)], "row long"), seed=4)
     assert sorted(str(r) for r in picked.drop(ROW).collect()) == sorted(str(got_row) for got_row in maker.sample_rows(spark.range(300).selectExpr("id AS row"), seed=4).filter(f"`{ROW}` IN (7, 250)").drop(ROW).collect())
+
+
+def test_power_draws_of_large_rows(spark):
+    """Items of long lists have numbers far beyond the prime; the draws do not overflow."""
+    prime, rows = PowerDraws.PRIME, [1, 8_400_000_000, 18_000_000_000, 1_080_000_000_000]
+    first = [pow((r * PowerDraws.ROW_FACTOR + 5) % prime, 5, prime) for r in rows]
+    wanted = [(pow((x + 9 * PowerDraws.STREAM_FACTOR) % prime, 5, prime) + 0.5) / prime for x in first]
+    table = spark.createDataFrame([(r,) for r in rows], "row long").coalesce(1)
+    assert [r.u for r in table.selectExpr(f"{PowerDraws(5).uniform_sql('row', 9)} AS u").collect()] == wanted
