@@ -142,10 +142,14 @@ def _buckets(mine: DataFrame, entries: int) -> tuple[list[int], list[int]]:
     return starts, [max(1, (end - start) * BUCKET_ROWS // max(per_segment, BUCKET_ROWS)) for start, end in zip(starts, ends)]
 
 
-def _bucket_sql(point: str, starts: list[int], widths: list[int]) -> tuple[str, str]:
-    """Segment of a position, and its bucket within the segment."""
-    segment = f"({count_at_most_sql(longs_sql(starts), len(starts), point)} - 1)"
-    return segment, f"(({point} - get({longs_sql(starts)}, {segment})) div get({longs_sql(widths)}, {segment}))"
+def _bucket_sql(point: str, starts: list[int], widths: list[int], segment: str | None = None) -> tuple[str, str]:
+    """Segment of a position, and its bucket within the segment (a column, if ``segment`` names one that holds it).
+
+    Neither is ever null: a join's filter for nulls would redo the search, with the draw in each of its steps.
+    """
+    found = f"coalesce({count_at_most_sql(longs_sql(starts), len(starts), point)} - 1, 0)"
+    at = segment or found
+    return found, f"coalesce(({point} - get({longs_sql(starts)}, {at})) div get({longs_sql(widths)}, {at}), 0L)"
 
 
 def _join_entries(sample: DataFrame, model: Model, spec: dict[str, Any], out: str) -> DataFrame:
@@ -158,10 +162,10 @@ def _join_entries(sample: DataFrame, model: Model, spec: dict[str, Any], out: st
     mine = model.categories.where(F.col("column") == spec["column"]).select(F.col("value").alias(out), "lo", "hi")
     starts, widths = _buckets(mine, spec["entries"])
     point = F.least(F.floor(F.col(f"u{spec['position']}") * F.lit(float(total))), F.lit(total - 1)).cast("long")
-    segment, bucket = _bucket_sql("point", starts, widths)
-    placed = sample.withColumn("point", point).withColumns({"segment": F.expr(segment), "bucket": F.expr(bucket)})
-    segment, first = _bucket_sql("lo", starts, widths)
-    last = f"((hi - 1 - get({longs_sql(starts)}, segment)) div get({longs_sql(widths)}, segment))"
+    segment, bucket = _bucket_sql("point", starts, widths, "segment")
+    placed = sample.withColumn("point", point).withColumn("segment", F.expr(segment)).withColumn("bucket", F.expr(bucket))
+    segment, first = _bucket_sql("lo", starts, widths, "segment")
+    _, last = _bucket_sql("hi - 1", starts, widths, "segment")
     intervals = mine.withColumn("segment", F.expr(segment)).withColumn("bucket", F.expr(f"explode(sequence({first}, {last}))"))
     if fits_broadcast(mine):  # at most one extra row per BUCKET_ROWS categories
         intervals = F.broadcast(intervals)

@@ -358,3 +358,13 @@ def test_many_null_patterns(spark, monkeypatch):
     seen = {tuple(v is None for v in r) for r in rows.collect()}
     got = sample(model, 2000, seed=1).collect()
     assert len(got) == 2000 and {tuple(v is None for v in r) for r in got} <= seen
+
+
+def test_interval_join_searches_once_per_row(spark):
+    """No filter for nulls below the join repeats the search with the draw inlined in each of its steps."""
+    model = fit(spark.range(3000).selectExpr("concat('P', id % 1500) AS part"), exact=True, overrides={"part": "categorical"})
+    joined = S.sample(model, 50, seed=3, rng="power")
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if "Filter" in line]
+    assert "aggregate(" in plan and not [f for f in filters if "aggregate(" in f or "2147483647" in f]
+    assert joined.count() == 50

@@ -10,7 +10,7 @@ from facsimile.functions.normal import cdf_sql
 from facsimile.functions.text import HEX, HEX_AS_LETTERS, STRIDE, fill_shape_sql, shape_sql
 from facsimile.functions.epoch import epoch_micros
 from facsimile.operators.model import PATTERN_POSITION, fit
-from facsimile.operators.sample import MISSING, SECOND, STREAMS, TEXT, VALUE, sample, sample_rows
+from facsimile.operators.sample import MISSING, SECOND, STREAMS, TEXT, VALUE, numbered_rows, sample, sample_rows
 from facsimile.operators.synthesize import ROW, Synthesizer, conform_sample
 from workloads.common import draws_sql, millionths, millionths_sql, order_nested, read
 from workloads.model import CHARGED, knots_sql, score_sql
@@ -21,7 +21,7 @@ KNOTS = 1001
 def _sample(spark, df, **options):
     """A power-draw sample with its row numbers, as many rows as ``df`` has."""
     model = fit(df, exact=True, independent=True, **options)
-    return sample_rows(model, spark.range(df.count()).select(F.col("id").alias("row")), rng="power", keep_row=True)
+    return sample_rows(model, numbered_rows(spark, df.count()), rng="power", keep_row=True)
 
 
 def sample_category(spark, sf_dir):
