@@ -16,6 +16,13 @@ class HashDraws:
     def __init__(self, seed: int = 0):
         self.seed = int(seed)
 
+    def key_sql(self, row: str) -> str:
+        """What all draws of a row have in common."""
+        return f"bigint({row})"
+
+    def uniform_of_key_sql(self, key: str, stream: str | int) -> str:
+        return self.uniform_sql(key, stream)
+
     def uniform_sql(self, row: str, stream: str | int) -> str:
         bits = f"(xxhash64({row}, bigint({stream}), bigint({self.seed})) & {(1 << MANTISSA_BITS) - 1}L)"
         return f"((double({bits}) + 0.5D) / {float(1 << MANTISSA_BITS)!r}D)"
@@ -41,11 +48,18 @@ class PowerDraws:
         square = f"(({x}) * ({x}) % {cls.PRIME}L)"
         return f"(({square} * {square}) % {cls.PRIME}L * ({x}) % {cls.PRIME}L)"
 
-    def uniform_sql(self, row: str, stream: str | int) -> str:
-        first = self._fifth_power(f"(bigint({row}) % {self.PRIME}L * {self.ROW_FACTOR}L + {self.seed}L) % {self.PRIME}L")
-        second = self._fifth_power(f"({first} + bigint({stream}) * {self.STREAM_FACTOR}L) % {self.PRIME}L")
+    def key_sql(self, row: str) -> str:
+        """What all draws of a row have in common."""
+        return self._fifth_power(f"(bigint({row}) % {self.PRIME}L * {self.ROW_FACTOR}L + {self.seed}L) % {self.PRIME}L")
+
+    def uniform_of_key_sql(self, key: str, stream: str | int) -> str:
+        """The draw of a row by its ``key_sql``. Within a lambda nothing is shared, so a key that stands there is made in every step."""
+        second = self._fifth_power(f"({key} + bigint({stream}) * {self.STREAM_FACTOR}L) % {self.PRIME}L")
         return f"((double({second}) + 0.5D) / {float(self.PRIME)!r}D)"
 
+    def uniform_sql(self, row: str, stream: str | int) -> str:
+        return self.uniform_of_key_sql(self.key_sql(row), stream)
+
 
 def make_draws(kind: str, seed: int):
     if kind == "hash":

@@ -22,13 +22,14 @@ def shape_sql(c: str) -> str:
 
 def fill_shape_sql(shape: str, row: str, draws, stream: int) -> str:
     """A text of the given shape; every letter and digit is drawn anew."""
-    u = draws.uniform_sql(row, f"(bigint(i) * {STRIDE}L + {stream}L)")
+    u = draws.uniform_of_key_sql("key", f"(bigint(i) * {STRIDE}L + {stream}L)")
 
     def pick(alphabet: str) -> str:
         return f"substring('{alphabet}', 1 + int(floor({u} * {len(alphabet)}D)), 1)"
 
     one = f"CASE ch WHEN 'A' THEN {pick(UPPER)} WHEN 'a' THEN {pick(LOWER)} WHEN '9' THEN {pick(DIGITS)} ELSE ch END"
-    return f"array_join(transform(split({shape}, ''), (ch, i) -> {one}), '')"
+    filled = f"array_join(transform(split({shape}, ''), (ch, i) -> {one}), '')"
+    return f"transform(array({draws.key_sql(row)}), key -> {filled})[0]"  # the row's part of the draws once, not per letter
 
 
 def numbered_shape_sql(shape: str, row: str) -> str:
@@ -55,8 +56,17 @@ def numbered_shape_sql(shape: str, row: str) -> str:
     )
 
 
+def invented_digits_sql(row: str, position: str, length: str, stream: int, seed: int) -> str:
+    """A word of ``length`` hex digits made from a hash of its place."""
+    key = f"concat_ws(':', string({row}), string({position}), '{stream}:{seed}')"
+    return f"substring(repeat(md5({key}), int(ceil({length} / 32))), 1, int({length}))"
+
+
+def letters_sql(digits: str) -> str:
+    """Hex digits as letters; blanks between words stay."""
+    return f"translate({digits}, '{HEX}', '{HEX_AS_LETTERS}')"
+
+
 def invented_word_sql(row: str, position: str, length: str, stream: int, seed: int) -> str:
     """A word of ``length`` letters made from a hash of its place."""
-    key = f"concat_ws(':', string({row}), string({position}), '{stream}:{seed}')"
-    letters = f"substring(repeat(md5({key}), int(ceil({length} / 32))), 1, int({length}))"
-    return f"translate({letters}, '{HEX}', '{HEX_AS_LETTERS}')"
+    return letters_sql(invented_digits_sql(row, position, length, stream, seed))

@@ -18,7 +18,7 @@ from facsimile.functions.draws import make_draws
 from facsimile.functions.epoch import from_number
 from facsimile.functions.normal import cdf_array, normal_draw_sql
 from facsimile.functions.search import array_sql, count_at_most_sql, doubles_sql, longs_sql, sql_string
-from facsimile.functions.text import fill_shape_sql, invented_word_sql, numbered_shape_sql
+from facsimile.functions.text import fill_shape_sql, invented_digits_sql, invented_word_sql, letters_sql, numbered_shape_sql
 from facsimile.operators.frequencies import Frequencies
 from facsimile.operators.kinds import to_digits_sql
 from facsimile.operators.lookup import fits_broadcast
@@ -174,25 +174,27 @@ def _join_entries(sample: DataFrame, model: Model, spec: dict[str, Any], out: st
     return placed.alias("s").join(intervals.alias("i"), same & hit).select(*[F.col(f"s.{c}") for c in sample.columns], out)
 
 
+def _points_sql(count: str, total: int, draws, stream: int) -> str:
+    """An array of ``count`` positions below ``total``; the row's part of the draws is made once, not once per place."""
+    draw = draws.uniform_of_key_sql("key", f"(bigint(i) * {STREAMS * 1009}L + {stream}L)")
+    points = f"transform(sequence(1, {count}), i -> least(floor({draw} * {float(total)!r}D), {total - 1}L))"
+    return f"transform(array({draws.key_sql('row')}), key -> {points})[0]"
+
+
 def _invented_text_sql(spec: dict[str, Any], model: Model, lengths: list[tuple[str, int]], draws) -> str:
     stream, total = _stream(spec, TEXT), lengths[-1][1]
     count = f"greatest(int(round({_number_sql(spec, model)})), 1)"
-    draw = draws.uniform_sql("row", f"(bigint(i) * {STREAMS * 1009}L + {stream}L)")
-    point = f"least(floor({draw} * {float(total)!r}D), {total - 1}L)"
     place = count_at_most_sql(longs_sql([hi for _, hi in lengths]), len(lengths), "point")
-    size = f"get({longs_sql([int(v) for v, _ in lengths])}, {place})"
-    # Two steps, so that each word's draw is made once and not once per search step.
-    points = f"transform(sequence(1, {count}), i -> {point})"
-    word = invented_word_sql("row", "i", size, stream, draws.seed)
-    return f"array_join(transform({points}, (point, i) -> {word}), ' ')"
+    # In steps, so that each word's draw is made and its length searched once, and letters are put in for the whole text.
+    sizes = f"transform({_points_sql(count, total, draws, stream)}, point -> get({longs_sql([int(v) for v, _ in lengths])}, {place}))"
+    words = f"transform({sizes}, (size, i) -> {invented_digits_sql('row', 'i', 'size', stream, draws.seed)})"
+    return letters_sql(f"array_join({words}, ' ')")
 
 
 def _bytes_sql(spec: dict[str, Any], model: Model, draws) -> str:
     """As many bytes as the length says, each drawn by the frequency of its value."""
     entries, total = model.literals[spec["column"]], spec["total"]
-    stream = _stream(spec, TEXT)
-    draw = draws.uniform_sql("row", f"(bigint(i) * {STREAMS * 1009}L + {stream}L)")
-    points = f"transform(sequence(1, size), i -> least(floor({draw} * {float(total)!r}D), {total - 1}L))"
+    points = _points_sql("size", total, draws, _stream(spec, TEXT))
     place = count_at_most_sql(longs_sql([hi for _, hi in entries]), len(entries), "point")
     texts = f"transform({points}, point -> get({array_sql([v for v, _ in entries], 'string')}, {place}))"
     size = f"int(round({_number_sql(spec, model)}))"

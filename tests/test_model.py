@@ -8,6 +8,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from facsimile import Model, Synthesizer, detect_kinds, fit, sample, synthesize
+from facsimile.functions.draws import PowerDraws
+from facsimile.functions.text import fill_shape_sql
 from facsimile.functions import normal
 from facsimile.operators import model as M
 from facsimile.operators.lookup import SALT, fits_broadcast, hot_keys, lookup_join
@@ -368,3 +370,13 @@ def test_interval_join_searches_once_per_row(spark):
     filters = [line for line in plan.splitlines() if "Filter" in line]
     assert "aggregate(" in plan and not [f for f in filters if "aggregate(" in f or "2147483647" in f]
     assert joined.count() == 50
+
+
+def test_draws_of_places_share_the_part_of_their_row(spark):
+    """The words, bytes and letters of a row do not each make the row's part of their draws again."""
+    texts = [(" ".join("x" * (k % 9 + 1) for k in range(20 + i)),) for i in range(30)]
+    model = fit(spark.createDataFrame(texts, "t string"), exact=True, overrides={"t": "text"})
+    draws = PowerDraws(3)
+    made = S._invented_text_sql(model.columns[0], model, model.literals["t"], draws)
+    for sql in (made, fill_shape_sql("shape", "row", draws, 2)):
+        assert str(PowerDraws.ROW_FACTOR) in sql and str(PowerDraws.ROW_FACTOR) not in sql[sql.index("key -> ") :]
