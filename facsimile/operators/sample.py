@@ -47,18 +47,19 @@ def _uniforms(model: Model, base: DataFrame, draws, joint: list[str]) -> DataFra
     linked = [i for i in range(len(joint)) if off[i].any() or off[:, i].any()]
     mixed_specs = [spec[joint[i]] for i in linked]
     rows = _mixed(base.select("row"), mixed_specs, factor[np.ix_(linked, linked)], draws) if linked else base
+    keyed = rows.withColumn("key", F.expr(draws.key_sql("row")))  # many draws read it, so it stays a column and is made once
     done = {s["position"] for s in mixed_specs}
     drawn = []
     for s in model.columns:
-        p, u = s["position"], draws.uniform_sql("row", _stream(s, VALUE))
+        p, u = s["position"], draws.uniform_of_key_sql("key", _stream(s, VALUE))
         if p in done:
             drawn.append(_score_name(s))
         elif s["marginal"] == "norm":
-            drawn.append(f"{normal_draw_sql(u, draws.uniform_sql('row', _stream(s, SECOND)))} AS n{p}")
+            drawn.append(f"{normal_draw_sql(u, draws.uniform_of_key_sql('key', _stream(s, SECOND)))} AS n{p}")
         else:
             drawn.append(f"{u} AS u{p}")
-    drawn += [f"{draws.uniform_sql('row', _stream(p, VALUE))} AS u{p['position']}" for p in model.patterns]
-    return rows.selectExpr("row", *drawn)
+    drawn += [f"{draws.uniform_of_key_sql('key', _stream(p, VALUE))} AS u{p['position']}" for p in model.patterns]
+    return keyed.selectExpr("row", *drawn)
 
 
 def _score_name(spec: dict[str, Any]) -> str:
@@ -73,10 +74,10 @@ def _mixed(base: DataFrame, specs: list[dict[str, Any]], factor: np.ndarray, dra
     """
     names, size = [_score_name(s) for s in specs], len(specs)
     normal = np.array([s["marginal"] == "norm" for s in specs])
-    pairs = base.selectExpr(
+    pairs = base.withColumn("key", F.expr(draws.key_sql("row"))).selectExpr(
         "row",
-        *[f"{draws.uniform_sql('row', _stream(s, VALUE))} AS a{i}" for i, s in enumerate(specs)],
-        *[f"{draws.uniform_sql('row', _stream(s, SECOND))} AS b{i}" for i, s in enumerate(specs)],
+        *[f"{draws.uniform_of_key_sql('key', _stream(s, VALUE))} AS a{i}" for i, s in enumerate(specs)],
+        *[f"{draws.uniform_of_key_sql('key', _stream(s, SECOND))} AS b{i}" for i, s in enumerate(specs)],
     )
 
     def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,8 +124,8 @@ def _entry_sql(u: str, entries: list[tuple[str, int]]) -> str:
     """The category whose interval holds ``floor(u * total)``."""
     total = entries[-1][1]
     point = f"least(floor({u} * {float(total)!r}D), {total - 1}L)"
-    place = count_at_most_sql(longs_sql([hi for _, hi in entries]), len(entries), point)
-    return f"get({array_sql([v for v, _ in entries], 'string')}, {place})"
+    place = count_at_most_sql(longs_sql([hi for _, hi in entries]), len(entries), "point")
+    return f"transform(array({point}), point -> get({array_sql([v for v, _ in entries], 'string')}, {place}))[0]"  # drawn once, not per step
 
 
 def _buckets(mine: DataFrame, entries: int) -> tuple[list[int], list[int]]:

@@ -16,6 +16,8 @@ from facsimile.operators.lookup import SALT, fits_broadcast, hot_keys, lookup_jo
 from facsimile.operators.ranks import running_totals
 from facsimile.operators import sample as S
 from facsimile.operators.sample import sample_rows
+from facsimile.session import settle
+from workloads import sampling
 from workloads.common import order_nested, read
 
 
@@ -380,3 +382,10 @@ def test_draws_of_places_share_the_part_of_their_row(spark):
     made = S._invented_text_sql(model.columns[0], model, model.literals["t"], draws)
     for sql in (made, fill_shape_sql("shape", "row", draws, 2)):
         assert str(PowerDraws.ROW_FACTOR) in sql and str(PowerDraws.ROW_FACTOR) not in sql[sql.index("key -> ") :]
+
+
+def test_facts_are_told_of_one_drawing(spark, sf_dir, monkeypatch):
+    """The synthetic orders are drawn and stored once, not once for each fact."""
+    stored = []
+    monkeypatch.setattr(sampling, "settle", lambda df, purpose: stored.append(purpose) or settle(df, purpose))
+    assert all(r.holds for r in sampling.synthesize_facts(spark, sf_dir).collect()) and stored == ["made"]

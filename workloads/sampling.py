@@ -12,6 +12,7 @@ from facsimile.functions.epoch import epoch_micros
 from facsimile.operators.model import PATTERN_POSITION, fit
 from facsimile.operators.sample import MISSING, SECOND, STREAMS, TEXT, VALUE, numbered_rows, sample, sample_rows
 from facsimile.operators.synthesize import ROW, Synthesizer, conform_sample
+from facsimile.session import settle
 from workloads.common import draws_sql, millionths, millionths_sql, order_nested, read
 from workloads.model import CHARGED, knots_sql, score_sql
 
@@ -112,7 +113,7 @@ def synthesize_nested(spark, sf_dir):
     """Flatten, fit, sample, unflatten: nested orders in, nested orders out, row by row."""
     df = order_nested(spark, sf_dir)
     maker = Synthesizer(exact=True, independent=True).fit(df)
-    made = maker.sample_rows(spark.range(df.count()).selectExpr("id AS row"), rng="power")
+    made = maker.sample_rows(numbered_rows(spark, df.count()), rng="power")
     item = lambda x: F.when(x.isNull(), "-").otherwise(F.concat_ws(":", x["line"], x["part"], millionths(x["price"])))
     return made.select(
         F.col(f"`{ROW}`").alias("row"), "o_orderkey", F.col("head.o_orderstatus").alias("status"), millionths(F.col("head.total")).alias("total_e6"),
@@ -123,22 +124,25 @@ def synthesize_nested(spark, sf_dir):
 def synthesize_facts(spark, sf_dir):
     """What holds of every synthesis of the nested orders, however it was drawn; shares to two points in a hundred."""
     df = order_nested(spark, sf_dir).withColumn("odd", F.when(F.col("o_orderkey") % 4 == 1, F.lit(float("inf"))).otherwise(F.col("head.total")))
-    made = Synthesizer().fit(df).sample(df.count(), seed=11)
+    rows = df.count()
+    made = settle(Synthesizer().fit(df).sample(rows, seed=11), "made")  # drawn once; each fact reads its columns
     known = df.select("head.o_orderstatus").distinct()
     bounds = df.agg(F.min("head.total").alias("low"), F.max("head.total").alias("high"))
     strange = made.select("head.o_orderstatus").distinct().join(known, "o_orderstatus", "left_anti").count()
     outside = made.join(bounds).filter("head.total < low OR head.total > high").count()
-    share = lambda t, c: t.agg(F.avg(F.expr(c).cast("int"))).first()[0]
     alike = ("items IS NULL", "size(items) = 0", "odd = double('Infinity')", "get(items, 0) IS NULL AND size(items) > 0", "size(items) > 3")
+    shares = lambda t, *more: t.agg(*[F.avg(F.expr(c).cast("int")) for c in alike], *more).first()
+    *of_made, drawn, longest = shares(made, F.count(F.lit(1)), F.max(F.size("items")))
+    of_df = shares(df)
     facts = {
         "schema": made.schema.simpleString() == df.schema.simpleString(),
-        "rows": made.count() == df.count(),
-        "keys": made.select("o_orderkey").distinct().count() == df.count(),
+        "rows": drawn == rows,
+        "keys": made.select("o_orderkey").distinct().count() == rows,
         "states": strange == 0,
         "totals": outside == 0,
-        "longest": made.agg(F.max(F.size("items"))).first()[0] <= 5,
+        "longest": longest <= 5,
     }
-    facts |= {c: abs(share(made, c) - share(df, c)) < 0.02 for c in alike}
+    facts |= {c: abs(a - b) < 0.02 for c, a, b in zip(alike, of_made, of_df)}
     return spark.createDataFrame(list(facts.items()), "fact string, holds boolean").crossJoin(made.agg(F.count(F.lit(1)).alias("rows")))
 
 
