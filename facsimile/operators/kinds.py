@@ -15,7 +15,8 @@ from facsimile.functions.search import sql_string
 from facsimile.operators.sketches import merged
 
 KINDS = ("numeric", "datetime", "boolean", "categorical", "id", "text", "bytes", "carried")
-BLOCK = 24  # columns per aggregate, so that it stays in generated code; each block reads its own columns
+BLOCK = 24  # columns per aggregate of sketches; each block reads its own columns
+MEASURED = 8  # columns per aggregate of plain measures: the longer the generated method, the slower the row; beyond 8000 bytes it is interpreted
 SKETCH_BITS = 12  # HyperLogLog registers: 2^12, standard error 1.6 %
 DISTINCT_ERROR = 0.02
 CATEGORY_COUNT = 1000
@@ -157,8 +158,24 @@ def distinct_values(flat: DataFrame) -> DataFrame:
 
 
 def exact_distinct(flat: DataFrame) -> DataFrame:
-    """``(column, distinct)`` exactly."""
-    return distinct_values(flat).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    """``(column, distinct)`` exactly. Numbers are counted as numbers, under the place of their column; the rest as texts."""
+    groups: dict[type, list[T.StructField]] = {}
+    for f in flat.schema.fields:
+        if type_class(f.dataType) not in UNCOUNTED:
+            group = T.LongType if isinstance(f.dataType, INTEGERS) else T.DoubleType if isinstance(f.dataType, FRACTIONS) else T.StringType
+            groups.setdefault(group, []).append(f)
+    return reduce(DataFrame.unionByName, [_distinct_of(flat, fields, group) for group, fields in groups.items()])
+
+
+def _distinct_of(flat: DataFrame, fields: list[T.StructField], group: type[T.DataType]) -> DataFrame:
+    if group is T.StringType:
+        return distinct_values(flat.select(*[column(f.name) for f in fields])).groupBy("column").agg(F.count(F.lit(1)).alias("distinct"))
+    value = "bigint({})" if group is T.LongType else "{}"
+    base = {f.name: quoted(f.name) if group is T.LongType else _base_sql(f) for f in fields}
+    cells = [f"named_struct('place', {i}, 'value', {value.format(base[f.name])})" for i, f in enumerate(fields)]
+    values = flat.selectExpr(f"inline(array({', '.join(cells)}))").where("value IS NOT NULL").groupBy("place", "value").agg(F.count(F.lit(1)))
+    names = f"array({', '.join(sql_string(f.name) for f in fields)})"
+    return values.groupBy("place").agg(F.count(F.lit(1)).alias("distinct")).selectExpr(f"get({names}, place) AS column", "distinct")
 
 
 def column_profile(
@@ -178,8 +195,8 @@ def column_profile(
     fields = flat.schema.fields
     counted = [f for f in fields if type_class(f.dataType) not in UNCOUNTED and (counts is None or f.name in counts)]
     blocks, sketches = [], []
-    for start in range(0, len(fields), BLOCK):
-        block = list(enumerate(fields))[start : start + BLOCK]
+    for start in range(0, len(fields), MEASURED):
+        block = list(enumerate(fields))[start : start + MEASURED]
         blocks.append(_plain_measures(flat, block, present))
     if not counted:
         return reduce(DataFrame.unionByName, blocks).withColumn("distinct", F.lit(0).cast("long"))

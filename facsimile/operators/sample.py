@@ -25,6 +25,8 @@ from facsimile.operators.lookup import fits_broadcast
 from facsimile.operators.model import Model, cholesky, copula_columns, type_of, wants_words
 
 ROWS_PER_TASK = 1_000_000
+CASE_ENTRIES = 16  # categories that are told apart by a CASE; more are found by binary search
+APART = 8  # columns that one generated method may hold
 BUCKET_ROWS = 64  # categories per bucket of the interval join
 SEGMENTS = 1000  # at most, of a category table
 # Draw streams of a column, counted from position * STREAMS.
@@ -35,6 +37,16 @@ def _stream(spec: dict[str, Any], purpose: int) -> int:
     return spec["position"] * STREAMS + purpose
 
 
+def apart(columns: list[Column]) -> list[Column]:
+    """The same columns, compiled one by one where they are many.
+
+    Whole-stage code is one method for all columns of a projection, and the JIT compiler leaves
+    methods beyond 8000 bytes (about 30 draws) interpreted. A projection with a lambda stays out of
+    it; one stands in every ``APART``-th column, so that it is also there when some are not read.
+    """
+    return [F.transform(F.array(c), lambda held: held)[0] if i % APART == APART - 1 else c for i, c in enumerate(columns)]
+
+
 def _uniforms(model: Model, base: DataFrame, draws, joint: list[str]) -> DataFrame:
     """Adds ``u<position>`` per column, or ``n<position>`` for columns with a normal marginal.
 
@@ -53,13 +65,14 @@ def _uniforms(model: Model, base: DataFrame, draws, joint: list[str]) -> DataFra
     for s in model.columns:
         p, u = s["position"], draws.uniform_of_key_sql("key", _stream(s, VALUE))
         if p in done:
-            drawn.append(_score_name(s))
+            drawn.append((_score_name(s), _score_name(s)))
         elif s["marginal"] == "norm":
-            drawn.append(f"{normal_draw_sql(u, draws.uniform_of_key_sql('key', _stream(s, SECOND)))} AS n{p}")
+            drawn.append((normal_draw_sql(u, draws.uniform_of_key_sql("key", _stream(s, SECOND))), f"n{p}"))
         else:
-            drawn.append(f"{u} AS u{p}")
-    drawn += [f"{draws.uniform_of_key_sql('key', _stream(p, VALUE))} AS u{p['position']}" for p in model.patterns]
-    return keyed.selectExpr("row", *drawn)
+            drawn.append((u, f"u{p}"))
+    drawn += [(draws.uniform_of_key_sql("key", _stream(p, VALUE)), f"u{p['position']}") for p in model.patterns]
+    made = apart([F.expr(sql) for sql, _ in drawn])
+    return keyed.select("row", *[c.alias(name) for c, (_, name) in zip(made, drawn)])
 
 
 def _score_name(spec: dict[str, Any]) -> str:
@@ -123,6 +136,10 @@ def _number_sql(spec: dict[str, Any], model: Model) -> str:
 def _entry_sql(u: str, entries: list[tuple[str, int]]) -> str:
     """The category whose interval holds ``floor(u * total)``."""
     total = entries[-1][1]
+    if len(entries) <= CASE_ENTRIES:  # below a whole number is where the floor is
+        steps = [f"WHEN {u} * {float(total)!r}D < {float(hi)!r}D THEN {i}" for i, (_, hi) in enumerate(entries[:-1])]
+        found = f"CASE {' '.join(steps)} ELSE {len(steps)} END" if steps else "0"
+        return f"get({array_sql([v for v, _ in entries], 'string')}, {found})"
     point = f"least(floor({u} * {float(total)!r}D), {total - 1}L)"
     place = count_at_most_sql(longs_sql([hi for _, hi in entries]), len(entries), "point")
     return f"transform(array({point}), point -> get({array_sql([v for v, _ in entries], 'string')}, {place}))[0]"  # drawn once, not per step
@@ -274,9 +291,9 @@ def sample_rows(
             made = F.when(~F.expr(nulls[spec["column"]]), made)
         elif rate > 0 and spec["kind"] != "carried":
             made = F.when(F.expr(f"{draws.uniform_sql('row', _stream(spec, MISSING))} >= {rate!r}D"), made)
-        return made.cast(dtype).alias(spec["column"])
+        return made.cast(dtype)
 
-    chosen = [cell(s) for s in model.columns]
+    chosen = [c.alias(s["column"]) for c, s in zip(apart([cell(s) for s in model.columns]), model.columns)]
     return uniforms.select(F.col("row").alias(row_name), *chosen) if keep_row else uniforms.select(*chosen)
 
 
