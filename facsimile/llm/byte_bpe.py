@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import gc_paused, text_bytes
+from facsimile.llm.common import gc_paused, map_batches, text_bytes
 from facsimile.llm.words import WordTable, byte_slices
 
-CACHED_PIECES = 1_000_000
+CACHED_PIECES = 300_000  # of about 190 bytes each
 JOINED_PIECES = 500
 ROWS_AT_ONCE = 512
 # ASCII characters that some definition counts as white space, and first bytes of longer ones that may be.
@@ -229,7 +229,7 @@ def encode_texts(
     )
     places = ", first_char array<bigint>, last_char array<bigint>" if offsets else ""
     places += ", decoded binary" if decoded else ""
-    return rows.mapInArrow(emit, f"row {rows.schema['row'].dataType.simpleString()}, ids binary{places}")
+    return map_batches(rows, emit, f"row {rows.schema['row'].dataType.simpleString()}, ids binary{places}")
 
 
 def _decoded(ids: pa.Array, table: tuple[bytes, ...]) -> pa.Array:
@@ -248,4 +248,4 @@ def decode_tokens(encoded: DataFrame, ranks_path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("ids"), decoded], names=["row", "ids", "decoded"])
 
     kept = encoded.select("row", "ids")
-    return kept.mapInArrow(emit, f"row {kept.schema['row'].dataType.simpleString()}, ids binary, decoded binary")
+    return map_batches(kept, emit, f"row {kept.schema['row'].dataType.simpleString()}, ids binary, decoded binary")

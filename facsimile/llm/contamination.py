@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import copy_key, packed, text_bytes
+from facsimile.llm.common import copy_key, map_batches, packed, text_bytes
 from facsimile.llm.rolling import U, mix
 from facsimile.llm.words import word_hashes, word_places
 
@@ -125,7 +125,7 @@ def contained_items(
     schema = "row_id long, row_copy long, item_id long, n_shared long, n_item long"
     found = None
     for block in _blocks(benchmark, item_col, item_text_col, words, share):
-        part = rows.mapInArrow(_emit_contained(block), schema)
+        part = map_batches(rows, _emit_contained(block), schema)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 

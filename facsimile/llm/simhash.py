@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import gc_paused, packed, same_row, store
+from facsimile.llm.common import gc_paused, map_batches, packed, same_row, store
 from facsimile.llm.components import components
 
 SEED = 42
@@ -58,7 +58,7 @@ def fingerprints(rows: DataFrame, words: int) -> DataFrame:
                 prints = pa.array([fingerprint(t.as_py(), words) for t in texts], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), batch.column("row_copy"), prints], names=["row_id", "row_copy", "print"])
 
-    return rows.select("row_id", "row_copy", "row_text").mapInArrow(emit, "row_id long, row_copy long, print long")
+    return map_batches(rows.select("row_id", "row_copy", "row_text"), emit, "row_id long, row_copy long, print long")
 
 
 def hamming_ball(radius: int) -> list[int]:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import Stored, packed, same_row, text_bytes
+from facsimile.llm.common import Stored, map_batches, packed, same_row, text_bytes
 from facsimile.llm.rolling import BUFFER, U, all_hashes, mix, prefix_sums, sliding_minimum, substring_hash
 
 ANCHOR = 64  # bytes that pick a suffix and order it
@@ -120,7 +120,7 @@ def _emit_runs(window: int):
 def suffix_runs(rows: DataFrame, window: int, batches: int) -> DataFrame:
     """All sampled suffixes of the texts with their runs, and the batch each belongs to."""
     dealt = rows.select("row_id", "row_copy", "row_text", F.pmod(F.hash("row_id", "row_copy"), F.lit(batches)).alias("batch"))
-    return dealt.mapInArrow(_emit_runs(window), RUNS)
+    return map_batches(dealt, _emit_runs(window), RUNS)
 
 
 class SuffixIndex:
@@ -274,10 +274,10 @@ def repeated_spans(rows: DataFrame, window: int = 200, batches: int = 4) -> Data
         spent.drop()
     found = Stored(resolve(repeated.df, "suffix", "run").drop("suffix", "run"), "suffix-found")
     repeated.drop()
-    blocks = Stored(_with_text(found.df, rows).mapInArrow(_emit_blocks(window), BLOCKS), "suffix-blocks")
+    blocks = Stored(map_batches(_with_text(found.df, rows), _emit_blocks(window), BLOCKS), "suffix-blocks")
     finer = Stored(resolve(blocks.df, "suffix", "run").drop("suffix", "run"), "suffix-finer")
     blocks.drop()
-    windows = Stored(_with_text(finer.df, rows).mapInArrow(_emit_windows(window), WINDOWS), "suffix-windows")
+    windows = Stored(map_batches(_with_text(finer.df, rows), _emit_windows(window), WINDOWS), "suffix-windows")
     last = Stored(resolve(windows.df, "suffix", "run").drop("suffix", "run"), "suffix-last")
     windows.drop()
 
@@ -378,4 +378,4 @@ def remove_repeats(
     lists = spans.groupBy("row_id", "row_copy").agg(F.collect_list(F.struct("start", "length")).alias("spans"))
     joined = rows.join(lists, same_row(rows, lists), "left").select("row_text", "row", "spans")
     schema = f"row {rows.schema['row'].dataType.simpleString()}, kept binary, spans {SPANS}"
-    return joined.mapInArrow(_emit_kept(whole_characters), schema)
+    return map_batches(joined, _emit_kept(whole_characters), schema)

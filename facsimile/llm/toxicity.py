@@ -21,7 +21,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from facsimile.llm.common import Stored, packed
+from facsimile.llm.common import Stored, map_batches, packed
 from facsimile.llm.labelled import labelled_sample
 
 LEXICON = (
@@ -125,7 +125,7 @@ def learn_lexicon(sample: DataFrame, entries: int, least_docs: int, least_share:
                 toxic.clear()
         yield out()
 
-    counts = sample.select("text", "label").mapInArrow(count, "key string, docs long, toxic long")
+    counts = map_batches(sample.select("text", "label"), count, "key string, docs long, toxic long")
     totals = counts.groupBy("key").agg(F.sum("docs").alias("docs"), F.sum("toxic").alias("toxic"))
     telling = totals.filter((F.col("toxic") >= least_docs) & (F.col("toxic") >= least_share * F.col("docs")))
     return frozenset(r.key for r in telling.orderBy(F.desc("toxic"), "key").limit(entries).collect())
@@ -145,7 +145,7 @@ def with_features(rows: DataFrame, given: frozenset, learned: frozenset, kept: l
 
     read = list(dict.fromkeys([*kept, "row_text"]))
     types = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in kept] + [f"{f} double" for f in FEATURES]
-    return rows.select(*read).mapInArrow(emit, ", ".join(types))
+    return map_batches(rows.select(*read), emit, ", ".join(types))
 
 
 @dataclass

@@ -5,12 +5,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from facsimile.llm import byte_bpe, dac
+from facsimile.llm.common import BATCH_BYTES, map_batches
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -66,6 +68,37 @@ def test_byte_bpe(spark, plain):
         assert (r.row.ids, r.row.row) == ("x", "y")
 
 
+def batch_bytes(batches):
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([len(batch)])], names=["size", "n"])
+
+
+def test_batches_end_by_bytes(spark):
+    """A task of 30 MB of text gets it in small batches; a size that the session names holds."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text")).coalesce(1)
+    spark.conf.unset(BATCH_BYTES)
+    try:
+        byte_bpe.encode_texts(docs, RANKS, public_tokenizers.PATTERN)
+        got = docs.mapInArrow(batch_bytes, "size long, n long").collect()
+        assert sum(r.n for r in got) == 3000 and max(r.size for r in got) < 3 << 20
+        spark.conf.set(BATCH_BYTES, "64m")
+        assert max(r.size for r in map_batches(docs, batch_bytes, "size long, n long").collect()) > 20 << 20
+    finally:
+        spark.conf.unset(BATCH_BYTES)
+
+
+def test_kept_pieces_are_bounded(plain):
+    """More distinct pieces than are kept: the ids stay right, and no more than a slice's pieces come on top."""
+    texts = ["".join(f" {i * 100_000 + j:07d}x" for j in range(100_000)) for i in range(6)]
+    encoder = byte_bpe.PieceEncoder(byte_bpe.tokenizer(byte_bpe.read_ranks(RANKS), public_tokenizers.PATTERN), byte_bpe.token_table(byte_bpe.read_ranks(RANKS)))
+    most = 0
+    for text in texts + texts[:1]:
+        (ids,) = encoder.packed(pa.array([text]))
+        assert np.frombuffer(ids[0].as_py(), "<u4").tolist() == plain.encode_ordinary(text)
+        most = max(most, len(encoder.known.key))
+    assert 300_000 <= most <= 450_000
+
+
 def test_byte_bpe_no_rows(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert byte_bpe.decode_tokens(byte_bpe.encode_texts(empty, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
