@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,11 +35,15 @@ SECOND_PERSON = frozenset(
 )
 NEAR = 5  # words between a lexicon word and a second-person word
 STEMS = (4, 5, 6)
+PIECE = 100_000  # characters of a text that are taken at once
+KEPT_WORDS, KEPT_LETTERS = 100_000, 2_000_000  # that a task remembers with their flags
+COUNTED_KEYS, COUNTED_LETTERS = 200_000, 4_000_000  # that a task counts before it hands them on
 FEATURES = (
     "given_density", "learned_density", "hits", "distinct_hits", "near_second_person", "second_person", "capitals", "shouted",
     "exclamations", "punctuation", "obfuscated", "hidden_hits", "size",
 )
 
+SPACE = re.compile(r"\s")
 WORD = re.compile(r"[^\W\d_]+")
 SHOUTED = re.compile(r"\b[A-ZÀ-ÖØ-Þ]{2,}\b")
 OBFUSCATED = re.compile(r"[^\W\d_][@$!0134*_.\-]+[^\W\d_]")
@@ -53,49 +59,73 @@ def keys_of(word: str) -> set[str]:
 
 
 class Flags(dict):
-    """word -> 0, 1 (learned) or 2 (given); remembers the words it has seen."""
+    """word -> 0, 1 (learned) or 2 (given); remembers the words it has seen, up to a number and to a length in all."""
 
     def __init__(self, given: frozenset, learned: frozenset) -> None:
-        self.given, self.learned = given, learned
+        self.given, self.learned, self.letters = given, learned, 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 100_000:
+        if len(self) >= KEPT_WORDS or self.letters + len(word) > KEPT_LETTERS:
             self.clear()
+            self.letters = 0
+        self.letters += len(word)
         flag = 2 if word in self.given else int(not self.learned.isdisjoint(keys_of(word)))
         self[word] = flag
         return flag
 
 
+def pieces(text: str) -> Iterator[str]:
+    """The text cut after a white space, which no word, token or lower-casing reaches across; without one it stays whole."""
+    start = 0
+    while len(text) - start > PIECE and (space := SPACE.search(text, start + PIECE - 1)):
+        yield text[start : space.end()]
+        start = space.end()
+    yield text[start:]
+
+
 def text_features(text: str, flags: Flags) -> tuple[float, ...]:
-    lowered = text.lower()
-    words = WORD.findall(lowered)
-    n, raw = max(1, len(words)), text.encode()
-    marked = [(i, f) for i, f in enumerate(map(flags.__getitem__, words)) if f]
-    hit_words = {words[i] for i, _ in marked}
-    persons = [i for i, w in enumerate(words) if w in SECOND_PERSON]
+    """The features of a text, summed over its pieces, so that no list grows to all its words."""
+    n_words = given = shouted = n_strange = hidden = letters = capitals = size = marks = punctuation = 0
+    hits, persons, hit_words = array("q"), array("q"), set()
+    for piece in pieces(text):
+        lowered = piece.lower()
+        words = WORD.findall(lowered)
+        raw = piece.encode()
+        marked = [(i, f) for i, f in enumerate(map(flags.__getitem__, words)) if f]
+        given += sum(f == 2 for _, f in marked)
+        hits.extend([n_words + i for i, _ in marked])
+        hit_words.update([words[i] for i, _ in marked])
+        persons.extend([n_words + i for i, w in enumerate(words) if w in SECOND_PERSON])
+        strange = [w for w in lowered.split() if OBFUSCATED.search(w)] if OBFUSCATED.search(lowered) else []
+        n_strange += len(strange)
+        hidden += sum(any(flags[x] for x in WORD.findall(w.translate(PLAIN))) for w in strange)
+        shouted += len(SHOUTED.findall(piece))
+        letters += len(raw) - len(raw.translate(None, LETTERS))
+        capitals += len(raw) - len(raw.translate(None, UPPER))
+        marks += len(raw) - len(raw.translate(None, MARKS))
+        punctuation += len(raw) - len(raw.translate(None, PUNCTUATION))
+        size += len(raw)
+        n_words += len(words)
     near, p = 0, 0
-    for i, _ in marked:
+    for i in hits:
         while p < len(persons) and persons[p] < i - NEAR:
             p += 1
         near += p < len(persons) and persons[p] <= i + NEAR
-    strange = [w for w in lowered.split() if OBFUSCATED.search(w)] if OBFUSCATED.search(lowered) else []
-    hidden = sum(any(flags[x] for x in WORD.findall(w.translate(PLAIN))) for w in strange)
-    letters = max(1, len(raw) - len(raw.translate(None, LETTERS)))
-    size = max(1, len(raw))
+    n, size = max(1, n_words), max(1, size)
     return (
-        sum(f == 2 for _, f in marked) / n,
-        sum(f == 1 for _, f in marked) / n,
-        math.log1p(len(marked)),
+        given / n,
+        (len(hits) - given) / n,
+        math.log1p(len(hits)),
         math.log1p(len(hit_words)),
         near / n,
         len(persons) / n,
-        (len(raw) - len(raw.translate(None, UPPER))) / letters,
-        len(SHOUTED.findall(text)) / n,
-        (len(raw) - len(raw.translate(None, MARKS))) / size,
-        (len(raw) - len(raw.translate(None, PUNCTUATION))) / size,
-        len(strange) / n,
+        capitals / max(1, letters),
+        shouted / n,
+        marks / size,
+        punctuation / size,
+        n_strange / n,
         hidden / n,
-        math.log1p(len(words)),
+        math.log1p(n_words),
     )
 
 
@@ -105,6 +135,7 @@ def learn_lexicon(sample: DataFrame, entries: int, least_docs: int, least_share:
     def count(batches):
         seen: Counter = Counter()
         toxic: Counter = Counter()
+        letters = 0
 
         def out():
             keys = list(seen)
@@ -115,14 +146,16 @@ def learn_lexicon(sample: DataFrame, entries: int, least_docs: int, least_share:
 
         for batch in batches:
             for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist()):
-                own = {k for w in set(WORD.findall(text.lower())) for k in keys_of(w)}
+                own = {k for piece in pieces(text) for w in set(WORD.findall(piece.lower())) for k in keys_of(w)}
+                letters += sum(len(k) for k in own if k not in seen)
                 seen.update(own)
                 if label:
                     toxic.update(own)
-            if len(seen) > 200_000:
-                yield out()
-                seen.clear()
-                toxic.clear()
+                if len(seen) > COUNTED_KEYS or letters > COUNTED_LETTERS:
+                    yield out()
+                    seen.clear()
+                    toxic.clear()
+                    letters = 0
         yield out()
 
     counts = map_batches(sample.select("text", "label"), count, "key string, docs long, toxic long")

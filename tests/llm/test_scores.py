@@ -1,11 +1,15 @@
 """Held-out accuracy, folds, and odd tables for the two classifiers."""
 
 import os
+import random
+import tracemalloc
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from facsimile.llm import toxicity
 from facsimile.llm.labelled import fold, labelled_sample
 from facsimile.llm.quality_vote import fit_vote
 from facsimile.llm.queries import op4_quality_vote, op8_toxicity
@@ -71,3 +75,47 @@ def test_features():
     assert names["given_density"] > 0 and names["learned_density"] > 0 and names["hidden_hits"] > 0
     assert names["near_second_person"] > 0 and names["shouted"] > 0
     assert all(v == 0 for v in text_features("", flags))
+
+
+def test_remembered_words_are_bounded():
+    """Words of any length: a task keeps no more letters than it may, and the flags stay right."""
+    flags = Flags(frozenset(["idiot"]), frozenset(["vequ-"]))
+    for i in range(3000):
+        word = ("vequ" if i % 3 == 0 else "calm") + f"{i:012b}".replace("0", "a").replace("1", "b") * 400
+        assert (flags[word], flags["idiot"], flags["day"]) == (int(i % 3 == 0), 2, 0)
+        assert sum(map(len, flags)) <= 2_000_000
+    flags = Flags(frozenset(), frozenset())
+    assert not any(flags[f"w{i}"] for i in range(150_000)) and len(flags) <= 100_000
+
+
+def test_counted_keys_are_bounded(spark, monkeypatch):
+    """Words of any length: a task hands its counts on in parts, and no count is lost."""
+    emits, mapped = [], toxicity.map_batches
+    monkeypatch.setattr(toxicity, "map_batches", lambda rows, emit, schema: emits.append(emit) or mapped(rows, emit, schema))
+    sample = spark.createDataFrame([("idiot day", 1), ("calm day", 0)] * 4, "text string, label int")
+    assert toxicity.learn_lexicon(sample, 5, 3, 0.9) == {"idiot", "idio-", "idiot-"}
+    texts = [letter * 300_000 for letter in "abcdefghijklmnopqrstuvwxyz"] * 2
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([1, 0] * 26)], names=["text", "label"])
+    parts = [part.to_pydict() for part in emits[0](iter([batch]))]
+    assert max(sum(map(len, part["key"])) for part in parts) < 4_400_000
+    assert sum(sum(part["docs"]) for part in parts) == 4 * len(texts) and sum(sum(part["toxic"]) for part in parts) == 2 * len(texts)
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    """A long text has the features that it has as a whole, in memory of little more than its length."""
+    draw, flags = random.Random(5), Flags(frozenset(toxicity.LEXICON), frozenset(["vequ-"]))
+    words = ["day", "You,", "your", "IDIOT!", "vequta", "st*pid", "1d1ot", "calm", "ΟΔΟΣ", "ΣΑΣ", "\x1f", "\n", "\u2003", "GROẞ", "a.b-c", "\u0130x"]
+    texts = ["", " ", "x" * 300, " " * 300] + [" ".join(draw.choices(words, k=k)) for k in (1, 9, 60, 400)]
+    whole = [text_features(t, flags) for t in texts]
+    for size in (1, 7, 50):
+        monkeypatch.setattr(toxicity, "PIECE", size)
+        assert all("".join(toxicity.pieces(t)) == t for t in texts)
+        assert [text_features(t, flags) for t in texts] == whole
+    monkeypatch.undo()
+    text = "calm words of a day, idiot " * 300_000
+    tracemalloc.start()
+    try:
+        text_features(text, flags)
+        assert tracemalloc.get_traced_memory()[1] < 4 * len(text)
+    finally:
+        tracemalloc.stop()
